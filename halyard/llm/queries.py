@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from halyard.llm import language, packing, telephony
+from halyard.llm import language, packing, pii, telephony, urls
 
 QUERIES = {
+    "op1_url_markov_ratio": urls.op1_url_markov_ratio,
     "op4_vector_packing": packing.op4_vector_packing,
     "op8_telephony": telephony.op8_telephony,
     "op9_language_id": language.op9_language_id,
+    "op10_information_theoretic_pii": pii.op10_information_theoretic_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL}
