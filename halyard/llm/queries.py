@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from halyard.llm import language, packing, pii, telephony, urls
+from halyard.llm import language, neighbours, packing, pii, telephony, urls, warc
 
 QUERIES = {
     "op1_url_markov_ratio": urls.op1_url_markov_ratio,
+    "op3_collision_counting": neighbours.op3_collision_counting,
     "op4_vector_packing": packing.op4_vector_packing,
+    "op7_warc_chunks": warc.op7_warc_chunks,
     "op8_telephony": telephony.op8_telephony,
     "op9_language_id": language.op9_language_id,
     "op10_information_theoretic_pii": pii.op10_information_theoretic_pii,
 }
 
-ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL}
+ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op7_warc_chunks": warc.SQL}
