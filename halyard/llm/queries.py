@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from halyard.llm import jaccard, language, neighbours, packing, pii, telephony, urls, warc
+from halyard.llm import bpe, jaccard, language, neighbours, packing, pii, telephony, urls, warc
 
 QUERIES = {
     "op1_url_markov_ratio": urls.op1_url_markov_ratio,
     "op2_set_relation_join": jaccard.op2_set_relation_join,
     "op3_collision_counting": neighbours.op3_collision_counting,
     "op4_vector_packing": packing.op4_vector_packing,
+    "op6_distinct_word_bpe": bpe.op6_distinct_word_bpe,
     "op7_warc_chunks": warc.op7_warc_chunks,
     "op8_telephony": telephony.op8_telephony,
     "op9_language_id": language.op9_language_id,
