@@ -307,3 +307,20 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule:
 
 def op2_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(common.table(spark, sf_dir, "documents"), rule=Rule(words=3, percent=90))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule | None = None) -> DataFrame:
+    """df without the rows that another of their group stands for: the row with the group's smallest id stays (of rows with that
+    id, the one with the smallest hash). Rows without a word stay, each for itself."""
+    rows, found, classes, rule = prepare(df, id_col, text_col, rule or Rule())
+    root = components.roots(links(rows, found, classes, rule))
+    member = found.where("n > 0").select("cid", "id", "row").join(root, F.col("cid") == F.col("node"), "left").select("row", "id", F.coalesce("root", "cid").alias("root"))
+    # the least (id, hash) of each group in two foldings, so that a group is never sorted; ids that are null come last
+    least = member.groupBy("root").agg(F.min("id").alias("least_id"))
+    stay = member.join(least, "root").where(F.col("id").eqNullSafe(F.col("least_id"))).groupBy("root").agg(F.min("row").alias("row"))
+    stay = common.cut(stay.select("row").unionByName(found.where("n = 0").select("row").distinct()), "stay")
+    row = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    kept = df.withColumn("_row", row).join(stay.withColumnRenamed("row", "_row"), "_row", "left_semi")
+    if found.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*df.columns)

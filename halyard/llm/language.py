@@ -214,3 +214,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs.where(~common.held_out()))
     return identify(docs, model, keep_spans=False).select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Share of a text's letters in its language from which it stays in a corpus.
+LEAST_SCORE = 0.3
+
+
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """df's rows in a learned language, with that language as lang_col; text without a letter or of other scripts goes."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score, _ = predict(shared.value, common.texts_of(batch, text_col))
+        at = batch.schema.get_field_index(lang_col)
+        batch = batch.set_column(at, lang_col, pa.array(lang, batch.schema.field(at).type))
+        return batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(common.in_slices(one, text_col, 2 * common.SLICE_BYTES), df.schema)

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.llm import common
 
@@ -214,6 +215,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """df with its text sanitised: entities become [KIND], generalised terms [NAME] or [TERM] by their first letter's case, removed
     terms nothing. Rows without a span are as they were."""
     marked = find_spans(df, id_col, text_col, rule).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
+    marked = common.cut(marked.select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "marked")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,9 +229,12 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
             texts = [apply_spans(t, [(s["start"], s["kind"], s["end"]) for s in spans or ()]) for t, spans in zip(b.column(at_text).to_pylist(), b.column(at_spans).to_pylist(), strict=True)]
             yield b.set_column(at_text, text_col, pa.array(texts, b.schema.field(at_text).type)).drop_columns(["_spans"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    joined = df.mapInArrow(keyed, f"{fields}, _row_key binary").join(marked.select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "_row_key", "left").drop("_row_key")
-    return joined.mapInArrow(redact, fields)
+    fields = T.StructType(df.schema.fields)
+    key = T.StructField("_row_key", T.BinaryType())
+    # every entity has a digit or an @; texts without either stay where they are
+    some = F.coalesce(F.col(text_col).cast("string").rlike("[0-9@]"), F.lit(False))
+    joined = df.where(some).mapInArrow(keyed, T.StructType([*fields.fields, key])).join(marked, "_row_key", "left").drop("_row_key")
+    return joined.mapInArrow(redact, fields).unionByName(df.where(~some))
 
 
 def apply_spans(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
