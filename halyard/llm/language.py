@@ -128,11 +128,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     for r in common.summed(rows.mapInArrow(count, "lang string, part int, counts binary"), ["lang", "part"], "counts").collect():  # some counters for each language
         found.setdefault(r.lang, {})[r.part] = r.counts
     langs = sorted(found)
+    if not langs:
+        return Model([], np.empty((BUCKETS, 0), np.float32), np.empty((len(SCRIPTS), 0), bool), np.empty(0))
     total = np.array([np.frombuffer(b"".join(found[x][k] for k in range(PARTS)), np.int64) for x in langs]).reshape(len(langs), -1)
     grams, scripts = total[:, :BUCKETS], total[:, BUCKETS : BUCKETS + len(SCRIPTS)]
     size = scripts.sum(1, keepdims=True)
     logp = np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * BUCKETS)).T
-    return Model(langs, np.ascontiguousarray(logp, np.float32), (scripts >= OWN_SCRIPT * np.maximum(size, 1)).T & (size.T > 0), np.log((size[:, 0] + 1) / (size.sum() + len(langs))) if langs else np.empty(0))
+    return Model(langs, np.ascontiguousarray(logp, np.float32), (scripts >= OWN_SCRIPT * np.maximum(size, 1)).T & (size.T > 0), np.log((size[:, 0] + 1) / (size.sum() + len(langs))))
 
 
 def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, prior: np.ndarray, penalty: float) -> np.ndarray:
