@@ -41,7 +41,8 @@ def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revis
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     again = rows.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    # the payload stays behind until the few repeated digests are known; they alone meet it
+    # written out, so that the planner knows their size: few repeated digests go to the payloads, not the payloads to them
+    again = common.cut(again, "repeated")
     refers = F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     return rows.join(again, "digest", "left").select("id", "url", "digest", "bytes", refers.alias("refers_to"), F.when(refers.isNull(), F.col("html")).alias("html"))
 
