@@ -24,13 +24,13 @@ from pyspark.sql.window import Window
 
 from halyard.llm import common
 
-PROJECTIONS, SEED, GROWTH, FIRST_RADIUS = 64, 7, 1.05, 0.1
+PROJECTIONS, SEED, GROWTH, FIRST_RADIUS = 48, 7, 1.05, 0.1
 #: Chance that a standard normal is within 1, and the collisions that a vector at the radius reaches in 6 of 7 cases (nearer ones
 #: more often: measured recall of the best 20 is 0.96).
 NEAR = 0.6827
 COLLISIONS = int(PROJECTIONS * NEAR - 1.05 * (PROJECTIONS * NEAR * (1 - NEAR)) ** 0.5)
-#: Vectors of a block whose nearest one tells where a query's windows start: at half its distance.
-PROBES = 64
+#: Vectors of a block whose nearest one tells where a query's windows start: at this share of its distance.
+PROBES, START = 64, 0.85
 
 
 def usable(v: str) -> Column:
@@ -70,7 +70,7 @@ class Block:
             low = np.stack([np.searchsorted(s, part[:, i, None] - levels) for i, s in enumerate(self.sorted)], 1)
             high = np.stack([np.searchsorted(s, part[:, i, None] + levels, side="right") for i, s in enumerate(self.sorted)], 1)
             close = (queries[at : at + 256] @ probes.T).max(1) / (norms[at : at + 256] * self.most)
-            first = np.searchsorted(levels, np.sqrt(np.maximum(0, 2 - 2 * close)) / 2).clip(max=len(levels) - 1)
+            first = np.searchsorted(levels, START * np.sqrt(np.maximum(0, 2 - 2 * close))).clip(max=len(levels) - 1)
             for j in range(len(part)):
                 q = queries[at + j]
                 places, near = self.one(query_ids[at + j], q, norms[at + j], low[j], high[j], levels, first[j], k)
