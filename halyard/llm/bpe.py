@@ -1,10 +1,9 @@
 """Byte-level BPE by a global distinct-word shuffle. Texts are split into pre-tokens; each distinct one is encoded once and its ids
 go back to every place it stands at.
 
-Frequent pre-tokens are hot keys: those seen FREQUENT times or more by some task are counted, the HOT most frequent are encoded once
-and broadcast (a fixed number of pre-tokens of at most HOT_CHARS characters). All others go through the shuffle: a block of documents
-(about BLOCK_BYTES of text) packs its distinct ones by a hash into rows of one bucket each; the task that gets the bucket encodes
-each distinct pre-token once; the ids come back to the block, where the documents wait as numbers of pre-tokens in order of their
+A block of documents (about BLOCK_BYTES of text) explodes into its distinct pre-tokens with the places they stand at. The distinct
+ones go, packed, to the bucket of their hash, where one task encodes each once for the whole corpus; a frequent pre-token arrives
+once a block, not once a place. The ids come back to the block, where the documents wait as numbers of pre-tokens in order of their
 places. Decoding joins the ids with the table of token bytes.
 
 Blocks are made twice, for what they send and for what waits; a block's key holds the hash of its texts, so that an input whose rows
@@ -19,8 +18,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import common
 
-HOT, HOT_CHARS, FREQUENT, BLOCK_BYTES, SEEN = 1 << 19, 64, 4, 4 << 20, 400_000
+BLOCK_BYTES = 4 << 20
 
 
 @functools.cache
@@ -56,56 +56,10 @@ def encoding(rank_path: str) -> tuple[tiktoken.Encoding, list[bytes]]:
     return tiktoken.Encoding(rank_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), table
 
 
-def encode_piece(enc: tiktoken.Encoding, piece: str) -> list[int]:
-    return enc._encode_single_piece(piece)
-
-
 def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
-@dataclass
-class Hot:
-    """Pre-tokens by number, most frequent first, with the ids of number k in flat[at[k]:at[k + 1]]."""
-
-    words: list[str]
-    flat: np.ndarray
-    at: np.ndarray
-
-    @functools.cached_property
-    def number(self) -> dict[str, int]:
-        return {w: k for k, w in enumerate(self.words)}
-
-
-def hot_words(df: DataFrame, rank_path: str, size: int) -> Hot:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = splitter().findall, Counter()
-
-        def out() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n >= FREQUENT and len(w) <= HOT_CHARS]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for text in b.column(0):
-                seen.update(find(text.as_py() or ""))
-                if len(seen) >= SEEN:
-                    yield out()
-        yield out()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, _ = encoding(rank_path)
-        for b in batches:
-            ids = [np.array(encode_piece(enc, w), "<u4").tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
-    counted = df.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size)
-    rows = top.mapInArrow(encode, "word string, n long, ids binary").toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # HOT rows at most
-    ids = [x.as_buffer() for c in rows.column("ids").chunks for x in c]
-    return Hot(rows.column("word").to_pylist(), np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(x.size // 4 for x in ids)]))
-
-
 def pack_numbers(x: np.ndarray) -> bytes:
     """Numbers under 2**28 as 1 to 4 bytes each, seven bits a byte, compressed."""
     size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
@@ -139,7 +93,7 @@ def unpack_words(data: bytes) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Documents as numbers of pre-tokens: below the number of hot ones those, above it the block's own in order of first place."""
+    """Documents as numbers of the block's distinct pre-tokens, in order of their first place."""
 
     key: bytes
     counts: list[int]
@@ -147,18 +101,14 @@ class Block:
     own: list[str]
 
 
-def make_block(key: bytes, texts: list[str | None], hot: Hot) -> Block:
-    find, known = splitter().findall, hot.number
-    own: dict[str, int] = {}
-    base = len(known)
-    counts, numbers = [], []
+def make_block(key: bytes, texts: list[str | None]) -> Block:
+    find = splitter().findall
+    own: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    counts, numbers = [], [np.empty(0, np.int64)]
     for text in texts:
         words = find(text or "")
         counts.append(len(words))
-        got = list(map(known.get, words))
-        if None in got:
-            got = [own.setdefault(w, base + len(own)) if k is None else k for k, w in zip(got, words, strict=True)]
-        numbers.append(np.array(got, np.int64))
+        numbers.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
     return Block(key, counts, np.concatenate(numbers), list(own))
 
 
@@ -177,18 +127,17 @@ def keyed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.
             n += 1
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = "", buckets: int | None = None, hot: int = HOT, keep_ids: bool = True) -> DataFrame:
-    """For each row: id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and, with keep_ids, its ids."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = "", buckets: int | None = None, keep_ids: bool = True) -> DataFrame:
+    """For each row: id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and, with keep_ids, its ids.
+    buckets: of distinct pre-tokens; a task holds one bucket's at a time."""
     rank_path = rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    spark = df.sparkSession
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(hot_words(docs, rank_path, hot))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, s in keyed_blocks(batches):
-            block = make_block(key, s.column(1).to_pylist(), frequent.value)
+            block = make_block(key, s.column(1).to_pylist())
             parts: dict[int, list[str]] = {}
             for k, w in zip(buckets_of(block.own, buckets), block.own, strict=True):
                 parts.setdefault(k, []).append(w)
@@ -197,7 +146,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
 
     def wait(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, s in keyed_blocks(batches):
-            block = make_block(key, s.column(1).to_pylist(), frequent.value)
+            block = make_block(key, s.column(1).to_pylist())
             arrays = [pa.array([key], pa.binary()), pa.array([s.column(0).to_pylist()], pa.list_(s.schema.field(0).type)), pa.array([block.counts], pa.list_(pa.int32()))]
             more = [pack_numbers(block.numbers), pack_numbers(np.array(buckets_of(block.own, buckets), np.int64))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array([m], pa.binary()) for m in more], names=["key", "ids", "counts", "numbers", "own"])
@@ -205,9 +154,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoding(rank_path)
         known: dict[bytes, list[int]] = {}
+        now = None
         for b in batches:
             out = []
-            for packed in b.column(2):
+            for bucket, packed in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
                 sizes, flat = [], []
                 for w in unpack_words(packed.as_py()):
                     ids = known.get(w)
@@ -216,23 +168,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
                     sizes.append(len(ids))
                     flat += ids
                 out.append(pack_numbers(np.array([len(sizes), *sizes, *flat], np.int64)))
-                if len(known) > SEEN:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["bucket", "block", "ids"])
 
-    def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(size)
-        return flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - start, size)]
-
     def reassemble(waiting: pa.Table, came: pa.Table) -> pa.Table:
         table = encoding(rank_path)[1]
-        at, all_flat = frequent.value.at, frequent.value.flat
-        if not waiting.num_rows:
+        if waiting.num_rows != 1:
             raise ValueError("a block's rows came in another order the second time")
-        numbers, own = unpack_numbers(waiting.column("numbers")[0].as_py()), unpack_numbers(waiting.column("own")[0].as_py())
-        base = len(at) - 1
-        start, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        more, shift = [], len(all_flat)
+        own = unpack_numbers(waiting.column("own")[0].as_py())
+        start, size, flat, shift = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), [np.empty(0, np.int64)], 0
         for bucket, packed in zip(came.column("bucket").to_pylist(), came.column("ids"), strict=True):
             x = unpack_numbers(packed.as_py())
             mine = np.flatnonzero(own == bucket)
@@ -240,30 +183,24 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
                 raise ValueError("a block's rows came in another order the second time")
             size[mine] = x[1 : 1 + x[0]]
             start[mine] = shift + np.cumsum(size[mine]) - size[mine]
-            more.append(x[1 + x[0] :])
-            shift += len(more[-1])
+            flat.append(x[1 + x[0] :])
+            shift += len(flat[-1])
         if not size.all():
             raise ValueError("a block's rows came in another order the second time")
-        # the block's own ids follow those of the hot pre-tokens it holds
-        used, numbers = np.unique(numbers, return_inverse=True)
-        is_hot = used < base
-        flat = np.concatenate([all_flat, *more]) if more else all_flat
-        starts, sizes = np.empty(len(used), np.int64), np.empty(len(used), np.int64)
-        starts[is_hot], sizes[is_hot] = at[used[is_hot]], np.diff(at)[used[is_hot]]
-        starts[~is_hot], sizes[~is_hot] = start[used[~is_hot] - base], size[used[~is_hot] - base]
-        ids = gather(flat, starts[numbers], sizes[numbers]).astype("<u4")
-        ends = np.concatenate(([0], np.cumsum(sizes[numbers])))
-        counts = np.cumsum([0, *waiting.column("counts")[0].as_py()])
-        rows = []
-        for a, b in zip(ends[counts[:-1]].tolist(), ends[counts[1:]].tolist(), strict=True):
-            x = ids[a:b]
-            rows.append((b - a, hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(decode(x, table)).hexdigest()) + (x.astype(np.int32),) * keep_ids)
+        flat = np.concatenate(flat).astype("<u4")
+        numbers, at, rows = unpack_numbers(waiting.column("numbers")[0].as_py()), 0, []
+        for count in waiting.column("counts")[0].as_py():
+            n = numbers[at : at + count]
+            at += count
+            ends = np.cumsum(size[n])
+            ids = flat[np.arange(ends[-1]) - np.repeat(ends - size[n] - start[n], size[n])] if count else flat[:0]
+            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(ids, table)).hexdigest()) + (ids.astype(np.int32),) * keep_ids)
         arrays = [waiting.column("ids").combine_chunks().flatten(), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))]
         return pa.Table.from_arrays(arrays, names=names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * keep_ids
-    sent = docs.mapInArrow(send, "bucket int, block binary, words binary").repartition("bucket").mapInArrow(encode_words, "bucket int, block binary, ids binary")
+    sent = docs.mapInArrow(send, "bucket int, block binary, words binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "bucket int, block binary, ids binary")
     waiting = docs.mapInArrow(wait, f"key binary, ids array<{kind}>, counts array<int>, numbers binary, own binary")
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return waiting.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(reassemble, schema)
