@@ -5,10 +5,13 @@ set size and position in the list being skipped together when that position rule
 
  1. sketch     counts of all shingles in a fixed number of buckets; any order of shingles is right, this one puts rare ones first
  2. index      per document: set size, class (64-bit sum of hashes, checked against a second sum) and prefix
- 3. pivots     per shingle: smallest class; each other class of the list is compared with it once, on the sets
+ 3. pivots     per shingle: the class that has least before it; each other class of the list is compared with it once, by position and
+               parity bitmap, and where they don't rule it out on the sets
  4. relations  for y and z beside pivot p: |y & z| >= |y & p| + |z & p| - |p|, and
                |y & z| <= min(|y & p|, |z & p|) + min(|y \\ p|, |z \\ p|); pairs in one component by links to pivots are known
- 5. blocks     the pairs left, from lists whose classes aren't all connected: block against block, then on the sets
+ 5. blocks     the pairs left, from lists whose classes aren't all connected: a list's classes of about one size and position form
+               a block, and two blocks are skipped together when no sizes and positions in them allow a link; else their pairs go
+               through 4 and the bitmaps, and the few left are compared on the sets
  6. components of the links
 
 Shingles are compared as 64-bit hashes. Counts at the hot end never meet in one task: lists are folded by partial aggregation and
@@ -21,6 +24,7 @@ are copies; an empty table gives an empty table; columns other than the two name
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 
 from halyard.llm import common, components
 
-SKETCH_BITS, SKETCH_PARTS, BITMAP_BITS, SALTS = 18, 16, 26, 8
+SKETCH_BITS, SKETCH_PARTS, TOKEN_BITS, ROW_BITS, SLICE = 22, 64, 27, 24, 1 << 20
+#: Words of the parity bitmap in an index list and of the widest one of a set; classes in a block of an index list, and what its sizes and positions may differ by.
+PARITY_WORDS, WIDEST_WORDS, BLOCK_CLASSES, SIZE_STEP, POSITION_STEPS = 4, 512, 2048, 1.05, 8
 _U = np.uint64
 _BASE, _STEP, _TAG = _U(0x100000001B3 | 1), _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 
@@ -124,6 +130,20 @@ def sums(sets: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return one.view(np.int64), two.view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set, whether an odd number of its shingles falls on each bit: two sets' bitmaps differ in at most as many bits as the
+    sets have shingles that they don't share. About a bit a shingle, in words whose number is a power of two, so that a wider bitmap
+    folds into a narrower one."""
+    out = []
+    for s in sets:
+        words = min(WIDEST_WORDS, max(PARITY_WORDS, 1 << max(0, len(s) - 1).bit_length() >> 6))
+        h = mix(s ^ _STEP)
+        # the word by the hash's last bits, the bit in it by the first six: halves of the words fold onto each other
+        odd = np.bincount((((h & _U(words - 1)) << _U(6)) | (h >> _U(58))).astype(np.int64), minlength=64 * words) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(_U))
+    return out
+
+
 def lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *(len(v) for v in values)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)))
@@ -140,23 +160,31 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketch(rows: DataFrame, rule: Rule) -> np.ndarray:
-    """How many shingles of the documents fall in each bucket (the hash's first bits)."""
+    """How many shingles of the documents fall in each bucket (the hash's first bits), 2**31 - 1 at most."""
+    most = np.iinfo(np.int32).max
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
-            for s in common.slices(b, "text"):
-                flat = np.concatenate(shingle_sets(s.column(0), rule))
-                total += np.bincount((flat >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        parts = np.split(total, SKETCH_PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+            for s in common.slices(b, "text", SLICE):
+                np.add.at(total, (np.concatenate(shingle_sets(s.column(0), rule)) >> _U(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
+        for k, part in enumerate(np.split(total, SKETCH_PARTS)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
+        for b in batches:
+            for x in b.column(1):
+                total += np.frombuffer(zlib.decompress(x.as_buffer()), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, most).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
 
-    got = {r.part: r.counts for r in common.summed(rows.select("text").mapInArrow(count, "part int, counts binary"), ["part"], "counts").collect()}  # a fixed number of counters
-    return np.frombuffer(b"".join(got[k] for k in range(SKETCH_PARTS)), np.int64) if got else np.zeros(1 << SKETCH_BITS, np.int64)
+    schema = "part int, counts binary"
+    got = {r.part: r.counts for r in rows.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()}  # a fixed number of counters
+    return np.frombuffer(b"".join(got[k] for k in range(SKETCH_PARTS)), np.int32) if got else np.zeros(1 << SKETCH_BITS, np.int32)
 
 
 def index(rows: DataFrame, rule: Rule) -> DataFrame:
-    """id, row, cid, check, n, prefix (rarest shingle first)."""
+    """id, row, cid, check, n, prefix (rarest shingle first), parity."""
     spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(sketch(rows, rule))
 
@@ -168,52 +196,55 @@ def index(rows: DataFrame, rule: Rule) -> DataFrame:
         for s in sets:
             order = np.argsort(counts.value[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
             first.append(s[order[: prefix_length(len(s), rule.percent)]] if len(s) else s)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid), pa.array(check), pa.array(n), lists(first)], names=["id", "row", "cid", "check", "n", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cid), pa.array(check), pa.array(n), lists(first), lists(parities(sets))], names=["id", "row", "cid", "check", "n", "prefix", "parity"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "row", "text").mapInArrow(common.in_slices(one, "text"), f"id {kind}, row long, cid long, check long, n long, prefix array<long>")
+    return rows.select("id", "row", "text").mapInArrow(common.in_slices(one, "text", SLICE), f"id {kind}, row long, cid long, check long, n long, prefix array<long>, parity array<long>")
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of the keys' last BITMAP_BITS bits; a fixed size. A row it lets through by chance is sorted out by a join later."""
+def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The keys' last bits as places of set bits; a fixed size. What it lets through by chance is sorted out by a join later."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
-        some = False
+        out = None
         for b in batches:
-            bits[b.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)] = True
-            some = True
-        if some:
-            parts = np.split(np.packbits(bits), SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "bits"])
+            out = np.zeros((1 << bits) // 8, np.uint8) if out is None else out
+            low = b.column(0).to_numpy() & ((1 << bits) - 1)
+            np.bitwise_or.at(out, low >> 3, (128 >> (low & 7)).astype(np.uint8))
+        for k, part in enumerate(np.split(out, SKETCH_PARTS) if out is not None else ()):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "bits"])
 
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << BITMAP_BITS) // 8 // SKETCH_PARTS, np.uint8)
+        total = np.zeros((1 << bits) // 8 // SKETCH_PARTS, np.uint8)
         for b in batches:
             for x in b.column(1):
                 total |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
 
-    got = {r.part: r.bits for r in keys.select(column).coalesce(16).mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect()}
-    return np.frombuffer(b"".join(got[k] for k in range(SKETCH_PARTS)), np.uint8) if got else np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    got = {r.part: r.bits for r in keys.select(column).mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect()}  # a fixed number of bits
+    return np.frombuffer(b"".join(got[k] for k in range(SKETCH_PARTS)), np.uint8) if got else np.zeros((1 << bits) // 8, np.uint8)
+
+
+def passes(out: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    low = keys & ((1 << bits) - 1)
+    return ((out[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """cid, shingles of the wanted classes (column cid), from one row of each."""
     chosen = common.cut(classes.join(wanted, "cid", "left_semi").select("cid", "row"), "wanted")
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap(chosen, "row"))
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(chosen, "row", ROW_BITS))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        low = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
-        hit = (bits.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1
+        hit = passes(bits.value, batch.column(0).to_numpy(), ROW_BITS)
         if not hit.any():
             return None
-        batch = batch.filter(pa.array(hit.astype(bool)))
+        batch = batch.filter(pa.array(hit))
         sets = shingle_sets(batch.column(1), rule)
         cid, _ = sums(sets, np.array([len(s) for s in sets], np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cid), lists(sets)], names=["row", "cid", "shingles"])
 
-    made = rows.select("row", "text").mapInArrow(common.in_slices(one, "text"), "row long, cid long, shingles array<long>")
+    made = rows.select("row", "text").mapInArrow(common.in_slices(one, "text", SLICE), "row long, cid long, shingles array<long>")
     return common.cut(made.join(chosen, ["row", "cid"], "left_semi").select("cid", "shingles"), "sets")
 
 
@@ -228,52 +259,148 @@ def enough(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return both * (100 + percent) >= (n_a + n_b) * percent
 
 
-def links(rows: DataFrame, found: DataFrame, classes: DataFrame, rule: Rule, all_links: bool = False) -> DataFrame:
+def lead(pos: Column, cid: Column) -> Column:
+    """Order in which classes lead an index list: by position, since a class with little that is rarer is likest to the others."""
+    return F.shiftleft(pos.cast("long"), 44) + cid.bitwiseAND(F.lit((1 << 44) - 1))
+
+
+def repeated(classes: DataFrame) -> DataFrame:
+    """token, cid, n, pos and the list's pivot (p, n_p, pos_p) for every shingle that is in the prefixes of two classes or more. Most
+    shingles are in one, and a bitmap of the others keeps theirs from the second shuffle."""
+    posting = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
+    heads = posting.groupBy("token").agg(F.count("*").alias("classes"), F.min(lead(F.col("pos"), F.col("cid"))).alias("lead")).where("classes > 1")
+    heads = common.cut(heads, "heads")
+    bits = classes.sparkSession.sparkContext.broadcast(bitmap(heads, "token", TOKEN_BITS))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefix = b.column(3)
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            length = np.diff(prefix.offsets.to_numpy())
+            hit = passes(bits.value, token, TOKEN_BITS)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+            owner = pa.array(np.repeat(np.arange(len(length)), length)[hit])
+            narrow = lists([np.bitwise_xor.reduce(x.values.to_numpy().reshape(-1, PARITY_WORDS), axis=0) for x in b.column(2)])
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), b.column(0).take(owner), b.column(1).take(owner), narrow.take(owner), pa.array(pos[hit])], names=["token", "cid", "n", "parity", "pos"])
+
+    some = classes.select("cid", "n", "parity", "prefix").mapInArrow(one, "token long, cid long, n long, parity array<long>, pos long")
+    # both sides of the second join come from the first one's exchanges
+    listed = some.join(heads, "token")
+    pivot = listed.where(lead(F.col("pos"), F.col("cid")) == F.col("lead")).groupBy("token").agg(F.min(F.struct("cid", "n", "pos", "parity")).alias("h"))
+    pivot = pivot.select("token", F.col("h.cid").alias("p"), F.col("h.n").alias("n_p"), F.col("h.pos").alias("pos_p"), F.col("h.parity").alias("parity_p"))
+    return common.cut(listed.drop("lead").join(pivot, "token").where("cid <> p"), "listed")
+
+
+def near(pairs: DataFrame, classes: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """The pairs that the full parity bitmaps don't rule out, which are a thirty-second of the sets; columns n_a and n_b are sizes."""
+    left, right = (classes.select(F.col("cid").alias(c), F.col("parity").alias(f"_{c}")) for c in (a, b))
+    fold = lambda c, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.sequence(k, F.size(c) - 1, n), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(c, i))))
+    words = F.least(F.size(f"_{a}"), F.size(f"_{b}"))
+    same = F.size(f"_{a}") == F.size(f"_{b}")
+    apart = F.when(same, differing(f"_{a}", f"_{b}")).otherwise(differing(fold(f"_{a}", words), fold(f"_{b}", words)))
+    return pairs.join(right, b).join(left, a).where(apart <= most_apart(F.col("n_a"), F.col("n_b"), percent)).drop(f"_{a}", f"_{b}")
+
+
+def reachable(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
+    """Whether two sets can link whose first common shingle stands at those positions: nothing before it is common. A pair that links
+    passes in the list of its first common shingle, whatever the lists of others say."""
+    close = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return close & enough(F.least(n_a - pos_a, n_b - pos_b), n_a, n_b, percent)
+
+
+def differing(a: str | Column, b: str | Column) -> Column:
+    """Bits in which two parity bitmaps differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+
+
+def most_apart(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Shingles that two linked sets may not share: both sizes less twice the least intersection."""
+    return n_a + n_b - 2 * F.ceil((n_a + n_b) * percent / (100 + percent))
+
+
+def meet_blocks(met: DataFrame, percent: int) -> DataFrame:
+    """a, b, n_a, n_b, sure for the pairs of two blocks that positions, relations to the pivot and parity bitmaps don't rule out; sure
+    where the relations prove the link. A pair of blocks is compared as one array, some rows of it at a time."""
+    names = ("cid", "n", "pos", "shared", "label")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = ({c: v for c, v in zip((*names, "parity"), block(batch.column(k), row), strict=True)} for k in (1, 2))
+                n_p = batch.column(0)[row].as_py()
+                step = max(1, (1 << 18) // max(len(y["cid"]), 1))
+                out = [part(n_p, {c: v[at : at + step] for c, v in x.items()}, y) for at in range(0, len(x["cid"]), step)]
+                a, b, n_a, n_b, sure = (np.concatenate(c) for c in zip(*out, strict=True))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, n_a, n_b, sure)], names=["a", "b", "n_a", "n_b", "sure"])
+
+    def block(column: pa.Array, row: int) -> list[np.ndarray]:
+        own = column[row].values
+        return [pc.fill_null(own.field(c), -1).to_numpy(zero_copy_only=False) for c in names] + [own.field("parity").flatten().to_numpy(zero_copy_only=False).reshape(-1, PARITY_WORDS)]
+
+    def part(n_p: int, x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> list[np.ndarray]:
+        n1, n2 = x["n"][:, None], y["n"][None, :]
+        need = -(-(n1 + n2) * percent // (100 + percent))
+        ok = (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent) & (np.minimum(n1 - x["pos"][:, None], n2 - y["pos"][None, :]) >= need)
+        ok &= (x["label"][:, None] != y["label"][None, :]) & (x["cid"][:, None] != y["cid"][None, :])
+        s, t = x["shared"][:, None], y["shared"][None, :]
+        told = (s >= 0) & (t >= 0)
+        ok &= ~told | (np.minimum(s, t) + np.minimum(n1 - s, n2 - t) >= need)
+        i, j = np.nonzero(ok)
+        far = np.bitwise_count((x["parity"][i] ^ y["parity"][j]).view(_U)).sum(1, dtype=np.int64)
+        near = far <= (n1 + n2 - 2 * need)[i, j]
+        i, j = i[near], j[near]
+        sure = (told & (s + t - n_p >= need))[i, j]
+        a, b, n_a, n_b = x["cid"][i], y["cid"][j], x["n"][i], y["n"][j]
+        swap = a > b
+        return [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b), sure]
+
+    return met.mapInArrow(compare, "a long, b long, n_a long, n_b long, sure boolean")
+
+
+def links(rows: DataFrame, classes: DataFrame, rule: Rule, all_links: bool = False) -> DataFrame:
     """a, b: linked classes. Without all_links, links inside a component that others already connect may be missing."""
     percent = rule.percent
-    posting = found.where("n > 0").select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    heads = posting.groupBy("token").agg(F.min("cid").alias("p"), F.max("cid").alias("q")).where("p < q").select("token", "p")
-    # of copies one posting stays, and the pivot's own
-    listed = common.cut(posting.join(heads, "token").groupBy("token", "p", "cid", "n", "pos").agg(F.count("*").alias("copies")).drop("copies"), "listed")
-    size = classes.select(F.col("cid").alias("p"), F.col("n").alias("n_p"))
-    pairs = common.cut(listed.where("cid <> p").select("p", "cid", "n").distinct().join(size, "p"), "pivots")
+    listed = repeated(classes)
+    star = listed.where(reachable(F.col("n_p"), F.col("pos_p"), F.col("n"), F.col("pos"), percent) & (differing("parity", "parity_p") <= most_apart(F.col("n_p"), F.col("n"), percent)))
+    pairs = star.select("p", "cid", F.col("n_p").alias("n_a"), F.col("n").alias("n_b")).distinct()
+    pairs = common.cut(near(pairs, classes, "p", "cid", percent), "pivots")
     sets = sets_of(rows, classes, pairs.select("cid").unionByName(pairs.select(F.col("p").alias("cid"))).distinct(), rule)
-    first = common.cut(shared(pairs, sets, "p", "cid").withColumn("linked", enough(F.col("shared"), F.col("n_p"), F.col("n"), percent)).distinct(), "first")
+    first = common.cut(shared(pairs, sets, "p", "cid").withColumn("linked", enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).distinct(), "first")
     told = first.where("linked").select(F.col("p").alias("a"), F.col("cid").alias("b"))
 
-    label = told.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("label"))
-    again = label.select(F.col("cid").alias("label"), F.col("label").alias("higher"))
-    label = label.join(again, "label", "left").select("cid", F.coalesce("higher", "label").alias("label"))
-    beside = listed.where("cid <> p").join(first.select("p", "cid", "n_p", "shared"), ["p", "cid"])
+    # where the pivot has one class beside it there are no other pairs
+    beside = listed.where("classes > 2").select("token", "classes", "p", "n_p", "cid", "n", "pos", "parity").join(first.select("p", "cid", "shared"), ["p", "cid"], "left")
     if all_links:
         beside = beside.withColumn("label", F.col("cid"))
     else:
+        label = told.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("label"))
+        again = label.select(F.col("cid").alias("label"), F.col("label").alias("higher"))
+        label = label.join(again, "label", "left").select("cid", F.coalesce("higher", "label").alias("label"))
         beside = beside.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_ = beside.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    size_step = F.floor(F.ln("n") / F.lit(float(np.log(SIZE_STEP))))
+    position_step = F.floor(F.col("pos") * POSITION_STEPS / F.greatest(F.lit(1), F.col("n") * (100 - percent) / 100))
+    salt = F.pmod("cid", F.ceil(F.col("classes") / BLOCK_CLASSES))
     block = (
-        beside.join(open_, "token")
-        .groupBy("token", "n_p", "n", "pos", F.pmod("cid", F.lit(SALTS)).alias("salt"))
-        .agg(F.collect_list(F.struct("cid", "shared", "label")).alias("of"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        beside.groupBy("token", "n_p", size_step.alias("n_step"), position_step.alias("pos_step"), salt.alias("salt"))
+        .agg(F.collect_list(F.struct("cid", "n", "pos", "shared", "label", "parity")).alias("of"), *(f(c).alias(f"{k}_{c}") for c in ("n", "pos", "label") for k, f in (("lo", F.min), ("hi", F.max))))
     )
     x, y = block.alias("x"), block.alias("y")
-    c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
-    (n1, n2), (i, j) = c("n"), c("pos")
-    once = F.struct("x.n", "x.pos", "x.salt") <= F.struct("y.n", "y.pos", "y.salt")
-    # before the shared shingle at most min(i, j) can be common, from it on the shorter rest
-    reach = F.least(i, j) + F.least(n1 - i, n2 - j)
-    differ = ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & differ & (n1 * 100 >= n2 * percent) & enough(reach, n1, n2, percent))
-    both = met.select(F.col("x.n_p").alias("n_p"), n1.alias("n1"), n2.alias("n2"), F.col("y.of").alias("of"), F.explode("x.of").alias("s")).select("n_p", "n1", "n2", "s", F.explode("of").alias("t"))
-    both = both.where("s.cid <> t.cid and s.label <> t.label")
-    least = F.col("s.shared") + F.col("t.shared") - F.col("n_p")
-    most = F.least("s.shared", "t.shared") + F.least(F.col("n1") - F.col("s.shared"), F.col("n2") - F.col("t.shared"))
-    sure, maybe = (enough(v, F.col("n1"), F.col("n2"), percent) for v in (least, most))
-    a_first = F.col("s.cid") < F.col("t.cid")
-    rest = both.where(maybe).select(F.when(a_first, F.col("s.cid")).otherwise(F.col("t.cid")).alias("a"), F.when(a_first, F.col("t.cid")).otherwise(F.col("s.cid")).alias("b"), (F.col("n1") + F.col("n2")).alias("n_both"), sure.alias("sure"))
-    rest = common.cut(rest.groupBy("a", "b", "n_both").agg(F.max("sure").alias("sure")), "rest")
-    derived = rest.where("sure").select("a", "b")
-    checked = shared(rest.where("not sure"), sets, "a", "b").where(enough(F.col("shared"), F.col("n_both"), F.lit(0), percent)).select("a", "b")
-    return common.cut(told.unionByName(derived).unionByName(checked).distinct(), "links")
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    (lo1, lo2), (hi1, hi2), (pos1, pos2) = of("lo_n"), of("hi_n"), of("lo_pos")
+    once = F.struct("x.n_step", "x.pos_step", "x.salt") <= F.struct("y.n_step", "y.pos_step", "y.salt")
+    differ = ~((F.col("x.lo_label") == F.col("y.hi_label")) & (F.col("x.hi_label") == F.col("y.lo_label")))
+    # no pair of the blocks can do better than the largest sizes with the least positions, nor need less than the smallest sizes
+    skip_none = (F.least(hi1, hi2) * 100 >= F.greatest(lo1, lo2) * percent) & enough(F.least(hi1 - pos1, hi2 - pos2), lo1, lo2, percent)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & differ & skip_none).select("x.n_p", F.col("x.of").alias("x"), F.col("y.of").alias("y"))
+    rest = common.cut(meet_blocks(met, percent).groupBy("a", "b", "n_a", "n_b").agg(F.max("sure").alias("sure")), "rest")
+    derived, open_pairs = rest.where("sure").select("a", "b"), rest.where("not sure").drop("sure")
+    out = told.unionByName(derived)
+    open_pairs = common.cut(near(open_pairs, classes, "a", "b", percent), "open")
+    if open_pairs.limit(1).count():
+        sets = sets_of(rows, classes, open_pairs.select(F.col("a").alias("cid")).unionByName(open_pairs.select(F.col("b").alias("cid"))).distinct(), rule)
+        out = out.unionByName(shared(open_pairs, sets, "a", "b").where(enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    return common.cut(out.distinct(), "links")
 
 
 def prepare(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame, Rule]:
@@ -281,7 +408,7 @@ def prepare(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[Data
     rows = keyed(df, id_col, text_col)
     while True:
         found = common.cut(index(rows, rule), "index")
-        classes = common.cut(found.where("n > 0").groupBy("cid", "check", "n").agg(F.min("row").alias("row"), F.min("id").alias("least_id")), "classes")
+        classes = common.cut(found.where("n > 0").groupBy("cid", "check", "n").agg(F.min("row").alias("row"), F.min("id").alias("least_id"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
         if classes.count() == classes.select("cid").distinct().count():
             return rows, found, classes, rule
         rule = Rule(rule.words, rule.percent, rule.seed + 1)
@@ -290,14 +417,14 @@ def prepare(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[Data
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
     """All links between classes (class_a, class_b), and membership (id, class_id, n_shingles): the whole similarity join."""
     rows, found, classes, rule = prepare(df, id_col, text_col, rule or Rule())
-    pairs = links(rows, found, classes, rule, all_links=True)
+    pairs = links(rows, classes, rule, all_links=True)
     return pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), found.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("cid")).alias("class_id"), F.col("n").alias("n_shingles"))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule | None = None) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links)."""
     rows, found, classes, rule = prepare(df, id_col, text_col, rule or Rule())
-    root = components.roots(links(rows, found, classes, rule))
+    root = components.roots(links(rows, classes, rule))
     member = classes.join(root, classes["cid"] == root["node"], "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = member.join(least, "root").select("cid", "component_id")
@@ -313,7 +440,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """df without the rows that another of their group stands for: the row with the group's smallest id stays (of rows with that
     id, the one with the smallest hash). Rows without a word stay, each for itself."""
     rows, found, classes, rule = prepare(df, id_col, text_col, rule or Rule())
-    root = components.roots(links(rows, found, classes, rule))
+    root = components.roots(links(rows, classes, rule))
     member = found.where("n > 0").select("cid", "id", "row").join(root, F.col("cid") == F.col("node"), "left").select("row", "id", F.coalesce("root", "cid").alias("root"))
     # the least (id, hash) of each group in two foldings, so that a group is never sorted; ids that are null come last
     least = member.groupBy("root").agg(F.min("id").alias("least_id"))
