@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from halyard.llm import bpe, jaccard, language, neighbours, packing, pii, telephony, urls, warc
+from halyard.llm import bpe, jaccard, language, neighbours, packing, pii, quotes, telephony, urls, warc
 
 QUERIES = {
     "op1_url_markov_ratio": urls.op1_url_markov_ratio,
     "op2_set_relation_join": jaccard.op2_set_relation_join,
     "op3_collision_counting": neighbours.op3_collision_counting,
     "op4_vector_packing": packing.op4_vector_packing,
+    "op5_quotation_linking": quotes.op5_quotation_linking,
     "op6_distinct_word_bpe": bpe.op6_distinct_word_bpe,
     "op7_warc_chunks": warc.op7_warc_chunks,
     "op8_telephony": telephony.op8_telephony,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_information_theoretic_pii": pii.op10_information_theoretic_pii,
 }
 
-ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op7_warc_chunks": warc.SQL}
+ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op5_quotation_linking": quotes.SQL, "op7_warc_chunks": warc.SQL}

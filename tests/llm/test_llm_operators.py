@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from halyard.llm import bpe, common, jaccard, language, neighbours, packing, pii, telephony, urls, warc
+from halyard.llm import bpe, common, jaccard, language, neighbours, packing, pii, quotes, telephony, urls, warc
 from pyspark.sql import functions as F
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -337,6 +337,19 @@ def test_word_hashes_follow_words():
     assert hashes[0] == hashes[2] == hashes[3] and hashes[1] == hashes[4] and len(set(hashes.tolist())) == 3
 
 
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.RandomState(11)
+    pool = rng.randint(0, 2**62, 9000).astype(np.uint64)
+    for n in (3, 400, 600, 1100, 5000):
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 20 : n + n // 20])
+        x, y = jaccard.parities([a, b])
+        words = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, words), axis=0) for v in (x, y))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        narrow = [np.bitwise_xor.reduce(v.reshape(-1, jaccard.PARITY_WORDS), axis=0) for v in (x, y)]
+        assert np.bitwise_count(narrow[0] ^ narrow[1]).sum() <= len(np.setxor1d(a, b))
+
+
 # --- neighbours
 
 
@@ -468,6 +481,33 @@ def test_damaged_archive_fails(spark, tmp_path):
         warc.read_archives(manifest).count()
 
 
+# --- quotes
+
+
+def test_quote_levels():
+    text = "On Monday, Ann wrote:\n> Bob wrote:\n> > first line\n> second  LINE\n>\nmine >not a mark\n>>deep"
+    assert quotes.levels(text) == [(2, "first line"), (1, "second  LINE"), (1, ""), (0, "mine >not a mark"), (2, "deep")]
+    said, own, quoted = quotes.parse(text)
+    assert said == "mine >not a mark" and len(own) == 1 and sorted(k for k, _ in quoted) == [1, 2, 2]
+    assert quotes.paragraph_hash("A  b") == quotes.paragraph_hash(" a B ") and quotes.paragraph_hash(" \t") is None
+
+
+def test_quotes_link_threads(spark):
+    rows = [
+        (1, "x", 1, "question one\nwith two lines"), (2, "x", 2, "> question one\nanswer"), (3, "x", 3, "> > question one\n> answer\nthanks"), (4, "x", 4, "> with two lines\nother answer"),
+        (5, "x", 5, "> gone message\n> > other answer\nreply to what is missing"), (6, "x", 6, "nothing quoted"), (7, "y", 9, "> question one\nanother scope"), (8, "x", 8, "> QUESTION   one\nquestion one"),
+        (9, "x", 9, "> question one\nto the latest"), (None, "x", 10, "> answer\nno id"), (11, "x", None, "> answer\nno order"), (12, "x", 12, None), (13, "x", 13, "> thanks"),
+    ]
+    df = spark.createDataFrame(rows, "msg long, scope string, n int, text string").withColumn("root", F.lit("clash"))
+    got = {(r.msg, r.n): r for r in quotes.link(df, "msg", "scope", "n", "text").collect()}
+    assert len(got) == len(rows)
+    parent = {m: got[m, n].parent for m, _, n, _ in rows if m}
+    assert parent == {1: None, 2: 1, 3: 2, 4: 1, 5: 4, 6: None, 7: None, 8: 1, 9: 8, 11: None, 12: None, 13: 3}
+    assert {m: (got[m, n].root, got[m, n].depth) for m, _, n, _ in rows if m} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 1), 5: (1, 2), 6: (6, 0), 7: (7, 0), 8: (1, 1), 9: (1, 2), 11: (11, 0), 12: (12, 0), 13: (1, 3)}
+    assert got[3, 3].text == "thanks" and got[12, 12].text == "" and got[13, 13].text == ""
+    assert quotes.link(df.limit(0), "msg", "scope", "n", "text").count() == 0
+
+
 # --- helpers
 
 
