@@ -133,7 +133,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
     rank_path = rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     buckets = buckets or 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = common.small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, s in keyed_blocks(batches):

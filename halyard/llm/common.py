@@ -1,63 +1,29 @@
-"""Helpers shared by the operators: the shared folder, lineage cuts, bounded slices of Arrow batches, summed count vectors."""
+"""Helpers shared by the operators: bounded Arrow batches and slices of them, summed count vectors."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.storage import cut, new_folder, remove, shared_dir, table  # noqa: F401
+
 #: Bytes of text that one numpy step works on, so that a worker's memory doesn't follow the length of its Arrow batches.
 SLICE_BYTES = 2 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="halyard-shared-"))
-    return sc.getCheckpointDir()
-
-
-def remove(spark: SparkSession, uri: str) -> None:
-    """Deletes a folder of the shared store through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _forget(spark: SparkSession, uri: str) -> None:
-    try:
-        remove(spark, uri)
-    except Exception:  # the JVM may be gone before the interpreter
-        return
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    uri = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, uri)
-    return uri
+#: Bytes of rows that a Python task is sent at a time.
+BATCH_BYTES = "8m"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: short lineage, true sizes for the planner, nothing lost with an executor."""
-    spark = df.sparkSession
-    uri = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to send Arrow batches of BATCH_BYTES: their default is a count of rows, whose texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -34,9 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import common, components
+from halyard.llm import common
+from halyard.operators import graph
 
-SKETCH_BITS, SKETCH_PARTS, TOKEN_BITS, ROW_BITS, SLICE = 22, 64, 27, 24, 1 << 20
+SKETCH_BITS, SKETCH_PARTS, TOKEN_BITS, ROW_BITS, SLICE = 22, 64, 26, 24, 1 << 20
 #: Words of the parity bitmap in an index list and of the widest one of a set; classes in a block of an index list, and what its sizes and positions may differ by.
 PARITY_WORDS, WIDEST_WORDS, BLOCK_CLASSES, SIZE_STEP, POSITION_STEPS = 4, 512, 2048, 1.05, 8
 _U = np.uint64
@@ -156,7 +157,7 @@ def prefix_length(n: int, percent: int) -> int:
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, row (a hash that tells rows apart where it matters: of id and text), text."""
     text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    return common.small_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
 
 
 def sketch(rows: DataFrame, rule: Rule) -> np.ndarray:
@@ -424,7 +425,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Ru
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule | None = None) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links)."""
     rows, found, classes, rule = prepare(df, id_col, text_col, rule or Rule())
-    root = components.roots(links(rows, classes, rule))
+    root = graph.roots(links(rows, classes, rule))
     member = classes.join(root, classes["cid"] == root["node"], "left").select("cid", "least_id", F.coalesce("root", "cid").alias("root"))
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = member.join(least, "root").select("cid", "component_id")
@@ -440,7 +441,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """df without the rows that another of their group stands for: the row with the group's smallest id stays (of rows with that
     id, the one with the smallest hash). Rows without a word stay, each for itself."""
     rows, found, classes, rule = prepare(df, id_col, text_col, rule or Rule())
-    root = components.roots(links(rows, classes, rule))
+    root = graph.roots(links(rows, classes, rule))
     member = found.where("n > 0").select("cid", "id", "row").join(root, F.col("cid") == F.col("node"), "left").select("row", "id", F.coalesce("root", "cid").alias("root"))
     # the least (id, hash) of each group in two foldings, so that a group is never sorted; ids that are null come last
     least = member.groupBy("root").agg(F.min("id").alias("least_id"))

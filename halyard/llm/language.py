@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "part", "counts"])
 
-    rows = labelled.select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_text is not null and _lang is not null")
+    rows = common.small_batches(labelled).select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_text is not null and _lang is not null")
     found: dict[str, dict[int, bytes]] = {}
     for r in common.summed(rows.mapInArrow(count, "lang string, part int, counts binary"), ["lang", "part"], "counts").collect():  # some counters for each language
         found.setdefault(r.lang, {})[r.part] = r.counts
@@ -209,7 +209,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays(cols, names=[id_col, "lang_pred", "score"] + ["spans"] * keep_spans)
 
     schema = f"`{id_col}` {kind}, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * keep_spans
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text", 2 * common.SLICE_BYTES), schema)
+    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text", 2 * common.SLICE_BYTES), schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,4 +232,4 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", lang_co
         batch = batch.set_column(at, lang_col, pa.array(lang, batch.schema.field(at).type))
         return batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(common.in_slices(one, text_col, 2 * common.SLICE_BYTES), df.schema)
+    return common.small_batches(df).mapInArrow(common.in_slices(one, text_col, 2 * common.SLICE_BYTES), df.schema)

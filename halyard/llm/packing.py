@@ -194,7 +194,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
         if done:
             yield out()
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(over, schema)
+    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(over, schema)
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,7 +144,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, row_key binary, base array<struct<start: int, kind: int, end: int>>, pairs array<struct<entity: string, term: string, places: array<struct<start: int, end: int>>>>"
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
+    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
 
 
 def document_frequency(df: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:

@@ -168,7 +168,7 @@ def telephony_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm_bytes", "pcm_sha256", "feature"] + ["media", "pcm"] * keep_media
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
+    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

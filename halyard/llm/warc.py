@@ -39,7 +39,7 @@ def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit: int) -> DataFrame:
     """id, url, digest, bytes, refers_to (null for responses) and html (null for revisits)."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    rows = common.small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     again = rows.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     # written out, so that the planner knows their size: few repeated digests go to the payloads, not the payloads to them
     again = common.cut(again, "repeated")
