@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.plans import corpus, evaluation, geometry, structures, streams  # noqa: F401
+from halyard.plans import corpus, evaluation, geometry, models, streams, structures  # noqa: F401
 from halyard.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
