@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from halyard.llm import common
 from halyard.operators import graph
 
-SKETCH_BITS, SKETCH_PARTS, TOKEN_BITS, ROW_BITS, SLICE = 22, 64, 26, 24, 1 << 20
+SKETCH_BITS, SKETCH_PARTS, TOKEN_BITS, ROW_BITS, SLICE = 22, 64, 26, 24, 1 << 19
 #: Words of the parity bitmap in an index list and of the widest one of a set; classes in a block of an index list, and what its sizes and positions may differ by.
 PARITY_WORDS, WIDEST_WORDS, BLOCK_CLASSES, SIZE_STEP, POSITION_STEPS = 4, 512, 2048, 1.05, 8
 _U = np.uint64
@@ -329,7 +329,7 @@ def meet_blocks(met: DataFrame, percent: int) -> DataFrame:
             for row in range(batch.num_rows):
                 x, y = ({c: v for c, v in zip((*names, "parity"), block(batch.column(k), row), strict=True)} for k in (1, 2))
                 n_p = batch.column(0)[row].as_py()
-                step = max(1, (1 << 18) // max(len(y["cid"]), 1))
+                step = max(1, (1 << 16) // max(len(y["cid"]), 1))
                 out = [part(n_p, {c: v[at : at + step] for c, v in x.items()}, y) for at in range(0, len(x["cid"]), step)]
                 a, b, n_a, n_b, sure = (np.concatenate(c) for c in zip(*out, strict=True))
                 if len(a):

@@ -115,10 +115,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                 langs = np.array(s.column(1).to_pylist(), object)
                 texts = s.column(0).to_pylist()
                 for lang in set(langs):
-                    x = letters_of([t for t, own in zip(texts, langs, strict=True) if own == lang])
+                    mine = [t for t, own in zip(texts, langs, strict=True) if own == lang]
                     total = seen.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) * PARTS, np.int64))
-                    total[:BUCKETS] += np.bincount(x.feature, minlength=BUCKETS)
-                    total[BUCKETS : BUCKETS + len(SCRIPTS)] += np.bincount(x.word_script, weights=x.word_len, minlength=len(SCRIPTS)).astype(np.int64)
+                    for a, b in runs(mine):
+                        x = letters_of(mine[a:b])
+                        total[:BUCKETS] += np.bincount(x.feature, minlength=BUCKETS)
+                        total[BUCKETS : BUCKETS + len(SCRIPTS)] += np.bincount(x.word_script, weights=x.word_len, minlength=len(SCRIPTS)).astype(np.int64)
         rows = [(lang, k, part.tobytes()) for lang, total in seen.items() for k, part in enumerate(np.split(total, PARTS))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "part", "counts"])
@@ -137,6 +139,38 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return Model(langs, np.ascontiguousarray(logp, np.float32), (scripts >= OWN_SCRIPT * np.maximum(size, 1)).T & (size.T > 0), np.log((size[:, 0] + 1) / (size.sum() + len(langs))))
 
 
+@dataclass
+class Words:
+    word_len: np.ndarray
+    word_script: np.ndarray
+    word_doc: np.ndarray
+    word_start: np.ndarray
+
+
+#: Characters whose letters are scored at a time; only their words' scores are kept.
+RUN_CHARS = 1 << 18
+
+
+def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about RUN_CHARS characters each."""
+    a = size = 0
+    for b, t in enumerate(texts):
+        if b > a and size + len(t or "") > RUN_CHARS:
+            yield a, b
+            a = b
+            size = 0
+        size += len(t or "")
+    if len(texts) > a:
+        yield a, len(texts)
+
+
+def word_scores(model: Model, texts: list[str | None], first: int) -> tuple[Letters, np.ndarray]:
+    """The words of texts, numbered from first on, and their scores."""
+    x = letters_of([t or "" for t in texts])
+    x.word_doc = x.word_doc + first
+    return x, np.add.reduceat(model.logp[x.feature], x.word_at, axis=0).astype(float) if len(x.word_at) else np.empty((0, len(model.langs)))
+
+
 def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, prior: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word; scores (words, languages) in order of doc. All texts advance together, a word a step."""
     n, k = scores.shape
@@ -172,10 +206,12 @@ def predict(model: Model, texts: list[str | None], penalty: float = SWITCH_PENAL
     n, k = len(texts), len(model.langs)
     lang, score = ["und"] * n, np.zeros(n)
     found: list[list[dict]] | None = [[] for _ in texts] if spans else None
-    x = letters_of([t or "" for t in texts])
-    if not k or not len(x.word_at):
+    parts = [word_scores(model, texts[a:b], a) for a, b in runs(texts)] if k else []
+    parts = [p for p in parts if len(p[0].word_at)]
+    if not parts:
         return lang, score, found
-    scores = np.add.reduceat(model.logp[x.feature], x.word_at, axis=0).astype(float)
+    x = Words(*(np.concatenate([getattr(p[0], f) for p in parts]) for f in ("word_len", "word_script", "word_doc", "word_start")))
+    scores = np.concatenate([p[1] for p in parts])
     own = model.allowed[x.word_script]
     some = own.any(1)
     scores[~own] = -1e6

@@ -11,7 +11,6 @@ than the two named are not carried. An entity that stands in every document has
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -19,9 +18,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from halyard.llm import common
 
@@ -124,27 +122,27 @@ _PAIR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("places", pa
 SPAN_KINDS = (*KINDS, "term_generalised", "term_removed")
 
 
-def row_key(doc_id: object, text: str) -> bytes:
-    return hashlib.blake2b(f"{doc_id}\0{text}".encode(), digest_size=16).digest()
+def row_key(id_col: str, text_col: str) -> Column:
+    """The same for rows with one id and text."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")))
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
     """For each row: id, row_key, base (spans of entities) and pairs (terms beside entities, with their places)."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, base, pairs = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        base, pairs = [], []
+        for text in batch.column(2).to_pylist():
             text = text or ""
             found = entities(text)
-            keys.append(row_key(doc, text))
             base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in found])
             near = beside(text, found, window) if found else {}
             pairs.append([{"entity": e, "term": t, "places": [{"start": a, "end": b} for a, b in dict.fromkeys(places)]} for (e, t), places in near.items()])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(base, pa.list_(_SPAN)), pa.array(pairs, pa.list_(_PAIR))], names=[id_col, "row_key", "base", "pairs"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(pairs, pa.list_(_PAIR))], names=[id_col, "row_key", "base", "pairs"])
 
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, row_key binary, base array<struct<start: int, kind: int, end: int>>, pairs array<struct<entity: string, term: string, places: array<struct<start: int, end: int>>>>"
-    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
+    return common.small_batches(df).select(F.col(id_col), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
 
 
 def document_frequency(df: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
@@ -217,24 +215,16 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     marked = find_spans(df, id_col, text_col, rule).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
     marked = common.cut(marked.select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "marked")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at_id, at_text = b.schema.get_field_index(id_col), b.schema.get_field_index(text_col)
-            keys = [row_key(d, t or "") for d, t in zip(b.column(at_id).to_pylist(), b.column(at_text).to_pylist(), strict=True)]
-            yield b.append_column("_row_key", pa.array(keys, pa.binary()))
-
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at_text, at_spans = b.schema.get_field_index(text_col), b.schema.get_field_index("_spans")
             texts = [apply_spans(t, [(s["start"], s["kind"], s["end"]) for s in spans or ()]) for t, spans in zip(b.column(at_text).to_pylist(), b.column(at_spans).to_pylist(), strict=True)]
             yield b.set_column(at_text, text_col, pa.array(texts, b.schema.field(at_text).type)).drop_columns(["_spans"])
 
-    fields = T.StructType(df.schema.fields)
-    key = T.StructField("_row_key", T.BinaryType())
     # every entity has a digit or an @; texts without either stay where they are
     some = F.coalesce(F.col(text_col).cast("string").rlike("[0-9@]"), F.lit(False))
-    joined = df.where(some).mapInArrow(keyed, T.StructType([*fields.fields, key])).join(marked, "_row_key", "left").drop("_row_key")
-    return joined.mapInArrow(redact, fields).unionByName(df.where(~some))
+    joined = df.where(some).withColumn("_row_key", row_key(id_col, text_col)).join(marked, "_row_key", "left").drop("_row_key")
+    return joined.mapInArrow(redact, df.schema).unionByName(df.where(~some))
 
 
 def apply_spans(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
