@@ -89,14 +89,13 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def threads(parent: DataFrame) -> DataFrame:
-    """id, root, depth for every message with a parent."""
-    now = common.cut(parent.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")), "threads")
-    while True:
+    """id, root, depth for every message with a parent; a round takes up only those whose pointer isn't at a root yet."""
+    now = common.cut(parent.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")), "threads")
+    while now.where("moved").limit(1).count():
         higher = now.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        now = common.cut(now.join(higher, "up", "left").select("id", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("top").isNotNull().alias("moved")), "threads")
-        if not now.where("moved").limit(1).count():
-            return now.select("id", F.col("up").alias("root"), "depth")
-        now = now.drop("moved")
+        step = now.where("moved").join(higher, "up", "left").select("id", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("top").isNotNull().alias("moved"))
+        now = common.cut(step.unionByName(now.where("not moved")), "threads")
+    return now.select("id", F.col("up").alias("root"), "depth")
 
 
 def link(messages: DataFrame, id_col: str, scope_col: str, order_col: str, text_col: str) -> DataFrame:
