@@ -41,15 +41,15 @@ def docking_power(t: Tables) -> DataFrame:
 
 @query(f"""with {POSES}, z as (select *, (s1 - avg(s1) over w) / (stddev_samp(s1) over w + 1e-9) as z1, (s2 - avg(s2) over w) / (stddev_samp(s2) over w + 1e-9) as z2
  from poses window w as (partition by pdbid))
-select pdbid, pose, round(coalesce(z1, 0) + coalesce(z2, 0), 6) as fused from z""")
+select pdbid, pose, round(coalesce(z1, 0) + coalesce(z2, 0), 6) + 0.0::double as fused from z""")
 def zsum_ensemble(t: Tables) -> DataFrame:
-    return evaluation.zsum(poses(t), ["pdbid"], ["s1", "s2"]).select("pdbid", "pose", F.round("fused", 6).alias("fused"))
+    return evaluation.zsum(poses(t), ["pdbid"], ["s1", "s2"]).select("pdbid", "pose", (F.round("fused", 6) + F.lit(0.0)).alias("fused"))
 
 
 @query(f"""with {LONG}, z as (select method, pdbid, pose, (score - avg(score) over w) / (stddev_samp(score) over w + 1e-9) as z from scores window w as (partition by pdbid, method))
-select pdbid, pose, round(sum(coalesce(z, 0)), 6) as fused from z group by all having count(distinct method) = 2""")
+select pdbid, pose, round(sum(coalesce(z, 0)), 6) + 0.0::double as fused from z group by pdbid, pose having count(distinct method) = 2""")
 def fused_members(t: Tables) -> DataFrame:
-    return evaluation.fuse_members(long_scores(t), ["pdbid", "pose"], "method", "score", ["pdbid"]).withColumns(six("fused"))
+    return evaluation.fuse_members(long_scores(t), ["pdbid", "pose"], "method", "score", ["pdbid"]).withColumn("fused", F.round("fused", 6) + F.lit(0.0))
 
 
 @query(f"""with {LONG}, z as (select *, (score - avg(score) over w) / (stddev_samp(score) over w + 1e-9) as z from scores window w as (partition by pdbid, method)),
