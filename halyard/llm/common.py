@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +28,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system: workers stay between tasks, and what they keep counts."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about limit bytes of that string column each; a longer row stands alone."""
     n = batch.num_rows
@@ -70,6 +84,7 @@ def in_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str,
                 out = f(s)
                 if out is not None and out.num_rows:
                     yield out
+            release()
 
     return over
 

@@ -171,6 +171,8 @@ def sketch(rows: DataFrame, rule: Rule) -> np.ndarray:
                 np.add.at(total, (np.concatenate(shingle_sets(s.column(0), rule)) >> _U(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
         for k, part in enumerate(np.split(total, SKETCH_PARTS)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+        del total
+        common.release()
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)

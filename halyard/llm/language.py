@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         rows = [(lang, k, part.tobytes()) for lang, total in seen.items() for k, part in enumerate(np.split(total, PARTS))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "part", "counts"])
+        common.release()
 
     rows = common.small_batches(labelled).select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_text is not null and _lang is not null")
     found: dict[str, dict[int, bytes]] = {}

@@ -193,6 +193,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
         keep(packer.finish())
         if done:
             yield out()
+        common.release()
 
     return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(over, schema)
 
