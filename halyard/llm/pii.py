@@ -1,9 +1,9 @@
 """PII: information-theoretic sanitisation. Patterns find the protected entities; over the whole corpus, each entity's
-co-occurrence with the terms beside it tells how much of its information a term gives away; terms over the disclosure threshold are
-generalised or removed with it.
+co-occurrence with the terms of its documents tells how much of its information a term gives away; terms over the disclosure threshold
+are generalised or removed, at every place and in every document.
 
-Of a term t beside an entity e, over documents: reveals(t, e) = log2(p(e|t) / p(e)) / log2(1 / p(e)), the share of e's information
-that t gives. It counts when t stands beside e in at least min_support documents.
+Of a term t and an entity e, over whole documents: reveals(t, e) = log2(p(e|t) / p(e)) / log2(1 / p(e)), the share of e's information
+that t gives. It counts when both stand in at least min_support documents. Words that overlap an entity go with it and are no terms.
 
 Defined cases: null text is the empty text; repeated rows give repeated rows; an empty table gives an empty table; columns other
 than the two named are not carried. An entity that stands in every document has no information, so nothing reveals it.
@@ -12,12 +12,14 @@ than the two named are not carried. An entity that stands in every document has
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 #: A word of a term's length at most; longer runs of letters are no terms.
 MAX_TERM = 64
+#: Places of a sieve.
+SIEVE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: words on either side of an entity. A term with reveals() of at least remove goes, of at least generalise is replaced
-    by its class."""
+    """A term with reveals() of at least remove goes, of at least generalise is replaced by its class. window is not read: terms count
+    in whole documents."""
 
     window: int = 8
     min_support: int = 3
@@ -87,37 +91,49 @@ def entities(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def terms_of(text: str) -> set[str]:
-    return {w.lower() for w in _WORD.findall(text) if len(w) <= MAX_TERM}
+def clear_words(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """Places of the words that may be terms: those that overlap none of the entities found."""
+    gone: list[list[int]] = []
+    for start, _, end, _ in found:
+        if gone and start <= gone[-1][1]:
+            gone[-1][1] = max(gone[-1][1], end)
+        else:
+            gone.append([start, end])
+    out, k = [], 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(gone) and gone[k][1] <= a:
+            k += 1
+        if b - a <= MAX_TERM and (k == len(gone) or gone[k][0] >= b):
+            out.append((a, b))
+    return out
 
 
-def beside(text: str, found: list[tuple[int, int, int, str]], window: int) -> dict[tuple[str, str], list[tuple[int, int]]]:
-    """Places of the terms within the window of each entity, by (entity, term); words that overlap an entity are none."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text) if m.end() - m.start() <= MAX_TERM]
-    ends, starts = [f[2] for f in found], [f[0] for f in found]
-    reach = max((b - a for a, b in zip(starts, ends, strict=True)), default=0)
+def terms_of(text: str, found: list[tuple[int, int, int, str]]) -> set[str]:
+    if not found:
+        return {w.lower() for w in _WORD.findall(text) if len(w) <= MAX_TERM}
+    return {text[a:b].lower() for a, b in clear_words(text, found)}
 
-    def clear(a: int, b: int) -> bool:
-        k = bisect_left(starts, b)
-        while k and starts[k - 1] >= a - reach:
-            if ends[k - 1] > a:
-                return False
-            k -= 1
-        return True
 
-    words = [w for w in words if clear(*w)]
-    first = [a for a, _ in words]
-    out: dict[tuple[str, str], list[tuple[int, int]]] = {}
-    for start, kind, _, value in found:
-        k = bisect_left(first, start)
-        for a, b in words[max(0, k - window) : k + window]:
-            out.setdefault((f"{KINDS[kind]}:{value}", text[a:b].lower()), []).append((a, b))
-    return out
+def names_of(found: list[tuple[int, int, int, str]]) -> list[str]:
+    """The distinct entities among those found."""
+    return list(dict.fromkeys(f"{KINDS[kind]}:{value}" for _, kind, _, value in found))
+
+
+def sieve(df: DataFrame, column: str) -> Broadcast[bytes]:
+    """A map of fixed size that lets all strings of the column through, and few others: what passes is joined exactly."""
+    places = df.select((F.crc32(F.col(column).cast("binary")) % SIEVE).cast("int").alias("at")).distinct().toArrow()
+    bits = np.zeros(SIEVE, np.uint8)
+    bits[places.column(0).to_numpy()] = 1
+    return df.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def passes(bits: bytes, s: str) -> int:
+    return bits[zlib.crc32(s.encode()) % SIEVE]
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 _PLACE = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_PAIR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("places", pa.list_(_PLACE))])
 #: Span kinds in the order of spans that start together.
 SPAN_KINDS = (*KINDS, "term_generalised", "term_removed")
 
@@ -127,29 +143,29 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")))
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """For each row: id, row_key, base (spans of entities) and pairs (terms beside entities, with their places)."""
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: id, row_key, base (spans of entities) and entities (the distinct ones)."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, pairs = [], []
+        base, names = [], []
         for text in batch.column(2).to_pylist():
-            text = text or ""
-            found = entities(text)
+            found = entities(text or "")
             base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in found])
-            near = beside(text, found, window) if found else {}
-            pairs.append([{"entity": e, "term": t, "places": [{"start": a, "end": b} for a, b in dict.fromkeys(places)]} for (e, t), places in near.items()])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(pairs, pa.list_(_PAIR))], names=[id_col, "row_key", "base", "pairs"])
+            names.append(names_of(found))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.string()))], names=[id_col, "row_key", "base", "entities"])
 
     kind = dict(df.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, row_key binary, base array<struct<start: int, kind: int, end: int>>, pairs array<struct<entity: string, term: string, places: array<struct<start: int, end: int>>>>"
+    schema = f"`{id_col}` {kind}, row_key binary, base array<struct<start: int, kind: int, end: int>>, entities array<string>"
     return common.small_batches(df).select(F.col(id_col), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
 
 
-def document_frequency(df: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """term, n: the documents of each task that hold it, in rows that are yet to be added up; a task holds flush terms at most."""
+def document_frequency(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text", flush: int = 200_000) -> DataFrame:
+    """term, n: the documents of each task that hold it, in rows that are yet to be added up, of terms that pass the sieve; a task holds
+    flush terms at most, and those of one text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        bits = wanted.value
 
         def out() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
@@ -158,35 +174,72 @@ def document_frequency(df: DataFrame, text_col: str = "text", flush: int = 200_0
 
         for b in batches:
             for text in b.column(0):
-                seen.update(terms_of(text.as_py() or ""))
+                text = text.as_py() or ""
+                seen.update(t for t in terms_of(text, entities(text)) if passes(bits, t))
                 if len(seen) >= flush:
                     yield out()
         if seen:
             yield out()
 
-    return df.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "term string, n long")
+    return common.small_batches(df).select(F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "term string, n long")
+
+
+def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text") -> DataFrame:
+    """entity, term, n_both: the documents that hold both, for entities that pass the sieve."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits, names, terms = wanted.value, [], []
+        for text in batch.column(0).to_pylist():
+            found = entities(text or "")
+            if own := [e for e in names_of(found) if passes(bits, e)]:
+                names.append(own)
+                terms.append(list(terms_of(text, found)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["entities", "terms"])
+
+    rows = common.small_batches(df).select(F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), "entities array<string>, terms array<string>")
+    return rows.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
 
 
 def disclosing(found: DataFrame, df: DataFrame, text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
     """entity, term, kind (of SPAN_KINDS) for the terms over the threshold. found: of detect() over df."""
     rule = rule or Disclosure()
-    pair = found.select(F.explode("pairs").alias("p")).groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term")).agg(F.count("*").alias("n_both"))
-    pair = pair.where(F.col("n_both") >= rule.min_support)
-    n_entity = found.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = pair.select("term").distinct()
-    n_term = document_frequency(df, text_col).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = found.count()
+    # an entity in every document has no information; one in fewer than min_support has no pair with support
+    n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_entity = common.cut(n_entity.where((F.col("n_entity") >= rule.min_support) & (F.col("n_entity") < total)), "entities")
+    pair = together(df, sieve(n_entity, "entity"), text_col).where(F.col("n_both") >= rule.min_support)
+    pair = common.cut(pair.join(n_entity, "entity"), "together")
+    wanted = pair.select("term").distinct()
+    n_term = document_frequency(df, sieve(pair, "term"), text_col).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     p_entity = F.col("n_entity") / F.lit(float(max(total, 1)))
     reveals = F.try_divide(F.log2(F.col("n_both") / F.col("n_term") / p_entity), -F.log2(p_entity))
     kind = F.when(reveals >= rule.remove, SPAN_KINDS.index("term_removed")).when(reveals >= rule.generalise, SPAN_KINDS.index("term_generalised"))
-    return pair.join(n_entity, "entity").join(n_term, "term").select("entity", "term", kind.alias("kind")).where("kind is not null")
+    return pair.join(n_term, "term").select("entity", "term", kind.alias("kind")).where("kind is not null")
 
 
-def all_spans(found: DataFrame, told: DataFrame) -> DataFrame:
-    """found with spans: base and the disclosing terms' places, by start, then kind. A place told by two entities has the stronger kind."""
-    pairs = found.select("row_key", F.explode("pairs").alias("p")).select("row_key", F.col("p.entity").alias("entity"), F.col("p.term").alias("term"), F.col("p.places").alias("places"))
+def all_spans(found: DataFrame, df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """found with spans: base and all places of the disclosing terms, by start, then kind. A term told by two entities has the stronger kind."""
+    told = common.cut(told.groupBy("term").agg(F.max("kind").alias("kind")), "told")
+    wanted = sieve(told, "term")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits, keys, terms, places = wanted.value, [], [], []
+        for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            if not any(passes(bits, t) for t in terms_of(text or "", [])):
+                continue
+            at: dict[str, list[dict[str, int]]] = {}
+            for a, b in clear_words(text, entities(text)):
+                if passes(bits, t := text[a:b].lower()):
+                    at.setdefault(t, []).append({"start": a, "end": b})
+            keys += [key.as_py()] * len(at)
+            terms += at
+            places += at.values()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string()), pa.array(places, pa.list_(_PLACE))], names=["row_key", "term", "places"])
+
+    rows = common.small_batches(df).select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
     more = (
-        pairs.join(told, ["entity", "term"])
+        rows.mapInArrow(common.in_slices(one, "_text"), "row_key binary, term string, places array<struct<start: int, end: int>>")
+        .join(told, "term")
         .select("row_key", "kind", F.explode("places").alias("at"))
         .groupBy("row_key", "at.start", "at.end")
         .agg(F.max("kind").alias("kind"))
@@ -205,8 +258,8 @@ def written(spans: str) -> F.Column:
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
     """For each row: id, row_key, base, spans (arrays of start, kind's place in SPAN_KINDS, end)."""
     rule = rule or Disclosure()
-    found = common.cut(detect(df, id_col, text_col, rule.window), "pii")
-    return all_spans(found, disclosing(found, df, text_col, rule)).select(id_col, "row_key", "base", "spans")
+    found = common.cut(detect(df, id_col, text_col), "pii")
+    return all_spans(found, df, disclosing(found, df, text_col, rule), id_col, text_col).select(id_col, "row_key", "base", "spans")
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
@@ -221,10 +274,9 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
             texts = [apply_spans(t, [(s["start"], s["kind"], s["end"]) for s in spans or ()]) for t, spans in zip(b.column(at_text).to_pylist(), b.column(at_spans).to_pylist(), strict=True)]
             yield b.set_column(at_text, text_col, pa.array(texts, b.schema.field(at_text).type)).drop_columns(["_spans"])
 
-    # every entity has a digit or an @; texts without either stay where they are
-    some = F.coalesce(F.col(text_col).cast("string").rlike("[0-9@]"), F.lit(False))
-    joined = df.where(some).withColumn("_row_key", row_key(id_col, text_col)).join(marked, "_row_key", "left").drop("_row_key")
-    return joined.mapInArrow(redact, df.schema).unionByName(df.where(~some))
+    # a disclosing term may stand in any text
+    joined = df.withColumn("_row_key", row_key(id_col, text_col)).join(marked, "_row_key", "left").drop("_row_key")
+    return joined.mapInArrow(redact, df.schema)
 
 
 def apply_spans(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

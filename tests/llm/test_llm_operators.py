@@ -261,6 +261,30 @@ def test_disclosing_terms(spark):
     assert pii.find_spans(documents(spark, [])).count() == 0
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    far = " ".join(["the weather about town is fine today"] * 4)
+    texts = [f"Zebrafish study: write to bob@x.org {k}" for k in range(5)] + [f"zebrafish study {far} write to bob@x.org {far} quagga {k}" for k in range(5)]
+    texts += ["a Zebrafish without digits or address"] + [f"{far} study write {k}" for k in range(200)] + ["bob", "bob@y.org zebrafish@x.org"]
+    df = documents(spark, texts)
+    got = {r.doc_id: r for r in pii.find_spans(df).collect()}
+    n, n_e = len(texts), 10
+    bare = [re.sub(PATTERNS["email"], " ", t) for t in texts]
+    holds = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in bare]
+    kinds = {}
+    for term in set().union(*holds):
+        both = sum(term in h for h, t in zip(holds, texts, strict=True) if "bob@x.org" in t)
+        share = np.log2(both / sum(term in h for h in holds) / (n_e / n)) / np.log2(n / n_e) if both >= 3 else 0
+        if share >= 0.8:
+            kinds[term] = 5 if share >= 0.95 else 4
+    assert kinds.keys() == {"zebrafish", "quagga"}  # quagga is always further away than 8 words
+    for k, t in enumerate(texts):
+        want = brute_spans(t)
+        want += [(m.start(), kinds[m[0].lower()], m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in kinds and not any(a < m.end() and m.start() < b for a, _, b in brute_spans(t))]
+        assert sorted(map(tuple, got[k if k != 3 else None].spans)) == sorted(want)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[10] == "a  without digits or address" and "quagga" not in clean[5]
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
