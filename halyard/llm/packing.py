@@ -6,7 +6,9 @@ Every task packs the rows of its own partition from a pool of bounded size, so n
 The last, short sequence of a task is dealt out in powers of two, which need no padding.
 
 Defined cases: null text is the empty text, whose only token is the end token; repeated rows are packed once each; an empty table
-gives an empty table; columns other than the two named are not carried. A run's first token bears no loss: nothing stands before it.
+gives an empty table; columns other than those named are not carried. A run's first token bears no loss: nothing stands before it. Nor do the tokens of a
+document's prompt, where a column gives their number (null: none). Without prompts loss = tokens - segments, and the product always picks
+the longest run that fits: best fit by size.
 """
 
 from __future__ import annotations
@@ -78,9 +80,17 @@ class Run:
     start: int
     total: int
     ids: np.ndarray
+    prompt: int = 0
 
     def split(self, n: int) -> tuple[Run, Run]:
-        return Run(self.doc, self.start, self.total, self.ids[:n]), Run(self.doc, self.start + n, self.total, self.ids[n:])
+        return Run(self.doc, self.start, self.total, self.ids[:n], self.prompt), Run(self.doc, self.start + n, self.total, self.ids[n:], self.prompt)
+
+    def lead(self) -> int:
+        """Its first tokens without a loss."""
+        return max(1, self.prompt - self.start)
+
+    def loss(self) -> int:
+        return max(0, len(self.ids) - self.lead())
 
 
 class Packer:
@@ -92,8 +102,7 @@ class Packer:
         self.size = np.empty(0, np.int64)
 
     def add(self, run: Run) -> Iterator[list[Run]]:
-        whole = min(self.most.tokens, self.most.loss_tokens + 1)
-        while len(run.ids) >= whole:
+        while len(run.ids) >= (whole := min(self.most.tokens, self.most.loss_tokens + run.lead())):
             full, run = run.split(whole)
             yield [full]
         if len(run.ids):
@@ -104,26 +113,26 @@ class Packer:
     def drain(self, leave: int) -> Iterator[list[Run]]:
         """Packs until that many runs are left."""
         size = np.array([len(r.ids) for r in self.runs], np.int64)
+        loss = np.array([r.loss() for r in self.runs], np.int64)
         there = np.ones(len(size), bool)
         count = len(size)
         limit = np.array([self.most.tokens, self.most.segments, self.most.loss_tokens], float)
         while count > leave:
             left, taken = limit.copy(), []
             while count and left[1] >= 1:
-                fits = there & (size <= left[0]) & (size - 1 <= left[2])
+                fits = there & (size <= left[0]) & (loss <= left[2])
                 if not fits.any():
                     break
                 weigh = left / limit**2
-                k = int(np.argmax(np.where(fits, size * (weigh[0] + weigh[2]) - weigh[2] + weigh[1], -1.0)))
+                k = int(np.argmax(np.where(fits, size * weigh[0] + weigh[1] + loss * weigh[2], -1.0)))
                 taken.append(self.runs[k])
                 there[k] = False
                 count -= 1
-                left -= (size[k], 1, size[k] - 1)
-            room = int(min(left[0], left[2] + 1))
-            if count and left[1] >= 1 and room >= 1:  # what is left is too long: cut the longest
+                left -= (size[k], 1, loss[k])
+            if count and left[1] >= 1 and left[0] >= 1:  # what is left is too long: cut the longest
                 k = int(np.argmax(np.where(there, size, -1)))
-                part, self.runs[k] = self.runs[k].split(room)
-                size[k] -= room
+                part, self.runs[k] = self.runs[k].split(int(min(left[0], left[2] + self.runs[k].lead())))
+                size[k], loss[k] = len(self.runs[k].ids), self.runs[k].loss()
                 taken.append(part)
             if not count and sum(len(r.ids) for r in taken) < self.most.tokens:
                 self.runs = taken
@@ -151,9 +160,10 @@ class Packer:
         self.runs = []
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, json_path: str = "", rank_path: str | None = "", keep_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, json_path: str = "", rank_path: str | None = "", keep_ids: bool = True, prompt_col: str | None = None) -> DataFrame:
     """A row for each run: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with keep_ids, its ids. Paths: of the
-    tokenizer; rank_path None keeps to the tokenizers library. sequence_id: the task's partition above its own count."""
+    tokenizer; rank_path None keeps to the tokenizers library. sequence_id: the task's partition above its own count.
+    prompt_col: how many of a document's first tokens bear no loss."""
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     rank_path = public_tokenizers.path("byte_bpe_50k.tiktoken") if rank_path == "" else rank_path
     limits = limits or Limits()
@@ -185,9 +195,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
         for b in batches:
             id_type = b.schema.field(0).type
             for s in common.slices(b, "_text"):
-                for doc, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
+                for doc, text, prompt in zip(*(c.to_pylist() for c in s.columns), strict=True):
                     ids = np.append(tokens.ids(text or ""), np.uint32(END_ID))
-                    keep(packer.add(Run(doc, 0, len(ids), ids)))
+                    keep(packer.add(Run(doc, 0, len(ids), ids, prompt or 0)))
                 if done:
                     yield out()
         keep(packer.finish())
@@ -195,7 +205,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
             yield out()
         common.release()
 
-    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(over, schema)
+    prompt = (F.col(prompt_col) if prompt_col else F.lit(None)).cast("long").alias("_prompt")
+    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), prompt).mapInArrow(over, schema)
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

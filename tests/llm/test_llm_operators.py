@@ -165,6 +165,26 @@ def test_telephony_round_trip(spark):
         assert telephony.resample(pcm, rate, 16000).tobytes() == bytes(r.pcm)
 
 
+def test_packing_counts_loss_from_prompts(spark):
+    run = lambda doc, n, prompt: packing.Run(doc, 0, n, np.zeros(n, np.uint32), prompt)
+    packer = packing.Packer(packing.Limits(tokens=100, segments=9, loss_tokens=50))
+    assert not [*packer.add(run("long", 60, 59)), *packer.add(run("lossy", 50, 10)), *packer.add(run("more", 45, 10))]
+    first = next(packer.drain(0))
+    assert [r.doc for r in first] == ["lossy", "long"]  # the longest run isn't the first choice; "more" fits by tokens but not by loss
+    texts = [" ".join(WORDS[k % 9 :]) * 3 for k in range(40)]
+    df = documents(spark, texts).withColumn("prompt", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 4 * 20)).coalesce(1)
+    limits = packing.Limits(tokens=128, segments=4, loss_tokens=40, pool=8)
+    rows = packing.pack(df, limits=limits, prompt_col="prompt").collect()
+    loss, tokens, seen = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in rows:
+        prompt = (r.doc_id or 0) % 4 * 20
+        loss[r.sequence_id] += sum(t >= prompt for t in range(r.start + 1, r.start + r.length))
+        tokens[r.sequence_id] += r.length
+        seen[r.doc_id] += r.length
+    assert max(loss.values()) == 40 and max(tokens.values()) <= 128 and max(tokens.values()) > 44
+    assert all(seen[r.doc_id] == r.doc_tokens for r in rows) and len(seen) == 40
+
+
 # --- language ID
 
 LANGS = {"one": "abcdefg", "two": "hijklmn", "three": "опрстуф"}
