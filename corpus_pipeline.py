@@ -14,7 +14,8 @@ from halyard.llm import common, jaccard, language, packing, pii
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or of scripts that no labelled text has, go; lang becomes what the text says."""
+    """Texts without a letter, or with less than 0.3 of their letters in spans of learned languages, go; lang becomes what most of the text
+    says."""
     return language.keep_identified(docs, language.fit(docs.where(~common.held_out())))
 
 

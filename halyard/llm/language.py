@@ -202,15 +202,15 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, prior: np.ndarray, p
     return label
 
 
-def predict(model: Model, texts: list[str | None], penalty: float = SWITCH_PENALTY, spans: bool = False) -> tuple[list[str], np.ndarray, list[list[dict]] | None]:
-    """Language and score of each text: the score is the share of its letters in spans of that language."""
+def predict(model: Model, texts: list[str | None], penalty: float = SWITCH_PENALTY, spans: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, list[list[dict]] | None]:
+    """Language, score and known of each text: the shares of its letters in spans of that language, and of any learned one."""
     n, k = len(texts), len(model.langs)
-    lang, score = ["und"] * n, np.zeros(n)
+    lang, score, known = ["und"] * n, np.zeros(n), np.zeros(n)
     found: list[list[dict]] | None = [[] for _ in texts] if spans else None
     parts = [word_scores(model, texts[a:b], a) for a, b in runs(texts)] if k else []
     parts = [p for p in parts if len(p[0].word_at)]
     if not parts:
-        return lang, score, found
+        return lang, score, known, found
     x = Words(*(np.concatenate([getattr(p[0], f) for p in parts]) for f in ("word_len", "word_script", "word_doc", "word_start")))
     scores = np.concatenate([p[1] for p in parts])
     own = model.allowed[x.word_script]
@@ -223,14 +223,14 @@ def predict(model: Model, texts: list[str | None], penalty: float = SWITCH_PENAL
     top = share.argmax(1)
     for i in np.flatnonzero(total):
         if share[i, top[i]]:
-            lang[i], score[i] = model.langs[top[i]], share[i, top[i]] / total[i]
+            lang[i], score[i], known[i] = model.langs[top[i]], share[i, top[i]] / total[i], share[i].sum() / total[i]
         else:
             lang[i] = model.langs[int(model.prior.argmax())]
     if found is not None:
         edge = np.flatnonzero(np.append(True, (np.diff(x.word_doc) != 0) | (np.diff(label) != 0)))
         for a, b in zip(edge, [*(edge[1:] - 1), len(label) - 1], strict=True):
             found[x.word_doc[a]].append({"start": int(x.word_start[a]), "end": int(x.word_start[b] + x.word_len[b]), "lang": model.langs[label[a]]})
-    return lang, score, found
+    return lang, score, known, found
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, keep_spans: bool = True) -> DataFrame:
@@ -241,7 +241,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     part = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score, spans = predict(shared.value, batch.column(1).to_pylist(), penalty, keep_spans)
+        lang, score, _, spans = predict(shared.value, batch.column(1).to_pylist(), penalty, keep_spans)
         cols = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())] + ([pa.array(spans, part)] if keep_spans else [])
         return pa.RecordBatch.from_arrays(cols, names=[id_col, "lang_pred", "score"] + ["spans"] * keep_spans)
 
@@ -255,18 +255,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep_spans=False).select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: Share of a text's letters in its language from which it stays in a corpus.
+#: Share of a text's letters in learned languages from which it stays in a corpus.
 LEAST_SCORE = 0.3
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """df's rows in a learned language, with that language as lang_col; text without a letter or of other scripts goes."""
+    """df's rows with at least that share of letters in learned languages together, with the one that has most as lang_col; text without a
+    letter or mostly of other scripts goes."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score, _ = predict(shared.value, common.texts_of(batch, text_col))
+        lang, _, known, _ = predict(shared.value, common.texts_of(batch, text_col))
         at = batch.schema.get_field_index(lang_col)
         batch = batch.set_column(at, lang_col, pa.array(lang, batch.schema.field(at).type))
-        return batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+        return batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, known, strict=True)], pa.bool_()))
 
     return common.small_batches(df).mapInArrow(common.in_slices(one, text_col, 2 * common.SLICE_BYTES), df.schema)

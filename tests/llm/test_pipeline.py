@@ -88,6 +88,17 @@ def test_empty_table(spark, table, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_language_stage_keeps_mixed_text(spark):
+    rng = random.Random(3)
+    letters = {"one": "abcdef", "two": "ghijkl", "three": "mnopqr", "four": "опрстуф"}
+    say = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    model = language.fit(spark.createDataFrame([(k, say(lang, 40), lang) for k, lang in enumerate(list(letters) * 20)], "doc_id long, text string, lang string"))
+    texts = {1: " ".join(say(lang, 20) for lang in letters), 2: say("one", 20) + " " + "漢字漢字漢 " * 40, 3: say("two", 8) + " " + say("three", 8) + " " + "漢字漢字漢 " * 24}
+    df = spark.createDataFrame([(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r for r in language.keep_identified(df, model).collect()}
+    assert kept.keys() == {1, 2, 3} and all(r.text == texts[k] for k, r in kept.items()) and kept[2].lang == "one"
+
+
 def test_language_stage_keeps_columns_that_are_not_its_own(spark):
     df = spark.createDataFrame([(1, "abc def", "x", 5)], "doc_id long, text string, lang string, score int")
     kept = language.keep_identified(df, language.fit(df))
