@@ -107,10 +107,12 @@ def link(messages: DataFrame, id_col: str, scope_col: str, order_col: str, text_
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """The conversations as a mailing list would hold them: each turn quotes the one before it whole, and in that the one before."""
+    """The conversations as a mailing list would hold them: each turn quotes the one before it whole, and in that the one before. A
+    null role is empty; of repeated rows of a turn the least text is quoted."""
     key = (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("msg")
-    turns = conversations.select(key, "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    back = lambda k: turns.select(F.col("conv_id"), (F.col("turn") + k).alias("turn"), F.col("text").alias(f"t{k}"), F.col("role").alias(f"r{k}"))
+    turns = conversations.select(key, "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    one = turns.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select("conv_id", "turn", "m.*")
+    back = lambda k: one.select(F.col("conv_id"), (F.col("turn") + k).alias("turn"), F.col("text").alias(f"t{k}"), F.col("role").alias(f"r{k}"))
     marked = lambda c, mark: F.regexp_replace(F.concat(F.lit("\n"), F.col(c)), "\n", "\n" + mark)
     second = F.when(F.col("t2").isNotNull(), F.concat(F.lit("\n> "), F.col("r2"), F.lit(" wrote:"), marked("t2", "> > "))).otherwise("")
     first = F.when(F.col("t1").isNotNull(), F.concat(F.col("r1"), F.lit(" wrote:"), second, marked("t1", "> "), F.lit("\n\n"))).otherwise("")

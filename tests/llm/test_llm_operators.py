@@ -536,6 +536,14 @@ def test_quote_levels():
     assert quotes.paragraph_hash("A  b") == quotes.paragraph_hash(" a B ") and quotes.paragraph_hash(" \t") is None
 
 
+def test_mail_of_odd_turns(spark):
+    rows = [(1, 0, None, "first"), (1, 1, "user", "second"), (1, 2, "bot", "third")] + [(2, k // 2, "user", f"say {k // 2}") for k in range(8)]
+    got = [tuple(r) for r in quotes.as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "turn", "text").collect()]
+    assert len(got) == len(rows)
+    texts = {(c, t): x for c, t, x in got}
+    assert texts[1, 1] == " wrote:\n> first\n\nsecond" and texts[1, 2] == "user wrote:\n>  wrote:\n> > first\n> second\n\nthird"
+
+
 def test_quotes_link_threads(spark):
     rows = [
         (1, "x", 1, "question one\nwith two lines"), (2, "x", 2, "> question one\nanswer"), (3, "x", 3, "> > question one\n> answer\nthanks"), (4, "x", 4, "> with two lines\nother answer"),
