@@ -1,4 +1,4 @@
-"""Streams over folders of files: windowed statistics with late-data rules, running statistics, deduplication. Each runs to the end of
+"""Streams over folders of files: windowed statistics, running statistics, deduplication. Each runs to the end of
 what is there (available-now) and leaves its result in the shared folder; a stream that stays on only needs another trigger."""
 
 from __future__ import annotations
@@ -42,9 +42,10 @@ def running_stats(stream: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def windowed(stream: DataFrame, keys: list[str], value: str, length: str, late: str) -> DataFrame:
-    """Count and mean by window of event time. A window is given out once the watermark, late behind the newest time, has passed it."""
+    """Count and mean by window of event time, of all windows: a run that ends has to give out those that the watermark, late behind the
+    newest time, has not passed too. Complete results keep every window, so no row is too late."""
     w = stream.withWatermark("ts", late).groupBy(F.window("ts", length), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    return finish(w.select(F.col("window.start").alias("start"), *keys, "n", "mean"), "append", "windowed")
+    return finish(w.select(F.col("window.start").alias("start"), *keys, "n", "mean"), "complete", "windowed")
 
 
 def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
