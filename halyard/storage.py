@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group that a writing task holds.
+GROUP_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,3 +54,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     uri = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
+
+
+def cut_in_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """cut(), with the rows of a key in one of the buckets: what groups or joins by the key reads them in place, without an exchange."""
+    spark = df.sparkSession
+    uri = new_folder(spark, label)
+    name = uri.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("path", uri).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
