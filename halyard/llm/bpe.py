@@ -1,16 +1,17 @@
 """Byte-level BPE by a global distinct-word shuffle. Texts are split into pre-tokens; each distinct one is encoded once and its ids
 go back to every place it stands at.
 
-A block of documents (about BLOCK_BYTES of text) explodes into its distinct pre-tokens with the places they stand at. The distinct
-ones go, packed, to the bucket of their hash, where one task encodes each once for the whole corpus; a frequent pre-token arrives
-once a block, not once a place. The ids come back to the block, where the documents wait as numbers of pre-tokens in order of their
-places. Decoding joins the ids with the table of token bytes.
+Texts are split once. A chapter (some texts of one task, bounded by text and by distinct pre-tokens) is written as its distinct
+pre-tokens and, for each slice of texts, their numbers in order of place; the table is bucketed by chapter, so that this bulk never
+moves again. The distinct pre-tokens go, packed, to the bucket of their hash, where one task encodes each once for the whole corpus;
+a frequent pre-token arrives once a chapter, not once a place. The ids come back to the chapter, whose slices are reassembled one
+after the other. Decoding joins the ids with the table of token bytes.
 
-Blocks are made twice, for what they send and for what waits; a block's key holds the hash of its texts, so that an input whose rows
-come in another order the second time fails instead of mixing texts.
+Everything after the split reads the written table, so a task that runs again reads the same rows whatever the order of the input.
+Numbers of buckets and partitions follow the written amounts.
 
 Defined cases: null text is the empty text, without ids; repeated rows give repeated rows; an empty table gives an empty table;
-columns other than the two named are not carried.
+columns other than the two named are not carried; a text longer than a slice stands alone and is numbered match by match.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ import hashlib
 import itertools
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,12 @@ from pyspark.sql import functions as F
 
 from halyard.llm import common
 
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that are split at a time; of a chapter's text, and its distinct pre-tokens, about.
+SLICE_BYTES, CHAPTER_BYTES, CHAPTER_WORDS = 1 << 20, 32 << 20, 300_000
+#: Distinct pre-tokens of chapters in a bucket; bytes of packed ones in a partition; bytes of text in a partition of chapters.
+BUCKET_WORDS, PART_BYTES, PARTITION_BYTES = 100_000, 16 << 20, 256 << 20
+#: Pre-tokens that are put together at a time.
+PIECE = 1 << 18
 
 
 @functools.cache
@@ -79,9 +84,9 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), at) if len(b) else np.empty(0, np.int64)
 
 
-def pack_words(words: list[str]) -> bytes:
-    raw = [w.encode() for w in words]
-    return zlib.compress(np.array([len(words), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 1)
+def pack_words(words: Iterable[str | bytes]) -> bytes:
+    raw = [w.encode() if isinstance(w, str) else w for w in words]
+    return zlib.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 1)
 
 
 def unpack_words(data: bytes) -> list[bytes]:
@@ -91,65 +96,77 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
 
 
-@dataclass
-class Block:
-    """Documents as numbers of the block's distinct pre-tokens, in order of their first place."""
+def buckets_of(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
 
-    key: bytes
-    counts: list[int]
-    numbers: np.ndarray
-    own: list[str]
 
-
-def make_block(key: bytes, texts: list[str | None]) -> Block:
-    find = splitter().findall
-    own: defaultdict[str, int] = defaultdict(itertools.count().__next__)
-    counts, numbers = [], [np.empty(0, np.int64)]
+def number(texts: list[str | None], own: defaultdict[str, int]) -> tuple[list[int], np.ndarray]:
+    """How many pre-tokens each text has, and their numbers in the dictionary, which grows."""
+    find, counts, numbers = splitter(), [], [np.empty(0, np.int64)]
     for text in texts:
-        words = find(text or "")
-        counts.append(len(words))
-        numbers.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
-    return Block(key, counts, np.concatenate(numbers), list(own))
-
+        text = text or ""
+        words = find.findall(text) if len(text) <= SLICE_BYTES else (m[0] for m in find.finditer(text))
+        numbers.append(np.fromiter(map(own.__getitem__, words), np.int64))
+        counts.append(len(numbers[-1]))
+    return counts, np.concatenate(numbers)
 
-def buckets_of(words: list[str], buckets: int) -> list[int]:
-    return [zlib.crc32(w.encode()) % buckets for w in words]
 
+def written_chapters(docs: DataFrame, partitions: int) -> DataFrame:
+    """key (of the chapter); ids, counts, numbers of a slice of documents; words, n_words of the chapter, in a row of its own."""
+    kind = dict(docs.dtypes)["id"]
+    names = ["key", "ids", "counts", "numbers", "words", "n_words"]
 
-def keyed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.RecordBatch]]:
-    task, n = TaskContext.get().partitionId(), 0
-    for b in batches:
-        for s in common.slices(b, "text", BLOCK_BYTES):
-            digest = hashlib.blake2b(digest_size=8)
-            for t in s.column(1):
-                digest.update(t.as_buffer() if t.is_valid else b"\0")
-            yield task.to_bytes(4) + n.to_bytes(4) + digest.digest(), s
-            n += 1
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, id_type = TaskContext.get().partitionId() << 32, 0, None
+        fresh = lambda: defaultdict(itertools.count().__next__)
+        own: defaultdict[str, int] = fresh()
+        kinds = [pa.int64(), None, pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
 
+        def row(*values: object) -> pa.RecordBatch:
+            kinds[1] = pa.list_(id_type)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, *values), kinds, strict=True)], names=names)
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = "", buckets: int | None = None, keep_ids: bool = True) -> DataFrame:
-    """For each row: id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and, with keep_ids, its ids.
-    buckets: of distinct pre-tokens; a task holds one bucket's at a time."""
+        for b in batches:
+            id_type = b.schema.field(0).type
+            for s in common.slices(b, "text", SLICE_BYTES):
+                counts, numbers = number(s.column(1).to_pylist(), own)
+                yield row(s.column(0).to_pylist(), counts, pack_numbers(numbers), None, None)
+                held += s.nbytes
+                if held >= CHAPTER_BYTES or len(own) >= CHAPTER_WORDS:
+                    yield row(None, None, None, pack_words(own), len(own))
+                    key, held, own = key + 1, 0, fresh()
+            common.release()
+        if held:
+            yield row(None, None, None, pack_words(own), len(own))
+        del own
+        common.release()
+
+    made = docs.mapInArrow(split, f"key long, ids array<{kind}>, counts array<long>, numbers binary, words binary, n_words long")
+    return common.cut_in_buckets(made, "bpe", "key", partitions)
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str = "", keep_ids: bool = True) -> DataFrame:
+    """For each row: id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and, with keep_ids, its ids."""
     rank_path = rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    buckets = buckets or 4 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = dict(df.dtypes)[id_col]
     docs = common.small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(least, -(-text_bytes // PARTITION_BYTES))
+    chapters = written_chapters(docs, partitions)
+    total = chapters.agg(F.sum("n_words"), F.sum(F.octet_length("words"))).first()
+    buckets = max(1, -(-(total[0] or 0) // BUCKET_WORDS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, s in keyed_blocks(batches):
-            block = make_block(key, s.column(1).to_pylist())
-            parts: dict[int, list[str]] = {}
-            for k, w in zip(buckets_of(block.own, buckets), block.own, strict=True):
-                parts.setdefault(k, []).append(w)
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([key] * len(parts), pa.binary()), pa.array([pack_words(p) for p in parts.values()], pa.binary())], names=["bucket", "block", "words"])
-
-    def wait(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, s in keyed_blocks(batches):
-            block = make_block(key, s.column(1).to_pylist())
-            arrays = [pa.array([key], pa.binary()), pa.array([s.column(0).to_pylist()], pa.list_(s.schema.field(0).type)), pa.array([block.counts], pa.list_(pa.int32()))]
-            more = [pack_numbers(block.numbers), pack_numbers(np.array(buckets_of(block.own, buckets), np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array([m], pa.binary()) for m in more], names=["key", "ids", "counts", "numbers", "own"])
+        for b in batches:
+            for key, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = unpack_words(packed.as_py())
+                of = buckets_of(words, buckets)
+                order = np.argsort(of, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(of[order]) > 0)) if len(words) else order
+                parts = [pack_words([words[i] for i in order[a:z]]) for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True)] if len(words) else []
+                yield pa.RecordBatch.from_arrays([pa.array(of[order[cuts]], pa.int32()), pa.array([key] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "key", "words"])
+            common.release()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = encoding(rank_path)
@@ -168,42 +185,56 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
                     sizes.append(len(ids))
                     flat += ids
                 out.append(pack_numbers(np.array([len(sizes), *sizes, *flat], np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["bucket", "block", "ids"])
-
-    def reassemble(waiting: pa.Table, came: pa.Table) -> pa.Table:
-        table = encoding(rank_path)[1]
-        if waiting.num_rows != 1:
-            raise ValueError("a block's rows came in another order the second time")
-        own = unpack_numbers(waiting.column("own")[0].as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["bucket", "key", "ids"])
+        del known
+        common.release()
+
+    def ids_of_words(waiting: pa.Table, came: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pre-token of the chapter where its ids start, how many they are; and all ids."""
+        packed = next(w for w in waiting.column("words") if w.is_valid)
+        own = buckets_of(unpack_words(packed.as_py()), buckets)
         start, size, flat, shift = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), [np.empty(0, np.int64)], 0
-        for bucket, packed in zip(came.column("bucket").to_pylist(), came.column("ids"), strict=True):
-            x = unpack_numbers(packed.as_py())
+        for bucket, ids in zip(came.column("bucket").to_pylist(), came.column("ids"), strict=True):
+            x = unpack_numbers(ids.as_py())
             mine = np.flatnonzero(own == bucket)
-            if len(mine) != x[0]:
-                raise ValueError("a block's rows came in another order the second time")
             size[mine] = x[1 : 1 + x[0]]
             start[mine] = shift + np.cumsum(size[mine]) - size[mine]
             flat.append(x[1 + x[0] :])
             shift += len(flat[-1])
-        if not size.all():
-            raise ValueError("a block's rows came in another order the second time")
-        flat = np.concatenate(flat).astype("<u4")
-        numbers, at, rows = unpack_numbers(waiting.column("numbers")[0].as_py()), 0, []
-        for count in waiting.column("counts")[0].as_py():
-            n = numbers[at : at + count]
-            at += count
-            ends = np.cumsum(size[n])
-            ids = flat[np.arange(ends[-1]) - np.repeat(ends - size[n] - start[n], size[n])] if count else flat[:0]
-            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode(ids, table)).hexdigest()) + (ids.astype(np.int32),) * keep_ids)
-        arrays = [waiting.column("ids").combine_chunks().flatten(), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))]
-        return pa.Table.from_arrays(arrays, names=names)
+        return start, size, np.concatenate(flat).astype("<u4")
+
+    def reassemble(waiting: pa.Table, came: pa.Table) -> pa.Table:
+        table = encoding(rank_path)[1]
+        start, size, flat = ids_of_words(waiting, came)
+        out = []
+        for ids, counts, packed in zip(*(waiting.column(c) for c in ("ids", "counts", "numbers")), strict=True):
+            if not packed.is_valid:
+                continue
+            numbers, at, rows = unpack_numbers(packed.as_py()), 0, []
+            for count in counts.as_py():
+                n_tokens, coded, plain, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                for a in range(at, at + count, PIECE):  # a long text piece by piece
+                    n = numbers[a : min(a + PIECE, at + count)]
+                    ends = np.cumsum(size[n])
+                    x = flat[np.arange(ends[-1]) - np.repeat(ends - size[n] - start[n], size[n])]
+                    n_tokens += len(x)
+                    coded.update(x.tobytes())
+                    plain.update(decode(x, table))
+                    if keep_ids:
+                        kept.append(x.astype(np.int32))
+                at += count
+                rows.append((n_tokens, coded.hexdigest(), plain.hexdigest()) + (np.concatenate([*kept, np.empty(0, np.int32)]),) * keep_ids)
+            out.append(pa.Table.from_arrays([ids.values, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names))
+        common.release()
+        return pa.concat_tables(out)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * keep_ids
-    sent = docs.mapInArrow(send, "bucket int, block binary, words binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "bucket int, block binary, ids binary")
-    waiting = docs.mapInArrow(wait, f"key binary, ids array<{kind}>, counts array<int>, numbers binary, own binary")
+    spread = max(least, -(-(total[1] or 0) // PART_BYTES))
+    sent = chapters.where("words is not null").select("key", "words").mapInArrow(send, "bucket int, key long, words binary")
+    came = sent.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "bucket int, key long, ids binary")
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return waiting.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(reassemble, schema)
+    return chapters.select("key", "ids", "counts", "numbers", "words").groupBy("key").cogroup(came.groupBy("key")).applyInArrow(reassemble, schema)
 
 
 def op6_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.storage import cut, new_folder, remove, shared_dir, table  # noqa: F401
+from halyard.storage import cut, cut_in_buckets, new_folder, remove, shared_dir, table  # noqa: F401
 
 #: Bytes of text that one numpy step works on, so that a worker's memory doesn't follow the length of its Arrow batches.
 SLICE_BYTES = 2 << 20
