@@ -2,19 +2,25 @@
 co-occurrence with the terms of its documents tells how much of its information a term gives away; terms over the disclosure threshold
 are generalised or removed, at every place and in every document.
 
-Of a term t and an entity e, over whole documents: reveals(t, e) = log2(p(e|t) / p(e)) / log2(1 / p(e)), the share of e's information
-that t gives. It counts when both stand in at least min_support documents. Words that overlap an entity go with it and are no terms.
+Of a term t and an entity e, over the corpus's distinct texts: reveals(t, e) = log2(p(e|t) / p(e)) / log2(1 / p(e)), the share of e's
+information that t gives. It counts when both stand in at least min_support distinct texts: copies of one text are one witness, else
+three copies would give every word of theirs away. Words that overlap an entity go with it and are no terms.
+
+The terms that disclose are broadcast and marked in one pass over the texts as long as they take at most broadcast_bytes; more of
+them are joined to the places they stand at, with the same result.
 
 Defined cases: null text is the empty text; repeated rows give repeated rows; an empty table gives an empty table; columns other
-than the two named are not carried. An entity that stands in every document has no information, so nothing reveals it.
+than the two named are not carried by find_spans and kept by sanitise. An entity that stands in every text has no information, so
+nothing reveals it. Runs of letters over LONG_TERM are terms by their digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +28,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from halyard.llm import common
+from halyard.names import free
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,21 +40,22 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-#: A word of a term's length at most; longer runs of letters are no terms.
-MAX_TERM = 64
-#: Places of a sieve.
-SIEVE = 1 << 20
+#: A longer run of letters is known by its digest, so that no row of a term is long.
+LONG_TERM = 64
+#: Places of a sieve; keys of texts that a task remembers as seen.
+SIEVE, SEEN = 1 << 20, 1 << 17
 
 
 @dataclass(frozen=True)
 class Disclosure:
     """A term with reveals() of at least remove goes, of at least generalise is replaced by its class. window is not read: terms count
-    in whole documents."""
+    in whole documents. broadcast_bytes: of the disclosing terms, beyond which they are joined."""
 
     window: int = 8
     min_support: int = 3
     generalise: float = 0.8
     remove: float = 0.95
+    broadcast_bytes: int = 8 << 20
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -104,15 +113,20 @@ def clear_words(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple
         a, b = m.span()
         while k < len(gone) and gone[k][1] <= a:
             k += 1
-        if b - a <= MAX_TERM and (k == len(gone) or gone[k][0] >= b):
+        if k == len(gone) or gone[k][0] >= b:
             out.append((a, b))
     return out
 
 
+def term(word: str) -> str:
+    word = word.lower()
+    return word if len(word) <= LONG_TERM else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
 def terms_of(text: str, found: list[tuple[int, int, int, str]]) -> set[str]:
     if not found:
-        return {w.lower() for w in _WORD.findall(text) if len(w) <= MAX_TERM}
-    return {text[a:b].lower() for a, b in clear_words(text, found)}
+        return set(map(term, set(_WORD.findall(text))))
+    return {term(text[a:b]) for a, b in clear_words(text, found)}
 
 
 def names_of(found: list[tuple[int, int, int, str]]) -> list[str]:
@@ -121,15 +135,15 @@ def names_of(found: list[tuple[int, int, int, str]]) -> list[str]:
 
 
 def sieve(df: DataFrame, column: str) -> Broadcast[bytes]:
-    """A map of fixed size that lets all strings of the column through, and few others: what passes is joined exactly."""
+    """A map of fixed size that lets all values of the column through, and few others: what passes is joined exactly."""
     places = df.select((F.crc32(F.col(column).cast("binary")) % SIEVE).cast("int").alias("at")).distinct().toArrow()
     bits = np.zeros(SIEVE, np.uint8)
     bits[places.column(0).to_numpy()] = 1
     return df.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
-def passes(bits: bytes, s: str) -> int:
-    return bits[zlib.crc32(s.encode()) % SIEVE]
+def passes(bits: bytes, s: str | bytes) -> int:
+    return bits[zlib.crc32(s if isinstance(s, bytes) else s.encode()) % SIEVE]
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
@@ -138,115 +152,177 @@ _PLACE = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 SPAN_KINDS = (*KINDS, "term_generalised", "term_removed")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """The same for rows with one id and text."""
-    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")))
+def md5_of(*columns: str) -> Column:
+    """The same for rows with the same values; null counts as empty."""
+    return F.unhex(F.md5(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).cast("binary")))
+
+
+def first_seen(seen: set[bytes], key: bytes) -> bool:
+    """Whether a task meets the key for the first time, as far as it remembers: the exact work is done after the shuffle."""
+    if key in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(key)
+    return True
+
+
+def keyed_texts(df: DataFrame, text_col: str) -> DataFrame:
+    return common.small_batches(df).select(md5_of(text_col).alias("text_key"), F.col(text_col).cast("string").alias("_text"))
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, row_key, base (spans of entities) and entities (the distinct ones)."""
+def holders(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """For each row: text_key and entities (the distinct ones)."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, names = [], []
-        for text in batch.column(2).to_pylist():
-            found = entities(text or "")
-            base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in found])
-            names.append(names_of(found))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.string()))], names=[id_col, "row_key", "base", "entities"])
+        names = [names_of(entities(text or "")) for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string()))], names=["text_key", "entities"])
 
-    kind = dict(df.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, row_key binary, base array<struct<start: int, kind: int, end: int>>, entities array<string>"
-    return common.small_batches(df).select(F.col(id_col), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
+    return keyed_texts(df, text_col).mapInArrow(common.in_slices(one, "_text"), "text_key binary, entities array<string>")
 
 
-def document_frequency(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """term, n: the documents of each task that hold it, in rows that are yet to be added up, of terms that pass the sieve; a task holds
-    flush terms at most, and those of one text."""
+def document_frequency(df: DataFrame, wanted: Broadcast[bytes], copied: Broadcast[bytes], text_col: str = "text", flush: int = 200_000) -> DataFrame:
+    """term, n_term: the distinct texts that hold it, of terms that pass the first sieve. A task adds up the texts that are in the table
+    once; those whose keys pass the second sieve, as all copies do, are counted by their keys. It holds flush terms at most, and those
+    of one text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        bits = wanted.value
+        once: Counter[str] = Counter()
+        seen: set[bytes] = set()
+        terms, keys = [], []
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-            seen.clear()
-            return b
+            cols = [pa.array([*once, *terms], pa.string()), pa.array([*[None] * len(once), *keys], pa.binary()), pa.array([*once.values(), *[None] * len(terms)], pa.int64())]
+            once.clear(), terms.clear(), keys.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["term", "text_key", "n"])
 
         for b in batches:
-            for text in b.column(0):
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
-                seen.update(t for t in terms_of(text, entities(text)) if passes(bits, t))
-                if len(seen) >= flush:
+                if not passes(copied.value, key):
+                    once.update(t for t in terms_of(text, entities(text)) if passes(wanted.value, t))
+                elif first_seen(seen, key):
+                    own = [t for t in terms_of(text, entities(text)) if passes(wanted.value, t)]
+                    terms.extend(own)
+                    keys.extend([key] * len(own))
+                if len(once) + len(terms) >= flush:
                     yield out()
-        if seen:
+            common.release()
+        if once or terms:
             yield out()
 
-    return common.small_batches(df).select(F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "term string, n long")
+    rows = keyed_texts(df, text_col).mapInArrow(count, "term string, text_key binary, n long")
+    by_key = rows.groupBy("term", "text_key").agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n"))
+    return by_key.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text") -> DataFrame:
-    """entity, term, n_both: the documents that hold both, for entities that pass the sieve."""
+    """entity, term, n_both: the distinct texts that hold both, for entities that pass the sieve."""
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, names, terms = wanted.value, [], []
-        for text in batch.column(0).to_pylist():
-            found = entities(text or "")
-            if own := [e for e in names_of(found) if passes(bits, e)]:
-                names.append(own)
-                terms.append(list(terms_of(text, found)))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["entities", "terms"])
-
-    rows = common.small_batches(df).select(F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), "entities array<string>, terms array<string>")
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            for s in common.slices(b, "_text"):
+                keys, names, terms = [], [], []
+                for key, text in zip(*(c.to_pylist() for c in s.columns), strict=True):
+                    found = entities(text or "")
+                    if (own := [e for e in names_of(found) if passes(wanted.value, e)]) and first_seen(seen, key):
+                        keys.append(key)
+                        names.append(own)
+                        terms.append(sorted(terms_of(text, found)))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["text_key", "entities", "terms"])
+            common.release()
+
+    rows = keyed_texts(df, text_col).mapInArrow(all_of, "text_key binary, entities array<string>, terms array<string>").distinct()
     return rows.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
 
 
-def disclosing(found: DataFrame, df: DataFrame, text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
-    """entity, term, kind (of SPAN_KINDS) for the terms over the threshold. found: of detect() over df."""
+def disclosing(df: DataFrame, text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
+    """entity, term, kind (of SPAN_KINDS) for the terms over the threshold."""
     rule = rule or Disclosure()
-    total = found.count()
-    # an entity in every document has no information; one in fewer than min_support has no pair with support
-    n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    texts = common.cut(holders(df, text_col).groupBy("text_key", "entities").agg(F.count("*").alias("copies")), "texts")
+    total = texts.count()
+    # an entity in every text has no information; one in fewer than min_support has no pair with support
+    n_entity = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_entity = common.cut(n_entity.where((F.col("n_entity") >= rule.min_support) & (F.col("n_entity") < total)), "entities")
     pair = together(df, sieve(n_entity, "entity"), text_col).where(F.col("n_both") >= rule.min_support)
     pair = common.cut(pair.join(n_entity, "entity"), "together")
-    wanted = pair.select("term").distinct()
-    n_term = document_frequency(df, sieve(pair, "term"), text_col).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    n_term = document_frequency(df, sieve(pair, "term"), sieve(texts.where("copies > 1"), "text_key"), text_col)
     p_entity = F.col("n_entity") / F.lit(float(max(total, 1)))
     reveals = F.try_divide(F.log2(F.col("n_both") / F.col("n_term") / p_entity), -F.log2(p_entity))
     kind = F.when(reveals >= rule.remove, SPAN_KINDS.index("term_removed")).when(reveals >= rule.generalise, SPAN_KINDS.index("term_generalised"))
     return pair.join(n_term, "term").select("entity", "term", kind.alias("kind")).where("kind is not null")
 
 
-def all_spans(found: DataFrame, df: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """found with spans: base and all places of the disclosing terms, by start, then kind. A term told by two entities has the stronger kind."""
-    told = common.cut(told.groupBy("term").agg(F.max("kind").alias("kind")), "told")
+def told_terms(df: DataFrame, text_col: str, rule: Disclosure) -> tuple[DataFrame, dict[str, int] | None]:
+    """term, kind of the disclosing terms (the stronger kind of one told by two entities), and the same as a dictionary if it is small."""
+    told = common.cut(disclosing(df, text_col, rule).groupBy("term").agg(F.max("kind").alias("kind")), "told")
+    size = told.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    return told, {r.term: r.kind for r in told.collect()} if size <= rule.broadcast_bytes else None
+
+
+Span = tuple[int, int, int]
+
+
+def spans_of(text: str, told: dict[str, int]) -> tuple[list[Span], list[Span]]:
+    """Base spans, and those with the places of the told terms, by start, then kind."""
+    found = entities(text)
+    base = [(a, k, b) for a, k, b, _ in found]
+    if not told:
+        return base, base
+    more = [(a, told[t], b) for a, b in clear_words(text, found) if (t := term(text[a:b])) in told]
+    return base, sorted(base + more) if more else base
+
+
+def as_structs(spans: list[Span]) -> list[dict[str, int]]:
+    return [{"start": a, "kind": k, "end": b} for a, k, b in spans]
+
+
+def joined_spans(df: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row_key, spans of the rows (of one id and text once) in which a told term stands; told may be of any size."""
     wanted = sieve(told, "term")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits, keys, terms, places = wanted.value, [], [], []
         for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            if not any(passes(bits, t) for t in terms_of(text or "", [])):
-                continue
             at: dict[str, list[dict[str, int]]] = {}
-            for a, b in clear_words(text, entities(text)):
-                if passes(bits, t := text[a:b].lower()):
+            for a, b in clear_words(text or "", entities(text or "")):
+                if passes(bits, t := term(text[a:b])):
                     at.setdefault(t, []).append({"start": a, "end": b})
             keys += [key.as_py()] * len(at)
             terms += at
             places += at.values()
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string()), pa.array(places, pa.list_(_PLACE))], names=["row_key", "term", "places"])
 
-    rows = common.small_batches(df).select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
-    more = (
-        rows.mapInArrow(common.in_slices(one, "_text"), "row_key binary, term string, places array<struct<start: int, end: int>>")
-        .join(told, "term")
-        .select("row_key", "kind", F.explode("places").alias("at"))
-        .groupBy("row_key", "at.start", "at.end")
-        .agg(F.max("kind").alias("kind"))
-        .groupBy("row_key")
-        .agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    )
-    return found.join(more, "row_key", "left").withColumn("spans", F.coalesce(F.array_sort(F.concat("base", "more")), F.col("base"))).drop("more")
+    rows = common.small_batches(df).select(md5_of(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("_text"))
+    places = rows.mapInArrow(common.in_slices(one, "_text"), "row_key binary, term string, places array<struct<start: int, end: int>>").join(told, "term")
+    distinct = places.select("row_key", "kind", F.explode("places").alias("at")).groupBy("row_key", "at.start", "at.end").agg(F.max("kind").alias("kind"))
+    return distinct.groupBy("row_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+
+
+def over_spans(df: DataFrame, id_col: str, text_col: str, rule: Disclosure | None, columns: list[str], schema: str | StructType, write: Callable) -> DataFrame:
+    """write(batch of the columns, base spans, all spans) over the rows of df, by whichever way the number of disclosing terms asks for."""
+    told, small = told_terms(df, text_col, rule or Disclosure())
+    text = columns.index(text_col)
+    if small is not None:
+        shared = df.sparkSession.sparkContext.broadcast(small)
+
+        def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+            both = [spans_of(t or "", shared.value) for t in batch.column(text).cast(pa.string()).to_pylist()]
+            return write(batch, [b for b, _ in both], [s for _, s in both])
+
+        return common.small_batches(df).select(*columns).mapInArrow(common.in_slices(mark, text_col), schema)
+    key, extra = free("_row_key", df), free("_more", df)
+    more = common.cut(joined_spans(df, told, id_col, text_col).select(F.col("row_key").alias(key), F.col("more").alias(extra)), "marked")
+
+    def mark_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        base = [spans_of(t or "", {})[0] for t in batch.column(text).cast(pa.string()).to_pylist()]
+        spans = [sorted(own + [(s["start"], s["kind"], s["end"]) for s in found or ()]) for own, found in zip(base, batch.column(len(columns)).to_pylist(), strict=True)]
+        return write(batch.drop_columns([extra]), base, spans)
+
+    joined = df.withColumn(key, md5_of(id_col, text_col)).join(more, key, "left").select(*columns, extra)
+    return common.small_batches(joined).mapInArrow(common.in_slices(mark_joined, text_col), schema)
 
 
 def written(spans: str) -> F.Column:
@@ -256,30 +332,28 @@ def written(spans: str) -> F.Column:
 
 
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
-    """For each row: id, row_key, base, spans (arrays of start, kind's place in SPAN_KINDS, end)."""
-    rule = rule or Disclosure()
-    found = common.cut(detect(df, id_col, text_col), "pii")
-    return all_spans(found, df, disclosing(found, df, text_col, rule), id_col, text_col).select(id_col, "row_key", "base", "spans")
+    """For each row: id, base, spans (arrays of start, kind's place in SPAN_KINDS, end)."""
+
+    def write(batch: pa.RecordBatch, base: list[list[Span]], spans: list[list[Span]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(map(as_structs, x)), pa.list_(_SPAN)) for x in (base, spans))], names=[id_col, "base", "spans"])
+
+    span = "array<struct<start: int, kind: int, end: int>>"
+    return over_spans(df, id_col, text_col, rule, [id_col, text_col], f"`{id_col}` {dict(df.dtypes)[id_col]}, base {span}, spans {span}", write)
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
     """df with its text sanitised: entities become [KIND], generalised terms [NAME] or [TERM] by their first letter's case, removed
     terms nothing. Rows without a span are as they were."""
-    marked = find_spans(df, id_col, text_col, rule).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
-    marked = common.cut(marked.select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")), "marked")
+    text = df.columns.index(text_col)
 
-    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at_text, at_spans = b.schema.get_field_index(text_col), b.schema.get_field_index("_spans")
-            texts = [apply_spans(t, [(s["start"], s["kind"], s["end"]) for s in spans or ()]) for t, spans in zip(b.column(at_text).to_pylist(), b.column(at_spans).to_pylist(), strict=True)]
-            yield b.set_column(at_text, text_col, pa.array(texts, b.schema.field(at_text).type)).drop_columns(["_spans"])
+    def write(batch: pa.RecordBatch, base: list[list[Span]], spans: list[list[Span]]) -> pa.RecordBatch:
+        clean = [apply_spans(t, s) for t, s in zip(batch.column(text).to_pylist(), spans, strict=True)]
+        return batch.set_column(text, text_col, pa.array(clean, batch.schema.field(text).type))
 
-    # a disclosing term may stand in any text
-    joined = df.withColumn("_row_key", row_key(id_col, text_col)).join(marked, "_row_key", "left").drop("_row_key")
-    return joined.mapInArrow(redact, df.schema)
+    return over_spans(df, id_col, text_col, rule, df.columns, df.schema, write)
 
 
-def apply_spans(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+def apply_spans(text: str | None, spans: list[Span]) -> str | None:
     if text is None or not spans:
         return text
     out, at = [], 0

@@ -305,6 +305,38 @@ def test_disclosing_terms_of_whole_documents(spark):
     assert clean[10] == "a  without digits or address" and "quagga" not in clean[5]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_disclosing_terms_count_distinct_texts(spark, broadcast_bytes):
+    """Copies are one witness; a long run of letters is a term like any other; joined and broadcast terms give the same."""
+    long = "q" * 100 + "é"
+    texts = ["three copies tell of ann@x.org nothing"] * 3 + [f"{long} Wombat bob@y.org number {k} {'abcdefgh'[k] * 4}" for k in range(4)] + [f"number of days {'ijklmnop'[k % 8] * (4 + k)}" for k in range(60)] + [None, ""]
+    texts += [texts[3]] * 5 + [f"again the {long.upper()} and wombat"]
+    df = documents(spark, texts, _row_key=["clash"], _more=["clash"], _spans=["clash"], row_key=["clash"]).repartition(3)
+    rule = pii.Disclosure(broadcast_bytes=broadcast_bytes)
+    distinct = {t or "" for t in texts}
+    holds = [({pii.term(w) for w in re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", t))}, t) for t in distinct]
+    kinds = {}
+    for t in set().union(*(h for h, _ in holds)):
+        for e in ("ann@x.org", "bob@y.org"):
+            n_e, both, n_t = sum(e in x for _, x in holds), sum(e in x and t in h for h, x in holds), sum(t in h for h, _ in holds)
+            share = np.log2(both / n_t / (n_e / len(holds))) / np.log2(len(holds) / n_e) if both >= 3 else 0
+            if share >= 0.8:
+                kinds[t] = max(kinds.get(t, 0), 5 if share >= 0.95 else 4)
+    assert kinds.keys() == {"wombat", pii.term(long)}
+    got = pii.find_spans(df, rule=rule).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[3 if r.doc_id is None else r.doc_id] or ""
+        base = brute_spans(t)
+        more = [(m.start(), kinds[pii.term(m[0])], m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if pii.term(m[0]) in kinds]
+        assert sorted(map(tuple, r.base)) == base and list(map(tuple, r.spans)) == sorted(base + more)
+    clean = pii.sanitise(df, rule=rule)
+    assert clean.columns == df.columns
+    out = {r.doc_id: r for r in clean.collect()}
+    assert out[0].text == "three copies tell of [EMAIL] nothing" and out[0]._spans == out[0]._row_key == out[0]._more == "clash"
+    assert len(out) == len(texts) and long not in out[4].text and "ombat" not in out[4].text and "Wombat" not in out[max(k for k in out if k)].text
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
