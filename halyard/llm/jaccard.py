@@ -35,9 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import common
+from halyard.names import free
 from halyard.operators import graph
 
-SKETCH_BITS, SKETCH_PARTS, TOKEN_BITS, ROW_BITS, SLICE = 22, 64, 26, 24, 1 << 19
+SKETCH_BITS, SKETCH_PARTS, ROW_BITS, SLICE = 22, 64, 24, 1 << 19
+#: Of the bitmap of repeated shingles: eight bits a shingle, within these powers of two (32 MB at most; a fuller one lets more through).
+LEAST_TOKEN_BITS, MOST_TOKEN_BITS = 20, 28
+#: Pairs of one pivot that go to a task, about.
+DEALT = 256
 #: Words of the parity bitmap in an index list and of the widest one of a set; classes in a block of an index list, and what its sizes and positions may differ by.
 PARITY_WORDS, WIDEST_WORDS, BLOCK_CLASSES, SIZE_STEP, POSITION_STEPS = 4, 512, 2048, 1.05, 8
 _U = np.uint64
@@ -251,12 +256,35 @@ def sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Rule)
     return common.cut(made.join(chosen, ["row", "cid"], "left_semi").select("cid", "shingles"), "sets")
 
 
+def dealt(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (p, cid, fan) with those columns of the rows (by cid) of both: c_p and c_cid for a column c. A pivot's pairs are dealt by
+    the other class to 2**fan parts, and its row goes to each of them, so that no task gets all of a hot pivot's pairs."""
+    fans = pairs.groupBy("p").agg(F.collect_set("fan").alias("fans"))  # a handful of powers
+    beside = pairs.join(rows.select("cid", *(F.col(c).alias(f"{c}_cid") for c in columns)), "cid")
+    pivot = rows.join(fans, F.col("cid") == F.col("p")).select("p", F.explode("fans").alias("fan"), *(F.col(c).alias(f"{c}_p") for c in columns))
+    pivot = pivot.withColumn("part", F.explode(F.expr("sequence(0L, shiftleft(1L, fan) - 1)")))
+    part = F.xxhash64("cid").bitwiseAND(F.expr("shiftleft(1L, fan) - 1"))
+    return beside.withColumn("part", part).join(pivot, ["p", "fan", "part"]).drop("part")
+
+
 def shared(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with shared, the size of the two classes' intersection."""
     left, right = (sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"_{c}")) for c in (a, b))
     return pairs.join(right, b).join(left, a).withColumn("shared", F.size(F.array_intersect(f"_{a}", f"_{b}")).cast("long")).drop(f"_{a}", f"_{b}")
 
 
+def derived(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, n_a, n_b, p) with shared, from what a and b have more and less than the pivot p that they were compared with."""
+    needed = pairs.select("p", F.col("a").alias("cid"), "fan").unionByName(pairs.select("p", F.col("b").alias("cid"), "fan")).distinct()
+    apart = dealt(needed, sets, ["shingles"])
+    apart = apart.select("p", "cid", F.array_except("shingles_cid", "shingles_p").alias("more"), F.array_except("shingles_p", "shingles_cid").alias("less")).distinct()
+    apart = common.cut(apart, "apart")
+    of = lambda c: apart.select("p", F.col("cid").alias(c), F.col("more").alias(f"more_{c}"), F.col("less").alias(f"less_{c}"))
+    n_p = F.col("n_a") + F.size("less_a") - F.size("more_a")
+    both = n_p - F.size(F.array_union("less_a", "less_b")) + F.size(F.array_intersect("more_a", "more_b"))
+    return pairs.join(of("a"), ["p", "a"]).join(of("b"), ["p", "b"]).select("a", "b", "n_a", "n_b", both.cast("long").alias("shared"))
+
+
 def enough(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     """Whether an intersection of that size makes a link."""
     return both * (100 + percent) >= (n_a + n_b) * percent
@@ -273,14 +301,15 @@ def repeated(classes: DataFrame) -> DataFrame:
     posting = classes.select("cid", F.posexplode("prefix").alias("pos", "token"))
     heads = posting.groupBy("token").agg(F.count("*").alias("classes"), F.min(lead(F.col("pos"), F.col("cid"))).alias("lead")).where("classes > 1")
     heads = common.cut(heads, "heads")
-    bits = classes.sparkSession.sparkContext.broadcast(bitmap(heads, "token", TOKEN_BITS))
+    token_bits = min(MOST_TOKEN_BITS, max(LEAST_TOKEN_BITS, (8 * heads.count()).bit_length()))
+    bits = classes.sparkSession.sparkContext.broadcast(bitmap(heads, "token", token_bits))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prefix = b.column(3)
             token = prefix.flatten().to_numpy(zero_copy_only=False)
             length = np.diff(prefix.offsets.to_numpy())
-            hit = passes(bits.value, token, TOKEN_BITS)
+            hit = passes(bits.value, token, token_bits)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
             owner = pa.array(np.repeat(np.arange(len(length)), length)[hit])
             narrow = lists([np.bitwise_xor.reduce(x.values.to_numpy().reshape(-1, PARITY_WORDS), axis=0) for x in b.column(2)])
@@ -294,14 +323,22 @@ def repeated(classes: DataFrame) -> DataFrame:
     return common.cut(listed.drop("lead").join(pivot, "token").where("cid <> p"), "listed")
 
 
-def near(pairs: DataFrame, classes: DataFrame, a: str, b: str, percent: int) -> DataFrame:
-    """The pairs that the full parity bitmaps don't rule out, which are a thirty-second of the sets; columns n_a and n_b are sizes."""
-    left, right = (classes.select(F.col("cid").alias(c), F.col("parity").alias(f"_{c}")) for c in (a, b))
-    fold = lambda c, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(F.sequence(k, F.size(c) - 1, n), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(c, i))))
-    words = F.least(F.size(f"_{a}"), F.size(f"_{b}"))
-    same = F.size(f"_{a}") == F.size(f"_{b}")
-    apart = F.when(same, differing(f"_{a}", f"_{b}")).otherwise(differing(fold(f"_{a}", words), fold(f"_{b}", words)))
-    return pairs.join(right, b).join(left, a).where(apart <= most_apart(F.col("n_a"), F.col("n_b"), percent)).drop(f"_{a}", f"_{b}")
+def fold(bitmap: Column, words: Column) -> Column:
+    """A parity bitmap folded to so many words."""
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda k: F.aggregate(F.sequence(k, F.size(bitmap) - 1, words), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(bitmap, i))))
+
+
+def close(one: str, two: str, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether full parity bitmaps, which are a thirty-second of the sets, don't rule a link out."""
+    words = F.least(F.size(one), F.size(two))
+    apart = F.when(F.size(one) == F.size(two), differing(one, two)).otherwise(differing(fold(F.col(one), words), fold(F.col(two), words)))
+    return apart <= most_apart(n_a, n_b, percent)
+
+
+def near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, with sizes n_a and n_b) that the full parity bitmaps don't rule out."""
+    left, right = (classes.select(F.col("cid").alias(c), F.col("parity").alias(f"_{c}")) for c in "ab")
+    return pairs.join(right, "b").join(left, "a").where(close("_a", "_b", F.col("n_a"), F.col("n_b"), percent)).drop("_a", "_b")
 
 
 def reachable(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
@@ -322,20 +359,22 @@ def most_apart(n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def meet_blocks(met: DataFrame, percent: int) -> DataFrame:
-    """a, b, n_a, n_b, sure for the pairs of two blocks that positions, relations to the pivot and parity bitmaps don't rule out; sure
-    where the relations prove the link. A pair of blocks is compared as one array, some rows of it at a time."""
+    """a, b, n_a, n_b, sure, p for the pairs of two blocks that positions, relations to the pivot and parity bitmaps don't rule out; sure
+    where the relations prove the link, p where both were compared with the pivot. A pair of blocks is compared as one array, some
+    rows of it at a time."""
     names = ("cid", "n", "pos", "shared", "label")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 x, y = ({c: v for c, v in zip((*names, "parity"), block(batch.column(k), row), strict=True)} for k in (1, 2))
-                n_p = batch.column(0)[row].as_py()
+                n_p, pivot, fan = (batch.column(k)[row].as_py() for k in (0, 3, 4))
                 step = max(1, (1 << 16) // max(len(y["cid"]), 1))
                 out = [part(n_p, {c: v[at : at + step] for c, v in x.items()}, y) for at in range(0, len(x["cid"]), step)]
-                a, b, n_a, n_b, sure = (np.concatenate(c) for c in zip(*out, strict=True))
+                a, b, n_a, n_b, sure, told = (np.concatenate(c) for c in zip(*out, strict=True))
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, n_a, n_b, sure)], names=["a", "b", "n_a", "n_b", "sure"])
+                    by = [pa.array(np.full(len(a), pivot), mask=~told), pa.array(np.full(len(a), fan, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (a, b, n_a, n_b, sure)), *by], names=["a", "b", "n_a", "n_b", "sure", "p", "fan"])
 
     def block(column: pa.Array, row: int) -> list[np.ndarray]:
         own = column[row].values
@@ -353,12 +392,12 @@ def meet_blocks(met: DataFrame, percent: int) -> DataFrame:
         far = np.bitwise_count((x["parity"][i] ^ y["parity"][j]).view(_U)).sum(1, dtype=np.int64)
         near = far <= (n1 + n2 - 2 * need)[i, j]
         i, j = i[near], j[near]
-        sure = (told & (s + t - n_p >= need))[i, j]
+        sure, told = (told & (s + t - n_p >= need))[i, j], told[i, j]
         a, b, n_a, n_b = x["cid"][i], y["cid"][j], x["n"][i], y["n"][j]
         swap = a > b
-        return [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b), sure]
+        return [np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n_b, n_a), np.where(swap, n_a, n_b), sure, told]
 
-    return met.mapInArrow(compare, "a long, b long, n_a long, n_b long, sure boolean")
+    return met.mapInArrow(compare, "a long, b long, n_a long, n_b long, sure boolean, p long, fan int")
 
 
 def links(rows: DataFrame, classes: DataFrame, rule: Rule, all_links: bool = False) -> DataFrame:
@@ -366,10 +405,14 @@ def links(rows: DataFrame, classes: DataFrame, rule: Rule, all_links: bool = Fal
     percent = rule.percent
     listed = repeated(classes)
     star = listed.where(reachable(F.col("n_p"), F.col("pos_p"), F.col("n"), F.col("pos"), percent) & (differing("parity", "parity_p") <= most_apart(F.col("n_p"), F.col("n"), percent)))
-    pairs = star.select("p", "cid", F.col("n_p").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    pairs = common.cut(near(pairs, classes, "p", "cid", percent), "pivots")
-    sets = sets_of(rows, classes, pairs.select("cid").unionByName(pairs.select(F.col("p").alias("cid"))).distinct(), rule)
-    first = common.cut(shared(pairs, sets, "p", "cid").withColumn("linked", enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).distinct(), "first")
+    fan = F.greatest(F.lit(0), F.ceil(F.log2(F.col("classes") / DEALT))).cast("int")
+    pairs = star.groupBy("p", "cid", F.col("n_p").alias("n_a"), F.col("n").alias("n_b")).agg(F.max(fan).alias("fan"))
+    pairs = dealt(pairs, classes, ["parity"]).where(close("parity_p", "parity_cid", F.col("n_a"), F.col("n_b"), percent)).drop("parity_p", "parity_cid")
+    pairs = common.cut(pairs, "pivots")
+    pivot_sets = sets_of(rows, classes, pairs.select("cid").unionByName(pairs.select(F.col("p").alias("cid"))).distinct(), rule)
+    both = F.size(F.array_intersect("shingles_p", "shingles_cid")).cast("long")
+    first = dealt(pairs, pivot_sets, ["shingles"]).select("p", "cid", "n_a", "n_b", both.alias("shared"))
+    first = common.cut(first.withColumn("linked", enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)), "first")
     told = first.where("linked").select(F.col("p").alias("a"), F.col("cid").alias("b"))
 
     # where the pivot has one class beside it there are no other pairs
@@ -385,7 +428,7 @@ def links(rows: DataFrame, classes: DataFrame, rule: Rule, all_links: bool = Fal
     position_step = F.floor(F.col("pos") * POSITION_STEPS / F.greatest(F.lit(1), F.col("n") * (100 - percent) / 100))
     salt = F.pmod("cid", F.ceil(F.col("classes") / BLOCK_CLASSES))
     block = (
-        beside.groupBy("token", "n_p", size_step.alias("n_step"), position_step.alias("pos_step"), salt.alias("salt"))
+        beside.groupBy("token", "n_p", "p", fan.alias("fan"), size_step.alias("n_step"), position_step.alias("pos_step"), salt.alias("salt"))
         .agg(F.collect_list(F.struct("cid", "n", "pos", "shared", "label", "parity")).alias("of"), *(f(c).alias(f"{k}_{c}") for c in ("n", "pos", "label") for k, f in (("lo", F.min), ("hi", F.max))))
     )
     x, y = block.alias("x"), block.alias("y")
@@ -395,14 +438,18 @@ def links(rows: DataFrame, classes: DataFrame, rule: Rule, all_links: bool = Fal
     differ = ~((F.col("x.lo_label") == F.col("y.hi_label")) & (F.col("x.hi_label") == F.col("y.lo_label")))
     # no pair of the blocks can do better than the largest sizes with the least positions, nor need less than the smallest sizes
     skip_none = (F.least(hi1, hi2) * 100 >= F.greatest(lo1, lo2) * percent) & enough(F.least(hi1 - pos1, hi2 - pos2), lo1, lo2, percent)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & differ & skip_none).select("x.n_p", F.col("x.of").alias("x"), F.col("y.of").alias("y"))
-    rest = common.cut(meet_blocks(met, percent).groupBy("a", "b", "n_a", "n_b").agg(F.max("sure").alias("sure")), "rest")
-    derived, open_pairs = rest.where("sure").select("a", "b"), rest.where("not sure").drop("sure")
-    out = told.unionByName(derived)
-    open_pairs = common.cut(near(open_pairs, classes, "a", "b", percent), "open")
-    if open_pairs.limit(1).count():
-        sets = sets_of(rows, classes, open_pairs.select(F.col("a").alias("cid")).unionByName(open_pairs.select(F.col("b").alias("cid"))).distinct(), rule)
-        out = out.unionByName(shared(open_pairs, sets, "a", "b").where(enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & differ & skip_none).select("x.n_p", F.col("x.of").alias("x"), F.col("y.of").alias("y"), "x.p", "x.fan")
+    by = F.min(F.when(F.col("p").isNotNull(), F.struct("p", "fan"))).alias("by")  # of the pivots that both were compared with, one
+    rest = common.cut(meet_blocks(met, percent).groupBy("a", "b", "n_a", "n_b").agg(F.max("sure").alias("sure"), by), "rest")
+    out = told.unionByName(rest.where("sure").select("a", "b"))
+    open_pairs = common.cut(near(rest.where("not sure").select("a", "b", "n_a", "n_b", "by.p", "by.fan"), classes, percent), "open")
+    links_of = lambda compared: compared.where(enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    by_pivot, others = open_pairs.where("p is not null"), open_pairs.where("p is null").drop("p", "fan")
+    if by_pivot.limit(1).count():
+        out = out.unionByName(links_of(derived(by_pivot, pivot_sets)))
+    if others.limit(1).count():
+        sets = sets_of(rows, classes, others.select(F.col("a").alias("cid")).unionByName(others.select(F.col("b").alias("cid"))).distinct(), rule)
+        out = out.unionByName(links_of(shared(others, sets, "a", "b")))
     return common.cut(out.distinct(), "links")
 
 
@@ -450,7 +497,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     stay = member.join(least, "root").where(F.col("id").eqNullSafe(F.col("least_id"))).groupBy("root").agg(F.min("row").alias("row"))
     stay = common.cut(stay.select("row").unionByName(found.where("n = 0").select("row").distinct()), "stay")
     row = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    kept = df.withColumn("_row", row).join(stay.withColumnRenamed("row", "_row"), "_row", "left_semi")
+    own = free("_row", df)
+    kept = df.withColumn(own, row).join(stay.withColumnRenamed("row", own), own, "left_semi")
     if found.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_row"])
+        kept = kept.dropDuplicates([own])
     return kept.select(*df.columns)

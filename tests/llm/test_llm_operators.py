@@ -398,6 +398,31 @@ def test_jaccard_groups(spark, k, percent):
         assert kept == set(root)
 
 
+def test_jaccard_of_a_hot_pivot(spark, monkeypatch):
+    """Many classes beside one pivot, dealt to parts; pairs among them that only their differences from the pivot decide."""
+    monkeypatch.setattr(jaccard, "DEALT", 4)
+    called = []
+    monkeypatch.setattr(jaccard, "derived", lambda pairs, sets, own=jaccard.derived: (called.append(1), own(pairs, sets))[1])
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for k in rng.sample(range(60), rng.choice([1, 2, 3, 4])):
+            w[k] = f"x{rng.randrange(12)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, _row string").repartition(3)
+    sets, root, links = brute_groups(texts, 2, 85)
+    pairs, member = jaccard.join(df, rule=jaccard.Rule(2, 85))
+    of = defaultdict(set)
+    for r in member.collect():
+        of[r.class_id].add(r.doc_id)
+    found = {tuple(sorted((a, b))) for p in pairs.collect() for a in of[p.class_a] for b in of[p.class_b]}
+    assert found == {(i, j) for i, j in links if sets[i] != sets[j]} and called
+    kept = jaccard.one_of_each(df, rule=jaccard.Rule(2, 85)).collect()
+    assert {r.doc_id for r in kept} == set(root) and {r._row for r in kept} == {"clash"}
+
+
 def test_jaccard_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, None), (5, "a b c d"), (5, "a b c d"), (7, "a b c d"), (8, None)], "doc_id long, text string")
     got = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in jaccard.groups(df, rule=jaccard.Rule(3, 90)).collect()), key=str)
