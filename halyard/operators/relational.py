@@ -11,12 +11,12 @@ from pyspark.sql.window import Window
 
 from halyard import storage
 from halyard.functions import scalars
+from halyard.names import free
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key; order must be total for the result to be one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return top_k(df, keys, order, 1)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -24,23 +24,25 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[str | Column], k: int | Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    n = free("_n", df)
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) <= k).drop(n)
 
 
 def smallest_share(df: DataFrame, keys: list[str], order: list[str], share: float) -> DataFrame:
     """Of each key the first max(1, round(n * share)) rows, halves to even."""
     n = F.count("*").over(Window.partitionBy(*keys))
     k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_k", k).withColumn("_most", F.greatest(F.lit(1), F.bround(n * F.lit(share)))).where("_k <= _most").drop("_k", "_most")
+    place, most = free("_k", df), free("_most", df)
+    return df.withColumns({place: k, most: F.greatest(F.lit(1), F.bround(n * F.lit(share)))}).where(F.col(place) <= F.col(most)).drop(place, most)
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
     """Of each key rows at count even steps of the order, ends included; each once."""
     n = F.count("*").over(Window.partitionBy(*keys))
     k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(count - 1, 1))))
-    return df.withColumn("_n", n).withColumn("_k", k.cast("double")).where(F.array_contains(at, F.col("_k"))).drop("_n", "_k")
+    size, place = free("_n", df), free("_k", df)
+    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col(size) - 1) / F.lit(max(count - 1, 1))))
+    return df.withColumns({size: n, place: k.cast("double")}).where(F.array_contains(at, F.col(place))).drop(size, place)
 
 
 def zscores(df: DataFrame, keys: list[str], columns: list[str], kind: str = "sample") -> DataFrame:
@@ -91,9 +93,9 @@ def holm(df: DataFrame, p: str, order: list[str], keys: list[str] | None = None)
     w = Window.partitionBy(*keys, F.col(p).isNull()).orderBy(p, *order)
     m = F.count(p).over(Window.partitionBy(*keys))
     own = (m - F.row_number().over(w) + 1) * F.col(p)
-    out = df.withColumn("_own", own)
-    top = F.max("_own").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn(f"{p}_holm", F.when(F.col(p).isNotNull(), F.least(top, F.lit(1.0)))).drop("_own")
+    name = free("_own", df)
+    top = F.max(name).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(name, own).withColumn(f"{p}_holm", F.when(F.col(p).isNotNull(), F.least(top, F.lit(1.0)))).drop(name)
 
 
 def without(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
@@ -127,23 +129,26 @@ def sized_split(df: DataFrame, group: str, val: float, seed: int = 0) -> DataFra
 
 def global_prefix(df: DataFrame, order: list[str], amount: str) -> DataFrame:
     """before: sum of amount over all rows that come earlier. Dealt by range and summed a part at a time."""
-    parts = storage.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "prefix")
-    total = parts.groupBy("_part").agg(F.sum(amount).alias("_total"))
-    before = total.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
-    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("before", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+    part, start, here = (free(c, df) for c in ("_part", "_before", "_inside"))
+    parts = storage.cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "prefix")
+    total = parts.groupBy(part).agg(F.sum(amount).alias("_total"))
+    before = total.withColumn(start, F.coalesce(F.sum("_total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(part, start)
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn(here, inside).join(F.broadcast(before), part).withColumn("before", F.col(start) + F.col(here)).drop(part, start, here)
 
 
 def global_position(df: DataFrame, order: list[str]) -> DataFrame:
     """position: from 0 in that order, over the whole table."""
-    return global_prefix(df.withColumn("_one", F.lit(1).cast("long")), order, "_one").withColumnRenamed("before", "position").drop("_one")
+    one = free("_one", df)
+    return global_prefix(df.withColumn(one, F.lit(1).cast("long")), order, one).withColumnRenamed("before", "position").drop(one)
 
 
 def capped(df: DataFrame, keys: list[str], order: list[str | Column], most: int, always: Column | None = None) -> DataFrame:
     """most rows of each key at most; rows where always holds stay beyond it."""
     w = Window.partitionBy(*keys).orderBy(*order)
     kept = F.row_number().over(w) <= most
-    return df.withColumn("_kept", kept | F.coalesce(always, F.lit(False)) if always is not None else kept).where("_kept").drop("_kept")
+    name = free("_kept", df)
+    return df.withColumn(name, kept | F.coalesce(always, F.lit(False)) if always is not None else kept).where(F.col(name)).drop(name)
 
 
 def first_reason(df: DataFrame, rules: list[tuple[str, Column]], accepted: str = "accepted") -> DataFrame:
@@ -172,9 +177,22 @@ def union_with_offsets(parts: list[DataFrame], key: str, singles: bool = True) -
 
 def as_of(df: DataFrame, order: str, starts: Column, keys: list[str] | None = None) -> DataFrame:
     """start: the last order value at or before a row's where starts holds; the first row's where none does yet."""
-    w = Window.partitionBy(*(keys or [])).orderBy(order)
+    if not keys:
+        return _as_of_all(df, order, starts)
+    w = Window.partitionBy(*keys).orderBy(order)
     last = F.last(F.when(starts, F.col(order)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("start", F.coalesce(last, F.min(order).over(Window.partitionBy(*(keys or [])))))
+    return df.withColumn("start", F.coalesce(last, F.min(order).over(Window.partitionBy(*keys))))
+
+
+def _as_of_all(df: DataFrame, order: str, starts: Column) -> DataFrame:
+    """The same over the whole table: dealt by range, with the last start of the ranges before carried on, one number a range."""
+    part, own, before = (free(c, df) for c in ("_part", "_own", "_before"))
+    parts = storage.cut(df.repartitionByRange(order).withColumns({part: F.spark_partition_id(), own: F.when(starts, F.col(order))}), "as-of")
+    ends = parts.groupBy(part).agg(F.max(own).alias("_last"), F.min(order).alias("_least"))
+    carried = F.coalesce(F.max("_last").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.min("_least").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)))
+    inside = F.last(own, ignorenulls=True).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    met = parts.withColumn("start", inside).join(F.broadcast(ends.select(part, carried.alias(before))), part)
+    return met.withColumn("start", F.coalesce("start", before)).drop(part, own, before)
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -207,7 +225,8 @@ def pack_blocks(df: DataFrame, shelf: str, order: list[str], size: str, block: i
 def constrained_fill(df: DataFrame, keys: list[str], order: list[str | Column], ok: Column, keep: int) -> DataFrame:
     """Of each key the first keep rows that are ok, and where there are fewer, the first of the others after them."""
     w = Window.partitionBy(*keys).orderBy((~F.coalesce(ok, F.lit(False))).cast("int"), *order)
-    return df.withColumn("filled", ~F.coalesce(ok, F.lit(False))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
+    n = free("_n", df)
+    return df.withColumns({"filled": ~F.coalesce(ok, F.lit(False)), n: F.row_number().over(w)}).where(F.col(n) <= keep).drop(n)
 
 
 def pareto(df: DataFrame, low: list[str]) -> DataFrame:
@@ -223,11 +242,28 @@ def pareto(df: DataFrame, low: list[str]) -> DataFrame:
     return df.join(front, x).where(F.col(y) == F.col("_y")).drop("_y")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Of each key and prob (its place in probs, from 0) the quantile q of value, linear between neighbours; nulls don't count. Values
+    are counted and their places found by range, so that no task holds a key's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    placed = storage.cut(global_prefix(counts, [*keys, "_v"], "_c"), "places")
+    groups = placed.groupBy(*keys).agg(F.min("before").alias("_first"), F.sum("_c").alias("_n"))
+    at = F.transform(F.array(*(F.lit(float(p)) for p in probs)), lambda p: (F.col("_n") - 1) * p)
+    wanted = groups.select(*keys, "_first", F.posexplode(at).alias("prob", "_at"))
+    inside = lambda x: (F.col("_place") <= x) & (x < F.col("_place") + F.col("_c"))
+    met = placed.join(wanted, keys).withColumn("_place", F.col("before") - F.col("_first"))
+    ends = met.where(inside(F.floor("_at")) | inside(F.ceil("_at")))
+    low, high = (F.max(F.when(inside(f("_at")), F.col("_v"))) for f in (F.floor, F.ceil))
+    q = ends.groupBy(*keys, "prob", "_at").agg(low.cast("double").alias("_low"), high.cast("double").alias("_high"))
+    return q.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("q"))
+
+
 def classes_balanced(df: DataFrame, keys: list[str]) -> DataFrame:
     """weight: inverse of the key's size, one on average over rows."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("rows"), F.count("*").alias("groups")).first()
-    return df.join(sizes, keys).withColumn("weight", F.lit(float(total.rows or 0) / max(total.groups, 1)) / F.greatest("_n", F.lit(1))).drop("_n")
+    n = free("_n", df)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(n))
+    total = sizes.agg(F.sum(n).alias("rows"), F.count("*").alias("groups")).first()
+    return df.join(sizes, keys).withColumn("weight", F.lit(float(total.rows or 0) / max(total.groups, 1)) / F.greatest(n, F.lit(1))).drop(n)
 
 
 def vocabulary(tokens: DataFrame, token: str = "token", extra: DataFrame | None = None) -> DataFrame:

@@ -51,9 +51,9 @@ def fk_join(t: Tables) -> DataFrame:
     return n.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").select("l_orderkey", "records", "o_orderstatus")
 
 
-@query("select doc_id as id from documents where doc_id % 3 = 0 union select page_id from pages union select item_id from benchmark")
+@query("select doc_id as id from documents union select page_id from pages union select item_id from benchmark")
 def evaluation_ids(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")).union(t.pages.select("page_id")).union(t.benchmark.select("item_id")).distinct()
+    return t.documents.select(F.col("doc_id").alias("id")).union(t.pages.select("page_id")).union(t.benchmark.select("item_id")).distinct()
 
 
 @query("select user_id from events where event_type = 'click' intersect select user_id from events where value > 50")
@@ -66,10 +66,10 @@ def except_ids(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'O'").select("o_custkey").subtract(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query("select count(*) as n, count(*) filter (text not in (select text from documents where doc_id < 100)) as novel, round(count(*) filter (text not in (select text from documents where doc_id < 100))::double / count(*), 6) as novelty from documents where doc_id >= 100")
+@query("select count(*) as n, count(*) filter (text not in (select text from benchmark)) as novel, round(count(*) filter (text not in (select text from benchmark))::double / count(*), 6) as novelty from documents")
 def novelty(t: Tables) -> DataFrame:
-    seen = t.documents.where("doc_id < 100").select(F.sha2(F.col("text").cast("binary"), 256).alias("key")).distinct().withColumn("seen", F.lit(True))
-    rows = t.documents.where("doc_id >= 100").select(F.sha2(F.col("text").cast("binary"), 256).alias("key")).join(seen, "key", "left")
+    seen = t.benchmark.select(F.sha2(F.col("text").cast("binary"), 256).alias("key")).distinct().withColumn("seen", F.lit(True))
+    rows = t.documents.select(F.sha2(F.col("text").cast("binary"), 256).alias("key")).join(seen, "key", "left")
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("seen").isNull()).alias("novel")).withColumn("novelty", F.round(F.try_divide(F.col("novel").cast("double"), F.col("n")), 6))
 
 
@@ -182,9 +182,9 @@ def priority_fallback(t: Tables) -> DataFrame:
 
 @query("""select doc_id as node, min(doc_id) over (partition by md5(text)) as root from documents where md5(text) in (select md5(text) from documents group by 1 having count(*) > 1)""")
 def bond_components(t: Tables) -> DataFrame:
-    nxt = F.lead("doc_id").over(Window.partitionBy(F.md5("text")).orderBy("doc_id"))
-    links = t.documents.select(F.col("doc_id").alias("a"), nxt.alias("b")).where("b is not null")
-    return graph.roots(links)
+    rows = t.documents.select("doc_id", F.md5("text").alias("key"))
+    least = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return graph.roots(rows.join(least, "key").select("a", F.col("doc_id").alias("b")))
 
 
 @query("""select c_custkey, lower(nullif(regexp_extract(substr(md5(c_name), 1, 4) || '_' || c_name, '^([0-9a-zA-Z]{4})_', 1), '')) as pdb, lower(nullif(regexp_extract(c_name, '^([0-9a-zA-Z]{4})_', 1), '')) as none, substr(md5(c_name), 2, 2) as bucket from customer""")
@@ -283,10 +283,10 @@ def masked_tokens(t: Tables) -> DataFrame:
     return built.select("conv_id", inputs.alias("inputs"), labels.alias("labels"))
 
 
-@query("""with w as (select doc_id, list_distinct(string_split(text, ' ')[1:40]) as s from documents), p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.s, b.s))::double as i, len(a.s) + len(b.s) as u from w a join w b on a.doc_id // 10 = b.doc_id // 10 and a.doc_id < b.doc_id)
+@query("""with w as (select doc_id, list_distinct(string_split(text, ' ')) as s from documents), p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.s, b.s))::double as i, len(a.s) + len(b.s) as u from w a join w b on a.doc_id // 10 = b.doc_id // 10 and a.doc_id < b.doc_id)
 select a // 10 as grp, round(avg(i / nullif(u - i, 0)), 6) as similarity, count(*) as pairs from p group by 1""")
 def pairwise_tanimoto(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.floor(F.col("doc_id") / 10).cast("long").alias("grp"), F.array_distinct(F.slice(F.split("text", " "), 1, 40)).alias("s"))
+    words = t.documents.select("doc_id", F.floor(F.col("doc_id") / 10).cast("long").alias("grp"), F.array_distinct(F.split("text", " ")).alias("s"))
     a, b = words.alias("a"), words.alias("b")
     pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.grp").alias("grp"), scalars.jaccard(F.col("a.s"), F.col("b.s")).alias("j"))
     return pairs.groupBy("grp").agg(F.round(F.avg("j"), 6).alias("similarity"), F.count("*").alias("pairs"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from halyard import storage
 from halyard.functions import scalars
 from halyard.operators import evaluation, relational
 from halyard.plans.registry import Tables, query
@@ -244,18 +245,17 @@ def inverse_frequency(t: Tables) -> DataFrame:
 
 @query("""select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) as p10, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.9), 6) as p90 from lineitem group by 1""")
 def quantiles(t: Tables) -> DataFrame:
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return t.lineitem.groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
+    q = relational.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9])
+    return q.groupBy("l_returnflag").agg(*(F.round(F.max(F.when(F.col("prob") == k, F.col("q"))), 6).alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
 
 
 @query("""with q as (select l_returnflag as f, quantile_cont(l_extendedprice, [i / 63.0 for i in range(0, 64)]) as q from lineitem group by 1)
 select b.f as flag, round(list_avg([abs(x[1] - x[2]) for x in list_zip(a.q, b.q)]), 4) as w1 from q a join q b on a.f = 'A' and b.f <> 'A'""")
 def w1_distance(t: Tables) -> DataFrame:
-    steps = F.array(*(F.lit(k / 63.0) for k in range(64)))
-    q = t.lineitem.groupBy(F.col("l_returnflag").alias("flag")).agg(F.percentile("l_extendedprice", steps).alias("q"))
-    base = q.where("flag = 'A'").select(F.lit(1).alias("one"), F.col("q").alias("base"))
-    gaps = F.zip_with("base", "q", lambda a, b: F.abs(a - b))
-    return q.where("flag <> 'A'").withColumn("one", F.lit(1)).join(F.broadcast(base), "one").select("flag", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / 64, 4).alias("w1"))
+    q = relational.quantiles(t.lineitem.withColumnRenamed("l_returnflag", "flag"), ["flag"], "l_extendedprice", [k / 63.0 for k in range(64)])
+    q = storage.cut(q, "quantiles")
+    base = q.where("flag = 'A'").select("prob", F.col("q").alias("base"))  # 64 rows
+    return q.where("flag <> 'A'").join(base, "prob").groupBy("flag").agg(F.round(F.avg(F.abs(F.col("base") - F.col("q"))), 4).alias("w1"))
 
 
 @query("""select floor(l_quantity / 10)::bigint as bucket, count(*) as n from lineitem group by 1""")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions import chemistry, geometry, scalars
@@ -88,12 +88,12 @@ def nearest_code(t: Tables) -> DataFrame:
     return spatial.nearest_code(t.embeddings.select("vec_id", "embedding"), "embedding", book).select("vec_id", "code", F.round("code_d", 5).alias("code_d"))
 
 
-@query("""with c as (select vec_id as code, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z from embeddings where vec_id < 40),
+@query("""with c as (select vec_id as code, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z from embeddings),
 d as (select a.code, b.code as neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) as d2 from c a, c b),
 k as (select *, row_number() over (partition by code order by d2, neighbour) as k from d where d2 <= 25), w as (select code, neighbour, exp(-d2 / 2) as w from k where k <= 4)
 select code, neighbour, round(w / sum(w) over (partition by code), 6) as weight from w""")
 def soft_codes(t: Tables) -> DataFrame:
-    book = atoms(t).where("vec_id < 40").select(F.col("vec_id").alias("code"), "x", "y", "z")
+    book = atoms(t).select(F.col("vec_id").alias("code"), "x", "y", "z")
     return spatial.soft_codes(book, "code", 4, 1.0, 5.0).select("code", "neighbour", F.round("weight", 6).alias("weight"))
 
 
@@ -147,70 +147,78 @@ def grid_tokens(t: Tables) -> DataFrame:
     return atoms(t).select("vec_id", ((cell("x") * 64 + cell("y") * 8 + cell("z")) * 4 + F.col("vec_id") % 4).alias("code"))
 
 
-def _per_label(t: Tables, schema: str, f) -> DataFrame:
-    """f of (label, xyz, elements) for each label, in order of vec_id; returns rows."""
+#: Atoms of a molecule: consecutive vectors, so that no molecule grows with the table.
+MOLECULE = 20
+
+
+def molecule() -> Column:
+    return F.floor(F.col("vec_id") / MOLECULE).cast("long").alias("molecule")
+
+
+def _per_molecule(t: Tables, schema: str, f) -> DataFrame:
+    """f of (molecule, xyz, elements) for each molecule, atoms in order of vec_id; returns rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame(f(int(pdf["label"].iloc[0]), pdf[["x", "y", "z"]].to_numpy(), pdf["element"].tolist()), columns=names)
+        return pd.DataFrame(f(int(pdf["molecule"].iloc[0]), pdf[["x", "y", "z"]].to_numpy(), pdf["element"].tolist()), columns=names)
 
-    return atoms(t).where("vec_id % 5 = 0").groupBy("label").applyInPandas(run, schema)
+    return atoms(t).withColumn("molecule", molecule()).groupBy("molecule").applyInPandas(run, schema)
 
 
 @query()
 def superposition(t: Tables) -> DataFrame:
-    def f(label: int, x: np.ndarray, _: list[str]) -> Iterator[tuple]:
-        moved = x @ geometry.random_rotation(geometry.named_rng(0, str(label))).T + 3
-        return [(label, len(x), geometry.rmsd(moved, x), geometry.kabsch_rmsd(moved, x), geometry.tm_score(x, moved), geometry.lddt(x, moved))]
+    def f(molecule: int, x: np.ndarray, _: list[str]) -> Iterator[tuple]:
+        moved = x @ geometry.random_rotation(geometry.named_rng(0, str(molecule))).T + 3
+        return [(molecule, len(x), geometry.rmsd(moved, x), geometry.kabsch_rmsd(moved, x), geometry.tm_score(x, moved), geometry.lddt(x, moved))]
 
-    return _per_label(t, "label long, n long, rmsd double, kabsch_rmsd double, tm double, lddt double", f)
+    return _per_molecule(t, "molecule long, n long, rmsd double, kabsch_rmsd double, tm double, lddt double", f)
 
 
 @query()
 def molecule_graphs(t: Tables) -> DataFrame:
-    def f(label: int, x: np.ndarray, elements: list[str]) -> list[tuple]:
+    def f(molecule: int, x: np.ndarray, elements: list[str]) -> list[tuple]:
         bonds = chemistry.infer_bonds(elements, x)
         whole = chemistry.connect(elements, bonds, x)
         fitted = chemistry.prune_to_valence(elements, [0] * len(x), [0] * len(x), whole, x)
-        return [(label, len(x), len(bonds), chemistry.fragments(len(x), bonds), len(whole), len(fitted), len(chemistry.rotatable(len(x), whole)), chemistry.formula(elements))]
+        return [(molecule, len(x), len(bonds), chemistry.fragments(len(x), bonds), len(whole), len(fitted), len(chemistry.rotatable(len(x), whole)), chemistry.formula(elements))]
 
-    return _per_label(t, "label long, n long, bonds long, fragments long, connected long, fitted long, rotatable long, formula string", f)
+    return _per_molecule(t, "molecule long, n long, bonds long, fragments long, connected long, fitted long, rotatable long, formula string", f)
 
 
 @query()
 def pose_codes(t: Tables) -> DataFrame:
-    def f(label: int, x: np.ndarray, _: list[str]) -> list[tuple]:
+    def f(molecule: int, x: np.ndarray, _: list[str]) -> list[tuple]:
         codec = geometry.PoseCodec(18)
         centre, axes = geometry.canonical_frame(x)
         code = codec.encode(centre, axes, np.full(3, -10.0), np.full(3, 20.0))
         back, _ = codec.decode(code, np.full(3, -10.0), np.full(3, 20.0))
-        return [(label, code, float(np.linalg.norm(back - centre)))]
+        return [(molecule, code, float(np.linalg.norm(back - centre)))]
 
-    return _per_label(t, "label long, code long, off double", f)
+    return _per_molecule(t, "molecule long, code long, off double", f)
 
 
 @query()
 def descriptors(t: Tables) -> DataFrame:
-    def f(label: int, x: np.ndarray, elements: list[str]) -> list[tuple]:
+    def f(molecule: int, x: np.ndarray, elements: list[str]) -> list[tuple]:
         centre, axes = geometry.canonical_frame(x)
         kinds = ["CNOS".index(e) for e in elements]
         rows = geometry.describe(x, centre, axes, 1, kinds, np.zeros((len(x), 5)), [20] * len(x), [2] * len(x))
         back = geometry.described_places(rows, centre, axes)
-        return [(label, rows.shape[1], float(np.abs(back - x).max()), [float(v) for v in rows.mean(0)])]
+        return [(molecule, rows.shape[1], float(np.abs(back - x).max()), [float(v) for v in rows.mean(0)])]
 
-    return _per_label(t, "label long, width long, off double, means array<double>", f)
+    return _per_molecule(t, "molecule long, width long, off double, means array<double>", f)
 
 
 @query()
 def decoys(t: Tables) -> DataFrame:
-    def f(label: int, x: np.ndarray, _: list[str]) -> list[tuple]:
-        rng = geometry.named_rng(1, str(label))
+    def f(molecule: int, x: np.ndarray, _: list[str]) -> list[tuple]:
+        rng = geometry.named_rng(1, str(molecule))
         out = []
         for k in range(6):
             new = geometry.perturb(x, rng, (k + 1) / 6) if k % 2 == 0 else geometry.spin(x, rng)
             new, share = geometry.place(new, x + 4, rng)
-            out.append((label, k, geometry.rmsd(new, x), geometry.decompose(new, x)[0], share))
+            out.append((molecule, k, geometry.rmsd(new, x), geometry.decompose(new, x)[0], share))
         return out
 
-    return _per_label(t, "label long, slot long, rmsd double, shift double, clash double", f)
+    return _per_molecule(t, "molecule long, slot long, rmsd double, shift double, clash double", f)

@@ -21,9 +21,9 @@ def codebook_step(t: Tables) -> DataFrame:
     return new.select("code", F.round("size", 6).alias("size"), F.round(F.aggregate("centre", F.lit(0.0), lambda a, x: a + x), 6).alias("centre_sum"), "restarted")
 
 
-@query("""select a.conv_id, a.turn::bigint as i, b.turn::bigint as j from conversations a join conversations b on a.conv_id = b.conv_id and b.turn <= a.turn and (a.turn // 2) = (b.turn // 2) where a.conv_id % 5 = 0""")
+@query("""select a.conv_id, a.turn::bigint as i, b.turn::bigint as j from conversations a join conversations b on a.conv_id = b.conv_id and b.turn <= a.turn and (a.turn // 2) = (b.turn // 2)""")
 def attention_pairs(t: Tables) -> DataFrame:
-    tokens = t.conversations.where("conv_id % 5 = 0").select("conv_id", F.col("turn").cast("long").alias("turn"), F.floor(F.col("turn") / 2).cast("long").alias("segment"))
+    tokens = t.conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.floor(F.col("turn") / 2).cast("long").alias("segment"))
     return models.attention_pairs(tokens, "conv_id", "turn", "segment")
 
 
@@ -41,8 +41,11 @@ def group_losses(t: Tables) -> DataFrame:
     return models.group_losses(rows, ["label"], "p", "q").withColumns({c: F.round(c, 6) for c in ("smooth_l1", "listwise")})
 
 
-@query("""with d as (select label::bigint as label, unnest(embedding)::double as v, unnest(range(0, 64)) as dim, vec_id from embeddings)
-select label, round(avg(case when vec_id % 2 = 0 then v end), 6) as first_dim from d where dim = 0 group by 1""")
+@query("""with d as (select vec_id // 50 as sequence, unnest(embedding)::double as v, unnest(range(0, 64)) as dim, vec_id from embeddings)
+select sequence, dim, round(avg(case when vec_id % 2 = 0 then v end), 6) as mean from d group by 1, 2""")
 def pooled_readout(t: Tables) -> DataFrame:
-    states = t.embeddings.groupBy(F.col("label").cast("long").alias("label")).agg(F.collect_list("embedding").alias("states"), F.collect_list(F.col("vec_id") % 2 == 0).alias("mask"))
-    return models.pooled(states, ["label"], "states", "mask").select("label", F.round(F.col("mean")[0].cast("double"), 6).alias("first_dim"))
+    """Sequences of 50 states, all dimensions."""
+    state = F.struct("vec_id", F.col("embedding").cast("array<double>").alias("state"), (F.col("vec_id") % 2 == 0).alias("on"))
+    rows = t.embeddings.groupBy(F.floor(F.col("vec_id") / 50).cast("long").alias("sequence")).agg(F.collect_list(state).alias("of")).select("sequence", "of.state", "of.on")
+    pooled = models.pooled(rows, ["sequence"], "state", "on").select("sequence", F.posexplode("mean").alias("dim", "mean"))
+    return pooled.select("sequence", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))

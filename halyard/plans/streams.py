@@ -20,6 +20,6 @@ def stream_dedup(t: Tables) -> DataFrame:
     return running.deduplicated(running.read_stream(t.spark, f"{t.sf_dir}/events.parquet"), ["user_id", "event_type"])
 
 
-@query()
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
 def stream_windows(t: Tables) -> DataFrame:
-    return running.windowed(running.read_stream(t.spark, f"{t.sf_dir}/events.parquet"), ["event_type"], "value", "1 hour", "10 minutes")
+    return running.windowed(running.read_stream(t.spark, f"{t.sf_dir}/events.parquet"), ["event_type"], "value", "1 hour", "10 minutes").withColumn("mean", F.round("mean", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -17,51 +17,51 @@ from halyard.sources import records, tables
 
 
 def ligand_files(t: Tables) -> DataFrame:
-    """member, content: an SDF entry for each label."""
+    """member, content: an SDF entry for each molecule."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         mol = {"atoms": list(zip(pdf["element"], pdf["x"], pdf["y"], pdf["z"], strict=True)), "bonds": [(k, k + 1, 1) for k in range(len(pdf) - 1)]}
-        return pd.DataFrame({"member": [f"{pdf['label'].iloc[0]:07d}.sdf"], "content": [records.write_sdf(mol)]})
+        return pd.DataFrame({"member": [f"{pdf['molecule'].iloc[0]:07d}.sdf"], "content": [records.write_sdf(mol)]})
 
-    return geometry.atoms(t).where("is_ligand").groupBy("label").applyInPandas(write, "member string, content string")
+    return geometry.atoms(t).withColumn("molecule", geometry.molecule()).groupBy("molecule").applyInPandas(write, "member string, content string")
 
 
-@query("""with a as (select label::bigint as pair_idx, embedding[1]::double * 10 as x from embeddings where vec_id % 5 = 0 and label % 2 = 0)
+@query("""with a as (select vec_id // 20 as pair_idx, embedding[1]::double * 10 as x from embeddings where (vec_id // 20) % 2 = 0)
 select pair_idx, count(*) as n_atoms, count(*) - 1 as n_bonds, round(avg(round(x, 4)), 3) as cx from a group by 1""")
 def archive_round_trip(t: Tables) -> DataFrame:
     folder = storage.new_folder(t.spark, "ligands")
     storage.cut(tables.write_archives(ligand_files(t), folder, "member", "content", 4), "archives")
-    manifest = t.embeddings.select(F.col("label").cast("long").alias("pair_idx")).distinct().where("pair_idx % 2 = 0")
+    manifest = t.embeddings.select(geometry.molecule().alias("pair_idx")).distinct().where("pair_idx % 2 = 0")
     poses = tables.poses(t.spark, folder, manifest)
     mean = F.aggregate("mol.atoms", F.lit(0.0), lambda s, a: s + a["x"]) / F.size("mol.atoms")
     return poses.select("pair_idx", F.size("mol.atoms").cast("long").alias("n_atoms"), F.size("mol.bonds").cast("long").alias("n_bonds"), F.round(mean, 3).alias("cx"))
 
 
-@query("""with c as (select label::bigint as label, vec_id, (greatest(0, least(7, floor((embedding[1]::double * 10 + 10) / 2.5)))::bigint * 4 + vec_id % 4)::int as code from embeddings),
-s as (select label, coalesce(list(code order by vec_id) filter (vec_id % 5 <> 0), []) as p, coalesce(list(code order by vec_id) filter (vec_id % 5 = 0), []) as l from c group by 1)
-select split, count(*) as num_docs, sum(n)::bigint as num_tokens, max(n) as max_len from (select case when label % 4 = 0 then 'val' else 'train' end as split, len(p) + len(l) + 6 as n from s) group by 1""")
+@query("""with c as (select vec_id // 20 as molecule, vec_id, (greatest(0, least(7, floor((embedding[1]::double * 10 + 10) / 2.5)))::bigint * 4 + vec_id % 4)::int as code from embeddings),
+s as (select molecule, coalesce(list(code order by vec_id) filter (vec_id % 5 <> 0), []) as p, coalesce(list(code order by vec_id) filter (vec_id % 5 = 0), []) as l from c group by 1)
+select split, count(*) as num_docs, sum(n)::bigint as num_tokens, max(n) as max_len from (select case when molecule % 4 = 0 then 'val' else 'train' end as split, len(p) + len(l) + 6 as n from s) group by 1""")
 def token_corpus(t: Tables) -> DataFrame:
     code = (scalars.grid_cell(F.col("x"), F.lit(-10.0), F.lit(2.5), 8) * 4 + F.col("vec_id") % 4).cast("int")
     rows = geometry.atoms(t).withColumn("code", code)
     side = lambda ligand: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_ligand") == ligand, F.struct("vec_id", "code")))), lambda s: s["code"])
-    docs = rows.groupBy("label").agg(side(False).alias("p"), side(True).alias("l"))
-    docs = docs.select(F.when(F.col("label") % 4 == 0, "val").otherwise("train").alias("split"), sequences.build_sequence(F.col("p"), F.col("l")).alias("tokens"))
+    docs = rows.groupBy(geometry.molecule()).agg(side(False).alias("p"), side(True).alias("l"))
+    docs = docs.select(F.when(F.col("molecule") % 4 == 0, "val").otherwise("train").alias("split"), sequences.build_sequence(F.col("p"), F.col("l")).alias("tokens"))
     folder = storage.new_folder(t.spark, "tokens")
     tables.write_tokens(docs, folder)
     return tables.token_counts(t.spark.read.parquet(folder))
 
 
-@query("""select label::bigint as label, count(*) as n from embeddings where vec_id % 5 <> 0 group by 1""")
+@query("""select vec_id // 20 as molecule, count(*) as n from embeddings group by 1""")
 def pdb_round_trip(t: Tables) -> DataFrame:
-    atoms = geometry.atoms(t).where("not is_ligand").withColumns({"name": F.col("element"), "resname": F.lit("ALA"), "chain": F.lit("A"), "resseq": (F.col("vec_id") % 9999).cast("int")})
-    text = tables.pdb_text(atoms, ["label"], "vec_id")
+    atoms = geometry.atoms(t).withColumns({"molecule": geometry.molecule(), "name": F.col("element"), "resname": F.lit("ALA"), "chain": F.lit("A"), "resseq": (F.col("vec_id") % 9999).cast("int")})
+    text = tables.pdb_text(atoms, ["molecule"], "vec_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "n": [len(records.parse_pdb(x)) for x in pdf["text"]]})
+            yield pd.DataFrame({"molecule": pdf["molecule"], "n": [len(records.parse_pdb(x)) for x in pdf["text"]]})
 
-    return text.mapInPandas(count, "label long, n long")
+    return text.mapInPandas(count, "molecule long, n long")
 
 
 @query("""with b as (select label::bigint * 1000 as n, label, vec_id from embeddings) select shard, count(*) as rows_ from (select floor(coalesce(sum(n) over (order by label, vec_id rows between unbounded preceding and 1 preceding), 0) / 100000)::bigint as shard from b) group by 1""")

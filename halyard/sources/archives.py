@@ -9,6 +9,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
@@ -27,18 +28,54 @@ def list_files(uri: str, suffixes: tuple[str, ...]) -> list[str]:
     return sorted(f"{lead}/{f.path.lstrip('/')}" for f in found if f.is_file and f.path.endswith(suffixes))
 
 
+class StorageError(RuntimeError):
+    """The file system, not the archive, is at fault."""
+
+
+class Reads(io.RawIOBase):
+    """A file whose failed reads can't be taken for a damaged archive."""
+
+    def __init__(self, of: pyarrow.NativeFile):
+        self.of = of
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return self.of.seekable()
+
+    def readinto(self, buffer: bytearray) -> int:
+        try:
+            data = self.of.read(len(buffer))
+        except OSError as e:
+            raise StorageError(str(e)) from e
+        buffer[: len(data)] = data
+        return len(data)
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        return self.of.seek(offset, whence)
+
+    def tell(self) -> int:
+        return self.of.tell()
+
+    def close(self) -> None:
+        self.of.close()
+        super().close()
+
+
 def members(uri: str, wanted: set[str] | None, unpack: bool) -> Iterator[tuple[str, bytes]]:
-    """(name, bytes) in order. A damaged archive ends where it is damaged; what was read stays. unpack: .gz members are unzipped; one
-    that can't be is passed over."""
+    """(name, bytes) in order. A damaged archive ends where it is damaged; what was read stays. What the file system refuses is an error,
+    so that the task runs again. unpack: .gz members are unzipped; one that can't be is passed over."""
     left = None if wanted is None else set(wanted)
     fs, path = file_system(uri)
+    opened = Reads(fs.open_input_file(path) if path.endswith(".zip") else fs.open_input_stream(path, compression=None))
     try:
         if path.endswith(".zip"):
-            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+            with opened as f, zipfile.ZipFile(f) as z:
                 each = ((n, lambda n=n: z.read(n)) for n in z.namelist() if not n.endswith("/"))
                 yield from _chosen(each, left, unpack)
         else:
-            with fs.open_input_stream(path, compression=None) as f, tarfile.open(fileobj=io.BufferedReader(f), mode="r|*") as t:
+            with opened as f, tarfile.open(fileobj=io.BufferedReader(f), mode="r|*") as t:
                 each = ((m.name, lambda m=m: t.extractfile(m).read()) for m in t if m.isfile())
                 yield from _chosen(each, left, unpack)
     except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError, ValueError):  # pyarrow's errors of position are ValueErrors

@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own where none is named and all runs in one process, as in
+    tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="halyard-shared-"))
     return sc.getCheckpointDir()
 
@@ -48,6 +51,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return uri
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folders of a table of cut() that nothing reads any more, as a pass's once the next one is written."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: short lineage, true sizes for the planner, nothing lost with an executor."""
     spark = df.sparkSession

@@ -236,9 +236,14 @@ def test_pruning():
     assert (0, 5) not in kept and len(kept) == 6
     star = [(0, k) for k in range(1, 6)]
     assert chemistry.prune_to_valence(["C"] * 6, [0] * 6, [0] * 6, star, x) == star
+    # a ring bond can go, then only bridges are left at an atom that still has too many: what went stays away
+    spokes = [(0, k) for k in range(1, 7)] + [(1, 2)]
+    far = np.array([[0, 0, 0], [1.5, 0, 0], [1.6, 1.4, 0], [-1.5, 0, 0], [0, -1.5, 0], [0, 0, 1.5], [0, 0, -1.5]])
+    assert chemistry.prune_to_valence(["C"] * 7, [0] * 7, [0] * 7, spokes, far) == [b for b in spokes if b != (0, 2)]
     chain = [(k, k + 1) for k in range(7)]
     line = np.array([[1.5 * k, 0, 0] for k in range(8)])
     assert chemistry.prune_leaves(["C"] * 8, chain, line, line[-1:] + 0.5, ["C"]) == list(range(6))
+    assert chemistry.prune_leaves(["C"] * 8, chain, line, line[-1:] + 0.5, ["H"]) == list(range(8))
     assert chemistry.relax_hydrogens(["C"] * 6, [0] * 6, [2] * 6, RING, [True] * 6) == [1] * 6
     assert chemistry.greedy_bonds([(0.9, 0, 1), (0.8, 0, 2), (0.4, 1, 2)], [1, 1, 1]) == [(0, 1)]
     assert chemistry.bond_distances(4, [(0, 1), (1, 2)])[0].tolist() == [0, 1, 2, 7]

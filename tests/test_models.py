@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from halyard.operators import models
+from halyard.operators import relational
+from pyspark.sql import functions as F
 
 
 def test_schedule_and_orders():
@@ -45,3 +47,30 @@ def test_dead_codes_restart(spark):
 
 def test_budget():
     assert models.WorkBudget(-1).spent() and not models.WorkBudget(60).spent()
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(k % 3, k, f"v{k}", "keep") for k in range(12)], "g long, o long, v string, _n string")
+    out = relational.first_wins(df, ["g"], ["o"])
+    assert out.columns == df.columns and {r._n for r in out.collect()} == {"keep"} and out.count() == 3
+    clash = df.withColumnsRenamed({"_n": "_part", "v": "_before"})
+    got = relational.global_position(clash, ["o"]).orderBy("o").collect()
+    assert [r.position for r in got] == list(range(12)) and got[5]._part == "keep" and got[5]._before == "v5"
+    assert relational.capped(df.withColumnRenamed("_n", "_kept"), ["g"], ["o"], 2).count() == 6
+
+
+def test_as_of_of_the_whole_table(spark):
+    df = spark.createDataFrame([(k, k % 7 == 3) for k in range(100)], "o long, s boolean").repartition(5)
+    got = {r.o: r.start for r in relational.as_of(df, "o", F.col("s")).collect()}
+    assert got == {k: max([j for j in range(k + 1) if j % 7 == 3], default=0) for k in range(100)}
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    values = {"a": [3.0, 1.0, 1.0, 8.0, 2.5], "b": [5.0], "c": list(range(40))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double").repartition(4)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r.k, r.prob): r.q for r in relational.quantiles(df, ["k"], "v", probs).collect()}
+    assert got.keys() == {(k, i) for k in values for i in range(5)}
+    assert all(abs(got[k, i] - np.quantile(values[k], p)) < 1e-9 for k in values for i, p in enumerate(probs))

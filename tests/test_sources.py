@@ -198,3 +198,19 @@ def test_plan_prunes_and_pushes(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(shard_idx), IsNotNull(source_type), EqualTo(shard_idx,1)" in plan.replace("`", "") or "EqualTo(shard_idx,1)" in plan
     assert "unused" not in plan.split("ReadSchema")[1] and scalars.AFFINITY
+
+
+def test_missing_and_failing_archives_are_errors(tmp_path, monkeypatch):
+    with pytest.raises(OSError):
+        list(archives.members(str(tmp_path / "none.tar"), None, True))
+    archive(tmp_path / "a.tar", {"x": b"x" * 5000, "y": b"y" * 5000})
+    data = (tmp_path / "a.tar").read_bytes()
+    (tmp_path / "cut.tar").write_bytes(data[:6000])
+    assert [n for n, _ in archives.members(str(tmp_path / "cut.tar"), None, True)] == ["x"]
+
+    class Failing:
+        def read(self, n):
+            raise OSError("the store is away")
+
+    with pytest.raises(archives.StorageError):
+        archives.Reads(Failing()).readinto(bytearray(10))
