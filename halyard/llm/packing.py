@@ -1,21 +1,24 @@
 """Packing: vector bin packing. Documents become token runs; runs are placed into sequences under simultaneous limits on tokens,
 segments and loss-bearing tokens by the dot-product heuristic: the open sequence takes the run with the largest product of demand
-and what is left, each as a share of its limit. When no run fits whole, one is cut, so that sequences end full.
+and what is left, each as a share of its limit (of equal products the first). When no run fits whole the same holds of what
+can be cut from each, and the last segment goes to the run that fills most of what is left, so that sequences end full; a document
+longer than a sequence is cut where its prompt ends beforehand. A sequence that nothing can fill within its limits is dealt out in powers of two, which need no padding, as is the last
+one of a task.
 
 Every task packs the rows of its own partition from a pool of bounded size, so nothing is shuffled and no task sees another's rows.
-The last, short sequence of a task is dealt out in powers of two, which need no padding.
+Which rows meet depends on their order there: a scan or a sort fixes it, and without one a task that runs again may pack otherwise.
 
 Defined cases: null text is the empty text, whose only token is the end token; repeated rows are packed once each; an empty table
-gives an empty table; columns other than those named are not carried. A run's first token bears no loss: nothing stands before it. Nor do the tokens of a
-document's prompt, where a column gives their number (null: none). Without prompts loss = tokens - segments, and the product always picks
-the longest run that fits: best fit by size.
+gives an empty table; columns other than those named are not carried. A run's first token bears no loss: nothing stands before it. Nor
+do the tokens of a document's prompt: as many as a column says (null: none), or as a rule tells. The query draws prompts for its plain
+documents from doc_id, and has limits at which each of the three can bind.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +35,7 @@ END_ID = 1
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence. pool: runs that a task holds while it chooses."""
+    """Of one sequence. pool: runs that a task holds while it chooses, and full sequences' worth of tokens."""
 
     tokens: int = 2048
     segments: int = 512
@@ -99,52 +102,59 @@ class Packer:
     def __init__(self, limits: Limits):
         self.most = limits
         self.runs: list[Run] = []
-        self.size = np.empty(0, np.int64)
+        self.held = 0
 
     def add(self, run: Run) -> Iterator[list[Run]]:
-        while len(run.ids) >= (whole := min(self.most.tokens, self.most.loss_tokens + run.lead())):
-            full, run = run.split(whole)
-            yield [full]
-        if len(run.ids):
-            self.runs.append(run)
-        if len(self.runs) >= 2 * self.most.pool:
+        prompt = min(run.prompt - run.start, len(run.ids))
+        parts = run.split(prompt) if len(run.ids) > self.most.tokens and 0 < prompt < len(run.ids) else (run,)
+        self.runs += [r for r in parts if len(r.ids)]
+        self.held += len(run.ids)
+        if len(self.runs) >= 2 * self.most.pool or self.held >= 2 * self.most.pool * self.most.tokens:
             yield from self.drain(self.most.pool)
 
     def drain(self, leave: int) -> Iterator[list[Run]]:
-        """Packs until that many runs are left."""
+        """Packs until that many runs, and that many full sequences' tokens, are left."""
         size = np.array([len(r.ids) for r in self.runs], np.int64)
-        loss = np.array([r.loss() for r in self.runs], np.int64)
+        lead = np.array([r.lead() for r in self.runs], np.int64)
+        loss = np.maximum(size - lead, 0)
         there = np.ones(len(size), bool)
         count = len(size)
         limit = np.array([self.most.tokens, self.most.segments, self.most.loss_tokens], float)
-        while count > leave:
+        while count > leave or self.held > leave * self.most.tokens:
             left, taken = limit.copy(), []
-            while count and left[1] >= 1:
-                fits = there & (size <= left[0]) & (loss <= left[2])
-                if not fits.any():
-                    break
+            while count and left[0] >= 1 and left[1] >= 1:
                 weigh = left / limit**2
-                k = int(np.argmax(np.where(fits, size * weigh[0] + weigh[1] + loss * weigh[2], -1.0)))
-                taken.append(self.runs[k])
-                there[k] = False
-                count -= 1
-                left -= (size[k], 1, loss[k])
-            if count and left[1] >= 1 and left[0] >= 1:  # what is left is too long: cut the longest
-                k = int(np.argmax(np.where(there, size, -1)))
-                part, self.runs[k] = self.runs[k].split(int(min(left[0], left[2] + self.runs[k].lead())))
-                size[k], loss[k] = len(self.runs[k].ids), self.runs[k].loss()
+                fits = there & (size <= left[0]) & (loss <= left[2])
+                if left[1] > 1 and fits.any():
+                    k = int(np.argmax(np.where(fits, size * weigh[0] + weigh[1] + loss * weigh[2], -1.0)))
+                    n = size[k]
+                else:
+                    room = np.where(there, np.minimum(np.minimum(size, int(left[0])), int(left[2]) + lead), 0)
+                    able = there if left[1] > 1 else room == room.max()
+                    k = int(np.argmax(np.where(able, room * weigh[0] + weigh[1] + np.maximum(room - lead, 0) * weigh[2], -1.0)))
+                    n = room[k]
+                if n < size[k]:
+                    part, self.runs[k] = self.runs[k].split(int(n))
+                    size[k], lead[k] = size[k] - n, self.runs[k].lead()
+                    loss[k] = max(size[k] - lead[k], 0)
+                else:
+                    part, there[k] = self.runs[k], False
+                    count -= 1
                 taken.append(part)
-            if not count and sum(len(r.ids) for r in taken) < self.most.tokens:
-                self.runs = taken
+                left -= (n, 1, part.loss())
+            full = sum(len(r.ids) for r in taken)
+            if not count and full < self.most.tokens:
+                self.runs, self.held = taken, full
                 return
-            yield taken
+            self.held -= full
+            yield from [taken] if full == self.most.tokens else self.powers(taken)
         self.runs = [r for r, x in zip(self.runs, there, strict=True) if x]
 
-    def finish(self) -> Iterator[list[Run]]:
-        yield from self.drain(0)
+    def powers(self, runs: list[Run]) -> Iterator[list[Run]]:
+        """The runs in sequences of powers of two, the largest first."""
         sequence, left = [], 0
-        rest = sum(len(r.ids) for r in self.runs)
-        queue = self.runs[::-1]
+        rest = sum(len(r.ids) for r in runs)
+        queue = runs[::-1]
         while queue:
             left = left or 1 << (rest.bit_length() - 1)
             run = queue.pop()
@@ -157,13 +167,17 @@ class Packer:
             if not left:
                 yield sequence
                 sequence = []
-        self.runs = []
 
+    def finish(self) -> Iterator[list[Run]]:
+        yield from self.drain(0)
+        yield from self.powers(self.runs)
+        self.runs, self.held = [], 0
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, json_path: str = "", rank_path: str | None = "", keep_ids: bool = True, prompt_col: str | None = None) -> DataFrame:
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, json_path: str = "", rank_path: str | None = "", keep_ids: bool = True, prompt_col: str | None = None, prompt_rule: Callable[[object, int], int] | None = None) -> DataFrame:
     """A row for each run: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with keep_ids, its ids. Paths: of the
     tokenizer; rank_path None keeps to the tokenizers library. sequence_id: the task's partition above its own count.
-    prompt_col: how many of a document's first tokens bear no loss."""
+    prompt_col: how many of a document's first tokens bear no loss; else prompt_rule tells it from a document's id and number of tokens."""
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     rank_path = public_tokenizers.path("byte_bpe_50k.tiktoken") if rank_path == "" else rank_path
     limits = limits or Limits()
@@ -197,7 +211,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
             for s in common.slices(b, "_text"):
                 for doc, text, prompt in zip(*(c.to_pylist() for c in s.columns), strict=True):
                     ids = np.append(tokens.ids(text or ""), np.uint32(END_ID))
-                    keep(packer.add(Run(doc, 0, len(ids), ids, prompt or 0)))
+                    keep(packer.add(Run(doc, 0, len(ids), ids, prompt_rule(doc, len(ids)) if prompt_rule else prompt or 0)))
                 if done:
                     yield out()
         keep(packer.finish())
@@ -209,5 +223,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits:
     return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), prompt).mapInArrow(over, schema)
 
 
+#: Of the query: 9/16 of the tokens bear loss, so 3/4 of a sequence is a limit that its choices have to mind.
+QUERY_LIMITS = Limits(tokens=2048, segments=8, loss_tokens=1536)
+
+
+def drawn_prompt(doc: object, tokens: int) -> int:
+    """Plain documents have no prompts: none to seven eighths of their tokens, as the crc32 of doc_id as text draws it, stand for one."""
+    return tokens * (zlib.crc32(str(doc).encode()) % 8) // 8
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), keep_ids=False)
+    return pack(common.table(spark, sf_dir, "documents"), limits=QUERY_LIMITS, keep_ids=False, prompt_rule=drawn_prompt)
