@@ -3,11 +3,12 @@ paragraph (a line, white space and case aside) is hashed and joined to the parag
 themselves. The message that most of the nearest level's paragraphs come from is the parent; parents make the threads.
 
 A quoted paragraph is looked up in the order of the scope's messages, not paired with every message that says it: the latest
-before the quote counts. Roots and depths come by doubling of parent pointers, in as many rounds as the logarithm of the longest
+before the quote counts. The look-up goes by segments of the order, with the last saying of the segments before carried on, so that
+a paragraph which a long conversation repeats is not sorted in one task. Roots and depths come by doubling of parent pointers, in as many rounds as the logarithm of the longest
 thread. Threads are rows in reply order (a parent's order is before its replies'), never one collected value.
 
 Defined cases: null text is the empty text, which quotes and says nothing; messages without an id, a scope or an order are their own
-thread; what quotes nothing known is a root; rows with one id say what each says and have one parent; an empty table gives an empty
+thread; what quotes nothing known is a root; of equally many votes the latest message wins; rows with one id say what each says and have one parent; an empty table gives an empty
 table; other columns than those named are not carried.
 """
 
@@ -17,8 +18,9 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from halyard.llm import common
@@ -28,13 +30,24 @@ _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _NAMED = re.compile(r"^\s*\S.{0,300}\b(?:wrote|writes|schrieb|a écrit|escribió)[^\n]{0,80}:\s*$")
 
 
+#: A message's own line that a mark would take for a quote, as escape() writes it: one backslash more.
+_ESCAPED = re.compile(r"^\\([ \t]*\\*>)")
+#: Messages of a scope in a segment of the look-up, about, where their order is a number.
+SEGMENT = 1024
+
+
+def escape(text: Column) -> Column:
+    """text with its own lines that start like quotes escaped; levels() undoes it."""
+    return F.regexp_replace(text, r"(?m)^([ \t]*\\*>)", r"\\$1")
+
+
 def levels(text: str) -> list[tuple[int, str]]:
-    """(quote level, line without its marks) of each line; lines that only name a quoted writer are left out."""
+    """(quote level, line without its marks and escape) of each line; lines that only name a quoted writer are left out."""
     out = []
     for line in text.split("\n"):
         m = _MARKS.match(line)
         out.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
-    return [x for k, x in enumerate(out) if not (_NAMED.match(x[1]) and k + 1 < len(out) and out[k + 1][0] > x[0])]
+    return [(x[0], _ESCAPED.sub(r"\1", x[1])) for k, x in enumerate(out) if not (_NAMED.match(x[1]) and k + 1 < len(out) and out[k + 1][0] > x[0])]
 
 
 def paragraph_hash(line: str) -> int | None:
@@ -80,9 +93,15 @@ def parents(messages: DataFrame) -> DataFrame:
     # only paragraphs that someone quotes go through the look-up
     wanted = quoted.select("scope", "hash").distinct()
     both = said.join(wanted, ["scope", "hash"], "left_semi").unionByName(quoted)
-    before = Window.partitionBy("scope", "hash").orderBy("ord", "kind", "id").rowsBetween(Window.unboundedPreceding, -1)
+    by_number = isinstance(messages.schema["ord"].dataType, NumericType)
+    both = both.withColumn("segment", F.floor(F.col("ord") / SEGMENT) if by_number else F.lit(0).cast("long"))
+    before = Window.partitionBy("scope", "hash", "segment").orderBy("ord", "kind", "id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("kind") == 1, F.struct("ord", "id")), ignorenulls=True).over(before)
-    found = both.withColumn("by", last).where("kind = 0 and by is not null and by.ord < ord and by.id <> id")
+    # a row a segment: what its earlier ones said last
+    ends = both.groupBy("scope", "hash", "segment").agg(F.max(F.when(F.col("kind") == 1, F.struct("ord", "id"))).alias("end"))
+    earlier = Window.partitionBy("scope", "hash").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("scope", "hash", "segment", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    found = both.withColumn("inside", last).where("kind = 0").join(ends, ["scope", "hash", "segment"]).withColumn("by", F.coalesce("inside", "carried")).where("kind = 0 and by is not null and by.ord < ord and by.id <> id")
     votes = found.groupBy("id", "level", "by").agg(F.count("*").alias("n"))
     best = F.max(F.struct(-F.col("level"), F.col("n"), F.col("by.ord").alias("by_ord"), F.col("by.id").alias("by_id"))).alias("b")
     return votes.groupBy("id").agg(best).select("id", F.col("b.by_id").alias("parent"))
@@ -106,32 +125,49 @@ def link(messages: DataFrame, id_col: str, scope_col: str, order_col: str, text_
     return out.select(F.col("id").alias(id_col), F.col("scope").alias(scope_col), F.col("ord").alias(order_col), "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.col("said").alias(text_col))
 
 
-def as_mail(conversations: DataFrame) -> DataFrame:
-    """The conversations as a mailing list would hold them: each turn quotes the one before it whole, and in that the one before. A
-    null role is empty; of repeated rows of a turn the least text is quoted."""
+def one_of_three() -> Column:
+    """The turn that a turn of branching mail answers: one of the three before it, told by its ids."""
+    return F.col("turn") - 1 - F.pmod(F.col("conv_id") * 7 + F.col("turn") * 5, F.lit(3))
+
+
+def as_mail(conversations: DataFrame, answers: Column | None = None) -> DataFrame:
+    """The conversations as a mailing list would hold them: a turn answers that turn (the one before it; where there is no such turn it
+    starts a thread), quotes it whole and in it what that one answers. A null role is empty; of repeated rows of a turn the least
+    text is quoted."""
     key = (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("msg")
-    turns = conversations.select(key, "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    one = turns.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select("conv_id", "turn", "m.*")
-    back = lambda k: one.select(F.col("conv_id"), (F.col("turn") + k).alias("turn"), F.col("text").alias(f"t{k}"), F.col("role").alias(f"r{k}"))
+    turns = conversations.select(key, "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    turns = turns.withColumn("answers", F.col("turn") - 1 if answers is None else answers)
+    one = turns.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role", "answers")).alias("m")).select("conv_id", "turn", "m.*")
+    said = lambda k, at: one.select("conv_id", F.col("turn").alias(at), F.col("text").alias(f"t{k}"), F.col("role").alias(f"r{k}"), F.col("answers").alias(f"a{k}"))
     marked = lambda c, mark: F.regexp_replace(F.concat(F.lit("\n"), F.col(c)), "\n", "\n" + mark)
     second = F.when(F.col("t2").isNotNull(), F.concat(F.lit("\n> "), F.col("r2"), F.lit(" wrote:"), marked("t2", "> > "))).otherwise("")
     first = F.when(F.col("t1").isNotNull(), F.concat(F.col("r1"), F.lit(" wrote:"), second, marked("t1", "> "), F.lit("\n\n"))).otherwise("")
-    return turns.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left").select("msg", "conv_id", "turn", F.concat(first, "text").alias("text"))
+    answered = turns.join(said(1, "answers"), ["conv_id", "answers"], "left").join(said(2, "a1").drop("a2"), ["conv_id", "a1"], "left")
+    return answered.select("msg", "conv_id", "turn", F.concat(first, "text").alias("text"))
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as mail, linked again: conv_id, turn, parent_turn, root_turn, depth, and the md5 of the text without quotes,
+    """Every conversation as branching mail, linked again: conv_id, turn, parent_turn, root_turn, depth, and the md5 of the text without quotes,
     white space aside."""
-    linked = link(as_mail(common.table(spark, sf_dir, "conversations")), "msg", "conv_id", "turn", "text")
+    linked = link(as_mail(common.table(spark, sf_dir, "conversations"), one_of_three()), "msg", "conv_id", "turn", "text")
     turn = lambda c: F.pmod(F.col(c), F.lit(1 << 20)).alias(f"{c}_turn")
     plain = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
     return linked.select("conv_id", "turn", turn("parent"), turn("root"), "depth", F.md5(plain).alias("text_md5"))
 
 
 SQL = """
-with t as (select conv_id, turn::bigint as turn, coalesce(text, '') as text from conversations),
-p as (select t.*, regexp_matches(b.text, '[^ \\t\\n\\r\\f\\x0B]') as said from t left join t b on b.conv_id = t.conv_id and b.turn = t.turn - 1),
-r as (select *, max(case when coalesce(said, false) then null else turn end) over (partition by conv_id order by turn rows unbounded preceding) as root_turn from p)
-select conv_id, turn, case when root_turn < turn then turn - 1 end as parent_turn, root_turn, turn - root_turn as depth,
-  md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) as text_md5 from r
+with recursive t as (select conv_id, turn::bigint as turn, coalesce(text, '') as text, turn::bigint - 1 - (conv_id * 7 + turn * 5) % 3 as answers from conversations),
+lines as (select distinct conv_id, turn, lower(trim(regexp_replace(line, '[ \\t\\r\\f\\x0B]+', ' ', 'g'))) as line from (select conv_id, turn, unnest(string_split(text, chr(10))) as line from t)),
+said as (select * from lines where line <> ''),
+quoted as (select t.conv_id, t.turn, 1 as level, s.line from t join said s on s.conv_id = t.conv_id and s.turn = t.answers
+  union all select t.conv_id, t.turn, 2, s.line from t join t p on p.conv_id = t.conv_id and p.turn = t.answers join said s on s.conv_id = t.conv_id and s.turn = p.answers),
+found as (select q.conv_id, q.turn, q.level, q.line, max(s.turn) as by_turn from quoted q join said s on s.conv_id = q.conv_id and s.line = q.line and s.turn < q.turn group by all),
+votes as (select conv_id, turn, level, by_turn, count(*) as n from found group by all),
+parent as (select conv_id, turn, by_turn as parent_turn from votes qualify row_number() over (partition by conv_id, turn order by level, n desc, by_turn desc) = 1),
+up as (select conv_id, turn, parent_turn as root_turn, 1::bigint as depth from parent
+  union all select u.conv_id, u.turn, p.parent_turn, u.depth + 1 from up u join parent p on p.conv_id = u.conv_id and p.turn = u.root_turn),
+top as (select conv_id, turn, arg_max(root_turn, depth) as root_turn, max(depth) as depth from up group by 1, 2)
+select t.conv_id, t.turn, p.parent_turn, coalesce(top.root_turn, t.turn) as root_turn, coalesce(top.depth, 0) as depth,
+  md5(trim(regexp_replace(t.text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) as text_md5
+from t left join parent p on p.conv_id = t.conv_id and p.turn = t.turn left join top on top.conv_id = t.conv_id and top.turn = t.turn
 """
