@@ -1,5 +1,6 @@
-"""Media columns: telephony audio. Payload bytes are kept as mu-law, A-law or IMA ADPCM data in a WAVE file, which is parsed
-again, expanded by lookup tables (ADPCM: numpy across all blocks of a slice, one step a nibble) and resampled to PCM.
+"""Media columns: telephony audio. Payload bytes are stored as mu-law, A-law or IMA ADPCM data in WAVE files, a column of a written
+table. What is read back from there is parsed, expanded by lookup tables (ADPCM: numpy across all blocks of a slice, one step a nibble)
+and resampled to PCM, a column of the result.
 
 Defined cases: null text is the empty text; the empty text is one unit of 576 filler bytes; repeated rows give repeated rows; an
 empty table gives an empty table; columns other than the two named are not carried. Equal texts give equal values.
@@ -105,13 +106,13 @@ def wave(codec: str, payload: bytes, rate: int = RATE, block: int = BLOCK) -> by
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(fmt) + len(data), b"WAVE", b"fmt ", len(fmt)) + fmt + data
 
 
-def parse_wave(media: bytes) -> tuple[str, int, int, memoryview]:
+def parse_wave(media: bytes | pa.Buffer) -> tuple[str, int, int, memoryview]:
     """Codec, rate, block size and data chunk of such a file; walks the chunks."""
     view, at, found = memoryview(media), 12, {}
-    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+    if view[:4] != b"RIFF" or view[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    while at + 8 <= len(media):
-        kind, size = struct.unpack_from("<4sI", media, at)
+    while at + 8 <= len(view):
+        kind, size = struct.unpack_from("<4sI", view, at)
         found[kind] = view[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     tag, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", found[b"fmt "])
@@ -131,6 +132,22 @@ def features(codec: str, pcm: np.ndarray, rate: int) -> str:
     return f"{codec};{rate};{len(x)};{peak};{rms};{int(np.count_nonzero(s[1:] != s[:-1]))}"
 
 
+def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, media (the WAVE file), written to the shared folder: what comes back is read from there."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, waves = [], []
+        for text in batch.column(1):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            payload = raw + FILLER * (-len(raw) % UNIT if raw else UNIT)
+            sizes.append(len(raw))
+            waves.append(wave(codec_of(hashlib.sha256(payload).hexdigest()), payload))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(waves, pa.binary())], names=["id", "n_bytes", "media"])
+
+    rows = common.small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"))
+    return common.cut(rows.mapInArrow(common.in_slices(one, "_text"), f"id {dict(df.dtypes)[id_col]}, n_bytes long, media binary"), "media")
+
+
 def telephony_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_rate: int = 16000, keep_media: bool = True) -> DataFrame:
     """A row for each row of df: its id and the digests, sizes and features of its stored and decoded audio; with keep_media also
     media (the WAVE file of codes) and pcm (little-endian 16-bit samples at out_rate)."""
@@ -138,13 +155,7 @@ def telephony_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm_bytes long, pcm_sha256 string, feature string" + (", media binary, pcm binary" if keep_media else "")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, waves = [], []
-        for text in batch.column(1):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            payload = raw + FILLER * (-len(raw) % UNIT if raw else UNIT)
-            codec = codec_of(hashlib.sha256(payload).hexdigest())
-            waves.append(wave(codec, payload))
-            rows.append([len(raw)])
+        waves = [m.as_buffer() for m in batch.column(2)]
         read = [parse_wave(m) for m in waves]
         coded = [k for k, r in enumerate(read) if r[0] == "ima_adpcm"]
         pcm: dict[int, np.ndarray] = {}
@@ -155,20 +166,20 @@ def telephony_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = len(read[k][3]) // read[k][2]
                 pcm[k] = all_blocks[at : at + n].ravel()
                 at += n
-        kept = []
+        rows, sounds = [], []
         for k, (codec, rate, _, data) in enumerate(read):
             samples = pcm[k] if k in pcm else EXPAND[codec][np.frombuffer(data, np.uint8)]
             out = np.ascontiguousarray(resample(samples, rate, out_rate))
             sound = out.astype("<i2", copy=False).tobytes()
-            rows[k] += [len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(waves[k]), hashlib.sha256(waves[k]).hexdigest(), codec, len(sound), hashlib.sha256(sound).hexdigest(), features(codec, out, out_rate)]
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(waves[k]), hashlib.sha256(waves[k]).hexdigest(), codec, len(sound), hashlib.sha256(sound).hexdigest(), features(codec, out, out_rate)))
             if keep_media:
-                kept.append((waves[k], sound))
-        cols = [batch.column(0), *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows, strict=True))]
-        cols += [pa.array(c, pa.binary()) for c in zip(*kept, strict=True)] if keep_media else []
+                sounds.append(sound)
+        cols = [batch.column(0), batch.column(1), *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows, strict=True))]
+        cols += [batch.column(2), pa.array(sounds, pa.binary())] if keep_media else []
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm_bytes", "pcm_sha256", "feature"] + ["media", "pcm"] * keep_media
-    return common.small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(common.in_slices(one, "_text"), schema)
+    return store_media(df, id_col, text_col).mapInArrow(common.in_slices(one, "media"), schema)
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
