@@ -165,6 +165,18 @@ def test_telephony_round_trip(spark):
         assert telephony.resample(pcm, rate, 16000).tobytes() == bytes(r.pcm)
 
 
+def test_telephony_reads_what_is_stored(spark, monkeypatch):
+    """A change of the stored files shows in the result."""
+    store = telephony.store_media
+    swapped = lambda *a: store(*a).withColumn("media", F.expr("overlay(media placing X'00' from octet_length(media))"))
+    df = documents(spark, ["some text", "x" * 600])
+    plain = {r.doc_id: r for r in telephony.telephony_columns(df, keep_media=False).collect()}
+    monkeypatch.setattr(telephony, "store_media", swapped)
+    other = {r.doc_id: r for r in telephony.telephony_columns(df, keep_media=False).collect()}
+    assert all(plain[k].payload_sha256 != other[k].payload_sha256 and plain[k].tail_crc32 != other[k].tail_crc32 for k in plain)
+    assert telephony.telephony_columns(df.limit(0)).count() == 0
+
+
 def test_packing_counts_loss_from_prompts(spark):
     run = lambda doc, n, prompt: packing.Run(doc, 0, n, np.zeros(n, np.uint32), prompt)
     packer = packing.Packer(packing.Limits(tokens=100, segments=9, loss_tokens=50))
@@ -185,6 +197,72 @@ def test_packing_counts_loss_from_prompts(spark):
     assert all(seen[r.doc_id] == r.doc_tokens for r in rows) and len(seen) == 40
 
 
+def slow_packing(runs, limits):
+    """Sequences of (doc, start, length) by the rule, one run at a time; what no rule fills in powers of two."""
+    pool, out = [], []  # doc, start, length, prompt
+    for doc, start, n, prompt in runs:  # a long one is cut where its prompt ends
+        cut = [(0, prompt), (prompt, n - prompt)] if n > limits.tokens and 0 < prompt < n else [(0, n)]
+        pool += [[doc, start + a, m, prompt] for a, m in cut]
+    cost = lambda r, n: max(0, n - max(1, r[3] - r[1]))
+    while pool:
+        left, taken = [limits.tokens, limits.segments, limits.loss_tokens], []
+        while pool and left[0] and left[1]:
+            fits = [r for r in pool if r[2] <= left[0] and cost(r, r[2]) <= left[2]]
+            room = lambda r: min(r[2], left[0], left[2] + max(1, r[3] - r[1]))  # noqa: E731, B023
+            weigh = [a / b**2 for a, b in zip(left, (limits.tokens, limits.segments, limits.loss_tokens), strict=True)]
+            value = lambda r: room(r) * weigh[0] + weigh[1] + cost(r, room(r)) * weigh[2]  # noqa: E731, B023
+            if left[1] == 1:
+                fits = [r for r in pool if room(r) == max(map(room, pool))]
+            best = max(fits or pool, key=value)
+            n = room(best)
+            taken.append((best[0], best[1], n))
+            left = [left[0] - n, left[1] - 1, left[2] - cost(best, n)]
+            best[1], best[2] = best[1] + n, best[2] - n
+            pool = [r for r in pool if r[2]]
+        out.append(taken)
+    return out
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(100, 9, 50), packing.Limits(64, 3, 64), packing.Limits(128, 5, 70), packing.Limits(100, 50, 20)])
+def test_packing_is_the_rules(limits):
+    """Against a slow packer; each of the limits binds, and the product chooses other runs than the longest."""
+    rng = random.Random(limits.tokens + limits.segments)
+    runs = [(k, 0, n, rng.randint(0, n)) for k in range(150) for n in [rng.choice([1, 2, 7, 30, 90])]]
+    packer = packing.Packer(limits)
+    for doc, start, n, prompt in runs:
+        assert not list(packer.add(packing.Run(doc, start, n, np.zeros(n, np.uint32), prompt)))
+    got = [[(r.doc, r.start, len(r.ids), r.loss()) for r in s] for s in packer.finish()]
+    want = slow_packing(runs, limits)
+    full = [s for s in want if sum(n for _, _, n in s) == limits.tokens]
+    assert [[x[:3] for x in s] for s in got if sum(x[2] for x in s) == limits.tokens] == full
+    sizes = [sum(x[2] for x in s) for s in got]
+    assert all(n == limits.tokens or n & (n - 1) == 0 for n in sizes) and sum(sizes) == sum(r[2] for r in runs)
+    assert max(len(s) for s in got) <= limits.segments and max(sum(x[3] for x in s) for s in got) <= limits.loss_tokens
+    seen = defaultdict(list)
+    for s in got:
+        for doc, start, n, _ in s:
+            seen[doc] += range(start, start + n)
+    assert all(sorted(seen[k]) == list(range(n)) for k, _, n, _ in runs)
+
+
+def test_query_limits_bind(spark, tmp_path):
+    rng = random.Random(15)
+    texts = [prose(rng, rng.choice([2, 8, 60, 400, 3000])) for _ in range(150)] + ["", None]
+    documents(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = packing.op4_vector_packing(spark, str(tmp_path)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    loss = [sum(max(0, r.length - max(1, packing.drawn_prompt(r.doc_id, r.doc_tokens) - r.start)) for r in s) for s in by.values()]
+    sizes = [sum(r.length for r in s) for s in by.values()]
+    assert max(loss) == packing.QUERY_LIMITS.loss_tokens and max(map(len, by.values())) == packing.QUERY_LIMITS.segments
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sizes) and sum(n == 2048 for n in sizes) > 0.9 * sum(sizes) // 2048
+    want = defaultdict(int)
+    for r in rows:
+        want[r.doc_id] += r.length
+    assert all(want[r.doc_id] == r.doc_tokens for r in rows) and len(want) == len(texts)
+
+
 # --- language ID
 
 LANGS = {"one": "abcdefg", "two": "hijklmn", "three": "опрстуф"}
@@ -601,6 +679,40 @@ def test_mail_of_odd_turns(spark):
     assert texts[1, 1] == " wrote:\n> first\n\nsecond" and texts[1, 2] == "user wrote:\n>  wrote:\n> > first\n> second\n\nthird"
 
 
+def test_own_lines_like_quotes_stay(spark):
+    own = "> my own marked line\nrest\n  >> and\n\\\\> this\nx wrote:"
+    rows = [(1, 0, "a", own), (1, 1, "b", "x wrote:\n> like mail"), (1, 2, "c", "> my own marked line"), (1, 3, "d", "end")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.link(quotes.as_mail(df), "msg", "conv_id", "turn", "text").collect()}
+    assert [got[k].text for k in range(4)] == [r[3] for r in rows]
+    assert [(got[k].parent, got[k].depth) for k in range(4)] == [(None, 0), (1 << 20, 1), ((1 << 20) + 1, 2), ((1 << 20) + 2, 3)]
+
+
+def test_quotes_over_segments(spark, monkeypatch):
+    """One paragraph that a long conversation repeats: the latest saying before the quote, in whichever segment."""
+    monkeypatch.setattr(quotes, "SEGMENT", 8)
+    rows = [(k, "s", k, "again and again" if k % 10 == 3 else f"> again and again\nanswer {k}" if k % 3 == 0 else f"own {k}") for k in range(90)]
+    df = spark.createDataFrame(rows, "msg long, scope string, n int, text string")
+    for order in ("n", "lpad(n, 4, '0')"):  # an order that is no number goes without segments
+        got = {r.msg: r.parent for r in quotes.link(df.withColumn("n", F.expr(order)), "msg", "scope", "n", "text").collect()}
+        assert got == {k: max([j for j in range(k) if j % 10 == 3], default=None) if k % 3 == 0 and k % 10 != 3 else None for k in range(90)}
+
+
+def test_branching_mail_is_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(14)
+    lines = ["yes", "No  way", "> marked", "thanks", "", "\\> odd", "see above", "SEE above"]
+    rows = [(c, t, "u", "\n".join(rng.choice([*lines, f"own {c} {t}"]) for _ in range(rng.randint(0, 4))) if rng.random() < 0.95 else None) for c in range(30) for t in range(rng.randint(1, 14))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = quotes.op5_quotation_linking(spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({quotes.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert len({r[4] for r in want}) > 3
+
+
 def test_quotes_link_threads(spark):
     rows = [
         (1, "x", 1, "question one\nwith two lines"), (2, "x", 2, "> question one\nanswer"), (3, "x", 3, "> > question one\n> answer\nthanks"), (4, "x", 4, "> with two lines\nother answer"),
