@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from halyard.functions import statistics
+from halyard.functions import scalars, statistics
 from halyard.operators import relational
 
 GROUP_FLOOR, SA_MOST, QED_LEAST = 3, 5.0, 0.4
@@ -191,3 +193,64 @@ def balanced_mean(df: DataFrame, example: str, component: str, loss: str) -> Dat
     """Mean over examples of the mean over present components of the mean loss."""
     inner = df.where(F.col(loss).isNotNull()).groupBy(example, component).agg(F.avg(loss).alias("_l"))
     return inner.groupBy(example).agg(F.avg("_l").alias("_l")).agg(F.avg("_l").alias("loss"), F.count("*").alias("n_examples"))
+
+
+def beats(table: DataFrame, method: str, reference: str, metrics: list[str]) -> DataFrame:
+    """Each other method against the reference row: the metrics' differences, and beats where all are positive (not where one is null)."""
+    base = table.where(F.col(method) == reference).select(*metrics).first()
+    out = table.where(F.col(method) != reference)
+    delta = {f"delta_{m}": F.col(m) - F.lit(None if base is None else base[m]).cast("double") for m in metrics}
+    won = F.lit(True)
+    for d in delta.values():
+        won = won & F.coalesce(d > 0, F.lit(False))
+    return out.withColumns(delta | {"beats": won}).select(method, *delta, "beats")
+
+
+def diversity(df: DataFrame, keys: list[str], smiles: str, scaffold: str, valid: Column, hit: Column, known: DataFrame) -> DataFrame:
+    """Of each key n_valid, validity, uniqueness, novelty (of distinct valid ones, against known's smiles), scaffold_diversity (over valid
+    ones) and hit_scaffolds (distinct ones of hits over all rows)."""
+    ok, won = F.coalesce(valid, F.lit(False)), F.coalesce(hit, F.lit(False))
+    novel = known.select(F.col(smiles)).distinct().withColumn("_known", F.lit(True))
+    rows = df.join(novel, smiles, "left").groupBy(*keys)
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    n, n_valid = F.count("*"), F.count_if(ok)
+    unique = F.count_distinct(F.when(ok, F.col(smiles)))
+    return rows.agg(
+        n_valid.alias("n_valid"), ratio(n_valid, n).alias("validity"), ratio(unique, n_valid).alias("uniqueness"),
+        ratio(F.count_distinct(F.when(ok & F.col("_known").isNull(), F.col(smiles))), unique).alias("novelty"),
+        ratio(F.count_distinct(F.when(ok, F.col(scaffold))), n_valid).alias("scaffold_diversity"), ratio(F.count_distinct(F.when(ok & won, F.col(scaffold))), n).alias("hit_scaffolds"),
+    )
+
+
+def signed_ranks(values: DataFrame, reference: str, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
+    """Wilcoxon's signed ranks of each method against the reference on shared units, zeros left out: n, n_nonzero, w (the smaller rank
+    sum), z of the normal form with its variance corrected for ties. No task holds a method's units at once but the window's sort."""
+    base = values.where(F.col(method) == reference).select(unit, F.col(value).alias("_base"))
+    rows = values.where(F.col(method) != reference).join(base, unit).select(method, (F.col(value) - F.col("_base")).alias("_d")).where("_d is not null and not isnan(_d)")
+    sizes = rows.groupBy(method, F.abs("_d").alias("_size")).agg(F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_plus"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(method).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = sizes.where("_size > 0").withColumn("_rank", before + (F.col("_t") + 1) / 2)
+    t, m = F.col("_t").cast("double"), F.col("m").cast("double")
+    sums = some.groupBy(method).agg(F.sum("_t").alias("m"), F.sum(F.col("_rank") * F.col("_plus")).alias("plus"), F.sum(t * t * t - t).alias("ties"))
+    n = sizes.groupBy(method).agg(F.sum("_t").alias("n"))
+    w = F.least(F.col("plus"), m * (m + 1) / 2 - F.col("plus"))
+    z = F.try_divide(w - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48))
+    return n.join(sums, method, "left").select(method, "n", F.coalesce("m", F.lit(0).cast("long")).alias("n_nonzero"), w.alias("w"), z.alias("z"))
+
+
+def paired_bootstrap(values: DataFrame, reference: str, resamples: int = 200, level: float = 0.95, seed: int = 0, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
+    """Mean difference of each method from the reference on shared units, and the percentile interval of its Poisson resamples: a unit
+    counts as often in a resample as its name draws, so units are resampled wherever they lie and every method sees the same draws."""
+    base = values.where(F.col(method) == reference).select(unit, F.col(value).alias("_base"))
+    rows = values.where(F.col(method) != reference).join(base, unit).select(method, unit, (F.col(value) - F.col("_base")).alias("_d")).where("_d is not null and not isnan(_d)")
+    draws = rows.select(unit).distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = scalars.uniform(seed, F.concat_ws(":", F.col(unit).cast("string"), F.col("resample").cast("string")))
+    times, total, share = F.lit(0), 0.0, math.exp(-1)
+    for k in range(1, 9):  # the chance of nine and more is 1e-6
+        total += share
+        times = F.when(u >= total, k).otherwise(times)
+        share /= k
+    drawn = draws.withColumn("_times", times).where("_times > 0")
+    means = rows.join(drawn, unit).groupBy(method, "resample").agg(F.try_divide(F.sum(F.col("_d") * F.col("_times")), F.sum("_times").cast("double")).alias("_mean"))
+    edges = means.groupBy(method).agg(F.percentile("_mean", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("_q"))  # of resamples, not of rows
+    return rows.groupBy(method).agg(F.count("*").alias("n"), F.avg("_d").alias("delta")).join(edges, method).select(method, "n", "delta", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
