@@ -181,39 +181,43 @@ def holders(df: DataFrame, text_col: str = "text") -> DataFrame:
     return keyed_texts(df, text_col).mapInArrow(common.in_slices(one, "_text"), "text_key binary, entities array<string>")
 
 
-def document_frequency(df: DataFrame, wanted: Broadcast[bytes], copied: Broadcast[bytes], text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """term, n_term: the distinct texts that hold it, of terms that pass the first sieve. A task adds up the texts that are in the table
-    once; those whose keys pass the second sieve, as all copies do, are counted by their keys. It holds flush terms at most, and those
-    of one text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: Counter[str] = Counter()
-        seen: set[bytes] = set()
-        terms, keys = [], []
-
-        def out() -> pa.RecordBatch:
-            cols = [pa.array([*once, *terms], pa.string()), pa.array([*[None] * len(once), *keys], pa.binary()), pa.array([*once.values(), *[None] * len(terms)], pa.int64())]
-            once.clear(), terms.clear(), keys.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["term", "text_key", "n"])
-
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
-                if not passes(copied.value, key):
-                    once.update(t for t in terms_of(text, entities(text)) if passes(wanted.value, t))
+def counted(batches: Iterator[pa.RecordBatch], wanted: bytes, copied: bytes | None, flush: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """term, n: the texts of a task that hold each term that passes the first sieve, added up; and text_key, _text, without a term, of
+    texts whose keys pass the second one, once each as far as the task remembers. It holds flush terms at most, and those of one text."""
+    once: Counter[str] = Counter()
+    seen: set[bytes] = set()
+    fields = (pa.string(), pa.int64(), pa.binary(), pa.string())
+
+    def out(terms: list, n: list, keys: list, texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((terms, n, keys, texts), fields, strict=True)], names=["term", "n", "text_key", "_text"])
+
+    for b in batches:
+        for part in common.slices(b, "_text"):
+            keys, texts = [], []
+            for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if copied is None or not passes(copied, key):
+                    once.update(t for t in terms_of(text or "", entities(text or "")) if passes(wanted, t))
                 elif first_seen(seen, key):
-                    own = [t for t in terms_of(text, entities(text)) if passes(wanted.value, t)]
-                    terms.extend(own)
-                    keys.extend([key] * len(own))
-                if len(once) + len(terms) >= flush:
-                    yield out()
-            common.release()
-        if once or terms:
-            yield out()
-
-    rows = keyed_texts(df, text_col).mapInArrow(count, "term string, text_key binary, n long")
-    by_key = rows.groupBy("term", "text_key").agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n"))
-    return by_key.groupBy("term").agg(F.sum("n").alias("n_term"))
+                    keys.append(key)
+                    texts.append(text or "")
+                if len(once) >= flush:
+                    yield out(list(once), list(once.values()), [None] * len(once), [None] * len(once))
+                    once.clear()
+            if keys:
+                yield out([None] * len(keys), [None] * len(keys), keys, texts)
+        common.release()
+    if once:
+        yield out(list(once), list(once.values()), [None] * len(once), [None] * len(once))
+
+
+def document_frequency(df: DataFrame, wanted: Broadcast[bytes], copied: Broadcast[bytes], text_col: str = "text") -> DataFrame:
+    """term, n_term: the distinct texts that hold it, of terms that pass the first sieve. A task adds up the texts that are in the table
+    once; those whose keys pass the second sieve, as all copies do, meet by key first and are added up after."""
+    schema = "term string, n long, text_key binary, _text string"
+    rows = common.cut(keyed_texts(df, text_col).mapInArrow(lambda batches: counted(batches, wanted.value, copied.value), schema), "counted")
+    each = rows.where("text_key is not null").groupBy("text_key").agg(F.first("_text").alias("_text"))
+    more = each.mapInArrow(lambda batches: counted(batches, wanted.value, None), schema)
+    return rows.where("term is not null").unionByName(more).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text") -> DataFrame:
