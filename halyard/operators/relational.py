@@ -70,12 +70,13 @@ def group_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 def global_ranks(df: DataFrame, column: str) -> DataFrame:
     """rank_<column> over the whole table, ties sharing the mean. Values are counted, dealt by range and summed a part at a time, so
     that no task has to sort them all; the parts' totals alone meet, one row a part."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    parts = storage.cut(counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranks")
-    total = parts.groupBy("_part").agg(F.sum("_n").alias("_total"))
-    before = total.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = parts.withColumn("_up_to", inside).join(F.broadcast(before), "_part").select(column, (F.col("_before") + F.col("_up_to") - (F.col("_n") - 1) / 2).alias(f"rank_{column}"))
+    n, part, total, before, up_to = (free(c, df) for c in ("_n", "_part", "_total", "_before", "_up_to"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(n))
+    parts = storage.cut(counts.repartitionByRange(column).withColumn(part, F.spark_partition_id()), "ranks")
+    sums = parts.groupBy(part).agg(F.sum(n).alias(total))
+    start = sums.select(part, F.coalesce(F.sum(total).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inside = F.sum(n).over(Window.partitionBy(part).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = parts.withColumn(up_to, inside).join(F.broadcast(start), part).select(column, (F.col(before) + F.col(up_to) - (F.col(n) - 1) / 2).alias(f"rank_{column}"))
     return df.join(ranks, column, "left")
 
 
@@ -110,8 +111,9 @@ def group_split(df: DataFrame, group: str, val: float, test: float = 0.0, seed:
 
 def counted_split(df: DataFrame, group: str, val: float, seed: int = 0) -> DataFrame:
     """split with int(groups * val) groups in val, in the order of their hashes. Only group names are ordered."""
-    names = df.select(group).distinct().withColumn("_u", scalars.named_seed(seed, F.col(group).cast("string")))
-    ranked = global_position(names, ["_u", group])
+    u = free("_u", df)
+    names = df.select(group).distinct().withColumn(u, scalars.named_seed(seed, F.col(group).cast("string")))
+    ranked = global_position(names, [u, group])
     total = names.count()
     side = ranked.select(group, F.when(F.col("position") < int(total * val), "val").otherwise("train").alias("split"))
     return df.join(side, group)
@@ -120,11 +122,12 @@ def counted_split(df: DataFrame, group: str, val: float, seed: int = 0) -> DataF
 def sized_split(df: DataFrame, group: str, val: float, seed: int = 0) -> DataFrame:
     """split with whole groups in val, in the order of their hashes, until val of all rows are in it. A null group is its own."""
     key = F.coalesce(F.col(group).cast("string"), F.lit("\0none"))
-    sizes = df.groupBy(key.alias("_g")).agg(F.count("*").alias("_n")).withColumn("_u", scalars.named_seed(seed, F.col("_g")))
+    own, n, u = (free(c, df) for c in ("_g", "_n", "_u"))
+    sizes = df.groupBy(key.alias(own)).agg(F.count("*").alias(n)).withColumn(u, scalars.named_seed(seed, F.col(own)))
     total = df.count()
-    ranked = global_prefix(sizes, ["_u", "_g"], "_n")
-    side = ranked.select("_g", F.when(F.col("before") < F.lit(total * val), "val").otherwise("train").alias("split"))
-    return df.withColumn("_g", key).join(side, "_g").drop("_g")
+    ranked = global_prefix(sizes, [u, own], n)
+    side = ranked.select(own, F.when(F.col("before") < F.lit(total * val), "val").otherwise("train").alias("split"))
+    return df.withColumn(own, key).join(side, own).drop(own)
 
 
 def global_prefix(df: DataFrame, order: list[str], amount: str) -> DataFrame:
@@ -233,13 +236,14 @@ def pareto(df: DataFrame, low: list[str]) -> DataFrame:
     """Rows that no other is at least as good as in all, and better in one, of two columns that are to be small. A staircase: rows of
     one first value compete, then the running least of the second decides, which takes an order and no pairs."""
     x, y = low
-    best = df.groupBy(x).agg(F.min(y).alias("_y"))
-    parts = storage.cut(best.repartitionByRange(x).withColumn("_part", F.spark_partition_id()), "front")
-    least = parts.groupBy("_part").agg(F.min("_y").alias("_least"))
-    before = least.select("_part", F.min("_least").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    inside = F.min("_y").over(Window.partitionBy("_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    front = parts.withColumn("_inside", inside).join(F.broadcast(before), "_part").where(F.coalesce(F.col("_y") < F.least("_before", "_inside"), F.lit(True))).select(x, "_y")
-    return df.join(front, x).where(F.col(y) == F.col("_y")).drop("_y")
+    own, part, low_y, before, inside = (free(c, df) for c in ("_y", "_part", "_least", "_before", "_inside"))
+    best = df.groupBy(x).agg(F.min(y).alias(own))
+    parts = storage.cut(best.repartitionByRange(x).withColumn(part, F.spark_partition_id()), "front")
+    least = parts.groupBy(part).agg(F.min(own).alias(low_y))
+    start = least.select(part, F.min(low_y).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(before))
+    running = F.min(own).over(Window.partitionBy(part).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    front = parts.withColumn(inside, running).join(F.broadcast(start), part).where(F.coalesce(F.col(own) < F.least(before, inside), F.lit(True))).select(x, own)
+    return df.join(front, x).where(F.col(y) == F.col(own)).drop(own)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:

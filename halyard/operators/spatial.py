@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.functions import chemistry
+from halyard.names import free
 
 XYZ = ("x", "y", "z")
 
@@ -30,12 +31,13 @@ def within(a: DataFrame, b: DataFrame, radius: float, keys: list[str] | None = N
     b = b.select(*keys, *(F.col(c).alias(c + suffix) for c in b.columns if c not in keys))
     cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
     around = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
-    left = a.withColumns({f"_c{c}": cell(c) for c in XYZ})
+    cells = {c: free(f"_c{c}", a, b) for c in XYZ}
+    left = a.withColumns({cells[c]: cell(c) for c in XYZ})
     right = b
     for c in XYZ:
-        right = right.withColumn(f"_c{c}", around(c + suffix))
+        right = right.withColumn(cells[c], around(c + suffix))
     d = F.sqrt(squared(XYZ, tuple(c + suffix for c in XYZ)))
-    out = left.join(right, [*keys, *(f"_c{c}" for c in XYZ)]).drop(*(f"_c{c}" for c in XYZ)).withColumn("d", d)
+    out = left.join(right, [*keys, *cells.values()]).drop(*cells.values()).withColumn("d", d)
     return out.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 

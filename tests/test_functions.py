@@ -280,3 +280,18 @@ def test_sequences(spark):
         df.select(sequences.ranged_sequence([(F.col("l"), 10, 1)])).collect()
     ranged = df.where("k = 1").select(sequences.ranged_sequence([(F.col("p"), 10, None), (F.col("l"), 100, 1)]).alias("t"))
     assert [tuple(r) for r in ranged.select(*sequences.split_ranges(F.col("t"), [(10, 100, None), (100, 200, 1)])).collect()] == [([1, 2], [3])]
+
+
+def test_own_columns_with_temporary_names(spark):
+    from halyard.operators import relational, spatial
+
+    plain = spark.createDataFrame([(k, float(k % 4), float(-k), f"g{k % 3}") for k in range(12)], "id int, a double, b double, g string")
+    names = ("_n", "_part", "_total", "_y", "_u", "_g", "_before", "_up_to", "_least", "_inside", "_cx")
+    clash = plain.withColumns({c: F.col("id") + k for k, c in enumerate(names)})
+    for f in (lambda d: relational.global_ranks(d, "a"), lambda d: relational.pareto(d, ["a", "b"]), lambda d: relational.sized_split(d, "g", 0.4), lambda d: relational.counted_split(d, "g", 0.4)):
+        want, got = f(plain), f(clash)
+        assert set(got.columns) == {*want.columns, *names}
+        assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+        assert all(r[c] == r.id + k for r in got.collect() for k, c in enumerate(names))
+    at = clash.selectExpr("id", "a as x", "b as y", "a as z", "_cx")
+    assert spatial.within(at, at.drop("_cx"), 1.5).where(f"_cx <> id + {names.index('_cx')}").count() == 0
