@@ -15,6 +15,8 @@ from halyard.functions import chemistry
 from halyard.names import free
 
 XYZ = ("x", "y", "z")
+#: Of a codebook that is broadcast.
+CODEBOOK_BYTES = 64 << 20
 
 
 def squared(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
@@ -74,8 +76,10 @@ def nearest_k(df: DataFrame, keys: list[str], row: str, k: int, radius: float) -
 
 
 def nearest_code(df: DataFrame, vector: str, codebook: np.ndarray) -> DataFrame:
-    """df with code (nearest codebook row by Euclidean distance, ties to the smaller) and code_d. The codebook has a fixed size and
-    is broadcast."""
+    """df with code (nearest codebook row by Euclidean distance, ties to the smaller) and code_d. The codebook is broadcast; one of more
+    than CODEBOOK_BYTES is an error."""
+    if np.asarray(codebook).size * 8 > CODEBOOK_BYTES:
+        raise ValueError(f"a codebook of more than {CODEBOOK_BYTES} bytes")
     shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(codebook, float))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

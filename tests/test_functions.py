@@ -295,3 +295,13 @@ def test_own_columns_with_temporary_names(spark):
         assert all(r[c] == r.id + k for r in got.collect() for k, c in enumerate(names))
     at = clash.selectExpr("id", "a as x", "b as y", "a as z", "_cx")
     assert spatial.within(at, at.drop("_cx"), 1.5).where(f"_cx <> id + {names.index('_cx')}").count() == 0
+
+
+def test_large_codebook(spark, monkeypatch):
+    from halyard.operators import spatial
+
+    df = spark.createDataFrame([([0.9, 0.0],)], "v array<double>")
+    assert spatial.nearest_code(df, "v", np.eye(2)).first().code == 0
+    monkeypatch.setattr(spatial, "CODEBOOK_BYTES", 31)
+    with pytest.raises(ValueError, match="codebook"):
+        spatial.nearest_code(df, "v", np.eye(2))
