@@ -92,3 +92,18 @@ def in_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str,
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether crc32 of the id as text, modulo 4, is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+SPANS = "array<struct<start: int, kind: int, end: int>>"
+
+
+def written(spans: str | F.Column, kinds: tuple[str, ...]) -> F.Column:
+    """kind:start:end of each span, joined by commas."""
+    names = F.array(*(F.lit(k) for k in kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+
+def count_of(spans: str, kind: int) -> F.Column:
+    """The spans of that kind, as a long."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
