@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.llm import bpe, jaccard, language, neighbours, packing, pii, quotes, secrets, telephony, urls, warc
+from halyard.llm import bands, bpe, jaccard, language, neighbours, packing, pii, quotes, secrets, telephony, urls, warc
 
 QUERIES = {
     "op1_url_markov_ratio": urls.op1_url_markov_ratio,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_information_theoretic_pii": pii.op10_information_theoretic_pii,
     "op11_anchored_secret_scan": secrets.op11_anchored_secret_scan,
+    "op12_segment_tree_band_join": bands.op12_segment_tree_band_join,
 }
 
-ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op5_quotation_linking": quotes.SQL, "op7_warc_chunks": warc.SQL, "op11_anchored_secret_scan": secrets.SQL}
+ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op5_quotation_linking": quotes.SQL, "op7_warc_chunks": warc.SQL, "op11_anchored_secret_scan": secrets.SQL, "op12_segment_tree_band_join": bands.SQL}
