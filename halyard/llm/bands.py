@@ -92,8 +92,7 @@ _POINTS = ", ".join(f"{c} long" for c in POINT)
 
 
 def _arrays(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
-    t = pa.Table.from_batches(batches).select(POINT)
-    return [t.column(c).to_numpy() for c in POINT]
+    return [np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in batches]) for c in POINT]
 
 
 def _shrunk(batches: list[pa.RecordBatch], k: int) -> pa.RecordBatch:

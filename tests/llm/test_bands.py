@@ -56,8 +56,10 @@ def frames(spark, lines, items):
 def test_all_pairs(spark, monkeypatch, gather):
     monkeypatch.setattr(bands, "GATHER", gather)
     lines, items = shop(gather, 700, 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     got = bands.near_prices(*frames(spark, lines, items))
     assert sorted(map(tuple, got.collect()), key=repr) == plain(lines, items)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_sql(spark, tmp_path):
