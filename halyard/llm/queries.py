@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.llm import bands, bpe, jaccard, language, neighbours, packing, pii, quotes, secrets, telephony, urls, warc
+from halyard.llm import bands, bpe, jaccard, language, negatives, neighbours, packing, pii, quotes, secrets, telephony, urls, warc
 
 QUERIES = {
     "op1_url_markov_ratio": urls.op1_url_markov_ratio,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_information_theoretic_pii": pii.op10_information_theoretic_pii,
     "op11_anchored_secret_scan": secrets.op11_anchored_secret_scan,
     "op12_segment_tree_band_join": bands.op12_segment_tree_band_join,
+    "op13_vantage_point_negatives": negatives.op13_vantage_point_negatives,
 }
 
-ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op5_quotation_linking": quotes.SQL, "op7_warc_chunks": warc.SQL, "op11_anchored_secret_scan": secrets.SQL, "op12_segment_tree_band_join": bands.SQL}
+ORACLE_SQL = {"op1_url_markov_ratio": urls.SQL, "op5_quotation_linking": quotes.SQL, "op7_warc_chunks": warc.SQL, "op11_anchored_secret_scan": secrets.SQL, "op12_segment_tree_band_join": bands.SQL, "op13_vantage_point_negatives": negatives.SQL}
