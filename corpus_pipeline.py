@@ -26,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that tell of it leave the texts; n_chars follows."""
-    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.sanitise(docs, rule=pii.EVERY_WORD).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

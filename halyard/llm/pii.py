@@ -1,10 +1,14 @@
 """PII: information-theoretic sanitisation. Patterns find the protected entities; over the whole corpus, each entity's
 co-occurrence with the terms of its documents tells how much of its information a term gives away; terms over the disclosure threshold
-are generalised or removed, at every place and in every document.
+are generalised or removed, at every place and in every document. Besides single entities the classes that name an organisation are
+protected, as most addresses stand in one text alone: the domain of a mail address and the network of an IP address (its first two
+numbers).
 
 Of a term t and an entity e, over the corpus's distinct texts: reveals(t, e) = log2(p(e|t) / p(e)) / log2(1 / p(e)), the share of e's
 information that t gives. It counts when both stand in at least min_support distinct texts: copies of one text are one witness, else
-three copies would give every word of theirs away. Words that overlap an entity go with it and are no terms.
+three copies would give every word of theirs away (near copies are several; the pipeline takes them out before). Words that overlap an
+entity go with it and are no terms. What a term is the rule tells: runs of shortest or more letters, and with digits also those of letters
+and digits. The default of three letters leaves out short names and numbers; the query and the pipeline take EVERY_WORD.
 
 The terms that disclose are broadcast and marked in one pass over the texts as long as they take at most broadcast_bytes; more of
 them are joined to the places they stand at, with the same result.
@@ -39,7 +43,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
 #: A longer run of letters is known by its digest, so that no row of a term is long.
 LONG_TERM = 64
 #: Places of a sieve; keys of texts that a task remembers as seen.
@@ -48,15 +51,24 @@ SIEVE, SEEN = 1 << 20, 1 << 17
 
 @dataclass(frozen=True)
 class Disclosure:
-    """A term with reveals() of at least remove goes, of at least generalise is replaced by its class. window is not read: terms count
-    in whole documents. broadcast_bytes: of the disclosing terms, beyond which they are joined."""
+    """A term with reveals() of at least remove goes, of at least generalise is replaced by its class. shortest: of the words that are
+    terms; digits: whether words may hold digits. broadcast_bytes: of the disclosing terms, beyond which they are joined."""
 
-    window: int = 8
+    shortest: int = 3
+    digits: bool = False
     min_support: int = 3
     generalise: float = 0.8
     remove: float = 0.95
     broadcast_bytes: int = 8 << 20
 
+    @property
+    def word(self) -> re.Pattern:
+        return re.compile(f"{'[^\\W_]' if self.digits else '[^\\W\\d_]'}{{{self.shortest},}}")
+
+
+EVERY_WORD = Disclosure(shortest=1, digits=True)
+_LETTERS = Disclosure().word
+
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping matches, in time linear in the text: each @ is tried once."""
@@ -100,7 +112,7 @@ def entities(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def clear_words(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+def clear_words(text: str, found: list[tuple[int, int, int, str]], word: re.Pattern = _LETTERS) -> list[tuple[int, int]]:
     """Places of the words that may be terms: those that overlap none of the entities found."""
     gone: list[list[int]] = []
     for start, _, end, _ in found:
@@ -109,7 +121,7 @@ def clear_words(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple
         else:
             gone.append([start, end])
     out, k = [], 0
-    for m in _WORD.finditer(text):
+    for m in word.finditer(text):
         a, b = m.span()
         while k < len(gone) and gone[k][1] <= a:
             k += 1
@@ -123,15 +135,23 @@ def term(word: str) -> str:
     return word if len(word) <= LONG_TERM else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
 
 
-def terms_of(text: str, found: list[tuple[int, int, int, str]]) -> set[str]:
+def terms_of(text: str, found: list[tuple[int, int, int, str]], word: re.Pattern = _LETTERS) -> set[str]:
     if not found:
-        return set(map(term, set(_WORD.findall(text))))
-    return {term(text[a:b]) for a, b in clear_words(text, found)}
+        return set(map(term, set(word.findall(text))))
+    return {term(text[a:b]) for a, b in clear_words(text, found, word)}
 
 
 def names_of(found: list[tuple[int, int, int, str]]) -> list[str]:
-    """The distinct entities among those found."""
-    return list(dict.fromkeys(f"{KINDS[kind]}:{value}" for _, kind, _, value in found))
+    """The distinct entities among those found, and their classes."""
+    out = {}
+    for _, kind, _, value in found:
+        out[f"{KINDS[kind]}:{value}"] = None
+        if KINDS[kind] == "email":
+            out[f"email:{value[value.index('@') :]}"] = None
+        elif KINDS[kind] == "ip":
+            a, b, *_ = value.split(".")
+            out[f"ip:{int(a)}.{int(b)}"] = None
+    return list(out)
 
 
 def sieve(df: DataFrame, column: str) -> Broadcast[bytes]:
@@ -146,7 +166,6 @@ def passes(bits: bytes, s: str | bytes) -> int:
     return bits[zlib.crc32(s if isinstance(s, bytes) else s.encode()) % SIEVE]
 
 
-_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 _PLACE = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 #: Span kinds in the order of spans that start together.
 SPAN_KINDS = (*KINDS, "term_generalised", "term_removed")
@@ -181,7 +200,7 @@ def holders(df: DataFrame, text_col: str = "text") -> DataFrame:
     return keyed_texts(df, text_col).mapInArrow(common.in_slices(one, "_text"), "text_key binary, entities array<string>")
 
 
-def counted(batches: Iterator[pa.RecordBatch], wanted: bytes, copied: bytes | None, flush: int = 200_000) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch], wanted: bytes, copied: bytes | None, word: re.Pattern = _LETTERS, flush: int = 200_000) -> Iterator[pa.RecordBatch]:
     """term, n: the texts of a task that hold each term that passes the first sieve, added up; and text_key, _text, without a term, of
     texts whose keys pass the second one, once each as far as the task remembers. It holds flush terms at most, and those of one text."""
     once: Counter[str] = Counter()
@@ -196,7 +215,7 @@ def counted(batches: Iterator[pa.RecordBatch], wanted: bytes, copied: bytes | No
             keys, texts = [], []
             for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if copied is None or not passes(copied, key):
-                    once.update(t for t in terms_of(text or "", entities(text or "")) if passes(wanted, t))
+                    once.update(t for t in terms_of(text or "", entities(text or ""), word) if passes(wanted, t))
                 elif first_seen(seen, key):
                     keys.append(key)
                     texts.append(text or "")
@@ -210,36 +229,50 @@ def counted(batches: Iterator[pa.RecordBatch], wanted: bytes, copied: bytes | No
         yield out(list(once), list(once.values()), [None] * len(once), [None] * len(once))
 
 
-def document_frequency(df: DataFrame, wanted: Broadcast[bytes], copied: Broadcast[bytes], text_col: str = "text") -> DataFrame:
+def document_frequency(df: DataFrame, wanted: Broadcast[bytes], copied: Broadcast[bytes], text_col: str = "text", word: re.Pattern = _LETTERS) -> DataFrame:
     """term, n_term: the distinct texts that hold it, of terms that pass the first sieve. A task adds up the texts that are in the table
     once; those whose keys pass the second sieve, as all copies do, meet by key first and are added up after."""
     schema = "term string, n long, text_key binary, _text string"
-    rows = common.cut(keyed_texts(df, text_col).mapInArrow(lambda batches: counted(batches, wanted.value, copied.value), schema), "counted")
+    rows = common.cut(keyed_texts(df, text_col).mapInArrow(lambda batches: counted(batches, wanted.value, copied.value, word), schema), "counted")
     each = rows.where("text_key is not null").groupBy("text_key").agg(F.first("_text").alias("_text"))
-    more = each.mapInArrow(lambda batches: counted(batches, wanted.value, None), schema)
+    more = each.mapInArrow(lambda batches: counted(batches, wanted.value, None, word), schema)
     return rows.where("term is not null").unionByName(more).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text") -> DataFrame:
-    """entity, term, n_both: the distinct texts that hold both, for entities that pass the sieve."""
+def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text", word: re.Pattern = _LETTERS, flush: int = 200_000) -> DataFrame:
+    """entity, term, n_both: the distinct texts that hold both, for entities that pass the sieve. Texts meet by key first; a task then adds
+    up pairs, flush at most and those of one entity with a text's terms."""
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
             for s in common.slices(b, "_text"):
-                keys, names, terms = [], [], []
-                for key, text in zip(*(c.to_pylist() for c in s.columns), strict=True):
-                    found = entities(text or "")
-                    if (own := [e for e in names_of(found) if passes(wanted.value, e)]) and first_seen(seen, key):
-                        keys.append(key)
-                        names.append(own)
-                        terms.append(sorted(terms_of(text, found)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["text_key", "entities", "terms"])
+                keep = [any(passes(wanted.value, e) for e in names_of(entities(text or ""))) and first_seen(seen, key) for key, text in zip(*(c.to_pylist() for c in s.columns), strict=True)]
+                yield s.filter(pa.array(keep, pa.bool_()))
             common.release()
 
-    rows = keyed_texts(df, text_col).mapInArrow(all_of, "text_key binary, entities array<string>, terms array<string>").distinct()
-    return rows.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: Counter[tuple[str, str]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in once], pa.string()), pa.array([k[1] for k in once], pa.string()), pa.array(list(once.values()), pa.int64())], names=["entity", "term", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = entities(text or "")
+                terms = terms_of(text or "", found, word)
+                for e in names_of(found):
+                    if passes(wanted.value, e):
+                        once.update((e, t) for t in terms)
+                        if len(once) >= flush:
+                            yield out()
+                            once.clear()
+            common.release()
+        if once:
+            yield out()
+
+    texts = keyed_texts(df, text_col).mapInArrow(holding, "text_key binary, _text string").groupBy("text_key").agg(F.first("_text").alias("_text"))
+    return texts.select("_text").mapInArrow(pairs, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
 
 
 def disclosing(df: DataFrame, text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
@@ -250,9 +283,9 @@ def disclosing(df: DataFrame, text_col: str = "text", rule: Disclosure | None =
     # an entity in every text has no information; one in fewer than min_support has no pair with support
     n_entity = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_entity = common.cut(n_entity.where((F.col("n_entity") >= rule.min_support) & (F.col("n_entity") < total)), "entities")
-    pair = together(df, sieve(n_entity, "entity"), text_col).where(F.col("n_both") >= rule.min_support)
+    pair = together(df, sieve(n_entity, "entity"), text_col, rule.word).where(F.col("n_both") >= rule.min_support)
     pair = common.cut(pair.join(n_entity, "entity"), "together")
-    n_term = document_frequency(df, sieve(pair, "term"), sieve(texts.where("copies > 1"), "text_key"), text_col)
+    n_term = document_frequency(df, sieve(pair, "term"), sieve(texts.where("copies > 1"), "text_key"), text_col, rule.word)
     p_entity = F.col("n_entity") / F.lit(float(max(total, 1)))
     reveals = F.try_divide(F.log2(F.col("n_both") / F.col("n_term") / p_entity), -F.log2(p_entity))
     kind = F.when(reveals >= rule.remove, SPAN_KINDS.index("term_removed")).when(reveals >= rule.generalise, SPAN_KINDS.index("term_generalised"))
@@ -269,13 +302,13 @@ def told_terms(df: DataFrame, text_col: str, rule: Disclosure) -> tuple[DataFram
 Span = tuple[int, int, int]
 
 
-def spans_of(text: str, told: dict[str, int]) -> tuple[list[Span], list[Span]]:
+def spans_of(text: str, told: dict[str, int], word: re.Pattern = _LETTERS) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the places of the told terms, by start, then kind."""
     found = entities(text)
     base = [(a, k, b) for a, k, b, _ in found]
     if not told:
         return base, base
-    more = [(a, told[t], b) for a, b in clear_words(text, found) if (t := term(text[a:b])) in told]
+    more = [(a, told[t], b) for a, b in clear_words(text, found, word) if (t := term(text[a:b])) in told]
     return base, sorted(base + more) if more else base
 
 
@@ -283,7 +316,7 @@ def as_structs(spans: list[Span]) -> list[dict[str, int]]:
     return [{"start": a, "kind": k, "end": b} for a, k, b in spans]
 
 
-def joined_spans(df: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def joined_spans(df: DataFrame, told: DataFrame, id_col: str, text_col: str, word: re.Pattern = _LETTERS) -> DataFrame:
     """row_key, spans of the rows (of one id and text once) in which a told term stands; told may be of any size."""
     wanted = sieve(told, "term")
 
@@ -291,7 +324,7 @@ def joined_spans(df: DataFrame, told: DataFrame, id_col: str, text_col: str) ->
         bits, keys, terms, places = wanted.value, [], [], []
         for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             at: dict[str, list[dict[str, int]]] = {}
-            for a, b in clear_words(text or "", entities(text or "")):
+            for a, b in clear_words(text or "", entities(text or ""), word):
                 if passes(bits, t := term(text[a:b])):
                     at.setdefault(t, []).append({"start": a, "end": b})
             keys += [key.as_py()] * len(at)
@@ -307,18 +340,20 @@ def joined_spans(df: DataFrame, told: DataFrame, id_col: str, text_col: str) ->
 
 def over_spans(df: DataFrame, id_col: str, text_col: str, rule: Disclosure | None, columns: list[str], schema: str | StructType, write: Callable) -> DataFrame:
     """write(batch of the columns, base spans, all spans) over the rows of df, by whichever way the number of disclosing terms asks for."""
-    told, small = told_terms(df, text_col, rule or Disclosure())
+    rule = rule or Disclosure()
+    told, small = told_terms(df, text_col, rule)
+    word = rule.word
     text = columns.index(text_col)
     if small is not None:
         shared = df.sparkSession.sparkContext.broadcast(small)
 
         def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-            both = [spans_of(t or "", shared.value) for t in batch.column(text).cast(pa.string()).to_pylist()]
+            both = [spans_of(t or "", shared.value, word) for t in batch.column(text).cast(pa.string()).to_pylist()]
             return write(batch, [b for b, _ in both], [s for _, s in both])
 
         return common.small_batches(df).select(*columns).mapInArrow(common.in_slices(mark, text_col), schema)
     key, extra = free("_row_key", df), free("_more", df)
-    more = common.cut(joined_spans(df, told, id_col, text_col).select(F.col("row_key").alias(key), F.col("more").alias(extra)), "marked")
+    more = common.cut(joined_spans(df, told, id_col, text_col, word).select(F.col("row_key").alias(key), F.col("more").alias(extra)), "marked")
 
     def mark_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
         base = [spans_of(t or "", {})[0] for t in batch.column(text).cast(pa.string()).to_pylist()]
@@ -329,20 +364,13 @@ def over_spans(df: DataFrame, id_col: str, text_col: str, rule: Disclosure | Non
     return common.small_batches(joined).mapInArrow(common.in_slices(mark_joined, text_col), schema)
 
 
-def written(spans: str) -> F.Column:
-    """kind:start:end, joined by commas."""
-    names = F.array(*(F.lit(k) for k in SPAN_KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-
-
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
     """For each row: id, base, spans (arrays of start, kind's place in SPAN_KINDS, end)."""
 
     def write(batch: pa.RecordBatch, base: list[list[Span]], spans: list[list[Span]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(map(as_structs, x)), pa.list_(_SPAN)) for x in (base, spans))], names=[id_col, "base", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(map(as_structs, x)), pa.list_(common.SPAN)) for x in (base, spans))], names=[id_col, "base", "spans"])
 
-    span = "array<struct<start: int, kind: int, end: int>>"
-    return over_spans(df, id_col, text_col, rule, [id_col, text_col], f"`{id_col}` {dict(df.dtypes)[id_col]}, base {span}, spans {span}", write)
+    return over_spans(df, id_col, text_col, rule, [id_col, text_col], f"`{id_col}` {dict(df.dtypes)[id_col]}, base {common.SPANS}, spans {common.SPANS}", write)
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure | None = None) -> DataFrame:
@@ -373,6 +401,6 @@ def apply_spans(text: str | None, spans: list[Span]) -> str | None:
 
 
 def op10_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(common.table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *n, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    found = find_spans(common.table(spark, sf_dir, "documents"), rule=EVERY_WORD)
+    n = [common.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *n, F.sha2(common.written("base", SPAN_KINDS), 256).alias("base_sha256"), common.written("spans", SPAN_KINDS).alias("spans"))

@@ -340,7 +340,7 @@ def test_patterns_match_plain_search():
 def test_disclosing_terms(spark):
     texts = [f"write to bob@x.org about zebrafish matters {k}" for k in range(6)] + [f"the weather about town is fine {k}" for k in range(40)] + [None, ""]
     df = documents(spark, texts, spans=["clash"])
-    rule = pii.Disclosure(window=3, min_support=3, generalise=0.8, remove=0.95)
+    rule = pii.Disclosure(min_support=3, generalise=0.8, remove=0.95)
     got = {r.doc_id: r for r in pii.find_spans(df, rule=rule).collect()}
     # brute force over documents
     holds = [set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())) for t in texts]
@@ -415,6 +415,46 @@ def test_disclosing_terms_count_distinct_texts(spark, broadcast_bytes):
     assert len(out) == len(texts) and long not in out[4].text and "ombat" not in out[4].text and "Wombat" not in out[max(k for k in out if k)].text
 
 
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_pii_query(spark, tmp_path, monkeypatch, broadcast_bytes):
+    """Every row of the query, over odd texts, names of two letters and numbers beside addresses of one domain or network."""
+    monkeypatch.setattr(pii, "EVERY_WORD", pii.Disclosure(shortest=1, digits=True, broadcast_bytes=broadcast_bytes))
+    rng = random.Random(4)
+    parts = ["a@b.c", "@", ".", "x", "1.2.3.4", "001.2.9.9", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", " ", "-", "é", "9" * 30, "漢字"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(200)] + ODD
+    texts += [f"ref {k} 王五 acct 77123 mail u{k}@corp.example.org ok" for k in range(900, 905)] + [f"Zz host 172.16.{k}.9 {k}" for k in range(4)] + [f"mail ok acct host ref {k}" for k in range(100)]
+    texts += [texts[-110]] * 9
+    rows = [(k if k != 3 else None, t, "x", "y") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, base string, spans string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    distinct = {t or "" for t in texts}
+    holds = []
+    for t in distinct:
+        base, bare = brute_spans(t), list(t)
+        for a, _, b in base:
+            bare[a:b] = "\0" * (b - a)
+        names = {(k, t[a:b].lower()) for a, k, b in base} | {(0, t[a:b].lower().split("@")[1]) for a, k, b in base if k == 0} | {(1, tuple(map(int, t[a:b].split(".")[:2]))) for a, k, b in base if k == 1}
+        whole = {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if "\0" not in "".join(bare[m.start() : m.end()])}
+        holds.append((whole, names))
+    kinds = {}
+    for e in set().union(*(n for _, n in holds)):
+        with_e = [h for h, n in holds if e in n]
+        for t in set().union(*with_e):
+            both, n_t = sum(t in h for h in with_e), sum(t in h for h, _ in holds)
+            share = np.log2(both / n_t / (len(with_e) / len(holds))) / np.log2(len(holds) / len(with_e)) if both >= 3 else 0
+            if share >= 0.8:
+                kinds[t] = max(kinds.get(t, 0), 5 if share >= 0.95 else 4)
+    assert {"王五", "77123", "zz"} <= kinds.keys() and not {"mail", "ok", "acct", "host", "ref"} & kinds.keys()
+    got = pii.op10_information_theoretic_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    said = lambda spans: ",".join(f"{pii.SPAN_KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for r in got:
+        t = texts[3 if r.doc_id is None else r.doc_id] or ""
+        base = brute_spans(t)
+        more = [(m.start(), kinds[m[0].lower()], m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in kinds and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for _, k, _ in base) for n in range(4))
+        assert r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest() and r.spans == said(sorted(base + more))
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
