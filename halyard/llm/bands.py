@@ -283,7 +283,8 @@ def near_prices(sale_lines: DataFrame, items: DataFrame, rule: Band | None = Non
     item = items.select(F.col("item_id").cast("long").alias("item_id"), cents("price").alias("p"))
     item = item.withColumn("p", F.when(F.col("item_id").isNotNull(), F.col("p")))
     known = item.where("p is not null")
-    own, told = own_sums(by_item, known, rule), answers(points, by_item, known, rule)
+    own = own_sums(by_item, known, rule)
+    told = common.cut(answers(points, by_item, known, rule), "told")  # a table, so that the join below can split a price of many items
     rows = item.join(own, ["item_id", "p"], "left").join(told, "p", "left")
     others = F.slice(F.filter("points", lambda x: x["item_id"] != F.col("item_id")), 1, rule.k)
     left = lambda c: (F.coalesce(c, F.lit(0)) - F.coalesce(f"own_{c}", F.lit(0))).alias
