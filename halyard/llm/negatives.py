@@ -76,6 +76,7 @@ class VantageTree:
         self.levels = levels
         self.order = np.concatenate(parts)
         self.starts = np.append(0, np.cumsum([len(p) for p in parts]))
+        self.by_leaf = self.exact[self.order]
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each query's distance from the rows of each leaf."""
@@ -89,36 +90,47 @@ class VantageTree:
             high = np.minimum(np.repeat(high, 2, axis=1), d + ranges[:, 1] + 2 * slack)
         return low, high
 
-    def nearest(self, query: np.ndarray, sq: float, low: np.ndarray, high: np.ndarray, windows: np.ndarray, k: int, ids: np.ndarray, fits: Callable[[np.ndarray], np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-        """For each window (least and largest score) the best k or fewer of the rows that fit, as (rows, scores), best first and ties by
-        id; and how many scores were computed. low, high: the query's bounds; sq: its squared norm."""
-        reach = lambda s: np.sqrt(np.maximum(0, sq + self.most - 2 * s.astype(float)))
+    def nearest(self, queries: np.ndarray, low: np.ndarray, high: np.ndarray, windows: np.ndarray, k: int, ids: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        """For each query and window (least and largest score; queries x windows x 2) the best k of the rows that fit: rows (-1 where there
+        are fewer) and scores, best first and ties by id; and how many scores were computed. low, high: the queries' bounds; fits: of
+        queries and rows, a matrix. Each query takes its leaves nearest first; in a round those that are at one leaf share a product."""
+        sq = np.einsum("ij,ij->i", queries.astype(float), queries.astype(float))[:, None]
+        reach = lambda q, s: np.sqrt(np.maximum(0, q + self.most - 2 * s.astype(float)))
         slack = np.sqrt(ROUNDING * (sq + self.most))
-        inner, outer = reach(windows[:, 1]) - slack, reach(windows[:, 0]) + slack
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in windows]
-        least = windows[:, 0].copy()
-        met = 0
-        for leaf in np.argsort(np.maximum(low, inner.min()), kind="stable"):
-            open_ = (low[leaf] <= outer) & (high[leaf] >= inner)
-            if not open_.any():
-                if low[leaf] > outer.max():
-                    break
-                continue
-            rows = self.order[self.starts[leaf] : self.starts[leaf + 1]]
-            scores = (self.exact[rows] @ query).astype(np.int64)
-            met += len(rows)
-            good = fits(rows)
-            for w in np.flatnonzero(open_):
-                new = np.flatnonzero(good & (scores >= least[w]) & (scores <= windows[w, 1]))
-                if not len(new):
+        inner, outer = reach(sq, windows[:, :, 1]) - slack, np.where(windows[:, :, 0] <= windows[:, :, 1], reach(sq, windows[:, :, 0]) + slack, -1)
+        rows, scores, least = np.full((*windows.shape[:2], k), -1), np.zeros((*windows.shape[:2], k), np.int64), windows[:, :, 0].copy()
+        leaves = np.argsort(np.maximum(low, inner.min(1)[:, None]), axis=1, kind="stable")
+        live, met = np.arange(len(queries)), 0
+        for turn in range(leaves.shape[1]):
+            leaf = leaves[live, turn]
+            near = low[live, leaf] <= outer[live].max(1)
+            live, leaf = live[near], leaf[near]
+            open_ = (low[live, leaf][:, None] <= outer[live]) & (high[live, leaf][:, None] >= inner[live])
+            for one in np.unique(leaf[open_.any(1)]):
+                here = (leaf == one) & open_.any(1)
+                q, own = live[here], self.order[self.starts[one] : self.starts[one + 1]]
+                s = (queries[q] @ self.by_leaf[self.starts[one] : self.starts[one + 1]].T).astype(np.int64)
+                met += s.size
+                good = open_[here][:, :, None] & fits(q, own)[:, None, :] & (s[:, None, :] >= least[q][:, :, None]) & (s[:, None, :] <= windows[q, :, 1][:, :, None])
+                at, w, c = np.nonzero(good)
+                if not len(at):
                     continue
-                at, s = np.concatenate((found[w][0], rows[new])), np.concatenate((found[w][1], scores[new]))
-                best = np.lexsort((ids[at], -s))[:k]
-                found[w] = at[best], s[best]
-                if len(best) == k:
-                    least[w] = s[best[-1]]
-                    outer[w] = min(outer[w], reach(least[w : w + 1])[0] + slack)
-        return found, met
+                at_q, n_w = q[at], windows.shape[1]
+                slots = np.unique(at_q * n_w + w)
+                old = rows[slots // n_w, slots % n_w]
+                slot = np.concatenate((np.repeat(slots, k)[old.ravel() >= 0], at_q * n_w + w))
+                row = np.concatenate((old[old >= 0], own[c]))
+                score = np.concatenate((scores[slots // n_w, slots % n_w][old >= 0], s[at, c]))
+                order = np.lexsort((ids[row], -score, slot))
+                slot, row, score = slot[order], row[order], score[order]
+                place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+                slot, row, score, place = (x[place < k] for x in (slot, row, score, place))
+                rows[slot // n_w, slot % n_w, place], scores[slot // n_w, slot % n_w, place] = row, score
+                full = place == k - 1
+                full_q, full_w = slot[full] // n_w, slot[full] % n_w
+                least[full_q, full_w] = score[full]
+                outer[full_q, full_w] = np.minimum(outer[full_q, full_w], reach(sq[full_q, 0], score[full]) + slack[full_q, 0])
+        return rows, scores, met
 
 
 def _one_each(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -135,59 +147,54 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("id").to_numpy(), t.column("label").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
 
 
-def _met(data: pa.Table, anchors: pa.Table, found_of: Callable, schema: pa.Schema) -> pa.Table:
-    """found_of(tree, its ids and labels, anchors, a row's place among them, its bounds) over the anchors of a pair of blocks."""
-    if not data.num_rows or not anchors.num_rows:
-        return schema.empty_table()
-    ids, labels, vectors = _matrix(data)
-    keep = _one_each(ids, labels, vectors)
-    ids, labels = ids[keep], labels[keep]
-    tree = VantageTree(vectors[keep], data.column("most")[0].as_py())
-    _, _, queries = _matrix(anchors)
-    if tree.exact is tree.vectors:
-        queries = queries.astype(float)
-    out = []
-    for at in range(0, len(queries), 1024):
-        low, high = tree.bounds(queries[at : at + 1024].astype(float))
-        for j in range(len(low)):
-            out.append(found_of(tree, ids, labels, queries[at + j], at + j, low[j], high[j]))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 _POSITIVE = pa.schema([(c, pa.int64()) for c in ("anchor_id", "positive_id", "positive_score")])
 _NEGATIVE = pa.schema([(c, pa.int64()) for c in ("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score")])
-ANY = np.array([[-(2**62), 2**62]])
-
-
-def _squared(q: np.ndarray) -> float:
-    return float(q.astype(float) @ q.astype(float))
+#: Anchors that search together.
+TOGETHER = 1024
 
 
 def _positives(data: pa.Table, anchors: pa.Table, rule: Rule) -> pa.Table:
-    ids_of, labels_of = anchors.column("id").to_numpy(), anchors.column("label").to_numpy()
-
-    def found_of(tree: VantageTree, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, at: int, low: np.ndarray, high: np.ndarray) -> tuple:
-        [(rows, scores)], _ = tree.nearest(q, _squared(q), low, high, ANY, rule.positives, ids, lambda rows: (labels[rows] == labels_of[at]) & (ids[rows] != ids_of[at]))
-        return np.full(len(rows), ids_of[at]), ids[rows], scores
-
-    return _met(data, anchors, found_of, _POSITIVE)
+    every = np.array([[-(2**62), 2**62]])
+    return _met(data, anchors, rule.positives, lambda part: np.broadcast_to(every, (len(part), 1, 2)), True, lambda part, at, w: (part.column("id").to_numpy()[at],), _POSITIVE)
 
 
 def _negatives(data: pa.Table, anchors: pa.Table, rule: Rule) -> pa.Table:
-    ids_of, labels_of, positives = anchors.column("id").to_numpy(), anchors.column("label").to_numpy(), anchors.column("positives").to_pylist()
-
-    def found_of(tree: VantageTree, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, at: int, low: np.ndarray, high: np.ndarray) -> tuple:
-        scores = [s for s in dict.fromkeys(p["positive_score"] for p in positives[at]) if s >= 0]
-        windows = np.array([(-(-rule.low * s // 100), rule.high * s // 100) for s in scores], np.int64).reshape(-1, 2)
-        if not len(windows):
-            return (np.empty(0, np.int64),) * 5
-        found, _ = tree.nearest(q, _squared(q), low, high, windows, rule.negatives, ids, lambda rows: (labels[rows] != labels_of[at]) & (ids[rows] != ids_of[at]))
-        by = dict(zip(scores, found, strict=True))
-        out = [(ids_of[at], p["positive_id"], p["positive_score"], ids[r], s) for p in positives[at] if p["positive_score"] in by for r, s in zip(*by[p["positive_score"]], strict=True)]
-        return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
-
-    return _met(data, anchors, found_of, _NEGATIVE)
+    def windows(part: pa.Table) -> np.ndarray:
+        """Of each positive of each anchor; one that holds no score where there is no positive or its score is below 0."""
+        out = np.full((len(part), rule.positives, 2), (1, 0))
+        for j, positives in enumerate(part.column("positives").to_pylist()):
+            for w, p in enumerate(positives):
+                if p["positive_score"] >= 0:
+                    out[j, w] = -(-rule.low * p["positive_score"] // 100), rule.high * p["positive_score"] // 100
+        return out
+
+    def keys(part: pa.Table, at: np.ndarray, w: np.ndarray) -> tuple:
+        positives = part.column("positives").to_pylist()
+        named = [positives[j][x] for j, x in zip(at, w, strict=True)]
+        return part.column("id").to_numpy()[at], np.array([p["positive_id"] for p in named], np.int64), np.array([p["positive_score"] for p in named], np.int64)
+
+    return _met(data, anchors, rule.negatives, windows, False, keys, _NEGATIVE)
+
+
+def _met(data: pa.Table, anchors: pa.Table, k: int, windows_of: Callable, same: bool, keys_of: Callable, schema: pa.Schema) -> pa.Table:
+    """What the anchors of a pair of blocks find among rows of their label (same) or of others: keys_of(anchors, their places, windows), id
+    and score of each find."""
+    if not data.num_rows or not anchors.num_rows:
+        return schema.empty_table()
+    ids, labels, vectors = _matrix(data)
+    keep = _one_each(ids, labels, vectors)
+    ids, labels = ids[keep], labels[keep]
+    tree = VantageTree(vectors[keep], data.column("most")[0].as_py())
+    out = []
+    for start in range(0, anchors.num_rows, TOGETHER):
+        part = anchors.slice(start, TOGETHER)
+        own_ids, own_labels, queries = _matrix(part)
+        fits = lambda q, rows, i=own_ids, b=own_labels: ((b[q][:, None] == labels[rows]) == same) & (i[q][:, None] != ids[rows])
+        low, high = tree.bounds(queries.astype(float))
+        rows, scores, _ = tree.nearest(queries.astype(tree.exact.dtype), low, high, windows_of(part), k, ids, fits)
+        at, w, place = np.nonzero(rows >= 0)
+        out.append((*keys_of(part, at, w), ids[rows[at, w, place]], scores[at, w, place]))
+    return pa.Table.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
 
 def mine(df: DataFrame, is_anchor: Column, rule: Rule | None = None, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "vector", block_rows: int = 8192, anchor_rows: int = 32768) -> DataFrame:

@@ -78,14 +78,14 @@ def test_bounds_hold_and_prune():
     filled = np.concatenate((vectors, np.sqrt(np.maximum(0, most - (vectors * vectors).sum(1)))[:, None]), axis=1)
     queries = vectors[::400].astype(float)
     low, high = tree.bounds(queries)
-    met = 0
     for q, a, b in zip(queries, low, high, strict=True):
         d = np.sqrt(((filled - np.append(q, 0)) ** 2).sum(1))
         for leaf in range(len(a)):
             own = d[tree.order[tree.starts[leaf] : tree.starts[leaf + 1]]]
             assert a[leaf] <= own.min() and b[leaf] >= own.max()
-        [(rows, scores)], n = tree.nearest(q, float(q @ q), a, b, negatives.ANY, 5, np.arange(len(vectors)), lambda rows: np.ones(len(rows), bool))
+    every = np.broadcast_to(np.array([[-(2**62), 2**62]]), (len(queries), 1, 2))
+    rows, scores, met = tree.nearest(queries, low, high, every, 5, np.arange(len(vectors)), lambda q, rows: np.ones((len(q), len(rows)), bool))
+    for q, r, s in zip(queries, rows[:, 0], scores[:, 0], strict=True):
         want = np.lexsort((np.arange(len(vectors)), -(vectors @ q)))[:5]
-        assert rows.tolist() == want.tolist() and scores.tolist() == (vectors @ q)[want].astype(int).tolist()
-        met += n
+        assert r.tolist() == want.tolist() and s.tolist() == (vectors @ q)[want].astype(int).tolist()
     assert met < 0.5 * len(queries) * len(vectors), met / len(queries) / len(vectors)
