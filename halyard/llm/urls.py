@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import common
+from halyard.names import free
 
 ORDER, SYMBOLS, EDGES = 3, 31, 20
 PAD = "^" * ORDER
@@ -94,12 +95,13 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, url_col: str =
     scored = named.where("label is null or not train").withColumn("gram", F.explode(grams_of(url))).join(F.broadcast(weight), "gram").groupBy("url", "label").agg(F.round(F.avg("weight"), 9).alias("score"))
     scored = common.cut(scored, "url-scores")
     least = threshold(scored.where("label is not null"))
-    score = scored.where("label is null").select(F.col("url").alias("_url"), "score")
+    asked, decided = free("_url", pages), free("_decided", pages)
+    score = scored.where("label is null").select(F.col("url").alias(asked), "score")
     u = F.col(url_col).cast("string")
     out = pages.withColumns({"host": host_of(u), "path": path_of(u)})
-    out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_decided", verdict)
-    out = out.join(score, u == F.col("_url"), "left").drop("_url")
-    return out.withColumn("verdict", F.coalesce(F.col("_decided"), F.when(F.col("score") < least, "block").otherwise("allow"))).drop("_decided")
+    out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn(decided, verdict)
+    out = out.join(score, F.when(F.col(decided).isNull(), F.nullif(u, F.lit(""))) == F.col(asked), "left").drop(asked)
+    return out.withColumn("verdict", F.coalesce(decided, F.when(F.col("score") < least, "block").otherwise("allow"))).drop(decided)
 
 
 def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -637,6 +637,16 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(df.limit(3), rules={}).collect()} == {"allow"}
 
 
+def test_url_columns_clash(spark):
+    """Columns with the operator's own names stay; pages that a rule decides are not joined with scores."""
+    rows = [(k, f"http://{h}/p{k % 7}", "mine", k) for k, h in enumerate(["a.org", "b.com", "c.net", "x.example.org"] * 20)] + [(900, None, "mine", 1), (901, "", "mine", 2)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, _url string, _decided long"), {"org/": "allow", "com/": "block"})
+    assert {"_url", "_decided", "verdict", "rule"} <= set(got.columns)
+    found = {r.page_id: r for r in got.collect()}
+    assert len(found) == len(rows) and all(found[r[0]]._url == "mine" and found[r[0]]._decided == r[3] for r in rows)
+    assert {found[k].verdict for k in range(0, 80, 4)} == {"allow"} and {found[k].verdict for k in range(1, 80, 4)} == {"block"}
+
+
 def test_url_score_is_the_models(spark):
     """Weights against counts made by hand."""
     labelled = [("ab.org/x", 1), ("ab.org/y", 1), ("zz.com/x", 0)]
