@@ -14,9 +14,10 @@ from halyard.operators import relational
 def native_groups(df: DataFrame, order: list[str], rmsd: str) -> DataFrame:
     """df with grp for a corpus that has none: a group begins at each native row (rmsd 0); rows before the first are in group 0. Null
     rmsd is no native. The order must be total; no task sees the whole table."""
-    native = free("_native", df)
-    placed = relational.global_prefix(df.withColumn(native, F.coalesce(F.col(rmsd) == 0, F.lit(False)).cast("long")), order, native)
-    return placed.withColumn("grp", F.greatest(F.col("before") + F.col(native) - 1, F.lit(0).cast("long"))).drop("before", native)
+    relational.absent(df, "grp")
+    native, before = free("_native", df), free("_sum", df)
+    placed = relational.global_prefix(df.withColumn(native, F.coalesce(F.col(rmsd) == 0, F.lit(False)).cast("long")), order, native, before)
+    return placed.withColumn("grp", F.greatest(F.col(before) + F.col(native) - 1, F.lit(0).cast("long"))).drop(before, native)
 
 
 def with_sidecar(df: DataFrame, sidecar: DataFrame, key: str) -> DataFrame:
@@ -40,18 +41,20 @@ def aligned(frames: list[DataFrame], key: str) -> DataFrame:
 
 def cached_tokens(requests: DataFrame, cache: DataFrame, request: str, struct: str, residues: str) -> DataFrame:
     """request and tokens in the order of the residues (an array of keys), null when any residue is missing from the cache (struct,
-    residue, token; of repeated ones the least token). A request without residues has no tokens."""
-    wanted = requests.select(request, struct, F.posexplode(residues).alias("_place", "residue"))
-    known = cache.groupBy(struct, "residue").agg(F.min("token").alias("token"))
-    met = wanted.join(known, [struct, "residue"], "left").groupBy(request)
-    found = met.agg(F.count("*").alias("_n"), F.count("token").alias("_known"), F.collect_list(F.struct("_place", "token")).alias("_t"))
-    tokens = F.when(F.col("_n") == F.col("_known"), F.transform(F.array_sort("_t"), lambda x: x["token"]))
-    return requests.select(request).join(found.select(request, tokens.alias("tokens")), request, "left")
+    residue, token; of repeated ones the least token). A request without residues has no tokens. Columns of requests may be called
+    as those of the cache."""
+    wanted = requests.select(F.col(request).alias("_1"), F.col(struct).alias("_2"), F.posexplode(residues).alias("_4", "_3"))
+    known = cache.groupBy(F.col(struct).alias("_2"), F.col("residue").alias("_3")).agg(F.min("token").alias("_5"))
+    met = wanted.join(known, ["_2", "_3"], "left").groupBy("_1")
+    found = met.agg(F.count("*").alias("_6"), F.count("_5").alias("_7"), F.collect_list(F.struct("_4", "_5")).alias("_8"))
+    tokens = F.when(F.col("_6") == F.col("_7"), F.transform(F.array_sort("_8"), lambda x: x["_5"]))
+    return requests.select(F.col(request).alias("_1")).join(found.select("_1", tokens.alias("_9")), "_1", "left").select(F.col("_1").alias(request), F.col("_9").alias("tokens"))
 
 
 def mean_places(df: DataFrame, doc: str, code: str, xyz: list[str], least: int = 3) -> DataFrame:
     """code, n and the mean of the xyz of its places, over documents with at least that many codes."""
-    long = df.groupBy(doc).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(doc)
+    n = free("_n", df)
+    long = df.groupBy(doc).agg(F.count("*").alias(n)).where(F.col(n) >= least).select(doc)
     return df.join(long, doc, "left_semi").groupBy(code).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in xyz))
 
 
@@ -162,11 +165,12 @@ def site_store(sites: DataFrame, parts: DataFrame, key: str, struct: str, cached
 def batched_graph(nodes: DataFrame, edges: DataFrame, bonds: DataFrame, graph: str, node: str, a: str, b: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A batch of graphs as one: nodes with global, edges of both directions as source and target (global numbers) with is_bond, and
     angles left, centre, right of neighbours (left < right). nodes: graph, node from 0 in each; edges and bonds: graph, a, b."""
-    sizes = nodes.groupBy(graph).agg((F.max(node) + 1).cast("long").alias("_size"))
-    shift = relational.global_prefix(sizes, [graph], "_size").select(graph, F.col("before").alias("_shift"))
-    every = nodes.join(shift, graph).withColumn("global", F.col(node) + F.col("_shift")).drop("_shift")
-    both = lambda df: df.select(graph, F.col(a).alias("u"), F.col(b).alias("v")).union(df.select(graph, F.col(b), F.col(a))).distinct()
-    flagged = both(edges).join(both(bonds).withColumn("_bond", F.lit(True)), [graph, "u", "v"], "left").join(shift, graph)
-    pairs = flagged.select(graph, (F.col("u") + F.col("_shift")).alias("source"), (F.col("v") + F.col("_shift")).alias("target"), F.coalesce("_bond", F.lit(False)).alias("is_bond"))
+    size, shift, bond, u, v = (free(c, nodes, edges, bonds) for c in ("_size", "_shift", "_bond", "_u", "_v"))
+    sizes = nodes.groupBy(graph).agg((F.max(node) + 1).cast("long").alias(size))
+    shifts = relational.global_prefix(sizes, [graph], size, shift).select(graph, shift)
+    every = nodes.join(shifts, graph).withColumn("global", F.col(node) + F.col(shift)).drop(shift)
+    both = lambda df: df.select(graph, F.col(a).alias(u), F.col(b).alias(v)).union(df.select(graph, F.col(b), F.col(a))).distinct()
+    flagged = both(edges).join(both(bonds).withColumn(bond, F.lit(True)), [graph, u, v], "left").join(shifts, graph)
+    pairs = flagged.select(graph, (F.col(u) + F.col(shift)).alias("source"), (F.col(v) + F.col(shift)).alias("target"), F.coalesce(bond, F.lit(False)).alias("is_bond"))
     one, two = pairs.select(graph, F.col("target").alias("centre"), F.col("source").alias("left")), pairs.select(graph, F.col("target").alias("centre"), F.col("source").alias("right"))
     return every, pairs, one.join(two, [graph, "centre"]).where("left < right").select(graph, "left", "centre", "right")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from halyard.functions import scalars, statistics
+from halyard.names import free
 from halyard.operators import relational
 
 GROUP_FLOOR, SA_MOST, QED_LEAST = 3, 5.0, 0.4
@@ -129,11 +130,19 @@ def discordant(df: DataFrame, keys: list[str], first: Column, second: Column) ->
     return out.withColumn("win_rate", F.try_divide(F.col("first_only").cast("double"), (F.col("first_only") + F.col("second_only")).cast("double")))
 
 
+def differences(values: DataFrame, reference: str, method: str, unit: str, value: str, into: str) -> DataFrame:
+    """method, unit and the difference from the reference's value on shared units, as a column into; missing ones are left out."""
+    base = values.where(F.col(method) == reference).select(unit, F.col(value).alias(into))
+    rows = values.where(F.col(method) != reference).select(method, unit, value).join(base, unit)
+    return rows.select(method, unit, (F.col(value) - F.col(into)).alias(into)).where(F.col(into).isNotNull() & ~F.isnan(into))
+
+
 def pairwise(values: DataFrame, reference: str, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
     """Each method against the reference on their shared units: n, mean and deviation of the difference."""
-    base = values.where(F.col(method) == reference).select(unit, F.col(value).alias("_base"))
-    d = F.col(value) - F.col("_base")
-    return values.where(F.col(method) != reference).join(base, unit).where(d.isNotNull()).groupBy(method).agg(F.count("*").alias("n"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("sd"))
+    base = free("_base", values)
+    other = values.where(F.col(method) == reference).select(unit, F.col(value).alias(base))
+    d = F.col(value) - F.col(base)
+    return values.where(F.col(method) != reference).join(other, unit).where(d.isNotNull()).groupBy(method).agg(F.count("*").alias("n"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("sd"))
 
 
 def _with_pvalues(spark: SparkSession, rows: list, schema: T.StructType, names: list[str]) -> DataFrame:
@@ -152,8 +161,9 @@ def pairwise_ttest(values: DataFrame, reference: str, **names: str) -> DataFrame
 
 
 def pairwise_mcnemar(outcomes: DataFrame, reference: str, method: str = "method", unit: str = "unit", success: str = "success") -> DataFrame:
-    base = outcomes.where(F.col(method) == reference).select(unit, F.col(success).alias("_base"))
-    table = discordant(outcomes.where(F.col(method) != reference).join(base, unit), [method], F.col("_base"), F.col(success))
+    base = free("_base", outcomes)
+    other = outcomes.where(F.col(method) == reference).select(unit, F.col(success).alias(base))
+    table = discordant(outcomes.where(F.col(method) != reference).join(other, unit), [method], F.col(base), F.col(success))
     rows = [(r, statistics.mcnemar(r.first_only, r.second_only, r.n).pvalue) for r in table.collect()]  # a row for each method
     return _with_pvalues(outcomes.sparkSession, rows, table.schema, ["p", "p_holm"])
 
@@ -186,7 +196,8 @@ def group_softmax(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     top = F.max(score).over(w)
     e = F.exp(F.col(score) - top)
-    return df.withColumn("_e", e).withColumn("_n", F.count("*").over(w)).withColumn("share", F.col("_e") / F.sum("_e").over(w)).where("_n > 1").drop("_e", "_n")
+    own, n = free("_e", df), free("_n", df)
+    return df.withColumn(own, e).withColumn(n, F.count("*").over(w)).withColumn("share", F.col(own) / F.sum(own).over(w)).where(F.col(n) > 1).drop(own, n)
 
 
 def balanced_mean(df: DataFrame, example: str, component: str, loss: str) -> DataFrame:
@@ -210,14 +221,15 @@ def diversity(df: DataFrame, keys: list[str], smiles: str, scaffold: str, valid:
     """Of each key n_valid, validity, uniqueness, novelty (of distinct valid ones, against known's smiles), scaffold_diversity (over valid
     ones) and hit_scaffolds (distinct ones of hits over all rows)."""
     ok, won = F.coalesce(valid, F.lit(False)), F.coalesce(hit, F.lit(False))
-    novel = known.select(F.col(smiles)).distinct().withColumn("_known", F.lit(True))
+    seen = free("_known", df)
+    novel = known.select(F.col(smiles)).distinct().withColumn(seen, F.lit(True))
     rows = df.join(novel, smiles, "left").groupBy(*keys)
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     n, n_valid = F.count("*"), F.count_if(ok)
     unique = F.count_distinct(F.when(ok, F.col(smiles)))
     return rows.agg(
         n_valid.alias("n_valid"), ratio(n_valid, n).alias("validity"), ratio(unique, n_valid).alias("uniqueness"),
-        ratio(F.count_distinct(F.when(ok & F.col("_known").isNull(), F.col(smiles))), unique).alias("novelty"),
+        ratio(F.count_distinct(F.when(ok & F.col(seen).isNull(), F.col(smiles))), unique).alias("novelty"),
         ratio(F.count_distinct(F.when(ok, F.col(scaffold))), n_valid).alias("scaffold_diversity"), ratio(F.count_distinct(F.when(ok & won, F.col(scaffold))), n).alias("hit_scaffolds"),
     )
 
@@ -225,8 +237,7 @@ def diversity(df: DataFrame, keys: list[str], smiles: str, scaffold: str, valid:
 def signed_ranks(values: DataFrame, reference: str, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
     """Wilcoxon's signed ranks of each method against the reference on shared units, zeros left out: n, n_nonzero, w (the smaller rank
     sum), z of the normal form with its variance corrected for ties. No task holds a method's units at once but the window's sort."""
-    base = values.where(F.col(method) == reference).select(unit, F.col(value).alias("_base"))
-    rows = values.where(F.col(method) != reference).join(base, unit).select(method, (F.col(value) - F.col("_base")).alias("_d")).where("_d is not null and not isnan(_d)")
+    rows = differences(values, reference, method, unit, value, "_d")
     sizes = rows.groupBy(method, F.abs("_d").alias("_size")).agg(F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_plus"))
     before = F.coalesce(F.sum("_t").over(Window.partitionBy(method).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     some = sizes.where("_size > 0").withColumn("_rank", before + (F.col("_t") + 1) / 2)
@@ -241,16 +252,16 @@ def signed_ranks(values: DataFrame, reference: str, method: str = "method", unit
 def paired_bootstrap(values: DataFrame, reference: str, resamples: int = 200, level: float = 0.95, seed: int = 0, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
     """Mean difference of each method from the reference on shared units, and the percentile interval of its Poisson resamples: a unit
     counts as often in a resample as its name draws, so units are resampled wherever they lie and every method sees the same draws."""
-    base = values.where(F.col(method) == reference).select(unit, F.col(value).alias("_base"))
-    rows = values.where(F.col(method) != reference).join(base, unit).select(method, unit, (F.col(value) - F.col("_base")).alias("_d")).where("_d is not null and not isnan(_d)")
-    draws = rows.select(unit).distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    d, times, mean = (free(c, values.select(method, unit)) for c in ("_d", "_times", "_mean"))
+    rows = differences(values, reference, method, unit, value, d)
+    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))  # in place: the sums of a task leave it, not its draws
     u = scalars.uniform(seed, F.concat_ws(":", F.col(unit).cast("string"), F.col("resample").cast("string")))
-    times, total, share = F.lit(0), 0.0, math.exp(-1)
+    n, total, share = F.lit(0), 0.0, math.exp(-1)
     for k in range(1, 9):  # the chance of nine and more is 1e-6
         total += share
-        times = F.when(u >= total, k).otherwise(times)
+        n = F.when(u >= total, k).otherwise(n)
         share /= k
-    drawn = draws.withColumn("_times", times).where("_times > 0")
-    means = rows.join(drawn, unit).groupBy(method, "resample").agg(F.try_divide(F.sum(F.col("_d") * F.col("_times")), F.sum("_times").cast("double")).alias("_mean"))
-    edges = means.groupBy(method).agg(F.percentile("_mean", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("_q"))  # of resamples, not of rows
-    return rows.groupBy(method).agg(F.count("*").alias("n"), F.avg("_d").alias("delta")).join(edges, method).select(method, "n", "delta", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    drawn = drawn.withColumn(times, n).where(F.col(times) > 0)
+    means = drawn.groupBy(method, "resample").agg(F.try_divide(F.sum(F.col(d) * F.col(times)), F.sum(times).cast("double")).alias(mean))
+    edges = means.groupBy(method).agg(F.percentile(mean, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("interval"))  # of resamples, not of rows
+    return rows.groupBy(method).agg(F.count("*").alias("n"), F.avg(d).alias("delta")).join(edges, method).select(method, "n", "delta", F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from halyard.names import free
+
 
 def codebook_step(vectors: DataFrame, vector: str, code: str, old: DataFrame, decay: float = 0.99, restart: float = 0.1, smooth: float = 1e-5) -> DataFrame:
     """code, size, centre, restarted after one averaged update of old (code, size, sums: array). A code whose size falls under restart
@@ -69,12 +71,17 @@ def refine_order(confidence: np.ndarray, positions: np.ndarray, frac: float, ord
 
 
 def group_losses(df: DataFrame, keys: list[str], pred: str, target: str) -> DataFrame:
-    """Mean smooth-L1 and listwise cross-entropy of each group; groups of one have no listwise loss."""
+    """Mean smooth-L1 and listwise cross-entropy of each group (rows are better the lower they are); groups of one have no listwise loss.
+    Shares are kept as logarithms, so that no spread of values overflows or vanishes."""
     w = Window.partitionBy(*keys)
     d = F.abs(F.col(pred) - F.col(target))
-    share = lambda c: F.exp(-F.col(c) - F.max(-F.col(c)).over(w)) / F.sum(F.exp(-F.col(c))).over(w) * F.exp(F.max(-F.col(c)).over(w))
-    rows = df.withColumns({"_l1": F.when(d < 1, d * d / 2).otherwise(d - 0.5), "_p": share(pred), "_q": share(target)})
-    return rows.groupBy(*keys).agg(F.avg("_l1").alias("smooth_l1"), F.when(F.count("*") > 1, -F.sum(F.col("_q") * F.ln(F.col("_p")))).alias("listwise"))
+    l1, top, most = (free(c, df) for c in ("_l1", "_top", "_most"))
+    rows = df.withColumns({l1: F.when(d < 1, d * d / 2).otherwise(d - 0.5), top: F.max(-F.col(pred)).over(w), most: F.max(-F.col(target)).over(w)})
+    of_pred, of_target = -F.col(pred) - F.col(top), -F.col(target) - F.col(most)
+    # with p = e / sum(e) and q likewise: -sum(q ln p) = ln(sum e) - sum(e' x) / sum(e')
+    weight = F.exp(of_target)
+    listwise = F.ln(F.sum(F.exp(of_pred))) - F.sum(weight * of_pred) / F.sum(weight)
+    return rows.groupBy(*keys).agg(F.avg(l1).alias("smooth_l1"), F.when(F.count("*") > 1, listwise).alias("listwise"))
 
 
 def check_coverage(scores: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

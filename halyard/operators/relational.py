@@ -113,9 +113,10 @@ def counted_split(df: DataFrame, group: str, val: float, seed: int = 0) -> DataF
     """split with int(groups * val) groups in val, in the order of their hashes. Only group names are ordered."""
     u = free("_u", df)
     names = df.select(group).distinct().withColumn(u, scalars.named_seed(seed, F.col(group).cast("string")))
-    ranked = global_position(names, [u, group])
+    place = free("_place", names)
+    ranked = global_position(names, [u, group], place)
     total = names.count()
-    side = ranked.select(group, F.when(F.col("position") < int(total * val), "val").otherwise("train").alias("split"))
+    side = ranked.select(group, F.when(F.col(place) < int(total * val), "val").otherwise("train").alias("split"))
     return df.join(side, group)
 
 
@@ -130,20 +131,29 @@ def sized_split(df: DataFrame, group: str, val: float, seed: int = 0) -> DataFra
     return df.withColumn(own, key).join(side, own).drop(own)
 
 
-def global_prefix(df: DataFrame, order: list[str], amount: str) -> DataFrame:
-    """before: sum of amount over all rows that come earlier. Dealt by range and summed a part at a time."""
+def global_prefix(df: DataFrame, order: list[str], amount: str, name: str = "before") -> DataFrame:
+    """df with the column name: sum of amount over all rows that come earlier. Dealt by range and summed a part at a time. A column of that
+    name that is there already is an error."""
+    absent(df, name)
     part, start, here = (free(c, df) for c in ("_part", "_before", "_inside"))
     parts = storage.cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "prefix")
-    total = parts.groupBy(part).agg(F.sum(amount).alias("_total"))
-    before = total.withColumn(start, F.coalesce(F.sum("_total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(part, start)
+    total = parts.groupBy(part).agg(F.sum(amount).alias(start))
+    before = total.withColumn(start, F.coalesce(F.sum(start).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum(amount).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn(here, inside).join(F.broadcast(before), part).withColumn("before", F.col(start) + F.col(here)).drop(part, start, here)
+    return parts.withColumn(here, inside).join(F.broadcast(before), part).withColumn(name, F.col(start) + F.col(here)).drop(part, start, here)
 
 
-def global_position(df: DataFrame, order: list[str]) -> DataFrame:
-    """position: from 0 in that order, over the whole table."""
+def absent(df: DataFrame, *names: str) -> None:
+    """ValueError if df has one of the columns that an operator is about to add."""
+    there = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if there:
+        raise ValueError(f"columns are there already: {', '.join(there)}")
+
+
+def global_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """df with the column name: from 0 in that order, over the whole table."""
     one = free("_one", df)
-    return global_prefix(df.withColumn(one, F.lit(1).cast("long")), order, one).withColumnRenamed("before", "position").drop(one)
+    return global_prefix(df.withColumn(one, F.lit(1).cast("long")), order, one, name).drop(one)
 
 
 def capped(df: DataFrame, keys: list[str], order: list[str | Column], most: int, always: Column | None = None) -> DataFrame:
@@ -170,7 +180,7 @@ def union_with_offsets(parts: list[DataFrame], key: str, singles: bool = True) -
         if key not in part.columns:
             if not singles:
                 raise ValueError(f"part {k} has no {key}")
-            part = global_position(part, part.columns[:1]).withColumnRenamed("position", key)
+            part = global_position(part, part.columns[:1], key)
         part = part.withColumn(key, (F.col(key) + shift).cast("long"))
         top = part.agg(F.max(key)).first()[0]
         shift = shift if top is None else top + 1
@@ -191,8 +201,9 @@ def _as_of_all(df: DataFrame, order: str, starts: Column) -> DataFrame:
     """The same over the whole table: dealt by range, with the last start of the ranges before carried on, one number a range."""
     part, own, before = (free(c, df) for c in ("_part", "_own", "_before"))
     parts = storage.cut(df.repartitionByRange(order).withColumns({part: F.spark_partition_id(), own: F.when(starts, F.col(order))}), "as-of")
-    ends = parts.groupBy(part).agg(F.max(own).alias("_last"), F.min(order).alias("_least"))
-    carried = F.coalesce(F.max("_last").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.min("_least").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)))
+    last, least = (free(c, df) for c in ("_last", "_least"))
+    ends = parts.groupBy(part).agg(F.max(own).alias(last), F.min(order).alias(least))
+    carried = F.coalesce(F.max(last).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.min(least).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)))
     inside = F.last(own, ignorenulls=True).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     met = parts.withColumn("start", inside).join(F.broadcast(ends.select(part, carried.alias(before))), part)
     return met.withColumn("start", F.coalesce("start", before)).drop(part, own, before)
@@ -246,20 +257,24 @@ def pareto(df: DataFrame, low: list[str]) -> DataFrame:
     return df.join(front, x).where(F.col(y) == F.col(own)).drop(own)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], prob: str = "prob", q: str = "q") -> DataFrame:
     """Of each key and prob (its place in probs, from 0) the quantile q of value, linear between neighbours; nulls don't count. Values
-    are counted and their places found by range, so that no task holds a key's values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    placed = storage.cut(global_prefix(counts, [*keys, "_v"], "_c"), "places")
-    groups = placed.groupBy(*keys).agg(F.min("before").alias("_first"), F.sum("_c").alias("_n"))
-    at = F.transform(F.array(*(F.lit(float(p)) for p in probs)), lambda p: (F.col("_n") - 1) * p)
-    wanted = groups.select(*keys, "_first", F.posexplode(at).alias("prob", "_at"))
-    inside = lambda x: (F.col("_place") <= x) & (x < F.col("_place") + F.col("_c"))
-    met = placed.join(wanted, keys).withColumn("_place", F.col("before") - F.col("_first"))
-    ends = met.where(inside(F.floor("_at")) | inside(F.ceil("_at")))
-    low, high = (F.max(F.when(inside(f("_at")), F.col("_v"))) for f in (F.floor, F.ceil))
-    q = ends.groupBy(*keys, "prob", "_at").agg(low.cast("double").alias("_low"), high.cast("double").alias("_high"))
-    return q.select(*keys, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("q"))
+    are counted and their places found by range, so that no task holds a key's values; a row for each place that is asked for comes
+    out of the join, however many values there are. A key that is called as one of the new columns is an error."""
+    absent(df.select(*keys), prob, q)
+    v, c, before, first, n, at, p, place, low, high = (free(x, df) for x in ("_v", "_c", "_sum", "_first", "_n", "_at", "_p", "_place", "_low", "_high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(v)).agg(F.count("*").alias(c))
+    placed = storage.cut(global_prefix(counts, [*keys, v], c, before), "places")
+    groups = placed.groupBy(*keys).agg(F.min(before).alias(first), F.sum(c).alias(n))
+    asked = F.array(*(F.struct(F.lit(k).alias("prob"), ((F.col(n) - 1) * F.lit(float(x))).alias("at")) for k, x in enumerate(probs)))
+    inside = lambda x: (F.col(place) <= x) & (x < F.col(place) + F.col(c))
+    met = placed.join(groups.select(*keys, first, asked.alias(at)), keys).withColumn(place, F.col(before) - F.col(first))
+    mine = F.filter(at, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))
+    ends = met.select(*keys, v, c, place, F.explode(mine).alias(p))
+    prob_of, at_of = F.col(f"{p}.prob"), F.col(f"{p}.at")
+    lower, upper = (F.max(F.when(inside(f(at_of)), F.col(v))) for f in (F.floor, F.ceil))
+    found = ends.groupBy(*keys, prob_of.alias(prob), at_of.alias(at)).agg(lower.cast("double").alias(low), upper.cast("double").alias(high))
+    return found.select(*keys, prob, (F.col(low) + (F.col(high) - F.col(low)) * (F.col(at) - F.floor(at))).alias(q))
 
 
 def classes_balanced(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from halyard import storage
 from halyard.functions import scalars
+from halyard.names import free
 from halyard.operators import relational
 from halyard.sources import archives, records
 
@@ -220,7 +221,9 @@ def write_new_arms(df: DataFrame, path: str, arm: str = "arm") -> None:
 
 def shard_by_size(df: DataFrame, order: list[str], size: str, target: int) -> DataFrame:
     """shard: cut where the bytes so far pass a multiple of target. Prefix sums over ranges, so no task folds the table."""
-    return relational.global_prefix(df, order, size).withColumn("shard", F.floor(F.col("before") / target).cast("long")).drop("before")
+    relational.absent(df, "shard")
+    before = free("_sum", df)
+    return relational.global_prefix(df, order, size, before).withColumn("shard", F.floor(F.col(before) / target).cast("long")).drop(before)
 
 
 def write_archives(df: DataFrame, path: str, member: str, content: str, most: int = 50_000) -> DataFrame:

@@ -305,3 +305,15 @@ def test_large_codebook(spark, monkeypatch):
     monkeypatch.setattr(spatial, "CODEBOOK_BYTES", 31)
     with pytest.raises(ValueError, match="codebook"):
         spatial.nearest_code(df, "v", np.eye(2))
+
+
+def test_affinities_are_read_by_the_rule(spark):
+    cases = {
+        "Kd=1nM": 9.0, "ki < 2.5E-1 uM": -math.log10(2.5e-7), "IC50~.5mM": -math.log10(5e-4), "Kd>3.pM": -math.log10(3e-12), "x Ki=1e3fM y": 12.0, "Kd=2M": -math.log10(2), "KD = 10 NM": 8.0,
+        "Kd=1e--9nM": None, "Kd==1nM": None, "Kd=nM": None, "Kd=.nM": None, "Kd=1 kM": None, "EC50=1nM": None, "Kd=0nM": None, "Kd 1nM": None, "": None, None: None, "Kd=1nM Ki=1uM": 9.0,
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", scalars.affinity_pk(F.col("c")).alias("pk"), scalars.found(F.col("c"), scalars.AFFINITY, 1).alias("kind")).collect()
+    for r in rows:
+        want = cases[r.c]
+        assert (r.pk is None) == (want is None) and (want is None or abs(r.pk - want) < 1e-9), r
+    assert {r.c: r.kind for r in rows}["Kd=1nM Ki=1uM"] == "Kd"

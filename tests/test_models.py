@@ -74,3 +74,17 @@ def test_quantiles(spark):
     got = {(r.k, r.prob): r.q for r in relational.quantiles(df, ["k"], "v", probs).collect()}
     assert got.keys() == {(k, i) for k in values for i in range(5)}
     assert all(abs(got[k, i] - np.quantile(values[k], p)) < 1e-9 for k in values for i, p in enumerate(probs))
+
+
+def test_listwise_loss_of_wide_spreads(spark):
+    """Against the same in doubles of unlimited exponent: spreads of 2,000 neither vanish nor overflow."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 50
+    groups = {0: [(-2, 1), (900, 2)], 1: [(0.5, -900), (0.25, 900)], 2: [(-1000, 1000), (1000, -1000), (3, 4)], 3: [(5, 5)], 4: [(1, 1), (1, 1)]}
+    df = spark.createDataFrame([(g, float(p), float(t), "x", 1.0) for g, rows in groups.items() for p, t in rows], "g int, p double, t double, _top string, _l1 double")
+    for r in models.group_losses(df, ["g"], "p", "t").collect():
+        rows = groups[r.g]
+        e = lambda k: [Decimal(-x[k]).exp() for x in rows]  # noqa: B023, E731
+        want = -sum(q / sum(e(1)) * (p / sum(e(0))).ln() for p, q in zip(e(0), e(1), strict=True)) if len(rows) > 1 else None
+        assert (r.listwise is None) == (want is None) and (want is None or abs(r.listwise - float(want)) < 1e-6 * (1 + abs(float(want)))), r
