@@ -13,7 +13,7 @@ from halyard.functions import scalars, sequences
 from halyard.operators import relational
 from halyard.plans import geometry
 from halyard.plans.registry import Tables, query
-from halyard.sources import records, tables
+from halyard.sources import members, records, tables
 
 
 def ligand_files(t: Tables) -> DataFrame:
@@ -31,7 +31,7 @@ def ligand_files(t: Tables) -> DataFrame:
 select pair_idx, count(*) as n_atoms, count(*) - 1 as n_bonds, round(avg(round(x, 4)), 3) as cx from a group by 1""")
 def archive_round_trip(t: Tables) -> DataFrame:
     folder = storage.new_folder(t.spark, "ligands")
-    storage.cut(tables.write_archives(ligand_files(t), folder, "member", "content", 4), "archives")
+    tables.write_archives(ligand_files(t), folder, "member", "content", 4)
     manifest = t.embeddings.select(geometry.molecule().alias("pair_idx")).distinct().where("pair_idx % 2 = 0")
     poses = tables.poses(t.spark, folder, manifest)
     mean = F.aggregate("mol.atoms", F.lit(0.0), lambda s, a: s + a["x"]) / F.size("mol.atoms")
@@ -93,3 +93,32 @@ def resumed_arms(t: Tables) -> DataFrame:
 def resume_work_list(t: Tables) -> DataFrame:
     done = t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return relational.without(t.part.where("p_size > 40").select("p_partkey", "p_name"), done, "p_partkey")
+
+
+def text_archives(t: Tables, rows: DataFrame, form: str) -> DataFrame:
+    """Archives of texts in the shared folder, and the index of their members."""
+    named = rows.select(F.format_string("texts/%d.txt", "doc_id").alias("member"), "text")
+    done = tables.write_archives(named, storage.new_folder(t.spark, "texts"), "member", "text", 2000, form)
+    return storage.cut(members.index_of(done, "archive"), "index")
+
+
+@query("""select doc_id, text is not null as found, strlen(text)::bigint as size, md5(text) as digest from labels left join documents using (doc_id)""")
+def member_lookup(t: Tables) -> DataFrame:
+    """The text of every labelled document, each read by its range out of tar archives of all documents."""
+    index = text_archives(t, t.documents, "tar")
+    wanted = t.labels.select("doc_id", F.format_string("texts/%d.txt", "doc_id").alias("member")).join(index.select("archive", "member"), "member", "left")
+    got = members.lookup(wanted, index)
+    return got.select("doc_id", F.col("content").isNotNull().alias("found"), F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("digest"))
+
+
+@query("""select doc_id, length(text)::bigint as n_chars, md5(text) as digest from documents""")
+def resolved_texts(t: Tables) -> DataFrame:
+    """Documents whose records hold the text or name a member of a zip, a tar or a compressed tar file, by turns."""
+    turn = lambda k: t.documents.where(F.pmod("doc_id", F.lit(4)) == k)
+    rows = turn(0).select("doc_id", F.col("text").alias("pdb"), *(F.lit(None).cast("string").alias(c) for c in ("zip", "tar", "member")))
+    for k, form in enumerate(("zip", "tar", "tar.gz"), 1):
+        there = text_archives(t, turn(k), form).select(F.col("member").alias("name"), "archive")
+        named = turn(k).select("doc_id", F.format_string("texts/%d.txt", "doc_id").alias("name")).join(there, "name", "left")
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(named.select("doc_id", none.alias("pdb"), (F.col("archive") if k == 1 else none).alias("zip"), (none if k == 1 else F.col("archive")).alias("tar"), F.col("name").alias("member")))
+    return members.resolve(rows).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))

@@ -44,23 +44,27 @@ class Reads(io.RawIOBase):
     def seekable(self) -> bool:
         return self.of.seekable()
 
-    def readinto(self, buffer: bytearray) -> int:
+    def _do(self, what: str, *args: int) -> object:
         try:
-            data = self.of.read(len(buffer))
+            return getattr(self.of, what)(*args)
         except OSError as e:
             raise StorageError(str(e)) from e
+
+    def readinto(self, buffer: bytearray) -> int:
+        data = self._do("read", len(buffer))
         buffer[: len(data)] = data
         return len(data)
 
     def seek(self, offset: int, whence: int = 0) -> int:
-        return self.of.seek(offset, whence)
+        return self._do("seek", offset, whence)
 
     def tell(self) -> int:
-        return self.of.tell()
+        return self._do("tell")
 
     def close(self) -> None:
-        self.of.close()
-        super().close()
+        if not self.closed:
+            super().close()
+            self.of.close()
 
 
 def members(uri: str, wanted: set[str] | None, unpack: bool) -> Iterator[tuple[str, bytes]]:

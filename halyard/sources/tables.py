@@ -9,8 +9,9 @@ import platform
 import subprocess
 import sys
 import tarfile
+import uuid
+import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -129,9 +130,19 @@ def discover_arms(root: str, suffix: str, baselines: set[str], registered: list[
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, part: int = 0, parts: int = 1) -> DataFrame:
-    """Records of JSON lines; parts: every parts-th record from part on, by hash."""
-    r = spark.read.schema(schema).json(path)
-    return r if parts == 1 else r.where(F.pmod(F.xxhash64(*r.columns), F.lit(parts)) == part)
+    """Records of JSON lines, a file's or all files' of a folder; part k of n of a folder has every n-th file from the k-th on, by name, of
+    a single file every n-th record from the k-th on. So the parts are disjoint, together whole, and equal records may be in several."""
+    if parts == 1:
+        return spark.read.schema(schema).json(path)
+    if not 0 <= part < parts:
+        raise ValueError(f"no part {part} of {parts}")
+    fs, at = archives.file_system(path)
+    if not fs.get_file_info(at).is_file:
+        mine = archives.list_files(path, (".jsonl", ".jsonl.gz", ".json", ".json.gz"))[part::parts]
+        return spark.read.schema(schema).json(mine) if mine else spark.createDataFrame([], schema)
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    mine = relational.global_position(lines, ["line"]).where(F.col("position") % parts == part)
+    return mine.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
@@ -226,27 +237,38 @@ def shard_by_size(df: DataFrame, order: list[str], size: str, target: int) -> Da
     return relational.global_prefix(df, order, size, before).withColumn("shard", F.floor(F.col(before) / target).cast("long")).drop(before)
 
 
-def write_archives(df: DataFrame, path: str, member: str, content: str, most: int = 50_000) -> DataFrame:
-    """tar.gz archives of at most most members, by name; returns archive, members. Null content is passed over."""
-    rows = relational.global_position(df.where(F.col(content).isNotNull()).select(member, content).dropDuplicates([member]), [member])
+#: Suffixes of archives, and how tarfile writes them.
+FORMS = {"tar.gz": "w|gz", "tar": "w|", "zip": None}
+
+
+def write_archives(df: DataFrame, path: str, member: str, content: str, most: int = 50_000, form: str = "tar.gz") -> DataFrame:
+    """Archives (FORMS) of at most most members, by name; returns archive, members. Null content is passed over, of members with one name
+    any is written. An archive is written under a name of its own and gets its final one when it is whole, so neither a second attempt
+    nor a lost executor leaves a torn one. The returned table is written too: reading it again writes no archive."""
+    mode = FORMS[form]
+    rows = relational.global_position(df.where(F.col(content).isNotNull()).select(F.col(member).alias("member"), F.col(content).alias("content")).dropDuplicates(["member"]), ["member"])
     rows = rows.withColumn("shard", F.floor(F.col("position") / most).cast("long"))
 
     def write(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{path.rstrip('/')}/{key[0].as_py():06d}.tar.gz"
+        name = f"{path.rstrip('/')}/{key[0].as_py():06d}.{form}"
         fs, at = archives.file_system(name)
         fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        count = 0
-        with fs.open_output_stream(at, compression=None) as out, tarfile.open(fileobj=out, mode="w|gz") as tar:
+        count, own = 0, f"{at}.{uuid.uuid4().hex}.part"
+        with fs.open_output_stream(own, compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) if mode is None else tarfile.open(fileobj=out, mode=mode) as into:
             for b in batches:
                 for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     data = c.encode() if isinstance(c, str) else c
-                    info = tarfile.TarInfo(n)
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
+                    if mode is None:
+                        into.writestr(zipfile.ZipInfo(n), data, zipfile.ZIP_DEFLATED)
+                    else:
+                        info = tarfile.TarInfo(n)
+                        info.size = len(data)
+                        into.addfile(info, io.BytesIO(data))
                     count += 1
+        fs.move(own, at)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["archive", "members"])
 
-    return rows.select(member, content, "shard").groupBy("shard").applyInArrow(write, "archive string, members long")
+    return storage.cut(rows.select("member", "content", "shard").groupBy("shard").applyInArrow(write, "archive string, members long"), "archives")
 
 
 def write_audit(df: DataFrame, path: str) -> str:
@@ -266,7 +288,9 @@ def run_manifest(path: str, seed: int, extra: dict | None = None) -> dict:
         return done.stdout.strip() if done.returncode == 0 else None
 
     out = {"argv": sys.argv, "revision": git("rev-parse", "HEAD"), "changed": bool(git("status", "--porcelain")), "seed": seed, "host": platform.node(), "job": {k: v for k, v in os.environ.items() if k.startswith(("SLURM_", "SPARK_"))}, "written": pd.Timestamp.now("UTC").isoformat(), **(extra or {})}
-    Path(path).write_text(json.dumps(out, indent=1))
+    fs, at = archives.file_system(path)
+    with fs.open_output_stream(at, compression=None) as f:
+        f.write(json.dumps(out, indent=1).encode())
     return out
 
 
