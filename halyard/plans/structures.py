@@ -13,7 +13,7 @@ from halyard.functions import scalars, sequences
 from halyard.operators import relational
 from halyard.plans import geometry
 from halyard.plans.registry import Tables, query
-from halyard.sources import members, records, tables
+from halyard.sources import members, packed, records, tables
 
 
 def ligand_files(t: Tables) -> DataFrame:
@@ -122,3 +122,17 @@ def resolved_texts(t: Tables) -> DataFrame:
         none = F.lit(None).cast("string")
         rows = rows.unionByName(named.select("doc_id", none.alias("pdb"), (F.col("archive") if k == 1 else none).alias("zip"), (none if k == 1 else F.col("archive")).alias("tar"), F.col("name").alias("member")))
     return members.resolve(rows).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("""with d as (select row_number() over (order by doc_id) - 1 as place, list_transform(string_split(coalesce(text, ''), ' '), lambda x: least(length(x), 65535)) as tokens from documents)
+select place, len(tokens)::bigint as n_tokens, list_sum(tokens)::bigint as total, list_sum(list_transform(tokens, lambda x, k: x * k))::bigint as weighted, len(list_filter(tokens, lambda x: x % 2 = 1))::bigint as n_odd from d""")
+def packed_tokens(t: Tables) -> DataFrame:
+    """Documents as the lengths of their words, with a stream of odd and even: written flat, read back by splits."""
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda w: F.least(F.length(w), F.lit(65535)))
+    docs = t.documents.select("doc_id", words.alias("tokens")).withColumn("odd", F.transform("tokens", lambda x: x % 2))
+    folder = storage.new_folder(t.spark, "flat")
+    packed.write_packed(docs, folder, ["doc_id"], lengths="<u4", streams={"odd": "u1"})
+    back = relational.global_position(packed.read_packed(t.spark, folder, lengths="<u4", streams={"odd": "u1"}), ["name", "doc"], "place")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    weighted = F.zip_with("tokens", F.sequence(F.lit(1), F.size("tokens")), lambda x, k: x.cast("long") * k)
+    return back.select("place", F.size("tokens").cast("long").alias("n_tokens"), total("tokens").alias("total"), total(weighted).alias("weighted"), total("odd").alias("n_odd"))
