@@ -239,9 +239,14 @@ def document_frequency(df: DataFrame, wanted: Broadcast[bytes], copied: Broadcas
     return rows.where("term is not null").unionByName(more).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+#: Stands for all entities in together().
+ANY = ""
+
+
 def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text", word: re.Pattern = _LETTERS, flush: int = 200_000) -> DataFrame:
-    """entity, term, n_both: the distinct texts that hold both, for entities that pass the sieve. Texts meet by key first; a task then adds
-    up pairs, flush at most and those of one entity with a text's terms."""
+    """entity, term, n_both: the distinct texts that hold both, for entities that pass the sieve; and with the entity ANY, the texts among
+    these that hold the term. Texts meet by key first; a task then adds up pairs, flush at most and those of one entity with a text's
+    terms."""
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -261,8 +266,8 @@ def together(df: DataFrame, wanted: Broadcast[bytes], text_col: str = "text", wo
             for text in b.column(0).to_pylist():
                 found = entities(text or "")
                 terms = terms_of(text or "", found, word)
-                for e in names_of(found):
-                    if passes(wanted.value, e):
+                for e in (ANY, *names_of(found)):
+                    if e == ANY or passes(wanted.value, e):
                         once.update((e, t) for t in terms)
                         if len(once) >= flush:
                             yield out()
@@ -283,12 +288,15 @@ def disclosing(df: DataFrame, text_col: str = "text", rule: Disclosure | None =
     # an entity in every text has no information; one in fewer than min_support has no pair with support
     n_entity = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_entity = common.cut(n_entity.where((F.col("n_entity") >= rule.min_support) & (F.col("n_entity") < total)), "entities")
-    pair = together(df, sieve(n_entity, "entity"), text_col, rule.word).where(F.col("n_both") >= rule.min_support)
-    pair = common.cut(pair.join(n_entity, "entity"), "together")
-    n_term = document_frequency(df, sieve(pair, "term"), sieve(texts.where("copies > 1"), "text_key"), text_col, rule.word)
     p_entity = F.col("n_entity") / F.lit(float(max(total, 1)))
-    reveals = F.try_divide(F.log2(F.col("n_both") / F.col("n_term") / p_entity), -F.log2(p_entity))
-    kind = F.when(reveals >= rule.remove, SPAN_KINDS.index("term_removed")).when(reveals >= rule.generalise, SPAN_KINDS.index("term_generalised"))
+    reveals = lambda n: F.try_divide(F.log2(F.col("n_both") / F.col(n) / p_entity), -F.log2(p_entity))
+    pair = common.cut(together(df, sieve(n_entity, "entity"), text_col, rule.word), "pairs")
+    # a term stands in n_any texts at least: pairs that can't reach the threshold even so go before the terms are counted
+    least = pair.where(F.col("entity") == ANY).select("term", F.col("n_both").alias("n_any"))
+    pair = pair.where((F.col("entity") != ANY) & (F.col("n_both") >= rule.min_support)).join(n_entity, "entity").join(least, "term")
+    pair = common.cut(pair.where(reveals("n_any") >= rule.generalise).drop("n_any"), "together")
+    n_term = document_frequency(df, sieve(pair, "term"), sieve(texts.where("copies > 1"), "text_key"), text_col, rule.word)
+    kind = F.when(reveals("n_term") >= rule.remove, SPAN_KINDS.index("term_removed")).when(reveals("n_term") >= rule.generalise, SPAN_KINDS.index("term_generalised"))
     return pair.join(n_term, "term").select("entity", "term", kind.alias("kind")).where("kind is not null")
 
 
