@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from halyard.functions import chemistry, geometry
-from halyard.operators import spatial
+from halyard.functions import chemistry, flexible, geometry, isomorphism
+from halyard.names import free
+from halyard.operators import relational, spatial
 
 
 def gathered(atoms: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -27,6 +28,11 @@ def gathered(atoms: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def with_results(df: DataFrame, inputs: list[str], schema: str, f: Callable[..., tuple]) -> DataFrame:
     """df with the columns of schema: what f gives for the inputs of a row."""
+    return with_batches(df, inputs, schema, lambda rows: [f(*r) for r in rows])
+
+
+def with_batches(df: DataFrame, inputs: list[str], schema: str, f: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """The same for an f that takes the inputs of many rows at once."""
     made = StructType.fromDDL(schema)
     new = {n.lower() for n in made.names}
     kept = [k for k, c in enumerate(df.columns) if c.lower() not in new]
@@ -35,14 +41,23 @@ def with_results(df: DataFrame, inputs: list[str], schema: str, f: Callable[...,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs), strict=True)
-            got = [nothing if any(v is None for v in r) else f(*r) for r in rows]
+            rows = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs), strict=True))
+            whole = iter(f([r for r in rows if all(v is not None for v in r)]))
+            got = [nothing if any(v is None for v in r) else next(whole) for r in rows]
             columns = [pa.array([g[k] for g in got], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + columns, names=[b.schema.names[k] for k in kept] + made.names)
 
     return df.mapInArrow(run, StructType([*(df.schema[k] for k in kept), *made]))
 
 
+def _pairs(bonds: list[dict]) -> list[tuple[int, int]]:
+    return [(b["i"], b["j"]) for b in bonds]
+
+
+def _edges(bonds: list[dict]) -> dict[tuple[int, int], object]:
+    return {(min(b["i"], b["j"]), max(b["i"], b["j"])): b.get("order") or 0 for b in bonds}
+
+
 def _radii(elements: list[str]):
     return chemistry.radii(elements)
 
@@ -121,20 +136,113 @@ def interface_scores(df: DataFrame, ref: str, rec: str, elements: str, n_first:
     return with_results(df, [ref, rec, elements, n_first], ", ".join(f"{c} double" for c in (*INTERFACE, *BONDED)), f)
 
 
-def pose_changes(df: DataFrame, before: str, after: str, elements: str, pocket: str, pocket_elements: str, permutations: Callable[[list[str]], list[list[int]]] = lambda e: [list(range(len(e)))]) -> DataFrame:
-    """torsions (changes of the rotatable bonds' dihedrals), least_rmsd over the permutations that the caller allows, impossible
-    (whether after runs into the pocket or itself)."""
+def pose_changes(df: DataFrame, before: str, after: str, elements: str, pocket: str, pocket_elements: str, permutations: Callable[[list[str]], list[list[int]]] | None = None) -> DataFrame:
+    """torsions (changes of the rotatable bonds' dihedrals), least_rmsd over the automorphisms of before's perceived bonds, or over the
+    permutations that the caller allows, impossible (whether after runs into the pocket or itself)."""
 
     def f(x: list, y: list, own: list[str], wall: list, theirs: list[str]) -> tuple:
         if not own:
             return [], None, False
         bonds = chemistry.infer_bonds(own, x)
         turns = chemistry.torsion_deltas(len(own), bonds, x, y)
-        return [float(t) for t in turns], float(geometry.symmetric_rmsd(x, y, permutations(own))[0]), bool(chemistry.closes(y, wall, _radii(theirs), _radii(own), bonds=bonds))
+        least = geometry.symmetric_rmsd(x, y, permutations(own))[0] if permutations else isomorphism.nearest_copy(y, x, own, dict.fromkeys(bonds, 0))[0]
+        return [float(t) for t in turns], float(least), bool(chemistry.closes(y, wall, _radii(theirs), _radii(own), bonds=bonds))
 
     return with_results(df, [before, after, elements, pocket, pocket_elements], "torsions array<double>, least_rmsd double, impossible boolean", f)
 
 
+# In what follows bonds is an array of structs with i, j and, if it is to count, order.
+
+
+def symmetric_rmsds(df: DataFrame, before: str, after: str, labels: str, bonds: str) -> DataFrame:
+    """least_rmsd of before from after over the automorphisms of the labelled graph, copy (before's atoms in after's order), certain.
+    Both are taken where they lie; arrays of unlike lengths give nulls."""
+
+    def f(x: list, y: list, own: list, b: list[dict]) -> tuple:
+        if not len(x) == len(y) == len(own):
+            return None, None, None
+        return isomorphism.nearest_copy(geometry.points(y), geometry.points(x), own, _edges(b))
+
+    return with_results(df, [before, after, labels, bonds], "least_rmsd double, copy array<int>, certain boolean", f)
+
+
+def graph_keys(df: DataFrame, labels: list[str], bonds: str) -> DataFrame:
+    """key: the same for two rows if, and only if, one's graph is the other's with its atoms in another order; labels: arrays of one value an
+    atom. canonical: the atoms in the order the key is made from; certain: whether the search ended (else equal graphs may differ)."""
+
+    def f(b: list[dict], *own: list) -> tuple:
+        return isomorphism.canonical(list(zip(*own, strict=True)), _edges(b))
+
+    return with_results(df, [bonds, *labels], "key string, canonical array<int>, certain boolean", f)
+
+
+CHEMISTRY = ("elements", "charges", "num_h")
+
+
+def compared(df: DataFrame, xyz: str, elements: str, charges: str, num_h: str, ref_elements: str, ref_charges: str, ref_num_h: str, ref_bonds: str) -> DataFrame:
+    """Whether a decoded molecule is the reference's: shares of atoms with the right element, charge, hydrogens and all three; missing and
+    extra bonds and graph_exact, with the decoded bonds perceived from places; buildable (orders meet every valence); same_molecule (the
+    coloured graphs agree in some order of the atoms, so an exchange of like atoms is no error). Molecules of unlike sizes have no shares
+    and no count of bonds."""
+
+    def f(x: list, e: list, c: list, h: list, re: list, rc: list, rh: list, rb: list[dict]) -> tuple:
+        got, want = set(chemistry.infer_bonds(e, x)), {(min(p), max(p)) for p in _pairs(rb)}
+        n = len(e)
+        agree = [[a == b for a, b in zip(u, v, strict=False)] for u, v in ((e, re), (c, rc), (h, rh))] if n == len(re) else None
+        share = (lambda v: sum(v) / n if n else None) if agree else (lambda v: None)
+        shares = [share(v) for v in (*agree, [all(t) for t in zip(*agree, strict=True)])] if agree else [None] * 4
+        built = bool(n) and chemistry.assign_orders(e, c, h, sorted(got)) is not None
+        one, _, sure = isomorphism.canonical(list(zip(e, c, h, strict=True)), dict.fromkeys(got, 0))
+        two, _, certain = isomorphism.canonical(list(zip(re, rc, rh, strict=True)), dict.fromkeys(want, 0))
+        counts = (len(want - got), len(got - want), got == want) if agree else (None, None, False)
+        return *shares, *counts, built, one == two if sure and certain or one == two else None
+
+    schema = "element_share double, charge_share double, num_h_share double, determined_share double, missing int, extra int, graph_exact boolean, buildable boolean, same_molecule boolean"
+    return with_results(df, [xyz, elements, charges, num_h, ref_elements, ref_charges, ref_num_h, ref_bonds], schema, f)
+
+
+def turned(df: DataFrame, xyz: str, elements: str, bonds: str, pocket: str, pocket_elements: str, restarts: int = 2, seed: int = 0) -> DataFrame:
+    """fitted, overlap_before, overlap_after: moved within bounds and turned about rotatable bonds, with no more overlap than before."""
+
+    def f(x: list, own: list[str], b: list[dict], wall: list, theirs: list[str]) -> tuple:
+        r, s = _radii(own), _radii(theirs)
+        new = flexible.torsion_fit(x, own, _pairs(b), wall, r, s, restarts=restarts, seed=seed)
+        return new.tolist(), geometry.overlap(x, wall, r, s), geometry.overlap(new, wall, r, s)
+
+    return with_results(df, [xyz, elements, bonds, pocket, pocket_elements], "fitted array<array<double>>, overlap_before double, overlap_after double", f)
+
+
+def projected(df: DataFrame, xyz: str, ref: str, bonds: str, tolerance: float = 1e-3, rounds: int = 60) -> DataFrame:
+    """projected: xyz with the distances of atoms one and two bonds apart as in ref; converged, rounds. The molecules of a batch are solved
+    together."""
+
+    def f(rows: list[tuple]) -> list[tuple]:
+        got = flexible.set_distances([r[0] for r in rows], [r[1] for r in rows], [flexible.bonded_pairs(len(r[0]), _pairs(r[2])) for r in rows], tolerance, rounds)
+        return [(x.tolist(), ok, took) for x, ok, took in got]
+
+    return with_batches(df, [xyz, ref, bonds], "projected array<array<double>>, converged boolean, rounds int", f)
+
+
+def split_displacements(df: DataFrame, before: str, after: str, bonds: str) -> DataFrame:
+    """along and rest of the displacement from before to after: what shifts, turns and turns about bonds can do to first order, and what is
+    at right angles to all of them; followed: before with after's dihedrals, moved onto after."""
+
+    def f(x: list, y: list, b: list[dict]) -> tuple:
+        return *(p.tolist() for p in flexible.split_displacement(x, y, _pairs(b))), flexible.followed(x, y, _pairs(b)).tolist()
+
+    return with_results(df, [before, after, bonds], "along array<array<double>>, rest array<array<double>>, followed array<array<double>>", f)
+
+
+def turning_bonds(df: DataFrame, key: str, n_atoms: str, bonds: str) -> DataFrame:
+    """A row for each rotatable bond of a batch of molecules: the key, bond (its place among its molecule's), and in numbers that run over the
+    whole batch, molecules by key, begin, tip and moving (what turns with the tip). The key must be unique; no task holds the batch."""
+    local, shift, x = (free(c, df) for c in ("_local", "_shift", "_x"))
+    found = with_results(df.select(key, n_atoms, bonds), [n_atoms, bonds], f"{local} array<struct<i: int, j: int, moving: array<int>>>", lambda n, b: ([{"i": i, "j": j, "moving": side} for (i, j), side in flexible.turning_sides(n, _pairs(b))],))
+    shifts = relational.global_prefix(df.select(key, n_atoms), [key], n_atoms, shift).select(key, shift)
+    each = found.join(shifts, key).select(key, shift, F.posexplode(local).alias("bond", x))
+    return each.select(key, "bond", (F.col(shift) + F.col(f"{x}.i")).alias("begin"), (F.col(shift) + F.col(f"{x}.j")).alias("tip"), F.transform(f"{x}.moving", lambda m: F.col(shift) + m).alias("moving"))
+
+
 def spliced(df: DataFrame, original: str, refined: str, changed: str) -> DataFrame:
     """spliced: refined moved onto original by the atoms that aren't changed, which go back in place."""
     return with_results(df, [original, refined, changed], "spliced array<array<double>>", lambda a, b, c: (geometry.reconcile(a, b, c).tolist() if a else [],))

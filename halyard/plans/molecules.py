@@ -68,3 +68,99 @@ def pose_changes(t: Tables) -> DataFrame:
     rows = gathered(t).withColumns({"moved": F.transform("xyz", lambda p: F.array(p[0], p[1] * 1.25, p[2])), "wall": molecules.shifted(F.col("xyz"), 4.0)})
     out = molecules.pose_changes(rows, "xyz", "moved", "elements", "wall", "elements")
     return out.select("molecule", F.size("torsions").cast("long").alias("torsions"), F.round("least_rmsd", 6).alias("least_rmsd"), "impossible")
+
+
+# --- graphs drawn from the data: each atom but a molecule's first hangs on an earlier one, some on a second, three places before
+
+GRAPH = """a as (select vec_id // 20 as molecule, row_number() over (partition by vec_id // 20 order by vec_id) - 1 as k, embedding from embeddings),
+b as (select molecule, floor((embedding[2]::double + 1) * 1000)::bigint % k as i, k as j from a where k > 0 union select molecule, k - 3, k from a where k >= 3 and embedding[3]::double > 0.15)"""
+
+
+def drawn(t: Tables) -> DataFrame:
+    """molecule, elements, xyz, n and bonds (i, j)."""
+    own = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    rows = t.embeddings.select(molecule(), "vec_id", "embedding").groupBy("molecule").agg(own.alias("own"))
+    at = lambda v, k: v["embedding"][k].cast("double")
+    hung = F.transform("own", lambda v, k: F.when(k > 0, F.struct((F.floor((at(v, 1) + 1) * 1000) % k).cast("int").alias("i"), k.cast("int").alias("j"))))
+    ring = F.transform("own", lambda v, k: F.when((k >= 3) & (at(v, 2) > 0.15), F.struct((k - 3).cast("int").alias("i"), k.cast("int").alias("j"))))
+    bonds = F.array_distinct(F.filter(F.concat(hung, ring), lambda b: b.isNotNull()))
+    return gathered(t).join(rows.select("molecule", F.size("own").cast("long").alias("n"), bonds.alias("bonds")), "molecule")
+
+
+@query(f"""with recursive {GRAPH}, e as (select molecule, i as u, j as v from b union all select molecule, j, i from b),
+reach(molecule, u, v, w) as (select molecule, u, v, v from e union select r.molecule, r.u, r.v, e.v from reach r join e on e.molecule = r.molecule and e.u = r.w and not (e.u = r.u and e.v = r.v) and not (e.u = r.v and e.v = r.u)),
+s as (select molecule, u, v, count(*) as size, sum(w) as total, bool_or(w = u) as ring from reach group by 1, 2, 3),
+d as (select molecule, u, count(*) as degree from e group by 1, 2),
+n as (select molecule, sum(count(*)) over (order by molecule) - count(*) as shift from a group by 1)
+select s.molecule, (s.u + n.shift)::bigint as begin, (s.v + n.shift)::bigint as tip, s.size - 1 as n_moving, (s.total - s.v + (s.size - 1) * n.shift)::bigint as moving_sum
+from s join s o on o.molecule = s.molecule and o.u = s.v and o.v = s.u join n on n.molecule = s.molecule
+join d p on p.molecule = s.molecule and p.u = s.u join d q on q.molecule = s.molecule and q.u = s.v
+where not s.ring and p.degree > 1 and q.degree > 1 and (s.size < o.size or s.size = o.size and s.u < s.v)""")
+def turning_sides(t: Tables) -> DataFrame:
+    """The rotatable bonds of all molecules as one batch."""
+    found = molecules.turning_bonds(drawn(t), "molecule", "n", "bonds")
+    return found.select("molecule", "begin", "tip", F.size("moving").cast("long").alias("n_moving"), F.aggregate("moving", F.lit(0).cast("long"), lambda s, x: s + x).alias("moving_sum"))
+
+
+COVALENT = "case {e} when 'C' then 0.76::double when 'N' then 0.71 when 'O' then 0.66 else 1.05 end"
+
+
+@query(f"""with a as (select vec_id // 20 as molecule, vec_id, embedding[1]::double * 40 as x, embedding[2]::double * 40 as y, embedding[3]::double * 40 as z, ['C', 'N', 'O', 'S'][vec_id % 4 + 1] as e, case when vec_id % 7 = 0 then 'C' else ['C', 'N', 'O', 'S'][vec_id % 4 + 1] end as g from embeddings),
+p as (select a.molecule, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < {COVALENT.format(e="a.e")} + {COVALENT.format(e="b.e")} + 0.4 as want,
+  sqrt((a.x - b.x) * (a.x - b.x) + (a.y * 1.25 - b.y * 1.25) * (a.y * 1.25 - b.y * 1.25) + (a.z - b.z) * (a.z - b.z)) < {COVALENT.format(e="a.g")} + {COVALENT.format(e="b.g")} + 0.4 as got
+  from a join a b on a.molecule = b.molecule and a.vec_id < b.vec_id),
+q as (select molecule, count(*) filter (want and not got) as missing, count(*) filter (got and not want) as extra from p group by 1)
+select molecule, round(avg(case when e = g then 1.0::double else 0 end), 6) as element_share, round(avg(case when vec_id % 3 = 0 and vec_id % 2 = 1 then 0.0::double else 1 end), 6) as charge_share,
+  round(avg(case when e = g and not (vec_id % 3 = 0 and vec_id % 2 = 1) then 1.0::double else 0 end), 6) as determined_share, coalesce(any_value(missing), 0)::int as missing, coalesce(any_value(extra), 0)::int as extra, coalesce(any_value(missing + extra), 0) = 0 as graph_exact
+from a left join q using (molecule) group by 1""")
+def molecule_comparison(t: Tables) -> DataFrame:
+    """Molecules against decoded ones with some wrong elements and charges, stretched along one axis."""
+    named = atoms(t).withColumn("molecule", molecule()).withColumns({c: F.col(c) * 4 for c in "xyz"})
+    v, none = F.col("vec_id"), F.lit(0)
+    own = F.struct("vec_id", "element", F.when(v % 7 == 0, "C").otherwise(F.col("element")).alias("e"), none.alias("q"), F.when((v % 3 == 0) & (v % 2 == 1), 1).otherwise(0).alias("c"), none.alias("h"), F.array("x", "y", "z").alias("x"), F.array(F.col("x"), F.col("y") * 1.25, F.col("z")).alias("y"))
+    rows = named.groupBy("molecule").agg(F.array_sort(F.collect_list(own)).alias("of")).select("molecule", "of.element", "of.e", "of.q", "of.c", "of.h", "of.x", "of.y")
+    rows = molecules.with_results(rows, ["x", "element"], "bonds array<struct<i: int, j: int>>", lambda x, e: ([{"i": i, "j": j} for i, j in chemistry.infer_bonds(e, x)],))
+    out = molecules.compared(rows, "y", "e", "c", "h", "element", "q", "h", "bonds")
+    return out.select("molecule", *(F.round(c, 6).alias(c) for c in ("element_share", "charge_share", "determined_share")), "missing", "extra", "graph_exact")
+
+
+@query()
+def graph_keys(t: Tables) -> DataFrame:
+    """Molecules against themselves with their atoms the other way round: which keys meet, by an equi join."""
+    rows = drawn(t)
+    last = F.col("n").cast("int") - 1
+    back = rows.select("molecule", F.reverse("elements").alias("elements"), F.transform("bonds", lambda b: F.struct((last - b["j"]).alias("i"), (last - b["i"]).alias("j"))).alias("bonds"))
+    one, two = (molecules.graph_keys(r.select("molecule", "elements", "bonds"), ["elements"], "bonds").select("molecule", "key", "certain") for r in (rows, back))
+    met = one.join(two.select("key", F.col("molecule").alias("other")), "key")
+    return met.groupBy("molecule", "certain").agg(F.count("*").alias("n_equal"), F.max((F.col("molecule") == F.col("other")).cast("int")).alias("itself"))
+
+
+@query()
+def symmetric_rmsds(t: Tables) -> DataFrame:
+    """Of graphs in which every atom is alike, so that their shape alone decides."""
+    rows = drawn(t).withColumns({"moved": F.transform("xyz", lambda p: F.array(p[0], p[1] * 1.25, p[2])), "alike": F.transform("elements", lambda e: F.lit("C"))})
+    out = molecules.symmetric_rmsds(rows, "xyz", "moved", "alike", "bonds")
+    return out.select("molecule", F.round("least_rmsd", 6).alias("least_rmsd"), "certain")
+
+
+@query()
+def torsion_fits(t: Tables) -> DataFrame:
+    """Into a pocket that is the molecule itself, four away in each direction."""
+    rows = drawn(t).withColumn("wall", molecules.shifted(F.col("xyz"), 1.0))
+    fit = molecules.turned(rows, "xyz", "elements", "bonds", "wall", "elements", restarts=1)
+    return fit.select("molecule", F.round("overlap_before", 6).alias("overlap_before"), F.round("overlap_after", 6).alias("overlap_after"))
+
+
+@query()
+def projected_distances(t: Tables) -> DataFrame:
+    """Molecules stretched along one axis, set right again."""
+    rows = drawn(t).withColumn("moved", F.transform("xyz", lambda p: F.array(p[0], p[1] * 1.1, p[2])))
+    return molecules.projected(rows, "moved", "xyz", "bonds").select("molecule", "converged", "rounds")
+
+
+@query()
+def displacement_parts(t: Tables) -> DataFrame:
+    rows = drawn(t).withColumn("moved", F.transform("xyz", lambda p: F.array(p[0] + 1, p[1] * 1.25, p[2])))
+    out = molecules.split_displacements(rows, "xyz", "moved", "bonds")
+    length = lambda c: F.round(F.sqrt(F.aggregate(F.flatten(c), F.lit(0.0), lambda s, v: s + v * v)), 6)
+    return out.select("molecule", length("along").alias("along"), length("rest").alias("rest"))

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from halyard.functions import chemistry, geometry
+from halyard.functions import chemistry, geometry, isomorphism
 from halyard.operators import molecules
 
 ATOM = "label long, vec_id long, x double, y double, z double, element string"
@@ -69,3 +69,63 @@ def test_interface(spark, atoms):
     df = spark.createDataFrame([(1, x, e, 5), (2, x, e, 0)], "id int, x array<array<double>>, e array<string>, n int")
     got = {r.id: r for r in molecules.interface_scores(df, "x", "x", "e", "n").collect()}
     assert got[1].lddt_pli == 1.0 and got[1].bond_mae == 0.0 and got[1].angle_max == 0.0 and got[2].lddt_pli is None
+
+
+BOND = "array<struct<i: int, j: int, order: int>>"
+
+
+def test_graph_operators(spark):
+    ring = [{"i": k, "j": (k + 1) % 6, "order": 1 + k % 2} for k in range(6)]
+    other = [{"i": (k + 1) % 6, "j": k, "order": 1 + (k + 1) % 2} for k in range(6)]
+    flat = [[float(np.cos(k * np.pi / 3)), float(np.sin(k * np.pi / 3)), 0.0] for k in range(6)]
+    turned = flat[2:] + flat[:2]
+    rows = [(1, list("CCCCCC"), ring, flat, turned, "k"), (2, list("CCCCCC"), other, flat, flat[1:] + flat[:1], "k"), (3, list("NCCCCC"), ring, flat, turned, "k"), (4, None, ring, flat, flat, "k"), (5, [], [], [], [], "k"), (6, list("CC"), [], flat[:2], flat, "k")]
+    df = spark.createDataFrame(rows, f"id int, e array<string>, b {BOND}, x array<array<double>>, y array<array<double>>, key_ string").repartition(2)
+    keys = {r.id: r for r in molecules.graph_keys(df, ["e"], "b").collect()}
+    assert keys[1].key == keys[2].key != keys[3].key and keys[4].key is None and keys[5].certain and keys[1].key_ == "k"
+    rmsd = {r.id: r for r in molecules.symmetric_rmsds(df, "x", "y", "e", "b").collect()}
+    assert rmsd[1].least_rmsd == pytest.approx(0, abs=1e-9)
+    for k, row in ((2, rows[1]), (3, rows[2])):
+        every = isomorphism.automorphisms(row[1], {tuple(sorted((b["i"], b["j"]))): b["order"] for b in row[2]})[0]
+        assert len(every) == (6 if k == 2 else 1) and rmsd[k].least_rmsd == pytest.approx(geometry.symmetric_rmsd(row[3], row[4], every)[0])
+    assert rmsd[4].least_rmsd is None and rmsd[5].least_rmsd == 0 and rmsd[6].least_rmsd is None
+    assert molecules.graph_keys(df.limit(0), ["e"], "b").count() == 0
+
+
+def test_compared(spark):
+    x = [[0.0, 0.0, 0.0], [1.4, 0.0, 0.0], [2.1, 1.2, 0.0]]
+    bonds = [{"i": 0, "j": 1}, {"i": 1, "j": 2}]
+    e, q = list("CCO"), [0, 0, 0]
+    rows = [
+        (1, x, e, q, [3, 2, 1], e, q, [3, 2, 1], bonds), (2, x[::-1], e[::-1], q, [1, 2, 3], e, q, [3, 2, 1], bonds), (3, [x[0], x[1], [9.0, 9.0, 9.0]], list("CNO"), q, [3, 1, 1], e, q, [3, 2, 1], bonds),
+        (4, x[:2], e[:2], q[:2], [3, 3], e, q, [3, 2, 1], bonds), (5, x, e, q, [3, 2, 1], e, None, [3, 2, 1], bonds), (6, [], [], [], [], [], [], [], []),
+    ]
+    kinds = "x array<array<double>>, e array<string>, c array<int>, h array<int>, re array<string>, rc array<int>, rh array<int>, rb array<struct<i: int, j: int>>"
+    got = {r[0]: r for r in molecules.compared(spark.createDataFrame(rows, f"id int, {kinds}"), *("x", "e", "c", "h", "re", "rc", "rh", "rb")).select("id", "element_share", "num_h_share", "determined_share", "missing", "extra", "graph_exact", "buildable", "same_molecule").collect()}
+    assert got[1][1:] == (1, 1, 1, 0, 0, True, True, True)
+    assert got[2][1:] == (1 / 3, 1 / 3, 1 / 3, 0, 0, True, True, True)  # the same molecule the other way round
+    assert got[3][1:] == (2 / 3, 2 / 3, 2 / 3, 1, 0, False, False, False)
+    assert got[4][1:] == (None, None, None, None, None, False, True, False) and got[5][1:] == (None,) * 8 and got[6].same_molecule
+
+
+def test_turns_fits_and_projections(spark):
+    x = [[1.3 * k, 0.6 * (k % 2), 0.2 * (k % 3)] for k in range(6)]
+    bonds = [{"i": k, "j": k + 1} for k in range(5)]
+    wall = [[1.0, 1.2, 0.3], [4.0, 1.0, 0.0]]
+    rows = [(3, x, list("CCCCCC"), bonds, wall, ["C", "O"], [[p[0] * 1.1, p[1], p[2]] for p in x], 6), (1, x[:2], ["C", "C"], bonds[:1], wall, ["C", "O"], x[:2], 2), (2, None, None, bonds, wall, [], x, 0), (4, [], [], [], [], [], [], 0), (9, x, list("CCCCCC"), bonds, [], [], x, 6)]
+    df = spark.createDataFrame(rows, "id int, x array<array<double>>, e array<string>, b array<struct<i: int, j: int>>, w array<array<double>>, f array<string>, y array<array<double>>, n int").repartition(3)
+    fit = {r.id: r for r in molecules.turned(df, "x", "e", "b", "w", "f", restarts=1).collect()}
+    assert fit[3].overlap_after < fit[3].overlap_before and fit[1].overlap_after <= fit[1].overlap_before and fit[2].fitted is None and fit[4].fitted == [] and fit[9].fitted == x
+    right = {r.id: r for r in molecules.projected(df, "y", "x", "b").collect()}
+    assert right[3].converged and right[2].converged is None and right[9].rounds == 0
+    for i, j in [(0, 1), (1, 2), (0, 2), (3, 5)]:
+        assert math.dist(right[3].projected[i], right[3].projected[j]) == pytest.approx(math.dist(x[i], x[j]), abs=2e-3)
+    parts = {r.id: r for r in molecules.split_displacements(df, "x", "y", "b").collect()}
+    assert np.allclose(np.add(parts[3].along, parts[3].rest), np.subtract(rows[0][6], x)) and parts[4].along == []
+    batch = [tuple(r) for r in molecules.turning_bonds(df.where("x is not null"), "id", "n", "b").orderBy("id", "bond").collect()]
+    # ids 1, 3, 4, 9 hold 2, 6, 0, 6 atoms: numbers run over the batch by id
+    want = []
+    for key, shift in ((3, 2), (9, 8)):
+        for k, (begin, tip, moving) in enumerate([(2, 1, [0]), (3, 4, [5]), (2, 3, [4, 5])]):
+            want.append((key, k, shift + begin, shift + tip, [shift + m for m in moving]))
+    assert batch == want
