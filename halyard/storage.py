@@ -66,9 +66,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def cut_in_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """cut(), with the rows of a key in one of the buckets: what groups or joins by the key reads them in place, without an exchange."""
+    """cut(), with the rows of a key in one of the buckets: what groups or joins by the key reads them in place, without an exchange. No
+    more buckets than Spark allows are made; the table is in the session's catalog while it is written only."""
     spark = df.sparkSession
     uri = new_folder(spark, label)
     name = uri.rsplit("/", 1)[1].replace("-", "_")
-    df.write.format("parquet").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("path", uri).bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    try:
+        df.write.format("parquet").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("path", uri).bucketBy(min(buckets, most), key).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists `{name}`")  # its files stay: the table is one of a path
