@@ -39,6 +39,8 @@ from halyard.llm import common
 SLICE_BYTES, CHAPTER_BYTES, CHAPTER_WORDS = 1 << 20, 32 << 20, 300_000
 #: Distinct pre-tokens of chapters in a bucket; bytes of packed ones in a partition; bytes of text in a partition of chapters.
 BUCKET_WORDS, PART_BYTES, PARTITION_BYTES = 100_000, 16 << 20, 256 << 20
+#: Distinct pre-tokens that a part of a chapter holds on average, at least.
+PART_WORDS = 64
 #: Pre-tokens that are put together at a time.
 PIECE = 1 << 18
 
@@ -154,8 +156,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(least, -(-text_bytes // PARTITION_BYTES))
     chapters = written_chapters(docs, partitions)
-    total = chapters.agg(F.sum("n_words"), F.sum(F.octet_length("words"))).first()
-    buckets = max(1, -(-(total[0] or 0) // BUCKET_WORDS))
+    total = chapters.agg(F.sum("n_words"), F.sum(F.octet_length("words")), F.max("n_words")).first()
+    # a chapter's words go to so many buckets that a part of one still holds PART_WORDS on average
+    buckets = max(1, min(-(-(total[0] or 0) // BUCKET_WORDS), -(-(total[2] or 0) // PART_WORDS)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -494,11 +494,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     member = found.where("n > 0").select("cid", "id", "row").join(root, F.col("cid") == F.col("node"), "left").select("row", "id", F.coalesce("root", "cid").alias("root"))
     # the least (id, hash) of each group in two foldings, so that a group is never sorted; ids that are null come last
     least = member.groupBy("root").agg(F.min("id").alias("least_id"))
-    stay = member.join(least, "root").where(F.col("id").eqNullSafe(F.col("least_id"))).groupBy("root").agg(F.min("row").alias("row"))
-    stay = common.cut(stay.select("row").unionByName(found.where("n = 0").select("row").distinct()), "stay")
-    row = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    own = free("_row", df)
-    kept = df.withColumn(own, row).join(stay.withColumnRenamed("row", own), own, "left_semi")
+    stay = member.join(least, "root").where(F.col("id").eqNullSafe(F.col("least_id"))).groupBy("root", "id").agg(F.min("row").alias("row"))
+    row, own = F.xxhash64(F.col(id_col), F.col(text_col).cast("string")), free("_row", df)
+    # by hash and id: two documents whose hashes are the same by chance don't decide for each other
+    known = free("_id", df)
+    stay = common.cut(stay.select("row", "id").unionByName(found.where("n = 0").select("row", "id").distinct()), "stay").select(F.col("row").alias(own), F.col("id").alias(known))
+    marked = df.withColumn(own, row)
+    kept = marked.join(stay, (marked[own] == stay[own]) & marked[id_col].eqNullSafe(stay[known]), "left_semi")
     if found.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1").limit(1).count():
-        kept = kept.dropDuplicates([own])
+        kept = kept.dropDuplicates([own, id_col, text_col])
     return kept.select(*df.columns)
