@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from halyard.functions import scalars
+
 PAD, BOS, EOS, POCKET, POCKET_END, LIGAND, LIGAND_END, FIRST_CODE = range(8)
 IGNORED_LABEL, IGNORED_LOSS, PAD_SEGMENT = 255, -100, -1
 
@@ -127,3 +129,12 @@ def normalise(values: Column, mean: Column, std: Column) -> Column:
 
 def softmax_share(x: Column, group_max: Column, group_sum: Column) -> Column:
     return F.exp(x - group_max) / group_sum
+
+
+def resampled(codes: Column, share: float, vocab: int, seed: int, key: Column) -> Column:
+    """codes with round(share * n) of them drawn anew from [0, vocab): the positions are the first in the order of their hashes, so exactly
+    so many and the same on every run. A code may be drawn again as it was."""
+    at = lambda salt, i: scalars.named_seed(seed + salt, F.concat_ws(":", key.cast("string"), i.cast("string")))
+    order = F.array_sort(F.transform(codes, lambda c, i: F.struct(at(0, i).alias("h"), i.alias("i"))))
+    chosen = F.transform(F.slice(order, 1, F.bround(F.size(codes) * F.lit(share)).cast("int")), lambda x: x["i"])
+    return F.transform(codes, lambda c, i: F.when(F.array_contains(chosen, i), (at(1, i) % vocab).cast("int")).otherwise(c))

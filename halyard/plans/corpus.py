@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.functions import scalars, sequences
-from halyard.operators import graph, relational
+from halyard.operators import graph, relational, rounds
 from halyard.plans.registry import Tables, query
 
 SEED_SQL = "('0x' || substr(sha256('0:' || {k}), 1, 8))::bigint"
@@ -295,3 +295,46 @@ def pairwise_tanimoto(t: Tables) -> DataFrame:
 @query("""select event_id, (props::json ->> '$.k')::bigint as k from events""")
 def nested_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+RESAMPLED = """c as (select vec_id // 20 as molecule, list(floor((embedding[1]::double + 1) * 250)::int order by vec_id) as codes from embeddings group by 1),
+e as (select molecule, unnest(codes) as code, unnest(range(len(codes))) as i, len(codes) as n from c),
+r as (select *, row_number() over (partition by molecule order by ('0x' || substr(sha256('0:' || molecule || ':' || i), 1, 8))::bigint, i) as place, ('0x' || substr(sha256('1:' || molecule || ':' || i), 1, 8))::bigint % 500 as drawn from e)"""
+
+
+def molecule_codes(t: Tables) -> DataFrame:
+    """molecule, codes: of its twenty consecutive vectors."""
+    code = F.floor((F.col("embedding")[0].cast("double") + 1) * 250).cast("int")
+    own = F.array_sort(F.collect_list(F.struct("vec_id", code.alias("code"))))
+    return t.embeddings.groupBy(F.floor(F.col("vec_id") / 20).cast("long").alias("molecule")).agg(F.transform(own, lambda x: x["code"]).alias("codes"))
+
+
+@query(f"""with {RESAMPLED} select molecule, string_agg(case when place <= round_even(n * 0.3, 0) then drawn else code end, ' ' order by i) as codes, count(*) filter (place <= round_even(n * 0.3, 0)) as n_drawn from r group by 1""")
+def resampled_codes(t: Tables) -> DataFrame:
+    new = sequences.resampled(F.col("codes"), 0.3, 500, 0, F.col("molecule"))
+    return molecule_codes(t).select("molecule", F.array_join(new.cast("array<string>"), " ").alias("codes"), F.bround(F.size("codes") * F.lit(0.3)).cast("long").alias("n_drawn"))
+
+
+#: A mask and a model without parameters for the queries of rounds: a code is told by its neighbours, its belief by both.
+MASK = 500
+
+
+def neighbour_model(rows: DataFrame) -> DataFrame:
+    left = lambda i: F.coalesce(F.get("codes", i - 1), F.lit(0))
+    right = lambda i: F.coalesce(F.get("codes", i + 1), F.lit(0))
+    best = F.transform("codes", lambda c, i: (left(i) * 31 + right(i) * 17 + i * 7) % 500)
+    belief = F.transform(F.zip_with("codes", best, lambda c, b: F.when(c == MASK, b).otherwise(c)), lambda c, i: ((c * 37 + left(i) * 5 + i * 11) % 101) / F.lit(101.0))
+    return rows.select("key", best.alias("best"), belief.alias("confidence"))
+
+
+@query()
+def cold_decode(t: Tables) -> DataFrame:
+    """Sequences of masks, but for every seventh code, filled in six rounds."""
+    rows = molecule_codes(t).select("molecule", F.transform("codes", lambda c, i: F.when(i % 7 == 0, c).otherwise(F.lit(MASK))).alias("codes"))
+    return rounds.filled(rows, neighbour_model, "molecule", MASK, 6).select("molecule", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"))
+
+
+@query()
+def refined_codes(t: Tables) -> DataFrame:
+    out = rounds.refined(molecule_codes(t), neighbour_model, "molecule", MASK, rounds=4, share=0.2)
+    return out.select("molecule", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"))
