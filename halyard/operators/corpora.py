@@ -174,3 +174,38 @@ def batched_graph(nodes: DataFrame, edges: DataFrame, bonds: DataFrame, graph: s
     pairs = flagged.select(graph, (F.col(u) + F.col(shift)).alias("source"), (F.col(v) + F.col(shift)).alias("target"), F.coalesce(bond, F.lit(False)).alias("is_bond"))
     one, two = pairs.select(graph, F.col("target").alias("centre"), F.col("source").alias("left")), pairs.select(graph, F.col("target").alias("centre"), F.col("source").alias("right"))
     return every, pairs, one.join(two, [graph, "centre"]).where("left < right").select(graph, "left", "centre", "right")
+
+
+def passages_in(docs: DataFrame, passages: DataFrame, doc: str, text: str, passage: str, words: str, width: int = 5) -> DataFrame:
+    """doc, passage: pairs of a document and a passage whose words (split at single spaces) stand one after another in it. A passage's first
+    width words are looked for among the runs of so many words of each document, as hashes; what is found is compared whole. Passages of
+    fewer words are looked for by all of them; those without a word, and null texts, are in nothing."""
+    split = lambda c: F.split(F.col(c).cast("string"), " ", -1)
+    runs = lambda w: F.xxhash64(F.array_join(w, " "))
+    run_of = lambda n: lambda i: runs(F.slice("_w", i, n))
+    of = passages.where(F.col(words) != "").select(F.col(passage).alias("_passage"), F.col(words).alias("_words"), split(words).alias("_w"))
+    of = of.withColumn("_n", F.least(F.size("_w"), F.lit(width))).withColumn("_h", runs(F.slice("_w", 1, F.col("_n"))))
+    own = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+    found = None
+    for n in sorted(r[0] for r in of.select("_n").distinct().collect()):  # width of them at most
+        long_enough = own.select("_doc", split("_text").alias("_w")).where(F.size("_w") >= n)
+        each = long_enough.select("_doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), run_of(n)))).alias("_h"))
+        met = each.join(of.where(F.col("_n") == n).select("_h", "_passage"), "_h").select("_doc", "_passage")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return own.where("false").crossJoin(of.where("false")).select(F.col("_doc").alias(doc), F.col("_passage").alias(passage))
+    whole = found.join(of.select("_passage", "_words"), "_passage").join(own, "_doc")
+    inside = F.concat(F.lit(" "), "_text", F.lit(" ")).contains(F.concat(F.lit(" "), "_words", F.lit(" ")))
+    return whole.where(inside).select(F.col("_doc").alias(doc), F.col("_passage").alias(passage)).distinct()
+
+
+def prefix_matches(left: DataFrame, right: DataFrame, key: str, codes: str, k: int) -> DataFrame:
+    """For each row of left that has k codes or more: n_prefix rows of right share its first k (first of them by key), n_whole all codes. Met
+    by hash, then compared. Equal ones of right are added up before they meet, so a common prefix makes no pairs."""
+    head = F.slice(codes, 1, k)
+    able = lambda df: df.where(F.size(codes) >= k)
+    by = lambda c: able(right).groupBy(F.xxhash64(c).alias("_h"), c.alias("_c")).agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
+    rows = able(left).select(key, codes, F.xxhash64(head).alias("_hp"), F.xxhash64(codes).alias("_hw"), head.alias("_head"))
+    some, all_ = by(head).toDF("_hp", "_cp", "n_prefix", "first"), by(F.col(codes)).drop("_first").toDF("_hw", "_cw", "n_whole")
+    met = rows.join(some, (rows["_hp"] == some["_hp"]) & (rows["_head"] == some["_cp"]), "left").join(all_, (rows["_hw"] == all_["_hw"]) & (rows[codes] == all_["_cw"]), "left")
+    return met.select(rows[key], F.coalesce("n_prefix", F.lit(0).cast("long")).alias("n_prefix"), "first", F.coalesce("n_whole", F.lit(0).cast("long")).alias("n_whole"))

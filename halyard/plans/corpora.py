@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard import storage
-from halyard.operators import corpora, evaluation
+from halyard.operators import corpora, evaluation, relational
 from halyard.plans.corpus import SEED_SQL
 from halyard.plans.evaluation import UNITS
 from halyard.plans.registry import Tables, query
@@ -237,3 +237,26 @@ def reference_similarity(t: Tables) -> DataFrame:
     ref = F.from_json(F.lit(json.dumps(first)), "array<string>")
     both = F.size(F.array_intersect("s", ref)).cast("double")
     return words.select("doc_id", F.round(F.try_divide(both, F.size("s") + len(first) - both), 6).alias("similarity"))
+
+
+@query("""select doc_id from documents d where text is null or not exists (select 1 from benchmark b where b.text <> '' and contains(' ' || d.text || ' ', ' ' || b.text || ' '))""")
+def passage_exclusion(t: Tables) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    held = corpora.passages_in(t.documents, t.benchmark.select("item_id", F.col("text").alias("words")), "doc_id", "text", "item_id", "words")
+    return relational.without(t.documents.select("doc_id"), held, "doc_id")
+
+
+@query("""with c as (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) as codes from documents where text is not null),
+p as (select doc_id, codes, codes[1:6] as head from c where len(codes) >= 6), b as (select * from p where doc_id % 2 = 1), a as (select * from p where doc_id % 2 = 0)
+select a.doc_id, (select count(*) from b where b.head = a.head) as n_prefix, (select min(b.doc_id) from b where b.head = a.head) as first, (select count(*) from b where b.codes = a.codes) as n_whole from a""")
+def prefix_matches(t: Tables) -> DataFrame:
+    """Documents of even number against those of odd number, by the lengths of their first six words."""
+    rows = t.documents.where("text is not null").select("doc_id", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("codes"))
+    return corpora.prefix_matches(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", "codes", 6)
+
+
+@query("""with w as (select unnest(string_split(text, ' ')) as token from documents), n as (select token, count(*) as n from w where token <> '' group by 1)
+select token, n, row_number() over (order by n desc, token) - 1 as id from n""")
+def document_vocabulary(t: Tables) -> DataFrame:
+    words = t.documents.select(F.explode(F.split("text", " ", -1)).alias("token")).where("token <> ''")
+    return relational.vocabulary(words).select("token", "n", "id")

@@ -93,3 +93,20 @@ def test_signed_ranks_are_the_kernels(spark):
     r = evaluation.signed_ranks(spark.createDataFrame(rows, "method string, unit int, value double"), "ref").first()
     want = statistics.wilcoxon(d)
     assert r.n == 120 and r.w == want.statistic and r.n_nonzero == int((d != 0).sum())
+
+
+def test_passages_in_documents(spark):
+    docs = [(1, "a b c d e f g"), (2, "x b c d e f"), (3, None), (4, ""), (5, "b c d e z b c d e f q"), (6, "bc d e f"), (7, "a"), (8, "b  c d e f"), (8, "b c d e f")]
+    passages = [(10, "b c d e f"), (11, "a"), (12, ""), (13, None), (14, "e f"), (15, "b  c"), (16, "a b c d e f g h")]
+    got = corpora.passages_in(spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(passages, "p int, words string"), "doc", "text", "p", "words").collect()
+    want = {(d, p) for d, t in docs for p, w in passages if t is not None and w and f" {w} " in f" {t} "}
+    assert sorted(map(tuple, got)) == sorted(want) and (5, 10) in want and (8, 15) in want
+    none = spark.createDataFrame([], "p int, words string")
+    assert corpora.passages_in(spark.createDataFrame(docs, "doc int, text string"), none, "doc", "text", "p", "words").count() == 0
+
+
+def test_prefix_matches(spark):
+    left = [(1, [1, 2, 3]), (2, [1, 2]), (3, [1]), (4, None), (5, [9, 9, 9]), (6, [1, 2, 3])]
+    right = [(20, [1, 2, 3]), (10, [1, 2, 4]), (30, [1, 2]), (40, [1]), (50, None), (21, [1, 2, 3])]
+    got = corpora.prefix_matches(spark.createDataFrame(left, "k int, c array<int>"), spark.createDataFrame(right, "k int, c array<int>"), "k", "c", 2).collect()
+    assert sorted(map(tuple, got)) == [(1, 4, 10, 2), (2, 4, 10, 1), (5, 0, None, 0), (6, 4, 10, 2)]
