@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from halyard.functions import chemistry, geometry, scalars
-from halyard.operators import spatial
+from halyard.operators import molecules, spatial
 from halyard.plans.registry import Tables, query
 
 ATOMS = """atoms as (select vec_id, label::bigint as label, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z,
@@ -156,14 +158,16 @@ def molecule() -> Column:
 
 
 def _per_molecule(t: Tables, schema: str, f) -> DataFrame:
-    """f of (molecule, xyz, elements) for each molecule, atoms in order of vec_id; returns rows."""
+    """Rows that f of (molecule, xyz, elements) gives for each molecule, atoms in order of vec_id."""
+    made = StructType.fromDDL(schema)
+    types = list(to_arrow_schema(made).types)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame(f(int(pdf["molecule"].iloc[0]), pdf[["x", "y", "z"]].to_numpy(), pdf["element"].tolist()), columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [tuple(r) for m, e, x in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("molecule", "elements", "xyz")), strict=True) for r in f(m, np.array(x), e)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)], names=made.names)
 
-    return atoms(t).withColumn("molecule", molecule()).groupBy("molecule").applyInPandas(run, schema)
+    return molecules.gathered(atoms(t).withColumn("molecule", molecule()), ["molecule"], "vec_id").mapInArrow(run, made)
 
 
 @query()

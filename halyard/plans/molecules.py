@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard import storage
 from halyard.functions import chemistry
 from halyard.operators import molecules
 from halyard.plans.geometry import ATOMS, RADIUS, atoms, molecule, sides
 from halyard.plans.registry import Tables, query
+from halyard.sources import versions
 
 REACH = f"({RADIUS.format(e='e1')} + {RADIUS.format(e='e2')})"
 
@@ -164,3 +166,21 @@ def displacement_parts(t: Tables) -> DataFrame:
     out = molecules.split_displacements(rows, "xyz", "moved", "bonds")
     length = lambda c: F.round(F.sqrt(F.aggregate(F.flatten(c), F.lit(0.0), lambda s, v: s + v * v)), 6)
     return out.select("molecule", length("along").alias("along"), length("rest").alias("rest"))
+
+
+@query(f"""with a as (select vec_id // 20 as molecule, row_number() over (partition by vec_id // 20 order by vec_id) - 1 as k, embedding[1]::double * 40 as x, embedding[2]::double * 40 as y, embedding[3]::double * 40 as z, ['C', 'N', 'O', 'S'][vec_id % 4 + 1] as e from embeddings),
+p as (select a.molecule, a.k as i, b.k as j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as d, {COVALENT.format(e="a.e")} + {COVALENT.format(e="b.e")} + 0.4 as reach,
+  sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) * 4 + (a.z - b.z) * (a.z - b.z)) as target from a join a b on a.molecule = b.molecule and a.k < b.k)
+select molecule as complex, count(*) as n_edges, sum(i * 100 + j)::bigint as ends, round(sum(target), 6) as length from p where d < reach group by 1""")
+def rebuilt_edges(t: Tables) -> DataFrame:
+    """A table of complexes at two scales whose part of edges, wrong at first, is made anew."""
+    own = F.array_sort(F.collect_list(F.struct("vec_id", "element", F.array("x", "y", "z").alias("x"), F.array(F.col("x"), F.col("y") * 2, F.col("z")).alias("t"))))
+    named = atoms(t).withColumn("molecule", molecule()).withColumns({c: F.col(c) * 4 for c in "xyz"})
+    one = named.groupBy("molecule").agg(own.alias("of")).select("molecule", "of.element", "of.x", "of.t")
+    records = one.withColumn("scale", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("xyz", F.when(F.col("scale") == 0, F.col("x")).otherwise(F.col("t")))
+    folder = storage.new_folder(t.spark, "complexes")
+    wrong = records.select(F.col("molecule").alias("complex"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("length"))
+    versions.write({"records": records, "edges": wrong}, folder)
+    versions.rebuild_edges(t.spark, folder, complex_="molecule", scale="scale", order="scale", elements="element", xyz="xyz", target="t")
+    edges = versions.read(t.spark, folder, "edges")
+    return edges.groupBy("complex").agg(F.count("*").alias("n_edges"), F.sum(F.col("i") * 100 + F.col("j")).alias("ends"), F.round(F.sum("length"), 6).alias("length"))
