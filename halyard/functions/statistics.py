@@ -88,14 +88,21 @@ def wilcoxon(differences: np.ndarray) -> Result:
     plus = float(ranks[some > 0].sum())
     least = min(plus, m * (m + 1) / 2 - plus)
     _, ties = np.unique(size, return_counts=True)
-    if m <= 50 and m == n and ties.max() == 1:
+    return Result(least, signed_rank_p(least, m, n, float((ties**3 - ties).sum())), n)
+
+
+def signed_rank_p(least: float, m: int, n: int, ties: float) -> float:
+    """Two-sided p of the smaller rank sum of m differences that aren't zero, of n: exact for up to 50 if none is zero or tied (ties: the
+    sum of t ** 3 - t over ties), else of the normal form."""
+    if not m:
+        return NAN
+    if m <= 50 and m == n and not ties:
         ways = [1]
         for r in range(1, m + 1):
             ways = [(ways[k] if k < len(ways) else 0) + (ways[k - r] if k >= r else 0) for k in range(len(ways) + r)]
-        return Result(least, min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**m), n)
-    spread = math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - float((ties**3 - ties).sum()) / 48)
-    z = (least - m * (m + 1) / 4) / spread
-    return Result(least, min(1.0, math.erfc(abs(z) / math.sqrt(2))), n)
+        return min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**m)
+    spread = math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)
+    return min(1.0, math.erfc(abs((least - m * (m + 1) / 4) / spread) / math.sqrt(2))) if spread else NAN
 
 
 def mcnemar(first_only: int, second_only: int, n: int) -> Result:

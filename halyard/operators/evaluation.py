@@ -234,34 +234,57 @@ def diversity(df: DataFrame, keys: list[str], smiles: str, scaffold: str, valid:
     )
 
 
+def _rank_sums(values: DataFrame, reference: str, method: str, unit: str, value: str) -> DataFrame:
+    """method, n, m (differences that aren't zero), w (the smaller rank sum), ties (the sum of t ** 3 - t over ties)."""
+    d, size, t, up, rank = (free(c, values.select(method)) for c in ("_d", "_size", "_t", "_plus", "_rank"))
+    rows = differences(values, reference, method, unit, value, d)
+    sizes = rows.groupBy(method, F.abs(d).alias(size)).agg(F.count("*").alias(t), F.count_if(F.col(d) > 0).alias(up))
+    before = F.coalesce(F.sum(t).over(Window.partitionBy(method).orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # zeros come first: they take no part, nor places
+    zeros = F.sum(F.when(F.col(size) == 0, F.col(t)).otherwise(0)).over(Window.partitionBy(method))
+    some = sizes.withColumn(rank, before - zeros + (F.col(t) + 1) / 2).where(F.col(size) > 0)
+    count, m = F.col(t).cast("double"), F.col("m").cast("double")
+    sums = some.groupBy(method).agg(F.sum(t).alias("m"), F.sum(F.col(rank) * F.col(up)).alias("plus"), F.sum(count * count * count - count).alias("ties"))
+    n = sizes.groupBy(method).agg(F.sum(t).alias("n"))
+    return n.join(sums, method, "left").select(method, "n", F.coalesce("m", F.lit(0).cast("long")).alias("m"), F.least(F.col("plus"), m * (m + 1) / 2 - F.col("plus")).alias("w"), "ties")
+
+
 def signed_ranks(values: DataFrame, reference: str, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
     """Wilcoxon's signed ranks of each method against the reference on shared units, zeros left out: n, n_nonzero, w (the smaller rank
     sum), z of the normal form with its variance corrected for ties. No task holds a method's units at once but the window's sort."""
-    rows = differences(values, reference, method, unit, value, "_d")
-    sizes = rows.groupBy(method, F.abs("_d").alias("_size")).agg(F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_plus"))
-    before = F.coalesce(F.sum("_t").over(Window.partitionBy(method).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = sizes.where("_size > 0").withColumn("_rank", before + (F.col("_t") + 1) / 2)
-    t, m = F.col("_t").cast("double"), F.col("m").cast("double")
-    sums = some.groupBy(method).agg(F.sum("_t").alias("m"), F.sum(F.col("_rank") * F.col("_plus")).alias("plus"), F.sum(t * t * t - t).alias("ties"))
-    n = sizes.groupBy(method).agg(F.sum("_t").alias("n"))
-    w = F.least(F.col("plus"), m * (m + 1) / 2 - F.col("plus"))
-    z = F.try_divide(w - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48))
-    return n.join(sums, method, "left").select(method, "n", F.coalesce("m", F.lit(0).cast("long")).alias("n_nonzero"), w.alias("w"), z.alias("z"))
-
-
-def paired_bootstrap(values: DataFrame, reference: str, resamples: int = 200, level: float = 0.95, seed: int = 0, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
-    """Mean difference of each method from the reference on shared units, and the percentile interval of its Poisson resamples: a unit
-    counts as often in a resample as its name draws, so units are resampled wherever they lie and every method sees the same draws."""
-    d, times, mean = (free(c, values.select(method, unit)) for c in ("_d", "_times", "_mean"))
-    rows = differences(values, reference, method, unit, value, d)
-    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))  # in place: the sums of a task leave it, not its draws
-    u = scalars.uniform(seed, F.concat_ws(":", F.col(unit).cast("string"), F.col("resample").cast("string")))
+    m = F.col("m").cast("double")
+    z = F.try_divide(F.col("w") - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48))
+    return _rank_sums(values, reference, method, unit, value).select(method, "n", F.col("m").alias("n_nonzero"), "w", z.alias("z"))
+
+
+def pairwise_wilcoxon(values: DataFrame, reference: str, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
+    """method, n, n_nonzero, w with the test's p (exact where it can be) and Holm's adjustment over methods."""
+    sums = _rank_sums(values, reference, method, unit, value).collect()  # a row for each method
+    rows = [((r[0], r.n, r.m, r.w), statistics.signed_rank_p(r.w or 0.0, r.m, r.n, r.ties or 0.0)) for r in sums]
+    kind = values.schema[method].dataType
+    schema = T.StructType([T.StructField(method, kind), T.StructField("n", T.LongType()), T.StructField("n_nonzero", T.LongType()), T.StructField("w", T.DoubleType())])
+    return _with_pvalues(values.sparkSession, rows, schema, ["p", "p_holm"])
+
+
+def bootstrap(rows: DataFrame, keys: list[str], unit: str, value: str, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Of each key n and mean of the values that are numbers, and low and high: the percentile interval of the means of Poisson resamples. A
+    unit counts as often in a resample as its name draws, so units are resampled wherever they lie and all keys see the same draws."""
+    times, mean, draw = (free(c, rows.select(*keys, unit)) for c in ("_times", "_mean", "_draw"))
+    rows = rows.select(*keys, unit, value).where(F.col(value).isNotNull() & ~F.isnan(value))
+    drawn = rows.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))  # in place: the sums of a task leave it, not its draws
+    u = scalars.uniform(seed, F.concat_ws(":", F.col(unit).cast("string"), F.col(draw).cast("string")))
     n, total, share = F.lit(0), 0.0, math.exp(-1)
     for k in range(1, 9):  # the chance of nine and more is 1e-6
         total += share
         n = F.when(u >= total, k).otherwise(n)
         share /= k
     drawn = drawn.withColumn(times, n).where(F.col(times) > 0)
-    means = drawn.groupBy(method, "resample").agg(F.try_divide(F.sum(F.col(d) * F.col(times)), F.sum(times).cast("double")).alias(mean))
-    edges = means.groupBy(method).agg(F.percentile(mean, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("interval"))  # of resamples, not of rows
-    return rows.groupBy(method).agg(F.count("*").alias("n"), F.avg(d).alias("delta")).join(edges, method).select(method, "n", "delta", F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"))
+    means = drawn.groupBy(*keys, draw).agg(F.try_divide(F.sum(F.col(value) * F.col(times)), F.sum(times).cast("double")).alias(mean))
+    edges = means.groupBy(*keys).agg(F.percentile(mean, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("interval"))  # of resamples, not of rows
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(edges, keys).select(*keys, "n", "mean", F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"))
+
+
+def paired_bootstrap(values: DataFrame, reference: str, resamples: int = 200, level: float = 0.95, seed: int = 0, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:
+    """bootstrap() of each method's differences from the reference on shared units; their mean is delta."""
+    d = free("_d", values.select(method, unit))
+    return bootstrap(differences(values, reference, method, unit, value, d), [method], unit, d, resamples, level, seed).withColumnRenamed("mean", "delta")

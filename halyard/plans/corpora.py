@@ -260,3 +260,18 @@ select token, n, row_number() over (order by n desc, token) - 1 as id from n""")
 def document_vocabulary(t: Tables) -> DataFrame:
     words = t.documents.select(F.explode(F.split("text", " ", -1)).alias("token")).where("token <> ''")
     return relational.vocabulary(words).select("token", "n", "id")
+
+
+@query(f"""with {UNITS}, u as (select unit, b, {SEED.format(k="'0:' || unit || ':' || b")}::double / 4294967296 as u from (select distinct unit from v), unnest(range(0, 60)) as x(b)),
+p as (select k, sum(exp(-1) / gamma(k + 1)) over (order by k) as upto from range(0, 8) as y(k)),
+w as (select unit, b, (select count(*) from p where u.u >= p.upto) as n from u), m as (select method, b, sum(value * n) / sum(n) as mean from v join w using (unit) where n > 0 group by 1, 2)
+select m.method, s.n, round(s.mean, 4) as mean, round(quantile_cont(m.mean, 0.025), 3) as low, round(quantile_cont(m.mean, 0.975), 3) as high from m join (select method, count(*) as n, avg(value) as mean from v group by 1) s using (method) group by 1, 2, 3""")
+def bootstrap_means(t: Tables) -> DataFrame:
+    v = t.orders.groupBy(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("unit")).agg(F.avg("o_totalprice").alias("value"))
+    return evaluation.bootstrap(v, ["method"], "unit", "value", 60).withColumns({"mean": F.round("mean", 4), "low": F.round("low", 3), "high": F.round("high", 3)})
+
+
+@query()
+def pairwise_wilcoxon_holm(t: Tables) -> DataFrame:
+    v = t.orders.groupBy(F.col("o_orderpriority").alias("method"), F.col("o_custkey").alias("unit")).agg(F.avg("o_totalprice").alias("value"))
+    return evaluation.pairwise_wilcoxon(v, "1-URGENT").withColumns({c: F.round(c, 6) for c in ("w", "p", "p_holm")})

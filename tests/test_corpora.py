@@ -110,3 +110,24 @@ def test_prefix_matches(spark):
     right = [(20, [1, 2, 3]), (10, [1, 2, 4]), (30, [1, 2]), (40, [1]), (50, None), (21, [1, 2, 3])]
     got = corpora.prefix_matches(spark.createDataFrame(left, "k int, c array<int>"), spark.createDataFrame(right, "k int, c array<int>"), "k", "c", 2).collect()
     assert sorted(map(tuple, got)) == [(1, 4, 10, 2), (2, 4, 10, 1), (5, 0, None, 0), (6, 4, 10, 2)]
+
+
+def test_wilcoxon_of_a_table(spark):
+    """Exact without ties or zeros, normal with them; nothing but zeros has no p."""
+    import numpy as np
+    from halyard.functions import statistics
+    from halyard.operators import evaluation
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=60)
+    ways = {"exact": (base + rng.normal(0.3, 1, 60))[:30], "ties": (base + rng.choice([-1, 0, 1, 2], 60)), "many": base + rng.normal(0.2, 1, 60), "same": base[:5]}
+    rows = [("ref", k, float(x)) for k, x in enumerate(base)] + [(m, k, float(x)) for m, v in ways.items() for k, x in enumerate(v)] + [("ties", 99, 1.0), ("many", 3, None)]
+    got = {r.method: r for r in evaluation.pairwise_wilcoxon(spark.createDataFrame(rows, "method string, unit int, value double"), "ref").collect()}
+    for m, v in ways.items():
+        want = statistics.wilcoxon(np.round(v - base[: len(v)], 12))
+        if m == "same":
+            assert got[m].n_nonzero == 0 and np.isnan(got[m].p)
+        elif m == "exact":
+            assert got[m].p == want.pvalue and got[m].w == want.statistic
+        else:
+            assert abs(got[m].p - want.pvalue) < 0.02 and got[m].n == 60
