@@ -6,13 +6,17 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from halyard import storage
+from halyard.names import free
 from halyard.sources import archives
 
 #: A token that stands for itself, and one in quotes, whose end is a quote before white space.
@@ -183,3 +187,29 @@ def write_cif(atoms: list[dict], name: str = "x") -> str:
 
     body = "\n".join(" ".join(quoted(a[n]) for n in names) for a in atoms)
     return f"data_{name}\n#\nloop_\n" + "".join(f"_atom_site.{n}\n" for n in names) + body + "\n#\n"
+
+
+def write_files(lines: DataFrame, path: str, order: str, line: str, head: str) -> DataFrame:
+    """A file for each range of the order, of the head and the lines of the range; returns their names. A file gets its name when it is
+    whole."""
+    part = free("_part", lines)
+    ranged = lines.repartitionByRange(order).sortWithinPartitions(order).select(F.spark_partition_id().alias(part), F.col(line).alias("line"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, own, name = None, "", ""
+        for b in batches:
+            if out is None and b.num_rows:
+                name = f"{path.rstrip('/')}/{b.column(0)[0].as_py():06d}.cif"
+                fs, at = archives.file_system(name)
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                own = f"{at}.{uuid.uuid4().hex}.part"
+                out = fs.open_output_stream(own, compression=None)
+                out.write(head.encode())
+            if b.num_rows:
+                out.write("".join(f"{x}\n" for x in b.column(1).to_pylist()).encode())
+        if out is not None:
+            out.close()
+            fs.move(own, at)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+    return storage.cut(ranged.mapInArrow(write, "file string"), "cif-files")
