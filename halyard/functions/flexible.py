@@ -235,3 +235,28 @@ def set_distances(xs: list, refs: list, pairs: list[Bonds], tolerance: float = 1
         far = np.sqrt((move * move).sum(2)).max(1)
         x[live] += move * np.minimum(1, 0.5 / np.maximum(far, 1e-9))[:, None, None]
     return [(x[b, : len(geometry.points(own))], bool(done[b]), int(took[b])) for b, own in enumerate(xs)]
+
+
+def turned_by(x, bonds: Bonds, rng: np.random.Generator, most: float) -> np.ndarray:
+    """Every rotatable bond turned by up to most, either way."""
+    turns = turning_sides(len(geometry.points(x)), bonds)
+    return geometry.apply_torsions(x, [t[0] for t in turns], [np.array(t[1], int) for t in turns], list(rng.uniform(-most, most, len(turns))))
+
+
+def turned_near(x, bonds: Bonds, rng: np.random.Generator, target: float) -> np.ndarray | None:
+    """Random turns of all rotatable bonds, scaled so that the places differ by an RMSD of about target; None if no turns lead there."""
+    x = geometry.points(x)
+    turns = turning_sides(len(x), bonds)
+    if not turns:
+        return None
+    pairs, sides, angles = [t[0] for t in turns], [np.array(t[1], int) for t in turns], rng.normal(size=len(turns))
+    off = lambda s: geometry.rmsd(geometry.apply_torsions(x, pairs, sides, list(s * angles)), x)
+    low, high = 0.0, 0.02
+    while off(high) < target:
+        low, high = high, high * 1.5
+        if high * np.abs(angles).max() > np.pi:
+            return None
+    for _ in range(30):
+        middle = (low + high) / 2
+        low, high = (middle, high) if off(middle) < target else (low, middle)
+    return geometry.apply_torsions(x, pairs, sides, list(high * angles))

@@ -233,6 +233,54 @@ def split_displacements(df: DataFrame, before: str, after: str, bonds: str) -> D
     return with_results(df, [before, after, bonds], "along array<array<double>>, rest array<array<double>>, followed array<array<double>>", f)
 
 
+def decoys(df: DataFrame, key: str, xyz: str, elements: str, bonds: str, pocket: str, conformers: str | None = None, near: int = 2, perturbed: int = 6, target: tuple[float, float] = (0.3, 1.2), tries: int = 12, enough: float = 0.15, seed: int = 0) -> DataFrame:
+    """Rows of decoys for each molecule: slot, kind, xyz, rmsd (least over automorphisms), displacements (an atom each, in that order), shift and
+    fit (deviation by translation, and what a rigid motion leaves), clash (pairs an atom). Slots: near ones turned about their bonds to an
+    RMSD within target; perturbed ones, growing with their slot, by turns moved as a whole and turned about bonds as well; then the given
+    conformers (an array of places), moved onto the molecule's centre. Each is drawn again while it clashes more than enough, so many
+    times at most, and the least clashing stays. A draw depends on seed, key and slot alone; molecules without atoms have no decoys."""
+    given = [conformers] if conformers else []
+
+    def f(name: object, x: list, e: list[str], b: list[dict], wall: list, confs: list = ()) -> tuple:
+        out, pairs, base = [], _pairs(b), geometry.points(x)
+        for slot in range(near + perturbed + len(confs)) if len(base) else ():
+            rng = geometry.named_rng(seed, f"{name}:{slot}")
+            scale = (slot - near + 1) / max(1, perturbed)
+
+            def draw(slot: int = slot, rng: object = rng, scale: float = scale) -> tuple[str, object]:
+                if slot < near:
+                    new = flexible.turned_near(base, pairs, rng, rng.uniform(*target))
+                    return ("near", new) if new is not None else ("rigid", geometry.perturb(base, rng, 0.1))
+                if slot < near + perturbed:
+                    if (slot - near) % 2 == 0:
+                        return "rigid", geometry.perturb(base, rng, scale)
+                    return "flexible", geometry.perturb(flexible.turned_by(base, pairs, rng, scale * 3.14159), rng, scale)
+                own = geometry.points(confs[slot - near - perturbed])
+                return "conformer", own - own.mean(0) + base.mean(0)
+
+            kind, best = draw()
+            least = geometry.clash_share(best, wall)
+            for _ in range(tries if slot < near + perturbed else 0):
+                if least <= enough:
+                    break
+                again, new = draw()
+                if (share := geometry.clash_share(new, wall)) < least:
+                    kind, best, least = again, new, share
+            if len(best) != len(base):
+                continue
+            rmsd, order, _ = isomorphism.nearest_copy(base, best, e, _edges(b))
+            lined = best[order]
+            shift, fit = geometry.decompose(lined, base)
+            away = [float(v) for v in ((lined - base) ** 2).sum(1) ** 0.5]
+            out.append({"slot": slot, "kind": kind, "xyz": best.tolist(), "rmsd": rmsd, "displacements": away, "shift": shift, "fit": fit, "clash": least})
+        return (out,)
+
+    one = "struct<slot: int, kind: string, xyz: array<array<double>>, rmsd: double, displacements: array<double>, shift: double, fit: double, clash: double>"
+    made = free("_decoys", df)
+    found = with_results(df.select(key, xyz, elements, bonds, pocket, *given), [key, xyz, elements, bonds, pocket, *given], f"{made} array<{one}>", f)
+    return found.select(key, F.explode(made).alias(made)).select(key, f"{made}.*")
+
+
 def turning_bonds(df: DataFrame, key: str, n_atoms: str, bonds: str) -> DataFrame:
     """A row for each rotatable bond of a batch of molecules: the key, bond (its place among its molecule's), and in numbers that run over the
     whole batch, molecules by key, begin, tip and moving (what turns with the tip). The key must be unique; no task holds the batch."""

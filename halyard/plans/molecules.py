@@ -184,3 +184,11 @@ def rebuilt_edges(t: Tables) -> DataFrame:
     versions.rebuild_edges(t.spark, folder, complex_="molecule", scale="scale", order="scale", elements="element", xyz="xyz", target="t")
     edges = versions.read(t.spark, folder, "edges")
     return edges.groupBy("complex").agg(F.count("*").alias("n_edges"), F.sum(F.col("i") * 100 + F.col("j")).alias("ends"), F.round(F.sum("length"), 6).alias("length"))
+
+
+@query()
+def decoy_slots(t: Tables) -> DataFrame:
+    """Two near, four perturbed and one given decoy of each molecule, against a pocket that is the molecule itself, one away in each direction."""
+    rows = drawn(t).withColumns({"wall": molecules.shifted(F.col("xyz"), 1.0), "given": F.array(F.transform("xyz", lambda p: F.array(p[0], p[1] * 1.25, p[2])))})
+    out = molecules.decoys(rows, "molecule", "xyz", "elements", "bonds", "wall", "given", near=2, perturbed=4)
+    return out.select("molecule", "slot", "kind", F.size("displacements").alias("n"), *(F.round(c, 6).alias(c) for c in ("rmsd", "shift", "fit", "clash")))

@@ -129,3 +129,23 @@ def test_turns_fits_and_projections(spark):
         for k, (begin, tip, moving) in enumerate([(2, 1, [0]), (3, 4, [5]), (2, 3, [4, 5])]):
             want.append((key, k, shift + begin, shift + tip, [shift + m for m in moving]))
     assert batch == want
+
+
+def test_decoys(spark):
+    x = [[1.3 * k, 0.6 * (k % 2), 0.2 * (k % 3)] for k in range(7)]
+    bonds = [{"i": k, "j": k + 1} for k in range(6)]
+    rows = [(1, x, list("CCCCCCC"), bonds, [], [x[::-1]]), (2, x[:2], list("CC"), bonds[:1], [[0.5, 0.5, 0.0]], []), (3, [], [], [], [], []), (4, None, None, bonds, [], []), (5, x, list("CNOCCCC"), bonds, [[2.0, 1.0, 0.5], [4.0, 1.0, 0.5]], [x, x[:3]])]
+    df = spark.createDataFrame(rows, "id int, x array<array<double>>, e array<string>, b array<struct<i: int, j: int>>, w array<array<double>>, c array<array<array<double>>>")
+    make = lambda d: molecules.decoys(d, "id", "x", "e", "b", "w", "c", near=2, perturbed=4)
+    got = {(r.id, r.slot): r for r in make(df.repartition(3)).collect()}
+    assert {k: r.xyz for k, r in got.items()} == {(r.id, r.slot): r.xyz for r in make(df.coalesce(1)).collect()}
+    assert {k[0] for k in got} == {1, 2, 5} and [r.kind for _, r in sorted(got.items()) if r.id == 1] == ["near", "near", "rigid", "flexible", "rigid", "flexible", "conformer"]
+    # the chain the other way round is the same molecule; a conformer of another size is no decoy; two atoms have nothing to turn
+    assert got[1, 6].rmsd == pytest.approx(0, abs=1e-9) and (5, 6) in got and (5, 7) not in got and got[2, 0].kind == "rigid"
+    for (k, slot), r in got.items():
+        base = np.array(rows[k - 1][1])
+        for b in rows[k - 1][3] if slot < 6 else ():
+            assert math.dist(r.xyz[b["i"]], r.xyz[b["j"]]) == pytest.approx(math.dist(base[b["i"]], base[b["j"]]))
+        assert len(r.displacements) == len(base) and r.rmsd == pytest.approx(np.sqrt(np.mean(np.square(r.displacements))))
+        if slot < 2 and k == 5:
+            assert 0.25 < geometry.rmsd(r.xyz, base) < 1.25
