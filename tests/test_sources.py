@@ -212,5 +212,8 @@ def test_missing_and_failing_archives_are_errors(tmp_path, monkeypatch):
         def read(self, n):
             raise OSError("the store is away")
 
+        def close(self):
+            pass
+
     with pytest.raises(archives.StorageError):
         archives.Reads(Failing()).readinto(bytearray(10))
