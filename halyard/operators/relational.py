@@ -257,24 +257,28 @@ def pareto(df: DataFrame, low: list[str]) -> DataFrame:
     return df.join(front, x).where(F.col(y) == F.col(own)).drop(own)
 
 
+#: Of a key's places in quantiles(): so many stretches at most are met by equality.
+STRETCHES = 1024
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], prob: str = "prob", q: str = "q") -> DataFrame:
     """Of each key and prob (its place in probs, from 0) the quantile q of value, linear between neighbours; nulls don't count. Values
-    are counted and their places found by range, so that no task holds a key's values; a row for each place that is asked for comes
-    out of the join, however many values there are. A key that is called as one of the new columns is an error."""
+    are counted and their places found by range, so that no task holds a key's values; a value meets only the places that are asked for in
+    its own stretch of the key's, by an equi join. A key that is called as one of the new columns is an error."""
     absent(df.select(*keys), prob, q)
-    v, c, before, first, n, at, p, place, low, high = (free(x, df) for x in ("_v", "_c", "_sum", "_first", "_n", "_at", "_p", "_place", "_low", "_high"))
+    v, c, before, first, n, at, side, place, wide, on = (free(x, df) for x in ("_v", "_c", "_sum", "_first", "_n", "_at", "_side", "_place", "_wide", "_on"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(v)).agg(F.count("*").alias(c))
     placed = storage.cut(global_prefix(counts, [*keys, v], c, before), "places")
-    groups = placed.groupBy(*keys).agg(F.min(before).alias(first), F.sum(c).alias(n))
-    asked = F.array(*(F.struct(F.lit(k).alias("prob"), ((F.col(n) - 1) * F.lit(float(x))).alias("at")) for k, x in enumerate(probs)))
-    inside = lambda x: (F.col(place) <= x) & (x < F.col(place) + F.col(c))
-    met = placed.join(groups.select(*keys, first, asked.alias(at)), keys).withColumn(place, F.col(before) - F.col(first))
-    mine = F.filter(at, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))
-    ends = met.select(*keys, v, c, place, F.explode(mine).alias(p))
-    prob_of, at_of = F.col(f"{p}.prob"), F.col(f"{p}.at")
-    lower, upper = (F.max(F.when(inside(f(at_of)), F.col(v))) for f in (F.floor, F.ceil))
-    found = ends.groupBy(*keys, prob_of.alias(prob), at_of.alias(at)).agg(lower.cast("double").alias(low), upper.cast("double").alias(high))
-    return found.select(*keys, prob, (F.col(low) + (F.col(high) - F.col(low)) * (F.col(at) - F.floor(at))).alias(q))
+    groups = placed.groupBy(*keys).agg(F.min(before).alias(first), F.sum(c).alias(n)).withColumn(wide, F.greatest(F.floor(F.col(n) / STRETCHES), F.lit(1).cast("long")))
+    stretch = lambda x: F.floor(x / F.col(wide))
+    values = placed.join(groups.select(*keys, first, wide), keys).withColumn(place, F.col(before) - F.col(first))
+    values = values.select(*keys, v, c, place, F.explode(F.sequence(stretch(F.col(place)), stretch(F.col(place) + F.col(c) - 1))).alias(on))
+    asked = groups.select(*keys, n, wide, F.posexplode(F.array(*(F.lit(float(p)) for p in probs))).alias(prob, at)).withColumn(at, (F.col(n) - 1) * F.col(at))
+    ends = asked.select(*keys, wide, prob, at, F.posexplode(F.array(F.floor(at), F.ceil(at))).alias(side, n)).withColumn(on, stretch(F.col(n))).drop(wide)
+    met = values.join(ends, [*keys, on]).where((F.col(place) <= F.col(n)) & (F.col(n) < F.col(place) + F.col(c)))
+    low, high = (F.max(F.when(F.col(side) == k, F.col(v))).cast("double") for k in (0, 1))
+    found = met.groupBy(*keys, prob, at).agg(low.alias(place), high.alias(v))
+    return found.select(*keys, prob, (F.col(place) + (F.col(v) - F.col(place)) * (F.col(at) - F.floor(at))).alias(q))
 
 
 def classes_balanced(df: DataFrame, keys: list[str]) -> DataFrame:
