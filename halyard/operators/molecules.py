@@ -281,6 +281,57 @@ def decoys(df: DataFrame, key: str, xyz: str, elements: str, bonds: str, pocket:
     return found.select(key, F.explode(made).alias(made)).select(key, f"{made}.*")
 
 
+def pocket_box(backbone: list) -> tuple:
+    """The corner and the edge of the cube that a pocket's places alone tell."""
+    x = geometry.points(backbone)
+    low = x.min(0)
+    return low, float((x.max(0) - low).max())
+
+
+def pose_codes(df: DataFrame, xyz: str, reference: str, backbone: str, bits: int = 18) -> DataFrame:
+    """pose: the code of where xyz lies in the pocket's box and how it is turned from the reference, row for row. Null where there is no
+    pocket or no atom."""
+    codec = geometry.PoseCodec(bits)
+
+    def f(x: list, ref: list, wall: list) -> tuple:
+        if not x or not wall or len(x) != len(ref):
+            return (None,)
+        a, b = geometry.points(ref), geometry.points(x)
+        low, edge = pocket_box(wall)
+        return (int(codec.encode(b.mean(0), geometry.best_rotation(a - a.mean(0), b - b.mean(0)).T, low, edge)),)
+
+    return with_results(df, [xyz, reference, backbone], "pose long", f)
+
+
+def placed(df: DataFrame, reference: str, pose: str, backbone: str, bits: int = 18) -> DataFrame:
+    """placed: the reference turned and moved to where its pose says; a null pose leaves it as it is turned, in the middle of the box."""
+    codec, own = geometry.PoseCodec(bits), free("_pose", df)
+
+    def f(ref: list, code: int, wall: list) -> tuple:
+        if not ref or not wall:
+            return (None,)
+        x = geometry.points(ref)
+        low, edge = pocket_box(wall)
+        if code < 0:
+            return ((x - x.mean(0) + low + edge / 2).tolist(),)
+        centre, turn = codec.decode(code, low, edge)
+        return (((x - x.mean(0)) @ turn.T + centre).tolist(),)
+
+    known = df.withColumn(own, F.coalesce(F.col(pose).cast("long"), F.lit(-1).cast("long")))
+    return with_results(known, [reference, own, backbone], "placed array<array<double>>", f).drop(own)
+
+
+def edge_overlaps(df: DataFrame, xyz: str, elements: str, truth: str, bonds: str) -> DataFrame:
+    """off (RMSD of xyz from truth, where they lie; null for unlike sizes) and edge_overlap (Jaccard of the bonds perceived in xyz and the
+    true ones; 1 where there is none on either side)."""
+
+    def f(x: list, e: list[str], y: list, b: list[dict]) -> tuple:
+        got, want = set(chemistry.infer_bonds(e, x)), {(min(p), max(p)) for p in _pairs(b)}
+        return float(geometry.rmsd(x, y)) if x and len(x) == len(y) else None, len(got & want) / len(got | want) if got | want else 1.0
+
+    return with_results(df, [xyz, elements, truth, bonds], "off double, edge_overlap double", f)
+
+
 def turning_bonds(df: DataFrame, key: str, n_atoms: str, bonds: str) -> DataFrame:
     """A row for each rotatable bond of a batch of molecules: the key, bond (its place among its molecule's), and in numbers that run over the
     whole batch, molecules by key, begin, tip and moving (what turns with the tip). The key must be unique; no task holds the batch."""

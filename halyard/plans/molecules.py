@@ -192,3 +192,27 @@ def decoy_slots(t: Tables) -> DataFrame:
     rows = drawn(t).withColumns({"wall": molecules.shifted(F.col("xyz"), 1.0), "given": F.array(F.transform("xyz", lambda p: F.array(p[0], p[1] * 1.25, p[2])))})
     out = molecules.decoys(rows, "molecule", "xyz", "elements", "bonds", "wall", "given", near=2, perturbed=4)
     return out.select("molecule", "slot", "kind", F.size("displacements").alias("n"), *(F.round(c, 6).alias(c) for c in ("rmsd", "shift", "fit", "clash")))
+
+
+@query(f"""with a as (select vec_id // 20 as molecule, vec_id, embedding[1]::double * 40 as x, embedding[2]::double * 40 as y, embedding[3]::double * 40 as z, ['C', 'N', 'O', 'S'][vec_id % 4 + 1] as e from embeddings),
+p as (select a.molecule, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < {COVALENT.format(e="a.e")} + {COVALENT.format(e="b.e")} + 0.4 as want,
+  sqrt((a.x - b.x) * (a.x - b.x) + (a.y * 1.25 - b.y * 1.25) * (a.y * 1.25 - b.y * 1.25) + (a.z - b.z) * (a.z - b.z)) < {COVALENT.format(e="a.e")} + {COVALENT.format(e="b.e")} + 0.4 as got
+  from a join a b on a.molecule = b.molecule and a.vec_id < b.vec_id),
+q as (select molecule, count(*) filter (want and got) as agreed, count(*) filter (want or got) as either from p group by 1)
+select molecule, round(sqrt(avg((y * 0.25) * (y * 0.25))), 6) as off, round(case when coalesce(any_value(either), 0) = 0 then 1 else any_value(agreed) / any_value(either) end, 6) as edge_overlap from a left join q using (molecule) group by 1""")
+def edge_overlaps(t: Tables) -> DataFrame:
+    """Molecules stretched along one axis against themselves."""
+    named = atoms(t).withColumn("molecule", molecule()).withColumns({c: F.col(c) * 4 for c in "xyz"})
+    rows = molecules.gathered(named, ["molecule"], "vec_id").withColumn("moved", F.transform("xyz", lambda p: F.array(p[0], p[1] * 1.25, p[2])))
+    rows = molecules.with_results(rows, ["xyz", "elements"], "bonds array<struct<i: int, j: int>>", lambda x, e: ([{"i": i, "j": j} for i, j in chemistry.infer_bonds(e, x)],))
+    return molecules.edge_overlaps(rows, "moved", "elements", "xyz", "bonds").select("molecule", F.round("off", 6).alias("off"), F.round("edge_overlap", 6).alias("edge_overlap"))
+
+
+@query()
+def placed_poses(t: Tables) -> DataFrame:
+    """Molecules turned and moved, coded in a pocket's box and placed again; every fifth without a pose."""
+    rows = gathered(t).withColumn("moved", F.transform("xyz", lambda p: F.array(p[1] * -1 + 2, p[0] + 1, p[2])))
+    wall = F.array(*(F.array(*(F.lit(v) for v in c)) for c in ((-9.0, -9.0, -9.0), (9.0, 9.0, 9.0))))
+    coded = molecules.pose_codes(rows.withColumn("wall", wall), "moved", "xyz", "wall").withColumn("pose", F.when(F.col("molecule") % 5 != 0, F.col("pose")))
+    back = molecules.placed(coded, "xyz", "pose", "wall").withColumn("none", F.transform("elements", lambda e: F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    return molecules.edge_overlaps(back, "placed", "elements", "moved", "none").select("molecule", "pose", F.round("off", 4).alias("off"))

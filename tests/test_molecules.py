@@ -149,3 +149,25 @@ def test_decoys(spark):
         assert len(r.displacements) == len(base) and r.rmsd == pytest.approx(np.sqrt(np.mean(np.square(r.displacements))))
         if slot < 2 and k == 5:
             assert 0.25 < geometry.rmsd(r.xyz, base) < 1.25
+
+
+def test_placement_and_edge_overlap(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8, 3))
+    turn = geometry.random_rotation(rng)
+    there = (x - x.mean(0)) @ turn.T + [3.0, -2.0, 1.0]
+    wall = [[-8.0, -8.0, -8.0], [8.0, 6.0, 7.0]]
+    rows = [(1, x.tolist(), there.tolist(), wall), (2, x.tolist(), None, wall), (3, x.tolist(), there.tolist(), []), (4, [], [], wall), (5, x.tolist(), there.tolist()[:3], wall)]
+    df = spark.createDataFrame(rows, "id int, ref array<array<double>>, x array<array<double>>, w array<array<double>>")
+    coded = molecules.pose_codes(df, "x", "ref", "w", bits=30)
+    got = {r.id: r for r in molecules.placed(coded, "ref", "pose", "w", bits=30).collect()}
+    assert got[1].pose is not None and all(got[k].pose is None for k in (2, 3, 4, 5)) and "_pose" not in molecules.placed(coded, "ref", "pose", "w", bits=30).columns
+    # within a cell of the box and a step of the rotation grid
+    assert np.abs(np.mean(got[1].placed, 0) - there.mean(0)).max() <= 16 / 31 and geometry.kabsch_rmsd(got[1].placed, there) < 1e-9 and geometry.rmsd(got[1].placed, there) < 0.9
+    assert np.allclose(got[2].placed, x - x.mean(0)) and got[3].placed is None and got[4].placed is None
+    line = [[0.0, 0.0, 0.0], [1.4, 0.0, 0.0], [2.8, 0.0, 0.0]]
+    far = [[0.0, 0.0, 0.0], [1.4, 0.0, 0.0], [9.0, 0.0, 0.0]]
+    pairs = [(1, line, list("CCC"), line, [{"i": 0, "j": 1}, {"i": 2, "j": 1}]), (2, far, list("CCC"), line, [{"i": 0, "j": 1}, {"i": 1, "j": 2}]), (3, far[1:], list("CC"), line, []), (4, None, list("C"), line, []), (5, [], [], [], [])]
+    kinds = "id int, x array<array<double>>, e array<string>, y array<array<double>>, b array<struct<i: int, j: int>>"
+    out = {r.id: (r.off, r.edge_overlap) for r in molecules.edge_overlaps(spark.createDataFrame(pairs, kinds), "x", "e", "y", "b").collect()}
+    assert out[1] == (0.0, 1.0) and out[2] == (pytest.approx(6.2 / 3**0.5), 0.5) and out[3] == (None, 1.0) and out[4] == (None, None) and out[5] == (None, 1.0)
