@@ -105,13 +105,42 @@ def signed_rank_p(least: float, m: int, n: int, ties: float) -> float:
     return min(1.0, math.erfc(abs((least - m * (m + 1) / 4) / spread) / math.sqrt(2))) if spread else NAN
 
 
+#: Trials from which on a binomial tail is summed in doubles, and successes under which it is summed in integers whatever the trials.
+LARGE, FEW = 1000, 16
+
+
+def _stirling_error(n: int) -> float:
+    """ln n! less Stirling's formula, for n of FEW or more."""
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def fair_tail(least: int, n: int) -> float:
+    """The chance of at most least heads, which is no more than half of n, among n tosses. Of many tosses the largest term is taken by
+    Stirling's formula with its error and the smaller ones by their ratios until they no longer count: some sqrt(n) of them."""
+    if n <= LARGE or least < FEW:
+        term = total = 1
+        for k in range(1, least + 1):
+            term = term * (n - k + 1) // k
+            total += term
+        return total / 2**n
+    x = (2 * least - n) / n
+    deviance = n / 2 * ((1 + x) * math.log1p(x) + (1 - x) * math.log1p(-x))
+    error = _stirling_error(n) - _stirling_error(least) - _stirling_error(n - least)
+    ratio = total = 1.0
+    for k in range(least, 0, -1):
+        ratio *= k / (n - k + 1)
+        total += ratio
+        if ratio < 1e-18 * total:
+            break
+    return total * math.sqrt(n / (2 * math.pi * least * (n - least))) * math.exp(error - deviance)
+
+
 def mcnemar(first_only: int, second_only: int, n: int) -> Result:
     """Exact, from the numbers of discordant pairs."""
     both = first_only + second_only
     if not both:
         return Result(0.0, 1.0, n)
-    tail = sum(math.comb(both, k) for k in range(min(first_only, second_only) + 1))
-    return Result(float(first_only - second_only), min(1.0, 2 * tail / 2**both), n)
+    return Result(float(first_only - second_only), min(1.0, 2 * fair_tail(min(first_only, second_only), both)), n)
 
 
 def williams(r_xy: float, r_xz: float, r_yz: float, n: int) -> Result:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,15 @@ def test_mcnemar_and_holm():
     assert got[0] == pytest.approx(0.03) and math.isnan(got[1]) and got[2] == got[3] == pytest.approx(0.06)
 
 
+def test_mcnemar_of_many_pairs():
+    for a, b in ((480, 530), (1000, 1001), (1500, 1400), (16, 1100), (3, 1200), (2000, 2000)):
+        exact = sum(math.comb(a + b, k) for k in range(min(a, b) + 1)) / 2 ** (a + b)
+        assert statistics.mcnemar(a, b, a + b).pvalue == pytest.approx(min(1.0, 2 * exact), rel=1e-9)
+    began = time.time()
+    assert 0 < statistics.mcnemar(2_000_000, 2_001_000, 9_000_000).pvalue < 1
+    assert time.time() - began < 5
+
+
 def test_williams():
     assert math.isnan(statistics.williams(0.5, 0.4, 0.3, 3).pvalue)
     assert statistics.williams(0.5, 0.5, 0.3, 50).pvalue == pytest.approx(1)
