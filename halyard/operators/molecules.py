@@ -76,16 +76,28 @@ def contacts(pocket: DataFrame, ligand: DataFrame, keys: list[str], row: str) ->
     """For each ligand atom (by keys and row): near (the residue of the nearest heavy pocket atom within the cut, ties to the smaller
     row) and interaction (its number in INTERACTIONS, the strongest within the cut); null and 255 without one. The pocket has residue
     and name besides."""
-    d, e, own = F.col("d"), F.upper("element"), F.upper("element_b")
+    e = F.upper("element")
     residue, name = F.upper(F.trim("residue")), F.upper(F.trim("name"))
     tip = F.concat_ws(" ", residue, name).isin(sorted(f"{r} {n}" for r, n in geometry.CHARGED_TIPS))
-    both = lambda kinds: e.isin(sorted(kinds)) & own.isin(sorted(kinds))
-    polar, apolar = both(geometry.POLAR), both(geometry.APOLAR)
-    label = F.when(polar & tip & d.between(*geometry.IONIC), 1).when(polar & d.between(*geometry.HBOND), 2).when(apolar & d.between(*geometry.HYDROPHOBIC), 3).otherwise(9)
-    pairs = spatial.within(pocket.where(F.upper("element") != "H"), ligand.select(*keys, row, "element", *spatial.XYZ), geometry.CONTACT_CUT, keys, strict=False)
-    best = pairs.groupBy(*keys, F.col(f"{row}_b").alias(row)).agg(F.min_by(residue, F.struct("d", row)).alias("near"), F.min(label).alias("_label"))
-    interaction = F.when(F.col("_label").isNull(), 255).otherwise(F.col("_label") % 9).cast("int")
-    return ligand.select(*keys, row).join(best, [*keys, row], "left").select(*keys, row, "near", interaction.alias("interaction"))
+    kind = lambda kinds: F.coalesce(e.isin(sorted(kinds)), F.lit(False))
+    polar, apolar = kind(geometry.POLAR), kind(geometry.APOLAR)
+    rows, place = pocket.where(e != "H"), [*keys, *spatial.XYZ]
+    heavy = spatial.placed(rows.select(*place, row, residue.alias("_residue"), polar.alias("_polar"), apolar.alias("_apolar"), (polar & tip).alias("_tip")), keys)
+    tiles, points = spatial.tiled(spatial.firsts(heavy, [*keys, "_polar", "_apolar", "_tip"], row, 1), keys)
+    near = spatial.nearest_in(tiles, points, ligand, keys, row, 1, geometry.CONTACT_CUT).where(F.size("near") > 0)
+    near = near.select(*place, F.col("near")[0]["row"].alias("_row"), F.col("near")[0]["d"].alias("_d"))
+    theirs = points.select(*keys, F.col(row).alias("_row"), "_residue", *(F.col(c).alias(f"{c}_p") for c in spatial.XYZ))
+    same = F.sqrt(spatial.squared(tuple(f"{c}_p" for c in spatial.XYZ), spatial.XYZ)) == F.col("_d")  # rows of one name in other places
+    best = near.join(theirs, [*keys, "_row"]).where(same).groupBy(*place).agg(F.first("_residue").alias("near"), F.lit(True).alias("_met"))
+    own = ligand.select(*keys, row, *(F.col(c).cast("double").alias(c) for c in spatial.XYZ), polar.alias("_polar"), apolar.alias("_apolar"))
+    out = own.join(best, place, "left")
+    label = F.lit(9)
+    for number, theirs, ours, bounds in ((3, "_apolar", "_apolar", geometry.HYDROPHOBIC), (2, "_polar", "_polar", geometry.HBOND), (1, "_tip", "_polar", geometry.IONIC)):
+        seen = spatial.any_in(points.where(theirs), own.where(ours), keys, row, bounds[0], min(bounds[1], geometry.CONTACT_CUT))
+        out = out.join(seen.withColumn(f"_seen{number}", F.lit(True)), place, "left")
+        label = F.when(F.col(ours) & F.col(f"_seen{number}"), number).otherwise(label)
+    interaction = F.when(F.col("_met").isNull(), 255).otherwise(label % 9).cast("int")
+    return out.select(*keys, row, "near", interaction.alias("interaction"))
 
 
 def fitted(df: DataFrame, xyz: str, elements: str, pocket: str, pocket_elements: str, restarts: int = 4, seed: int = 0) -> DataFrame:

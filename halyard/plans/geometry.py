@@ -70,9 +70,9 @@ def surface_gap(t: Tables) -> DataFrame:
 @query(f"""with {ATOMS}, m as (select lig, rec, d, row_number() over (partition by lig order by d, rec) as k from pairs where d <= 4.5) select lig, rec, round(d, 6) as d from m where k = 1""")
 def nearest_within(t: Tables) -> DataFrame:
     pocket, ligand = sides(t)
-    pairs = spatial.within(pocket, ligand, 4.5, ["label"], strict=False)
-    best = pairs.groupBy(F.col("vec_id_b").alias("lig")).agg(F.min(F.struct("d", "vec_id")).alias("m"))
-    return best.select("lig", F.col("m.vec_id").alias("rec"), F.round("m.d", 6).alias("d"))
+    near = spatial.nearest_of(pocket, ligand, ["label"], "vec_id", 1, 4.5).where(F.size("near") > 0)
+    best = ligand.join(near, ["label", *spatial.XYZ]).select(F.col("vec_id").alias("lig"), F.col("near")[0].alias("m"))
+    return best.select("lig", F.col("m.row").alias("rec"), F.round("m.d", 6).alias("d"))
 
 
 @query(f"""with {ATOMS}, q as (select a.label, a.vec_id as row_, b.vec_id as neighbour, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as d from atoms a join atoms b on a.label = b.label and a.vec_id <> b.vec_id),
