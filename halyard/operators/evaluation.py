@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from halyard import storage
 from halyard.functions import scalars, statistics
 from halyard.names import free
 from halyard.operators import relational
@@ -269,19 +270,27 @@ def pairwise_wilcoxon(values: DataFrame, reference: str, method: str = "method",
 def bootstrap(rows: DataFrame, keys: list[str], unit: str, value: str, resamples: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Of each key n and mean of the values that are numbers, and low and high: the percentile interval of the means of Poisson resamples. A
     unit counts as often in a resample as its name draws, so units are resampled wherever they lie and all keys see the same draws."""
-    times, mean, draw = (free(c, rows.select(*keys, unit)) for c in ("_times", "_mean", "_draw"))
+    times, mean, draw, own, total, count = (free(c, rows.select(*keys, unit)) for c in ("_times", "_mean", "_draw", "_own", "_total", "_count"))
     rows = rows.select(*keys, unit, value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    drawn = rows.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))  # in place: the sums of a task leave it, not its draws
-    u = scalars.uniform(seed, F.concat_ws(":", F.col(unit).cast("string"), F.col(draw).cast("string")))
-    n, total, share = F.lit(0), 0.0, math.exp(-1)
+    sums = storage.cut(rows.groupBy(*keys, unit).agg(F.sum(F.col(value).cast("double")).alias(total), F.count("*").alias(count)), "units")
+    steps, share, upto = [], math.exp(-1), 0.0
     for k in range(1, 9):  # the chance of nine and more is 1e-6
-        total += share
-        n = F.when(u >= total, k).otherwise(n)
+        upto += share
+        steps.append(upto)
         share /= k
-    drawn = drawn.withColumn(times, n).where(F.col(times) > 0)
-    means = drawn.groupBy(*keys, draw).agg(F.try_divide(F.sum(F.col(value) * F.col(times)), F.sum(times).cast("double")).alias(mean))
+    name = lambda b: F.concat_ws(":", F.col(own).cast("string"), b.cast("string"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: scalars.uniform(seed, name(b)))
+    drawn = F.transform(drawn, lambda u: sum(((u >= p).cast("int") for p in steps), F.lit(0)))
+    # a unit draws once, whatever its keys; hashing is the work, so that the number of tasks must not follow from the few bytes; the plain
+    # explode would draw again for a filter on the size
+    context = rows.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism * 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    units = sums.select(F.col(unit).alias(own)).repartition(tasks, own).distinct().select(own, drawn.alias(times))
+    each = sums.join(units, F.col(unit).eqNullSafe(F.col(own))).select(*keys, total, count, F.posexplode_outer(times).alias(draw, times)).where(F.col(times) > 0)
+    means = each.groupBy(*keys, draw).agg(F.try_divide(F.sum(F.col(total) * F.col(times)), F.sum(F.col(count) * F.col(times)).cast("double")).alias(mean))
     edges = means.groupBy(*keys).agg(F.percentile(mean, F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("interval"))  # of resamples, not of rows
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(edges, keys).select(*keys, "n", "mean", F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"))
+    whole = sums.groupBy(*keys).agg(F.sum(count).alias("n"), F.try_divide(F.sum(total), F.sum(count).cast("double")).alias("mean"))
+    return whole.join(edges, keys).select(*keys, "n", "mean", F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"))
 
 
 def paired_bootstrap(values: DataFrame, reference: str, resamples: int = 200, level: float = 0.95, seed: int = 0, method: str = "method", unit: str = "unit", value: str = "value") -> DataFrame:

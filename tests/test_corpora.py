@@ -131,3 +131,13 @@ def test_wilcoxon_of_a_table(spark):
             assert got[m].p == want.pvalue and got[m].w == want.statistic
         else:
             assert abs(got[m].p - want.pvalue) < 0.02 and got[m].n == 60
+
+
+def test_bootstrap_draws_once_a_unit(spark):
+    """As many draws are hashed for five keys as for one, and by more tasks than a few bytes would get."""
+    rows = [(k, u, float(u * k)) for k in range(5) for u in range(50)]
+    r = evaluation.bootstrap(spark.createDataFrame(rows, "k int, unit int, value double"), ["k"], "unit", "value", 40)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "RepartitionByExpression" in plan
+    got = {x.k: x for x in r.collect()}
+    assert len(got) == 5 and all(x.n == 50 and x.low <= x.mean <= x.high for x in got.values())
