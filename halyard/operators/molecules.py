@@ -191,6 +191,29 @@ def graph_keys(df: DataFrame, labels: list[str], bonds: str) -> DataFrame:
 CHEMISTRY = ("elements", "charges", "num_h")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in a number of tasks that doesn't follow from its bytes: for kernels whose work is large for them."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism * 4, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def same_graph(colours: list[tuple], bonds: set, others: list[tuple], other_bonds: set) -> bool | None:
+    """Whether two coloured graphs agree in some order of their atoms; None if that can't be told. Graphs that are equal as they stand or
+    whose atoms differ in their colours or neighbours' colours need no canonical form."""
+
+    def around(of: list[tuple], pairs: set) -> list[str]:
+        near = chemistry.neighbours(len(of), sorted(pairs))
+        return sorted(repr((of[i], sorted(repr(of[j]) for j in near[i]))) for i in range(len(of)))
+
+    if colours == others and bonds == other_bonds:
+        return True
+    if around(colours, bonds) != around(others, other_bonds):
+        return False
+    one, _, sure = isomorphism.canonical(colours, dict.fromkeys(bonds, 0))
+    two, _, certain = isomorphism.canonical(others, dict.fromkeys(other_bonds, 0))
+    return one == two if sure and certain or one == two else None
+
+
 def compared(df: DataFrame, xyz: str, elements: str, charges: str, num_h: str, ref_elements: str, ref_charges: str, ref_num_h: str, ref_bonds: str) -> DataFrame:
     """Whether a decoded molecule is the reference's: shares of atoms with the right element, charge, hydrogens and all three; missing and
     extra bonds and graph_exact, with the decoded bonds perceived from places; buildable (orders meet every valence); same_molecule (the
@@ -204,10 +227,9 @@ def compared(df: DataFrame, xyz: str, elements: str, charges: str, num_h: str, r
         share = (lambda v: sum(v) / n if n else None) if agree else (lambda v: None)
         shares = [share(v) for v in (*agree, [all(t) for t in zip(*agree, strict=True)])] if agree else [None] * 4
         built = bool(n) and chemistry.assign_orders(e, c, h, sorted(got)) is not None
-        one, _, sure = isomorphism.canonical(list(zip(e, c, h, strict=True)), dict.fromkeys(got, 0))
-        two, _, certain = isomorphism.canonical(list(zip(re, rc, rh, strict=True)), dict.fromkeys(want, 0))
+        same = same_graph(list(zip(e, c, h, strict=True)), got, list(zip(re, rc, rh, strict=True)), want)
         counts = (len(want - got), len(got - want), got == want) if agree else (None, None, False)
-        return *shares, *counts, built, one == two if sure and certain or one == two else None
+        return *shares, *counts, built, same
 
     schema = "element_share double, charge_share double, num_h_share double, determined_share double, missing int, extra int, graph_exact boolean, buildable boolean, same_molecule boolean"
     return with_results(df, [xyz, elements, charges, num_h, ref_elements, ref_charges, ref_num_h, ref_bonds], schema, f)

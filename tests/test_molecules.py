@@ -171,3 +171,15 @@ def test_placement_and_edge_overlap(spark):
     kinds = "id int, x array<array<double>>, e array<string>, y array<array<double>>, b array<struct<i: int, j: int>>"
     out = {r.id: (r.off, r.edge_overlap) for r in molecules.edge_overlaps(spark.createDataFrame(pairs, kinds), "x", "e", "y", "b").collect()}
     assert out[1] == (0.0, 1.0) and out[2] == (pytest.approx(6.2 / 3**0.5), 0.5) and out[3] == (None, 1.0) and out[4] == (None, None) and out[5] == (None, 1.0)
+
+
+def test_same_graph_needs_few_canonical_forms(monkeypatch):
+    ring = {(k, k + 1) for k in range(5)} | {(0, 5)}
+    carbon, path = [("C", 0, 0)] * 6, {(k, k + 1) for k in range(5)}
+    turned = {(min(a, b), max(a, b)) for a, b in (((i + 2) % 6, (j + 2) % 6) for i, j in path)}
+    assert molecules.same_graph(carbon, path, carbon, turned) is True
+    assert molecules.same_graph(carbon, ring, carbon, {(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)}) is False  # alike around each atom
+    monkeypatch.setattr(molecules.isomorphism, "canonical", None)
+    assert molecules.same_graph(carbon, ring, carbon, ring) is True
+    assert molecules.same_graph(carbon, ring, carbon, path) is False
+    assert molecules.same_graph(carbon, ring, [("N", 0, 0), *carbon[1:]], ring) is False
