@@ -191,12 +191,6 @@ def graph_keys(df: DataFrame, labels: list[str], bonds: str) -> DataFrame:
 CHEMISTRY = ("elements", "charges", "num_h")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df by keys in a number of tasks that doesn't follow from its bytes: for kernels whose work is large for them."""
-    session = df.sparkSession
-    return df.repartition(max(session.sparkContext.defaultParallelism * 4, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
 def same_graph(colours: list[tuple], bonds: set, others: list[tuple], other_bonds: set) -> bool | None:
     """Whether two coloured graphs agree in some order of their atoms; None if that can't be told. Graphs that are equal as they stand or
     whose atoms differ in their colours or neighbours' colours need no canonical form."""

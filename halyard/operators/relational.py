@@ -295,3 +295,9 @@ def vocabulary(tokens: DataFrame, token: str = "token", extra: DataFrame | None
     if extra is not None:
         n = n.unionByName(extra.select(F.col(token).alias("token"), F.lit(0).cast("long").alias("n"))).groupBy("token").agg(F.max("n").alias("n"))
     return global_position(n.withColumn("_fall", -F.col("n")), ["_fall", "token"]).withColumnRenamed("position", "id").drop("_fall")
+
+
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df by keys in a number of tasks that doesn't follow from its bytes: for kernels whose work is large for them."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism * 4, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)

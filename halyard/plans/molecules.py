@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from halyard import storage
 from halyard.functions import chemistry
-from halyard.operators import molecules
+from halyard.operators import molecules, relational
 from halyard.plans.geometry import ATOMS, RADIUS, atoms, molecule, sides
 from halyard.plans.registry import Tables, query
 from halyard.sources import versions
@@ -120,7 +120,7 @@ def molecule_comparison(t: Tables) -> DataFrame:
     named = atoms(t).withColumn("molecule", molecule()).withColumns({c: F.col(c) * 4 for c in "xyz"})
     v, none = F.col("vec_id"), F.lit(0)
     own = F.struct("vec_id", "element", F.when(v % 7 == 0, "C").otherwise(F.col("element")).alias("e"), none.alias("q"), F.when((v % 3 == 0) & (v % 2 == 1), 1).otherwise(0).alias("c"), none.alias("h"), F.array("x", "y", "z").alias("x"), F.array(F.col("x"), F.col("y") * 1.25, F.col("z")).alias("y"))
-    rows = molecules.spread(named, "molecule").groupBy("molecule").agg(F.array_sort(F.collect_list(own)).alias("of")).select("molecule", "of.element", "of.e", "of.q", "of.c", "of.h", "of.x", "of.y")
+    rows = relational.spread(named, "molecule").groupBy("molecule").agg(F.array_sort(F.collect_list(own)).alias("of")).select("molecule", "of.element", "of.e", "of.q", "of.c", "of.h", "of.x", "of.y")
     rows = molecules.with_results(rows, ["x", "element"], "bonds array<struct<i: int, j: int>>", lambda x, e: ([{"i": i, "j": j} for i, j in chemistry.infer_bonds(e, x)],))
     out = molecules.compared(rows, "y", "e", "c", "h", "element", "q", "h", "bonds")
     return out.select("molecule", *(F.round(c, 6).alias(c) for c in ("element_share", "charge_share", "determined_share")), "missing", "extra", "graph_exact")

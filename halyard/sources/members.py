@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from halyard.names import free
+from halyard.operators import relational
 from halyard.sources import archives
 
 #: Bytes of an archive whose members one task reads, and of the rows of a batch that it gives out.
@@ -109,7 +110,8 @@ def index_of(named: DataFrame, archive: str) -> DataFrame:
                         rows = []
                 yield _rows(rows, _INDEX)
 
-    return named.select(F.col(archive).alias("archive")).where("archive is not null").distinct().mapInArrow(each, INDEX)
+    names = named.select(F.col(archive).alias("archive")).where("archive is not null").distinct()
+    return relational.spread(names, "archive").mapInArrow(each, INDEX)  # names are a few bytes, their archives many
 
 
 def member_bytes(f: io.RawIOBase, at: int, size: int, packed: int, form: str) -> bytes:
@@ -217,8 +219,8 @@ def lookup(wanted: DataFrame, index: DataFrame, archive: str = "archive", member
     met = met.where("e is not null").select("archive", "name", "e.*")
     each = met.select("archive", "member", "place", "at", "size", "packed", "form").distinct()
     content = "archive string, member string, content binary"
-    ranged = each.where("form <> 'stream'").repartition("archive", F.floor(F.col("at") / SPLIT)).sortWithinPartitions("archive", "at").mapInArrow(_fetched, content)
-    streamed = each.where("form = 'stream'").repartition("archive").sortWithinPartitions("archive", "place").mapInArrow(_streamed, content)
+    ranged = relational.spread(each.where("form <> 'stream'"), "archive", F.floor(F.col("at") / SPLIT)).sortWithinPartitions("archive", "at").mapInArrow(_fetched, content)
+    streamed = relational.spread(each.where("form = 'stream'"), "archive").sortWithinPartitions("archive", "place").mapInArrow(_streamed, content)
     read = met.select("archive", "name", "member").join(ranged.unionByName(streamed), ["archive", "member"])
     read = read.select(F.col("archive").alias(uri), F.col("name").alias(name), F.col("content").alias(found))
     joined = wanted.join(read, (F.col(archive).cast("string") == F.col(uri)) & (F.col(member).cast("string") == F.col(name)), "left")
@@ -240,7 +242,7 @@ def read_files(named: DataFrame, path: str) -> DataFrame:
         for b in _batched(rows()):
             yield b.rename_columns(["file", "member", "content"]).select(["file", "content"])
 
-    return named.select(F.col(path).alias("file")).where("file is not null").distinct().mapInArrow(each, "file string, content binary")
+    return relational.spread(named.select(F.col(path).alias("file")).where("file is not null").distinct(), "file").mapInArrow(each, "file string, content binary")
 
 
 def text_of(content: Column) -> Column:

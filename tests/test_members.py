@@ -163,3 +163,14 @@ def test_failing_seeks_are_errors():
         for what in (lambda: f.seek(1), f.tell):
             with pytest.raises(archives.StorageError):
                 what()
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    """Names are few bytes: tasks by bytes would read all archives in one."""
+    for k in range(40):
+        pack(tmp_path / f"{k}.tar", [("a", b"x" * k)])
+    named = spark.createDataFrame([(str(tmp_path / f"{k}.tar"),) for k in range(40)], "archive string")
+    index = members.index_of(named, "archive")
+    assert index.select(F.spark_partition_id()).distinct().count() > 4
+    got = members.lookup(named.withColumn("member", F.lit("a")), index)
+    assert sorted(len(r.content) for r in got.collect()) == list(range(40))
